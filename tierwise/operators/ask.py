@@ -166,3 +166,22 @@ def answer_static(routed: DataFrame) -> DataFrame:
     q = routed.filter(F.col("intent").isin("help", "unknown"))
     return q.select("qid", "intent", F.when(F.col("intent") == "help", F.lit(HELP_TEXT))
                     .otherwise(F.lit(UNKNOWN_TEXT)).alias("answer"))
+
+
+def prompt_explain(topn_arr: Column, idx: Column, pred_tier: Column, confidence: Column, tier_text: dict) -> Column:
+    """The prompt for an external model, built from computed values."""
+    desc = F.create_map(*[x for t, d in tier_text.items() for x in (F.lit(t), F.lit(d))])
+    lines = F.array_join(F.transform(topn_arr, lambda x, i: F.concat(
+        F.lit("  "), (i + 1).cast("string"), F.lit(". "), x["feature"], F.lit(": "),
+        fmt_fixed(x["mean_phi"], 4, signed=True), F.lit(" ("),
+        F.when(x["mean_phi"] > 0, F.lit("increases")).otherwise(F.lit("decreases")),
+        F.lit(" approval chance)"))), "\n")
+    return F.concat(
+        F.lit("You are a credit analyst AI for an Indian bank. Explain the following credit decision\n"
+              "in plain English. Be concise (3-4 sentences). End with one actionable recommendation.\n\n"
+              "Applicant index: "), idx.cast("string"),
+        F.lit("\nPredicted credit tier: "), pred_tier, F.lit(" — "), F.coalesce(desc[pred_tier], F.lit("")),
+        F.lit("\nConfidence: "), fmt_pct(confidence),
+        F.lit("\n\nTop SHAP feature contributions (positive = supports approval):\n"), lines,
+        F.lit("\n\nFormat your response as:\nDECISION: [one sentence]\nREASONS: [2-3 bullet points]\n"
+              "RECOMMENDATION: [one actionable sentence]"))

@@ -56,15 +56,16 @@ def phi_long(df: DataFrame, model, key: str) -> DataFrame:
 
 
 def feature_structs(model, pred_col: str | None = "pred") -> Column:
-    """Per row: array<struct<feature, value, mean_abs, mean_phi, phi_pred>>."""
+    """Per row: array<struct<k, feature, value, mean_abs, mean_phi, phi_pred>>,
+    where ``k = -mean_abs`` so that ``sort_array`` ranks by mean |phi| desc,
+    then feature name (codegen'd; no lambda)."""
     ph = phi_exprs(model)
-    feats = model.features
     items = []
-    for f in feats:
+    for f in model.features:
         terms = [ph[(f, k)] for k in range(K)]
         mean_abs = sum((F.abs(t) for t in terms[1:]), F.abs(terms[0])) / F.lit(float(K))
         mean_phi = sum(terms[1:], terms[0]) / F.lit(float(K))
-        fields = [F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
+        fields = [(-mean_abs).alias("k"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
                   mean_abs.alias("mean_abs"), mean_phi.alias("mean_phi")]
         if pred_col:
             fields.append(F.element_at(F.array(*terms), F.col(pred_col) + 1).alias("phi_pred"))
@@ -72,17 +73,11 @@ def feature_structs(model, pred_col: str | None = "pred") -> Column:
     return F.array(*items)
 
 
-def _ranked(arr: Column, by: str) -> Column:
-    """Sort an array of structs by ``by`` descending, then feature ascending."""
-    return F.array_sort(arr, lambda a, b: F.when(a[by] > b[by], -1).when(a[by] < b[by], 1)
-                        .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0))
-
-
 def local_topn(df: DataFrame, model, key: str, n: int = 10) -> DataFrame:
     """Per row, top-n features by mean |phi| over classes, with the mean
     signed phi (reference display) and the predicted-class phi."""
     s = score(df, model, [key] + list(model.features))
-    arr = F.slice(_ranked(feature_structs(model), "mean_abs"), 1, n)
+    arr = F.slice(F.sort_array(feature_structs(model)), 1, n)
     return (s.select(key, "pred", F.posexplode(arr).alias("pos", "t"))
              .select(key, "pred", (F.col("pos") + 1).alias("rank"), "t.feature", "t.value", "t.mean_abs",
                      "t.mean_phi", "t.phi_pred"))
@@ -121,27 +116,31 @@ def waterfall(df: DataFrame, model, key: str, max_display: int = 10, cls: int |
     base = base_values(model)
     s = score(df, model, [key] + list(model.features))
     k_col = F.col("pred") if cls is None else F.lit(cls)
-    items = F.array(*[F.struct(F.lit(f).alias("feature"),
-                               F.element_at(F.array(*[ph[(f, k)] for k in range(K)]), k_col + 1).alias("phi"))
-                      for f in model.features])
-    items = F.transform(items, lambda x: F.struct(x["feature"].alias("feature"), x["phi"].alias("phi"),
-                                                  F.abs(x["phi"]).alias("a")))
-    ranked = _ranked(items, "a")
-    m = max_display - 1
-    shown = F.slice(ranked, 1, m)
-    rest = F.slice(ranked, m + 1, len(model.features))
-    other = F.struct(F.concat(F.size(rest).cast("string"), F.lit(" other features")).alias("feature"),
-                     F.aggregate(rest, F.lit(0.0), lambda acc, x: acc + x["phi"]).alias("phi"),
-                     F.lit(0.0).alias("a"))
-    steps = F.when(F.size(rest) > 0, F.concat(shown, F.array(other))).otherwise(shown)
+    items = []
+    for f in model.features:
+        phi = F.element_at(F.array(*[ph[(f, k)] for k in range(K)]), k_col + 1)
+        items.append(F.struct((-F.abs(phi)).alias("k"), F.lit(f).alias("feature"), phi.alias("phi")))
+    ranked = F.sort_array(F.array(*items))          # |phi| desc, then feature
+    m = min(max_display - 1, len(model.features))
+    nrest = len(model.features) - m
     b = F.element_at(F.array(*[F.lit(v) for v in base]), k_col + 1)
-    out = s.select(key, k_col.alias("class"), b.alias("base_value"), steps.alias("_steps"))
-    out = out.select(key, "class", "base_value", "_steps", F.posexplode("_steps").alias("pos", "st"))
-    # running total: in-row prefix sum over the already-sorted steps (no shuffle)
-    running = F.aggregate(F.slice(F.transform("_steps", lambda x: x["phi"]), 1, F.col("pos") + 1),
-                          F.lit(0.0), lambda acc, x: acc + x)
-    return out.select(key, "class", (F.col("pos") + 1).alias("step"), "st.feature", "st.phi", "base_value",
-                      (F.col("base_value") + running).alias("cum_after"))
+    s2 = s.select(key, k_col.alias("class"), b.alias("base_value"), ranked.alias("_r"))
+    steps = [F.struct(F.element_at("_r", i + 1)["feature"].alias("feature"),
+                      F.element_at("_r", i + 1)["phi"].alias("phi")) for i in range(m)]
+    if nrest > 0:
+        rest = F.element_at("_r", m + 1)["phi"]
+        for i in range(m + 1, len(model.features)):
+            rest = rest + F.element_at("_r", i + 1)["phi"]
+        steps.append(F.struct(F.lit(f"{nrest} other features").alias("feature"), rest.alias("phi")))
+    # running totals as explicit prefix sums over the (bounded) step list
+    cums, acc = [], F.col("base_value")
+    for st in steps:
+        acc = acc + st["phi"]
+        cums.append(acc)
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("step"), st["feature"].alias("feature"), st["phi"].alias("phi"),
+                              c.alias("cum_after")) for i, (st, c) in enumerate(zip(steps, cums))])
+    return s2.select(key, "class", "base_value", F.inline(rows)).select(
+        key, "class", "step", "feature", "phi", "base_value", "cum_after")
 
 
 def pair_delta(df: DataFrame, model, key: str, pairs: DataFrame, n: int = 5) -> DataFrame:
@@ -151,10 +150,13 @@ def pair_delta(df: DataFrame, model, key: str, pairs: DataFrame, n: int = 5) ->
     a = ex.select(F.col(key).alias("idx_a"), F.col("fs").alias("fa"))
     b = ex.select(F.col(key).alias("idx_b"), F.col("fs").alias("fb"))
     j = pairs.join(a, "idx_a").join(b, "idx_b")
-    z = F.zip_with("fa", "fb", lambda x, y: F.struct(x["feature"].alias("feature"), x["mean_phi"].alias("va"),
-                                                     y["mean_phi"].alias("vb"),
-                                                     F.abs(y["mean_phi"] - x["mean_phi"]).alias("d")))
-    top = F.slice(_ranked(z, "d"), 1, n)
+    nf = len(model.features)
+    items = []
+    for i in range(nf):
+        x, y = F.element_at("fa", i + 1), F.element_at("fb", i + 1)
+        items.append(F.struct((-F.abs(y["mean_phi"] - x["mean_phi"])).alias("k"), x["feature"].alias("feature"),
+                              x["mean_phi"].alias("va"), y["mean_phi"].alias("vb")))
+    top = F.slice(F.sort_array(F.array(*items)), 1, n)
     return (j.select("idx_a", "idx_b", F.posexplode(top).alias("pos", "t"))
              .select("idx_a", "idx_b", (F.col("pos") + 1).alias("rank"), "t.feature", "t.va", "t.vb",
                      (F.col("t.vb") - F.col("t.va")).alias("delta")))

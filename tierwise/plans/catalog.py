@@ -626,3 +626,94 @@ def q_answer_perf(spark, d):
 @query("answer_static")
 def q_answer_static(spark, d):
     return ask.answer_static(ask.route(fixtures.questions(spark, d)))
+
+
+@query("prompt_text")
+def q_prompt_text(spark, d):
+    """Prompt text for every 'explain applicant' question with a known applicant."""
+    wb = Workbench(spark, d)
+    rows = _explain_rows(wb)
+    top = explain.local_topn(rows, wb.fixed_a, KEY_COL, 5).join(_applicant_info(wb), KEY_COL)
+    per = top.groupBy(KEY_COL).agg(F.first("pred_tier").alias("pred_tier"), F.first("confidence").alias("confidence"),
+                                   F.sort_array(F.collect_list(F.struct("rank", "feature", "mean_phi"))).alias("top"))
+    q = ask.route(fixtures.questions(spark, d)).filter(F.col("intent") == "explain_applicant").select("qid", "idx")
+    j = q.join(per, q.idx == per[KEY_COL], "inner")
+    return j.select("qid", ask.prompt_explain(F.col("top"), F.col("idx"), F.col("pred_tier"), F.col("confidence"),
+                                              TIER_TEXT_ANALYST).alias("prompt"))
+
+
+@query("applicant_report")
+def q_applicant_report(spark, d):
+    """Per-applicant report records for every test applicant, flattened to
+    (PROSPECTID, section, pos, label, value, note)."""
+    from ..constants import TIER_TEXT_SCORING
+    from ..functions.text import fmt_fixed, fmt_pct
+    wb = Workbench(spark, d)
+    s = models.score(wb.test, wb.fixed_a, [KEY_COL])
+    tier = models.tier_of(F.col("pred"))
+    desc = F.create_map(*[x for t, v in TIER_TEXT_SCORING.items() for x in (F.lit(t), F.lit(v))])
+    head = s.select(KEY_COL, F.inline(F.array(
+        F.struct(F.lit("header").alias("section"), F.lit(1).alias("pos"), F.lit("tier").alias("label"),
+                 tier.alias("value"), desc[tier].alias("note")),
+        F.struct(F.lit("header"), F.lit(2), F.lit("confidence"), fmt_pct("confidence"), F.lit(""))))))
+    probs = s.select(KEY_COL, F.inline(F.array(*[
+        F.struct(F.lit("probability").alias("section"), F.lit(k + 1).alias("pos"), F.lit(t).alias("label"),
+                 fmt_pct(f"Prob_{t}").alias("value"), F.lit(TIER_TEXT_SCORING[t]).alias("note"))
+        for k, t in enumerate(TIER_CODES)])))
+    top = explain.local_topn(wb.test, wb.fixed_a, KEY_COL, 10)
+    factors = top.select(KEY_COL, F.lit("factor").alias("section"), F.col("rank").alias("pos"),
+                         F.col("feature").alias("label"), fmt_fixed("mean_phi", 4, signed=True).alias("value"),
+                         F.when(F.col("mean_phi") > 0, "Positive").otherwise("Negative").alias("note"))
+    return head.unionByName(probs).unionByName(factors)
+
+
+def _explain_question_ids(spark, d) -> DataFrame:
+    r = ask.route(fixtures.questions(spark, d))
+    return r.filter(F.col("intent") == "explain_applicant").select(F.col("idx").alias(KEY_COL)).distinct()
+
+
+@query("lime_batch", rows_only=True)
+def q_lime(spark, d):
+    """Local surrogates for every applicant an 'explain' question names."""
+    from ..operators import lime
+    wb = Workbench(spark, d)
+    return lime.lime_batch(wb.train, _explain_rows(wb), _explain_question_ids(spark, d), wb.fixed_a, KEY_COL)
+
+
+@query("stream_score", rows_only=True)
+def q_stream_score(spark, d):
+    """Streaming scoring of the unseen batch: written as parquet files, read
+    with readStream, prepared + scored per micro-batch, written exactly once."""
+    import uuid
+    from ..config import scratch_path
+    from ..streaming import scoring
+    wb = Workbench(spark, d)
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    src = wb.unseen_raw
+    src.write.mode("overwrite").parquet(base + "/in")
+    scoring.run_once(spark, base + "/in", src.schema, wb.params, wb.fixed_a, base + "/out", base + "/ckpt")
+    return spark.read.parquet(base + "/out")
+
+
+@query("additive_importance")
+def q_additive_importance(spark, d):
+    """Mean |shape score| per feature over the labelled rows (the fixed
+    shape table, so SQL can recompute it)."""
+    wb = Workbench(spark, d)
+    return _r6all(explain.additive_importance(_explain_rows(wb), wb.fixed_shape_model), ["importance"])
+
+
+@query("fitted_models_compare", rows_only=True)
+def q_fitted_compare(spark, d):
+    """G1 + G2 + G8 + H12 + K7 on fitted models: train both on the train
+    split, score the test split, compare and vote."""
+    wb = Workbench(spark, d)
+    feats = wb.params.feature_names
+    lr = models.fit_logistic(wb.train, feats, "label", name="logistic")
+    gam = models.fit_additive(wb.train, feats, "label", name="additive")
+    preds = models.predictions_long(wb.test, [lr, gam], KEY_COL, "label")
+    mm = wb.model_metrics(preds)
+    vote = impact.model_vote(mm, "logistic", "additive")
+    return mm.select("model", "n_test", "accuracy", "f1_macro", "f1_weighted", "auc_ovr", "npa_total",
+                     "npa_exposure", vote.select("challenger_wins").scalar().alias("challenger_wins"),
+                     vote.select("recommendation").scalar().alias("recommendation"))

@@ -860,3 +860,13 @@ SELECT qid, 'model_performance' AS intent, (SELECT '**Model performance on ' ||
 
 oracle("answer_static", ["routed"], f"SELECT qid, intent, CASE WHEN intent = 'help' THEN {q(HELP_TEXT)} ELSE {q(UNKNOWN_TEXT)} END "
        "AS answer FROM routed WHERE intent IN ('help', 'unknown')")
+
+oracle("additive_importance", ["fx_known"], ", shapes AS (SELECT * FROM (VALUES " + _SHAPE_ROWS
+       + ") t(feature, bin, lo, hi, class, score)), lng AS (" + " UNION ALL ".join(
+           f"SELECT PROSPECTID, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM fx_known" for f in _SHAPE_FEATS)
+       + "), per AS (SELECT l.PROSPECTID, l.feature, "
+       "(((abs(max(s.score) FILTER (WHERE s.class = 0)) + abs(max(s.score) FILTER (WHERE s.class = 1)))"
+       " + abs(max(s.score) FILTER (WHERE s.class = 2))) + abs(max(s.score) FILTER (WHERE s.class = 3))) / 4.0 AS ma"
+       " FROM lng l JOIN shapes s ON s.feature = l.feature AND (s.lo IS NULL OR l.value >= s.lo)"
+       " AND (s.hi IS NULL OR l.value < s.hi) GROUP BY l.PROSPECTID, l.feature)"
+       f" SELECT feature, {r6('avg(ma)')} AS importance FROM per GROUP BY feature")

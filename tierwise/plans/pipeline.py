@@ -124,7 +124,8 @@ class Workbench:
     @cached_property
     def fixed_preds(self) -> DataFrame:
         """Test-split predictions of both fixed models, long form."""
-        return models.predictions_long(self.test, [self.fixed_a, self.fixed_b], KEY_COL, "label")
+        return materialize(self.spark, models.predictions_long(self.test, [self.fixed_a, self.fixed_b], KEY_COL,
+                                                               "label"), "fixed_preds")
 
     # ------------------------------------------------------------ summaries
     def model_metrics(self, preds: DataFrame) -> DataFrame:
