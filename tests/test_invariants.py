@@ -20,7 +20,7 @@ def test_split_sizes_match_quotas(wb):
 
 
 def test_allocate_largest_remainder():
-    assert split.allocate({0: 5, 1: 5, 2: 1}, 5) == {0: 3, 1: 2, 2: 0}
+    assert split.allocate({0: 5, 1: 5, 2: 1}, 5) == {0: 2, 1: 2, 2: 1}   # remainders 3/11, 3/11, 5/11
     assert sum(split.allocate({0: 7, 1: 11, 2: 13}, 10).values()) == 10
 
 

@@ -58,15 +58,13 @@ def lime_batch(train: DataFrame, rows: DataFrame, ids: DataFrame, model: LinearM
 
     inst = rows.join(ids, key, "left_semi")
     inst_pred = score(inst, model, [key] + feats).select(key, *feats, "pred")
-    base = inst_pred.select(key, "pred", *[F.col(f).alias(f"x_{f}") for f in feats],
+    base = inst_pred.select(key, F.col("pred").alias("ipred"), *[F.col(f).alias(f"x_{f}") for f in feats],
                             *[bin_of(F.col(f), f).alias(f"b_{f}") for f in feats])
     smp = base.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))))
     cols, same = [], []
     for i, f in enumerate(feats):
         u = _uniform(key, "s", i, 0, seed)
-        cum, b = 0.0, F.lit(3)
-        for bb in reversed(range(3)):
-            pass
+        cum = 0.0
         thresholds = []
         for bb in range(3):
             cum += freq[f][bb]
@@ -75,13 +73,13 @@ def lime_batch(train: DataFrame, rows: DataFrame, ids: DataFrame, model: LinearM
              .when(u < F.lit(thresholds[2]), 2).otherwise(3)
         u1, u2 = _uniform(key, "s", i, 1, seed), _uniform(key, "s", i, 2, seed)
         z = F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2)
-        def pick(name):
+        def pick(name, f=f):
             return F.element_at(F.array(*[F.lit(float(st[(f, k)][name]) if (f, k) in st and st[(f, k)][name]
                                                  is not None else 0.0) for k in range(4)]), F.col(f"sb_{f}") + 1)
         cols.append((f, b, z, pick))
     for f, b, z, pick in cols:
         smp = smp.withColumn(f"sb_{f}", F.when(F.col("s") == 0, F.col(f"b_{f}")).otherwise(b))
-    sel = [key, "pred", "s"]
+    sel = [key, "ipred", "s"]
     vals = []
     for f, b, z, pick in cols:
         v = F.least(F.greatest(pick("mean") + pick("std") * z, pick("min")), pick("max"))
@@ -89,7 +87,7 @@ def lime_batch(train: DataFrame, rows: DataFrame, ids: DataFrame, model: LinearM
         same.append((F.col(f"sb_{f}") == F.col(f"b_{f}")).cast("double").alias(f"z_{f}"))
     pert = smp.select(*sel, *vals, *same)
     scored = score(pert, model, sel + [f"z_{f}" for f in feats])
-    k_col = F.col("pred") if cls is None else F.lit(cls)
+    k_col = F.col("ipred") if cls is None else F.lit(cls)
     y = F.element_at(F.array(*[F.col(f"Prob_{t}") for t in TIER_CODES]), k_col + 1)
     d2 = sum(((1.0 - F.col(f"z_{f}")) / F.lit(scale[f])) ** 2 for f in feats)
     width = 0.75 * math.sqrt(d)

@@ -655,7 +655,8 @@ def q_applicant_report(spark, d):
     head = s.select(KEY_COL, F.inline(F.array(
         F.struct(F.lit("header").alias("section"), F.lit(1).alias("pos"), F.lit("tier").alias("label"),
                  tier.alias("value"), desc[tier].alias("note")),
-        F.struct(F.lit("header"), F.lit(2), F.lit("confidence"), fmt_pct("confidence"), F.lit(""))))))
+        F.struct(F.lit("header").alias("section"), F.lit(2).alias("pos"), F.lit("confidence").alias("label"),
+                 fmt_pct("confidence").alias("value"), F.lit("").alias("note")))))
     probs = s.select(KEY_COL, F.inline(F.array(*[
         F.struct(F.lit("probability").alias("section"), F.lit(k + 1).alias("pos"), F.lit(t).alias("label"),
                  fmt_pct(f"Prob_{t}").alias("value"), F.lit(TIER_TEXT_SCORING[t]).alias("note"))
