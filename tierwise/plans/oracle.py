@@ -870,3 +870,33 @@ oracle("additive_importance", ["fx_known"], ", shapes AS (SELECT * FROM (VALUES
        " FROM lng l JOIN shapes s ON s.feature = l.feature AND (s.lo IS NULL OR l.value >= s.lo)"
        " AND (s.hi IS NULL OR l.value < s.hi) GROUP BY l.PROSPECTID, l.feature)"
        f" SELECT feature, {r6('avg(ma)')} AS importance FROM per GROUP BY feature")
+
+_DESC_SC = "CASE pc " + " ".join(f"WHEN '{t}' THEN {q(TIER_TEXT_SCORING[t])}" for t in TIER_CODES) + " END"
+oracle("applicant_report", ["test_fixed_a", "fa_topn", "fx_split"], f"""
+, sc AS (SELECT *, {tier_of('pred')} AS pc,
+           CASE pred WHEN 0 THEN Prob_P1 WHEN 1 THEN Prob_P2 WHEN 2 THEN Prob_P3 ELSE Prob_P4 END AS conf FROM test_fixed_a)
+SELECT PROSPECTID, 'header' AS section, 1 AS pos, 'tier' AS label, pc AS value, {_DESC_SC} AS note FROM sc
+UNION ALL SELECT PROSPECTID, 'header', 2, 'confidence', {pct1('conf')}, '' FROM sc
+""" + "".join(f"UNION ALL SELECT PROSPECTID, 'probability', {k + 1}, '{t}', {pct1(f'Prob_{t}')}, {q(TIER_TEXT_SCORING[t])} FROM sc\n"
+              for k, t in enumerate(TIER_CODES)) + f"""
+UNION ALL SELECT PROSPECTID, 'factor', CAST(rank AS INTEGER), feature, {fixed('mean_phi', 4, True)},
+  CASE WHEN mean_phi > 0 THEN 'Positive' ELSE 'Negative' END FROM fa_topn
+  WHERE PROSPECTID IN (SELECT PROSPECTID FROM fx_split WHERE split = 'test')""")
+
+_PROMPT_HEAD = ("You are a credit analyst AI for an Indian bank. Explain the following credit decision\n"
+                "in plain English. Be concise (3-4 sentences). End with one actionable recommendation.\n\n"
+                "Applicant index: ")
+_PROMPT_TAIL = ("\n\nFormat your response as:\nDECISION: [one sentence]\nREASONS: [2-3 bullet points]\n"
+                "RECOMMENDATION: [one actionable sentence]")
+oracle("prompt_text", ["routed", "fa_feat", "fa_info"], f"""
+, top5 AS (SELECT * FROM (SELECT PROSPECTID, feature, mean_phi,
+             row_number() OVER (PARTITION BY PROSPECTID ORDER BY mean_abs DESC, feature) AS rank FROM fa_feat) WHERE rank <= 5),
+per AS (SELECT t.PROSPECTID, i.pred_tier, i.confidence,
+          string_agg('  ' || CAST(t.rank AS VARCHAR) || '. ' || t.feature || ': ' || {fixed('t.mean_phi', 4, True)} || ' ('
+                     || CASE WHEN t.mean_phi > 0 THEN 'increases' ELSE 'decreases' END || ' approval chance)',
+                     chr(10) ORDER BY t.rank) AS lines
+        FROM top5 t JOIN fa_info i ON i.PROSPECTID = t.PROSPECTID GROUP BY t.PROSPECTID, i.pred_tier, i.confidence)
+SELECT r.qid, {q(_PROMPT_HEAD)} || CAST(r.idx AS VARCHAR) || chr(10) || 'Predicted credit tier: ' || p.pred_tier || ' — '
+  || {_TD.replace('pred_tier', 'p.pred_tier')} || chr(10) || 'Confidence: ' || {pct1('p.confidence')} || chr(10) || chr(10)
+  || 'Top SHAP feature contributions (positive = supports approval):' || chr(10) || p.lines || {q(_PROMPT_TAIL)} AS prompt
+FROM routed r JOIN per p ON p.PROSPECTID = r.idx WHERE r.intent = 'explain_applicant'""")
