@@ -32,6 +32,7 @@ class PrepParams:
     categories: dict[str, list[str]]
     dropped: list[str] = field(default_factory=list)       # B6 non-numeric, non-categorical
     all_null: list[str] = field(default_factory=list)      # E8 removed by the imputer
+    target_counts: dict = field(default_factory=dict)      # target value -> rows (B5, split quotas)
 
     @property
     def feature_names(self) -> list[str]:
@@ -76,21 +77,21 @@ def fit(df: DataFrame, key: str = KEY_COL, target: str = TARGET_COL, median: str
         return F.median(x) if median == "exact" else F.percentile_approx(x, 0.5, accuracy)
 
     first = [med(c).alias(f"m{i}") for i, c in enumerate(nums)]
-    first += [F.mode(F.col(c), True).alias(f"o{i}") for i, c in enumerate(cats)]
-    first += [F.sort_array(F.collect_set(F.col(c))).alias(f"s{i}") for i, c in enumerate(cats)]
-    r1 = df.agg(*first).collect()[0] if first else None
+    counted = cats + ([target] if target in df.columns else [])
+    # medians and the category count table do not depend on each other:
+    # submit both jobs at once (Spark runs concurrent jobs from threads)
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        f1 = pool.submit(lambda: df.agg(*first).collect()[0] if first else None)
+        f2 = pool.submit(lambda: _category_counts(df, counted))
+        r1 = f1.result()
+        modes, categories, counts = f2.result()
     medians = {c: r1[f"m{i}"] for i, c in enumerate(nums)}
     all_null = [c for c in nums if medians[c] is None]
     nums = [c for c in nums if medians[c] is not None]
-    modes = {c: r1[f"o{i}"] for i, c in enumerate(cats)}
-    cats_kept = [c for c in cats if modes[c] is not None]
-    categories = {}
-    for i, c in enumerate(cats):
-        if c in cats_kept:
-            vals = list(r1[f"s{i}"])
-            if len(vals) > MAX_CATEGORIES:
-                raise ValueError(f"column {c} has {len(vals)} categories; not one-hot encodable")
-            categories[c] = vals
+    cats_kept = [c for c in cats if modes.get(c) is not None]
+    target_counts = counts.get(target, {})
+    categories = {c: categories[c] for c in cats_kept}
 
     second = []
     for i, c in enumerate(nums):
@@ -99,8 +100,35 @@ def fit(df: DataFrame, key: str = KEY_COL, target: str = TARGET_COL, median: str
     r2 = df.agg(*second).collect()[0] if second else None
     means = {c: r2[f"a{i}"] for i, c in enumerate(nums)}
     stds = {c: r2[f"d{i}"] for i, c in enumerate(nums)}
+    modes = {c: modes[c] for c in cats_kept}
     return PrepParams(nums, cats_kept, {c: medians[c] for c in nums}, means, stds, modes, categories,
-                      dropped=dropped, all_null=all_null)
+                      dropped=dropped, all_null=all_null, target_counts=target_counts)
+
+
+def _category_counts(df: DataFrame, cats: list[str]) -> tuple[dict, dict, dict]:
+    """E3 + E4 fit: one distributed (column, value) count table for all
+    categoricals.  Its size is bounded by the one-hot width guard, so only
+    that small table reaches the driver; mode = highest count, ties to the
+    smallest value; categories sorted."""
+    if not cats:
+        return {}, {}, {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cats]))
+    counts = (df.select(pairs.alias("p")).select("p.c", "p.v").filter(F.col("v").isNotNull())
+                .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+    cap = MAX_CATEGORIES * len(cats)
+    rows = counts.limit(cap + 1).collect()
+    if len(rows) > cap:
+        raise ValueError(f"categorical columns {cats} have more than {MAX_CATEGORIES} values each; "
+                         "not one-hot encodable")
+    modes, categories, counts = {}, {}, {}
+    for c in cats:
+        vals = sorted((r["v"], r["n"]) for r in rows if r["c"] == c)
+        counts[c] = dict(vals)
+        if len(vals) > MAX_CATEGORIES:
+            raise ValueError(f"column {c} has {len(vals)} categories; not one-hot encodable")
+        categories[c] = [v for v, _ in vals]
+        modes[c] = min(vals, key=lambda t: (-t[1], t[0]))[0] if vals else None
+    return modes, categories, counts
 
 
 def numeric_expr(df_cols: list[str], c: str, p: PrepParams, missing_numeric: str = "zero") -> Column:

@@ -85,9 +85,10 @@ def split_quotas(counts: dict, test_pct: int = TEST_PCT) -> dict:
 
 
 def stratified_split(df: DataFrame, key: str, label: str = "label", test_pct: int = TEST_PCT,
-                     seed: int = SPLIT_SEED) -> DataFrame:
-    """add ``split`` = 'test' / 'train' (one lineage, not two)."""
-    q = split_quotas(class_counts(df, label), test_pct)
+                     seed: int = SPLIT_SEED, counts: dict | None = None) -> DataFrame:
+    """add ``split`` = 'test' / 'train' (one lineage, not two).
+    ``counts`` (rows per class) may come from an earlier aggregate."""
+    q = split_quotas(counts if counts else class_counts(df, label), test_pct)
     out = first_k_per_stratum(df, key, label, q, f"split{seed}", "_test")
     return out.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 

@@ -17,7 +17,7 @@ from ..constants import KEY_COL, SENSITIVE_ATTRS, TARGET_COL, TIER_CODES, TIER_T
 from ..functions.numeric import r6, round_half_up
 from ..operators import ask, evaluate, explain, fairness, impact, merge, models, prepare, schema, split
 from ..sources import fixtures
-from ..sources.tables import read_table
+from ..sources.tables import contract_diff, read_table
 from .pipeline import BASELINE, CHALLENGER, RULE_BASELINE, RULE_CHALLENGER, Workbench
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -718,3 +718,20 @@ def q_fitted_compare(spark, d):
     return mm.select("model", "n_test", "accuracy", "f1_macro", "f1_weighted", "auc_ovr", "npa_total",
                      "npa_exposure", vote.select("challenger_wins").scalar().alias("challenger_wins"),
                      vote.select("recommendation").scalar().alias("recommendation"))
+
+
+CONTRACTS = {"internal": ["PROSPECTID", "Total_TL", "Age_Oldest_TL"],
+             "external": ["PROSPECTID", "Approved_Flag", "GENDER", "EDUCATION", "MARITALSTATUS", "Credit_Score"],
+             "unseen": ["PROSPECTID", "EDUCATION", "Auto_TL", "CC_utilization", "GENDER", "Credit_Score"]}
+
+
+@query("contract_check")
+def q_contract(spark, d):
+    """Required columns (case-insensitive) per input table."""
+    wb = Workbench(spark, d)
+    tables = {"internal": wb.internal, "external": wb.external, "unseen": wb.unseen_raw}
+    rows = []
+    for t, req in CONTRACTS.items():
+        missing = set(contract_diff(tables[t], req))
+        rows += [(t, c, c not in missing) for c in req]
+    return spark.createDataFrame(rows, "table_name string, required string, present boolean")

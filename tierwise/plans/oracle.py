@@ -900,3 +900,12 @@ SELECT r.qid, {q(_PROMPT_HEAD)} || CAST(r.idx AS VARCHAR) || chr(10) || 'Predict
   || {_TD.replace('pred_tier', 'p.pred_tier')} || chr(10) || 'Confidence: ' || {pct1('p.confidence')} || chr(10) || chr(10)
   || 'Top SHAP feature contributions (positive = supports approval):' || chr(10) || p.lines || {q(_PROMPT_TAIL)} AS prompt
 FROM routed r JOIN per p ON p.PROSPECTID = r.idx WHERE r.intent = 'explain_applicant'""")
+
+_CONTRACTS = {"internal": ["PROSPECTID", "Total_TL", "Age_Oldest_TL"],
+              "external": ["PROSPECTID", "Approved_Flag", "GENDER", "EDUCATION", "MARITALSTATUS", "Credit_Score"],
+              "unseen": ["PROSPECTID", "EDUCATION", "Auto_TL", "CC_utilization", "GENDER", "Credit_Score"]}
+_UNSEEN_COLS = "SELECT * EXCLUDE (Approved_Flag, EDUCATION, Auto_TL, CC_utilization), 'x' AS note FROM merged"
+ORACLES["contract_check"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, {q(c)} AS required, {q(c.lower())} IN (SELECT lower(column_name) FROM (DESCRIBE ("
+    + with_ctes(_UNSEEN_COLS if t == "unseen" else f"SELECT * FROM {t}", ["merged" if t == "unseen" else t])
+    + "))) AS present" for t, req in _CONTRACTS.items() for c in req)

@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import KEY_COL, SENSITIVE_ATTRS, TARGET_COL
+from ..constants import KEY_COL, SENSITIVE_ATTRS, TARGET_COL, TIER_CODES
 from ..operators import evaluate, impact, merge, models, prepare, split
 from ..sources import fixtures
 
@@ -82,7 +82,9 @@ class Workbench:
 
     @cached_property
     def split_df(self) -> DataFrame:
-        return materialize(self.spark, split.stratified_split(self.labelled, KEY_COL, "label"), "split")
+        tiers = {t: i for i, t in enumerate(TIER_CODES)}
+        counts = {tiers[v]: n for v, n in self.params.target_counts.items() if v in tiers}
+        return materialize(self.spark, split.stratified_split(self.labelled, KEY_COL, "label", counts=counts), "split")
 
     @cached_property
     def train(self) -> DataFrame:
