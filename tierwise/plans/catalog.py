@@ -407,7 +407,8 @@ def q_compare_rows(spark, d):
 @query("phi_delta")
 def q_phi_delta(spark, d):
     wb = Workbench(spark, d)
-    t = explain.pair_delta(_explain_rows(wb), wb.fixed_a, KEY_COL, _compare_pairs(spark, d), 5)
+    pairs = _compare_pairs(spark, d)
+    t = explain.pair_delta(_named(_explain_rows(wb), _pair_ids(pairs)), wb.fixed_a, KEY_COL, pairs, 5)
     return _r6all(t, ["va", "vb", "delta"])
 
 
@@ -569,16 +570,26 @@ def q_intent_args(spark, d):
     return r.filter(F.col("intent") != "unknown").select("qid", "intent", "idx", "idx_a", "idx_b", "attr")
 
 
-def _applicant_info(wb: Workbench) -> DataFrame:
-    s = models.score(_explain_rows(wb), wb.fixed_a, [KEY_COL])
+def _applicant_info(wb: Workbench, rows: DataFrame | None = None) -> DataFrame:
+    s = models.score(_explain_rows(wb) if rows is None else rows, wb.fixed_a, [KEY_COL])
     return s.select(KEY_COL, models.tier_of(F.col("pred")).alias("pred_tier"), "confidence")
 
 
+def _named(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Only the applicants some question names (semi-join before any per-row work)."""
+    return rows.join(ids, KEY_COL, "left_semi")
+
+
+def _pair_ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("idx_a").alias(KEY_COL)).union(pairs.select(F.col("idx_b").alias(KEY_COL))).distinct()
+
+
 @query("answer_explain")
 def q_answer_explain(spark, d):
     wb = Workbench(spark, d)
     rows = _explain_rows(wb)
-    top = explain.local_topn(rows, wb.fixed_a, KEY_COL, 5).join(_applicant_info(wb), KEY_COL)
+    asked = _named(rows, _explain_question_ids(spark, d))
+    top = explain.local_topn(asked, wb.fixed_a, KEY_COL, 5).join(_applicant_info(wb, asked), KEY_COL)
     n_rows = rows.agg(F.count(F.lit(1))).scalar()
     return ask.answer_explain(ask.route(fixtures.questions(spark, d)), top, n_rows, TIER_TEXT_ANALYST)
 
@@ -587,9 +598,11 @@ def q_answer_explain(spark, d):
 def q_answer_compare(spark, d):
     wb = Workbench(spark, d)
     rows = _explain_rows(wb)
-    delta = explain.pair_delta(rows, wb.fixed_a, KEY_COL, _compare_pairs(spark, d), 5)
+    pairs = _compare_pairs(spark, d)
+    asked = _named(rows, _pair_ids(pairs))
+    delta = explain.pair_delta(asked, wb.fixed_a, KEY_COL, pairs, 5)
     n_rows = rows.agg(F.count(F.lit(1))).scalar()
-    return ask.answer_compare(ask.route(fixtures.questions(spark, d)), delta, _applicant_info(wb), n_rows)
+    return ask.answer_compare(ask.route(fixtures.questions(spark, d)), delta, _applicant_info(wb, asked), n_rows)
 
 
 @query("answer_global")
@@ -632,8 +645,8 @@ def q_answer_static(spark, d):
 def q_prompt_text(spark, d):
     """Prompt text for every 'explain applicant' question with a known applicant."""
     wb = Workbench(spark, d)
-    rows = _explain_rows(wb)
-    top = explain.local_topn(rows, wb.fixed_a, KEY_COL, 5).join(_applicant_info(wb), KEY_COL)
+    asked = _named(_explain_rows(wb), _explain_question_ids(spark, d))
+    top = explain.local_topn(asked, wb.fixed_a, KEY_COL, 5).join(_applicant_info(wb, asked), KEY_COL)
     per = top.groupBy(KEY_COL).agg(F.first("pred_tier").alias("pred_tier"), F.first("confidence").alias("confidence"),
                                    F.sort_array(F.collect_list(F.struct("rank", "feature", "mean_phi"))).alias("top"))
     q = ask.route(fixtures.questions(spark, d)).filter(F.col("intent") == "explain_applicant").select("qid", "idx")
