@@ -748,3 +748,39 @@ def q_contract(spark, d):
         missing = set(contract_diff(tables[t], req))
         rows += [(t, c, c not in missing) for c in req]
     return spark.createDataFrame(rows, "table_name string, required string, present boolean")
+
+
+@query("load_csv", rows_only=True)
+def q_load_csv(spark, d):
+    """A1: the internal table written as CSV (header) and loaded back by file
+    extension with inferred types."""
+    import uuid
+    from ..config import scratch_path
+    from ..sources.tables import load_table
+    path = scratch_path(spark, f"internal-{uuid.uuid4().hex}.csv")
+    Workbench(spark, d).internal.write.mode("overwrite").option("header", True).csv(path)
+    return load_table(spark, path)
+
+
+@query("load_inputs", rows_only=True)
+def q_load_inputs(spark, d):
+    """A2: internal + external loaded as the required inputs, then merged on
+    the detected key (PROSPECTID / prospectid)."""
+    import uuid
+    from ..config import scratch_path
+    from ..sources.tables import load_inputs
+    wb = Workbench(spark, d)
+    pi = scratch_path(spark, f"internal-{uuid.uuid4().hex}.parquet")
+    pe = scratch_path(spark, f"external-{uuid.uuid4().hex}.parquet")
+    wb.internal.write.mode("overwrite").parquet(pi)
+    wb.external.write.mode("overwrite").parquet(pe)
+    t = load_inputs(spark, pi, pe)
+    return merge.merge(t["internal"], t["external"])
+
+
+@query("prepare_float32")
+def q_prepare_float32(spark, d):
+    """The processed matrix cast to float (as the reference stores it)."""
+    wb = Workbench(spark, d)
+    f32 = prepare.transform(wb.merged, wb.params, KEY_COL, TARGET_COL, as_float=True)
+    return _long_features(prepare.known_labels(f32), wb.params.feature_names)

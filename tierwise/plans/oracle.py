@@ -909,3 +909,5 @@ ORACLES["contract_check"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, {q(c)} AS required, {q(c.lower())} IN (SELECT lower(column_name) FROM (DESCRIBE ("
     + with_ctes(_UNSEEN_COLS if t == "unseen" else f"SELECT * FROM {t}", ["merged" if t == "unseen" else t])
     + "))) AS present" for t, req in _CONTRACTS.items() for c in req)
+oracle("prepare_float32", ["prep_long"], f"SELECT PROSPECTID, feature, {r6('CAST(CAST(value AS FLOAT) AS DOUBLE)')} AS value "
+       "FROM prep_long WHERE label IS NOT NULL")
