@@ -154,7 +154,7 @@ def additive_from_shapes(spark_rows: list, features: list[str], name: str, inter
 
 def fit_additive(train: DataFrame, features: list[str], label: str = "label", n_bins: int = 32,
                  reg: float = 1e-3, max_iter: int = 100, name: str = "additive",
-                 accuracy: int = 10_000) -> AdditiveModel:
+                 accuracy: int = 2_000) -> AdditiveModel:
     """Binned additive multinomial logit (glass-box, no interactions).
 
     Bins: approximate quantiles per feature (one aggregate for all features;
