@@ -65,7 +65,7 @@ class Workbench:
 
     @cached_property
     def rule_preds(self) -> DataFrame:
-        return fixtures.rule_predictions(self.spark, self.sf_dir)
+        return fixtures.rule_predictions(self.spark, self.sf_dir, self.external)
 
     # ------------------------------------------------------------ prepare
     @cached_property

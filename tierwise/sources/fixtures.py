@@ -120,13 +120,14 @@ def _rule_pred(p: Column) -> Column:
     return F.when(p >= 772, 0).when(p >= 558, 1).when(p >= 508, 2).otherwise(3).cast("int")
 
 
-def rule_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rule_predictions(spark: SparkSession, sf_dir: str, ext: DataFrame | None = None) -> DataFrame:
     """Model-free predictions of two rule 'models' in long form (G8 shape).
 
     rule_a: p = Credit_Score - 2*num_times_delinquent + (k*13)%41 - 20
     rule_b: p = Credit_Score
     """
-    e = external(spark, sf_dir).withColumn("actual", label_expr()).filter(F.col("actual").isNotNull())
+    ext = external(spark, sf_dir) if ext is None else ext
+    e = ext.withColumn("actual", label_expr()).filter(F.col("actual").isNotNull())
     k = F.col("prospectid")
     pa = F.col("Credit_Score") - 2 * F.col("num_times_delinquent") + (k * 13) % 41 - 20
     a = e.select(F.lit("rule_a").alias("model"), k.alias("PROSPECTID"), "actual", _rule_pred(pa).alias("pred"))
