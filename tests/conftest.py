@@ -26,5 +26,5 @@ def spark():
 
 @pytest.fixture(scope="session")
 def wb(spark):
-    from tierwise.plans.pipeline import Workbench
+    from tierwise.plans.workbench import Workbench
     return Workbench(spark, SF)

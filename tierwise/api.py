@@ -22,7 +22,7 @@ from .constants import (DEFAULT_AVG_LOAN, DEFAULT_P3_RATE, DEFAULT_P4_RATE, KEY_
                         TARGET_COL, TIER_TEXT_ANALYST)
 from .operators import ask as ask_ops
 from .operators import evaluate, explain, fairness, impact, merge, models, prepare, schema, split
-from .plans.pipeline import materialize
+from .plans.workbench import materialize
 
 
 @dataclass

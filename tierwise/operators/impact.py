@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..constants import (DEFAULT_AVG_LOAN, DEFAULT_P3_RATE, DEFAULT_P4_RATE, LOAN_GRID, P3_RATE_GRID,
                          P4_RATE_GRID, TIER_ACTION_BUSINESS, TIER_CODES, TIER_TEXT_BUSINESS)
 from ..functions.numeric import safe_div
-from ..functions.text import fmt_crore, fmt_lakh, fmt_pct, fmt_thousands  # noqa: F401
+from ..functions.text import fmt_crore, fmt_fixed, fmt_pct, fmt_thousands
 
 
 def decision_counts(pred: DataFrame) -> DataFrame:
@@ -133,7 +133,6 @@ def comparison_report(mm: DataFrame, baseline: str, challenger: str) -> DataFram
     def row(pos, name, bv, cv, better):
         return F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("metric"), bv.alias("baseline_value"),
                         cv.alias("challenger_value"), F.when(better, c).otherwise(b).alias("better"))
-    from ..functions.text import fmt_fixed
     rows = F.array(
         row(1, "Macro F1", fmt_fixed("b_f1_macro", 3), fmt_fixed("c_f1_macro", 3),
             F.col("c_f1_macro") > F.col("b_f1_macro")),

@@ -8,7 +8,6 @@ narrow, codegen'd projection with no shuffle and no Python worker.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -275,9 +274,3 @@ def tier_counts(scored: DataFrame, spark: SparkSession) -> DataFrame:
     return (F.broadcast(dim).join(c, "Predicted_Class", "left")
             .select("Predicted_Class", F.coalesce("n", F.lit(0).cast("long")).alias("n")))
 
-
-def _softmax_py(z):
-    m = max(z)
-    e = [math.exp(v - m) for v in z]
-    s = sum(e)
-    return [v / s for v in e]

@@ -18,7 +18,7 @@ from ..functions.numeric import r6, round_half_up
 from ..operators import ask, evaluate, explain, fairness, impact, merge, models, prepare, schema, split
 from ..sources import fixtures
 from ..sources.tables import contract_diff, read_table
-from .pipeline import BASELINE, CHALLENGER, RULE_BASELINE, RULE_CHALLENGER, Workbench
+from .workbench import BASELINE, CHALLENGER, RULE_BASELINE, RULE_CHALLENGER, Workbench
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
