@@ -106,6 +106,19 @@ class AdditiveModel:
     edges: dict[str, list[float]]      # bin b covers [edges[b-1], edges[b]); open ends
     scores: dict[str, list[list[float]]]   # feature -> [bin][class]
     intercept: list[float]
+    bucketize: bool = False                # bins by Bucketizer (binary search) instead of comparisons
+
+    def add_bins(self, df: DataFrame) -> DataFrame:
+        """Bin columns ``_bin_<feature>`` via one multi-column Bucketizer."""
+        from pyspark.ml.feature import Bucketizer
+        cut = [f for f in self.features if self.edges[f]]
+        if not cut:
+            return df
+        return Bucketizer(splitsArray=[[-float("inf")] + list(self.edges[f]) + [float("inf")] for f in cut],
+                          inputCols=cut, outputCols=[f"_bin_{f}" for f in cut]).transform(df)
+
+    def bin_col(self, f: str) -> Column:
+        return F.col(f"_bin_{f}").cast("int") if self.edges[f] else F.lit(0)
 
     def bin_expr(self, f: str) -> Column:
         x = F.col(f)
@@ -119,8 +132,8 @@ class AdditiveModel:
         arr = F.array(*[F.lit(float(s[k])) for s in self.scores[f]])
         return F.element_at(arr, b + 1)
 
-    def logits(self) -> list[Column]:
-        bins = {f: self.bin_expr(f) for f in self.features}
+    def logits(self, from_bin_cols: bool = False) -> list[Column]:
+        bins = {f: (self.bin_col(f) if from_bin_cols else self.bin_expr(f)) for f in self.features}
         out = []
         for k in range(K):
             z = F.lit(float(self.intercept[k]))
@@ -172,9 +185,16 @@ def fit_additive(train: DataFrame, features: list[str], label: str = "label", n_
     for i, f in enumerate(features):
         qs = sorted(set(float(v) for v in (r[f"q{i}"] or [])))
         edges[f] = [v for v in qs if v > qs[0]] if qs else []
-    proto = AdditiveModel(name, features, edges, {}, [0.0] * K)
+    from pyspark.ml.feature import Bucketizer
     bin_cols = [f"_bin{i}" for i in range(len(features))]
-    binned = train.select(label, *[proto.bin_expr(f).alias(bc) for f, bc in zip(features, bin_cols)]).persist()
+    # JVM binary search per feature; bucket b = number of edges <= x (same as bin_expr)
+    cut = [(f, bc) for f, bc in zip(features, bin_cols) if edges[f]]
+    src = train.select(label, *features)
+    if cut:
+        src = Bucketizer(splitsArray=[[-float("inf")] + edges[f] + [float("inf")] for f, _ in cut],
+                         inputCols=[f for f, _ in cut], outputCols=[bc for _, bc in cut]).transform(src)
+    binned = src.select(label, *[(F.col(bc).cast("int") if edges[f] else F.lit(0)).alias(bc)
+                                 for f, bc in zip(features, bin_cols)]).persist()
     sizes = [len(edges[f]) + 1 for f in features]
     ohe = OneHotEncoder(inputCols=bin_cols, outputCols=[c + "_v" for c in bin_cols], dropLast=False)
     ohe_model = ohe.fit(binned)
@@ -208,7 +228,7 @@ def fit_additive(train: DataFrame, features: list[str], label: str = "label", n_
                 sc[b][k] -= mean
             icpt[k] += mean
         scores[f] = sc
-    return AdditiveModel(name, list(features), edges, scores, icpt)
+    return AdditiveModel(name, list(features), edges, scores, icpt, bucketize=True)
 
 
 # --------------------------------------------------------------------------- scoring
@@ -219,7 +239,11 @@ def prob_cols() -> list[str]:
 def score(df: DataFrame, model, keep: list[str]) -> DataFrame:
     """Logits -> probabilities (max-shifted softmax) -> argmax (ties to
     the lower class) -> confidence.  Two narrow projections, no shuffle."""
-    z = model.logits()
+    if isinstance(model, AdditiveModel) and model.bucketize:
+        df = model.add_bins(df)
+        z = model.logits(from_bin_cols=True)
+    else:
+        z = model.logits()
     zc = [f"_z{k}" for k in range(len(z))]
     s1 = df.select(*keep, *[e.alias(n) for e, n in zip(z, zc)])
     m = F.greatest(*[F.col(c) for c in zc])

@@ -18,7 +18,7 @@ from ..functions.numeric import r6, round_half_up
 from ..operators import ask, evaluate, explain, fairness, impact, merge, models, prepare, schema, split
 from ..sources import fixtures
 from ..sources.tables import contract_diff, read_table
-from .workbench import BASELINE, CHALLENGER, RULE_BASELINE, RULE_CHALLENGER, Workbench
+from .workbench import BASELINE, CHALLENGER, RULE_BASELINE, RULE_CHALLENGER, Workbench, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -277,7 +277,7 @@ def q_fit_additive(spark, d):
     """Evaluation of the fitted binned additive model on the test split."""
     wb = Workbench(spark, d)
     m = models.fit_additive(wb.train, wb.params.feature_names, "label")
-    preds = models.predictions_long(wb.test, [m], KEY_COL, "label")
+    preds = materialize(spark, models.predictions_long(wb.test, [m], KEY_COL, "label"), "additive_preds")
     return evaluate.model_summary(preds)
 
 
@@ -725,7 +725,7 @@ def q_fitted_compare(spark, d):
     feats = wb.params.feature_names
     lr = models.fit_logistic(wb.train, feats, "label", name="logistic")
     gam = models.fit_additive(wb.train, feats, "label", name="additive")
-    preds = models.predictions_long(wb.test, [lr, gam], KEY_COL, "label")
+    preds = materialize(spark, models.predictions_long(wb.test, [lr, gam], KEY_COL, "label"), "fitted_preds")
     mm = wb.model_metrics(preds)
     vote = impact.model_vote(mm, "logistic", "additive")
     return mm.select("model", "n_test", "accuracy", "f1_macro", "f1_weighted", "auc_ovr", "npa_total",
