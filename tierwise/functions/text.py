@@ -41,3 +41,27 @@ def fmt_lakh(c) -> Column:
 def py_strip(c) -> Column:
     """Python ``str.strip()``: all leading/trailing whitespace, not only spaces."""
     return F.regexp_replace(col_(c), r"^\s+|\s+$", "")
+
+
+def template_parts(template: str) -> list[tuple[str, str]]:
+    """Split ``"a {x} b"`` into [("lit", "a "), ("var", "x"), ("lit", " b")]."""
+    import re
+    out = []
+    for i, p in enumerate(re.split(r"\{(\w+)\}", template)):
+        if i % 2:
+            out.append(("var", p))
+        elif p:
+            out.append(("lit", p))
+    return out
+
+
+def fill(template: str, **values) -> Column:
+    """A fixed format filled with column values: ``concat(lit, col, lit, ...)``."""
+    cols = []
+    for kind, p in template_parts(template):
+        if kind == "lit":
+            cols.append(F.lit(p))
+        else:
+            v = values[p]
+            cols.append(v if isinstance(v, Column) else F.lit(str(v)))
+    return F.concat(*cols)

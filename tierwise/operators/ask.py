@@ -12,9 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_FAIRNESS_ATTR, HELP_TEXT, INTENT_PATTERNS, SENSITIVE_ATTRS, UNKNOWN_TEXT
+from ..constants import (ANSWER_COMPARE, ANSWER_EXPLAIN, ANSWER_FAIRNESS, ANSWER_GLOBAL, ANSWER_PERFORMANCE,
+                         ATTR_NOT_FOUND, COMPARE_LINE, COMPARE_OUT_OF_RANGE, DEFAULT_FAIRNESS_ATTR,
+                         DEFAULT_RECOMMENDATION, EXPLAIN_OUT_OF_RANGE, FAIRNESS_LINE, GLOBAL_LINE, HELP_TEXT,
+                         INTENT_PATTERNS, PERFORMANCE_ROW, PROMPT_EXPLAIN, PROMPT_LINE, REASON_LINE,
+                         SENSITIVE_ATTRS, UNKNOWN_TEXT)
 from ..functions.numeric import traffic_light
-from ..functions.text import fmt_fixed, fmt_pct, fmt_thousands, py_strip
+from ..functions.text import fill, fmt_fixed, fmt_pct, fmt_thousands, py_strip
 
 # Java's \w is ASCII-only; spell out the Unicode word class so that non-ASCII
 # words ("état") are captured as the reference's Python patterns capture them.
@@ -55,6 +59,10 @@ def _top_lines(arr: Column, n: int, fmt) -> Column:
     return F.array_join(F.transform(F.slice(arr, 1, n), fmt), "\n")
 
 
+def _tier_map(tier_text: dict) -> Column:
+    return F.create_map(*[x for t, d in tier_text.items() for x in (F.lit(t), F.lit(d))])
+
+
 def answer_explain(routed: DataFrame, topn: DataFrame, n_rows: Column, tier_text: dict) -> DataFrame:
     """L4: template answer for 'explain applicant N'.
 
@@ -66,18 +74,14 @@ def answer_explain(routed: DataFrame, topn: DataFrame, n_rows: Column, tier_text
         F.sort_array(F.collect_list(F.struct("rank", "feature", "mean_phi"))).alias("top")))
     q = routed.filter(F.col("intent") == "explain_applicant").select("qid", "idx")
     j = q.join(per, q.idx == per.PROSPECTID, "left").withColumn("n_rows", n_rows)
-    desc = F.create_map(*[x for t, d in tier_text.items() for x in (F.lit(t), F.lit(d))])
-    reasons = _top_lines(F.col("top"), 3, lambda x: F.concat(
-        F.lit("  - **"), x["feature"], F.lit("**: SHAP "), fmt_fixed(x["mean_phi"], 4, signed=True),
-        F.lit(" ("), F.when(x["mean_phi"] > 0, F.lit("positive")).otherwise(F.lit("negative")), F.lit(" impact)")))
-    text = F.concat(
-        F.lit("**DECISION:** Applicant "), F.col("idx").cast("string"), F.lit(" classified as **"), F.col("pred_tier"),
-        F.lit("** ("), F.coalesce(desc[F.col("pred_tier")], F.lit("")), F.lit(") with "), fmt_pct("confidence"),
-        F.lit(" confidence.\n\n**REASONS:**\n"), reasons,
-        F.lit("\n\n**RECOMMENDATION:** Focus on improving `"),
-        F.coalesce(F.element_at("top", 1)["feature"], F.lit("credit utilization")), F.lit("`."))
-    missing = F.concat(F.lit("Applicant index "), F.col("idx").cast("string"),
-                       F.lit(" is out of range (dataset has "), F.col("n_rows").cast("string"), F.lit(" rows)."))
+    reasons = _top_lines(F.col("top"), 3, lambda x: fill(
+        REASON_LINE, feature=x["feature"], value=fmt_fixed(x["mean_phi"], 4, signed=True),
+        direction=F.when(x["mean_phi"] > 0, F.lit("positive")).otherwise(F.lit("negative"))))
+    text = fill(ANSWER_EXPLAIN, idx=F.col("idx").cast("string"), tier=F.col("pred_tier"),
+                desc=F.coalesce(_tier_map(tier_text)[F.col("pred_tier")], F.lit("")),
+                confidence=fmt_pct("confidence"), reasons=reasons,
+                rec=F.coalesce(F.element_at("top", 1)["feature"], F.lit(DEFAULT_RECOMMENDATION)))
+    missing = fill(EXPLAIN_OUT_OF_RANGE, idx=F.col("idx").cast("string"), n=F.col("n_rows").cast("string"))
     return j.select("qid", F.lit("explain_applicant").alias("intent"),
                     F.when(F.col("PROSPECTID").isNull(), missing).otherwise(text).alias("answer"))
 
@@ -93,15 +97,13 @@ def answer_compare(routed: DataFrame, delta: DataFrame, info: DataFrame, n_rows:
     ib = info.select(F.col("PROSPECTID").alias("idx_b"), F.col("pred_tier").alias("pb"), F.col("confidence").alias("cb"))
     j = (q.join(ia, "idx_a", "left").join(ib, "idx_b", "left").join(d, ["idx_a", "idx_b"], "left")
           .withColumn("n_rows", n_rows))
-    lines = _top_lines(F.col("top"), 3, lambda x: F.concat(
-        F.lit("  - **"), x["feature"], F.lit("**: "), F.col("idx_a").cast("string"), F.lit("="),
-        fmt_fixed(x["va"], 4, signed=True), F.lit(", "), F.col("idx_b").cast("string"), F.lit("="),
-        fmt_fixed(x["vb"], 4, signed=True)))
-    text = F.concat(
-        F.lit("**Applicant "), F.col("idx_a").cast("string"), F.lit("**: "), F.col("pa"), F.lit(" ("), fmt_pct("ca"),
-        F.lit(")\n**Applicant "), F.col("idx_b").cast("string"), F.lit("**: "), F.col("pb"), F.lit(" ("),
-        fmt_pct("cb"), F.lit(")\n\n**Key differences:**\n"), F.coalesce(lines, F.lit("")))
-    missing = F.concat(F.lit("Index out of range. Dataset has "), F.col("n_rows").cast("string"), F.lit(" rows."))
+    a, b = F.col("idx_a").cast("string"), F.col("idx_b").cast("string")
+    lines = _top_lines(F.col("top"), 3, lambda x: fill(
+        COMPARE_LINE, feature=x["feature"], a=a, va=fmt_fixed(x["va"], 4, signed=True), b=b,
+        vb=fmt_fixed(x["vb"], 4, signed=True)))
+    text = fill(ANSWER_COMPARE, a=a, tier_a=F.col("pa"), conf_a=fmt_pct("ca"), b=b, tier_b=F.col("pb"),
+                conf_b=fmt_pct("cb"), lines=F.coalesce(lines, F.lit("")))
+    missing = fill(COMPARE_OUT_OF_RANGE, n=F.col("n_rows").cast("string"))
     return j.select("qid", F.lit("compare_applicants").alias("intent"),
                     F.when(F.col("pa").isNull() | F.col("pb").isNull(), missing).otherwise(text).alias("answer"))
 
@@ -109,10 +111,9 @@ def answer_compare(routed: DataFrame, delta: DataFrame, info: DataFrame, n_rows:
 def global_text(top: DataFrame) -> DataFrame:
     """L6 text from the (feature, importance, rank) top-10 table (bounded)."""
     arr = F.sort_array(F.collect_list(F.struct("rank", "feature", "importance")))
-    lines = F.array_join(F.transform(arr, lambda x: F.concat(
-        F.lit("  "), x["rank"].cast("string"), F.lit(". **"), x["feature"], F.lit("** (mean |SHAP| = "),
-        fmt_fixed(x["importance"], 4), F.lit(")"))), "\n")
-    return top.agg(F.concat(F.lit("**Top features driving credit decisions:**\n"), lines).alias("answer"))
+    lines = F.array_join(F.transform(arr, lambda x: fill(
+        GLOBAL_LINE, rank=x["rank"].cast("string"), feature=x["feature"], value=fmt_fixed(x["importance"], 4))), "\n")
+    return top.agg(fill(ANSWER_GLOBAL, lines=lines).alias("answer"))
 
 
 def answer_global(routed: DataFrame, top: DataFrame) -> DataFrame:
@@ -125,12 +126,11 @@ def fairness_text(rates: DataFrame, diff: DataFrame) -> DataFrame:
     differences (attr, dpd, eod)."""
     r = rates.groupBy("attr").agg(F.sort_array(F.collect_list(F.struct(
         (-F.col("selection_rate")).alias("neg"), F.col("grp"), F.col("selection_rate")))).alias("rs"))
-    lines = F.array_join(F.transform("rs", lambda x: F.concat(F.lit("  - **"), x["grp"], F.lit("**: "),
-                                                              fmt_pct(x["selection_rate"]))), "\n")
+    lines = F.array_join(F.transform("rs", lambda x: fill(FAIRNESS_LINE, group=x["grp"],
+                                                          rate=fmt_pct(x["selection_rate"]))), "\n")
     j = r.join(diff.select("attr", "dpd", "eod"), "attr")
-    text = F.concat(F.lit("**Fairness — "), F.col("attr"), F.lit(":**\n\n"), lines, F.lit("\n\n**DPD:** "),
-                    fmt_fixed("dpd", 4), F.lit(" ("), traffic_light("dpd"), F.lit(")\n**EOD:** "),
-                    fmt_fixed("eod", 4), F.lit(" ("), traffic_light("eod"), F.lit(")"))
+    text = fill(ANSWER_FAIRNESS, attr=F.col("attr"), lines=lines, dpd=fmt_fixed("dpd", 4),
+                dpd_status=traffic_light("dpd"), eod=fmt_fixed("eod", 4), eod_status=traffic_light("eod"))
     return j.select("attr", text.alias("answer"))
 
 
@@ -140,20 +140,17 @@ def answer_fairness(routed: DataFrame, texts: DataFrame, available: list[str]) -
     avail = [a for a in SENSITIVE_ATTRS if a in available]
     listing = "[" + ", ".join(f"'{a}'" for a in avail) + "]"
     j = q.join(texts, "attr", "left")
-    nf = F.concat(F.lit("Attribute `"), F.col("attr"), F.lit(f"` not found. Available: {listing}"))
+    nf = fill(ATTR_NOT_FOUND, attr=F.col("attr"), available=listing)
     return j.select("qid", F.lit("fairness").alias("intent"), F.coalesce(F.col("answer"), nf).alias("answer"))
 
 
 def performance_text(summary: DataFrame, n_test: Column) -> DataFrame:
     """Markdown table of macro F1 and AUC per model (3 dp)."""
     rows = F.sort_array(F.collect_list(F.struct("model", "f1_macro", "auc_ovr")))
-    body = F.array_join(F.transform(rows, lambda x: F.concat(
-        F.lit("| "), x["model"], F.lit(" | "), fmt_fixed(x["f1_macro"], 3), F.lit(" | "),
-        fmt_fixed(x["auc_ovr"], 3), F.lit(" |"))), "\n")
+    body = F.array_join(F.transform(rows, lambda x: fill(
+        PERFORMANCE_ROW, model=x["model"], f1=fmt_fixed(x["f1_macro"], 3), auc=fmt_fixed(x["auc_ovr"], 3))), "\n")
     t = summary.agg(body.alias("body")).withColumn("n_test", n_test)
-    return t.select(F.concat(
-        F.lit("**Model performance on "), fmt_thousands("n_test"), F.lit(" test applicants:**\n\n"),
-        F.lit("| Model | Macro F1 | AUC (OvR) |\n|-------|----------|----------|\n"), F.col("body")).alias("answer"))
+    return t.select(fill(ANSWER_PERFORMANCE, n=fmt_thousands("n_test"), rows=F.col("body")).alias("answer"))
 
 
 def answer_performance(routed: DataFrame, text: DataFrame) -> DataFrame:
@@ -170,18 +167,10 @@ def answer_static(routed: DataFrame) -> DataFrame:
 
 def prompt_explain(topn_arr: Column, idx: Column, pred_tier: Column, confidence: Column, tier_text: dict) -> Column:
     """The prompt for an external model, built from computed values."""
-    desc = F.create_map(*[x for t, d in tier_text.items() for x in (F.lit(t), F.lit(d))])
-    lines = F.array_join(F.transform(topn_arr, lambda x, i: F.concat(
-        F.lit("  "), (i + 1).cast("string"), F.lit(". "), x["feature"], F.lit(": "),
-        fmt_fixed(x["mean_phi"], 4, signed=True), F.lit(" ("),
-        F.when(x["mean_phi"] > 0, F.lit("increases")).otherwise(F.lit("decreases")),
-        F.lit(" approval chance)"))), "\n")
-    return F.concat(
-        F.lit("You are a credit analyst AI for an Indian bank. Explain the following credit decision\n"
-              "in plain English. Be concise (3-4 sentences). End with one actionable recommendation.\n\n"
-              "Applicant index: "), idx.cast("string"),
-        F.lit("\nPredicted credit tier: "), pred_tier, F.lit(" — "), F.coalesce(desc[pred_tier], F.lit("")),
-        F.lit("\nConfidence: "), fmt_pct(confidence),
-        F.lit("\n\nTop SHAP feature contributions (positive = supports approval):\n"), lines,
-        F.lit("\n\nFormat your response as:\nDECISION: [one sentence]\nREASONS: [2-3 bullet points]\n"
-              "RECOMMENDATION: [one actionable sentence]"))
+    lines = F.array_join(F.transform(topn_arr, lambda x, i: fill(
+        PROMPT_LINE, rank=(i + 1).cast("string"), feature=x["feature"],
+        value=fmt_fixed(x["mean_phi"], 4, signed=True),
+        direction=F.when(x["mean_phi"] > 0, F.lit("increases")).otherwise(F.lit("decreases")))), "\n")
+    return fill(PROMPT_EXPLAIN, idx=idx.cast("string"), tier=pred_tier,
+                desc=F.coalesce(_tier_map(tier_text)[pred_tier], F.lit("")), confidence=fmt_pct(confidence),
+                lines=lines)

@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import (APPROVED_CLASSES, DPD_VERDICTS, NARRATIVE_ACTIONS, THRESHOLD_AMBER,
-                         THRESHOLD_GREEN, TIER_CODES)
+from ..constants import (APPROVED_CLASSES, DPD_VERDICTS, NARRATIVE, NARRATIVE_ACTIONS, NARRATIVE_ACTIONS_HEAD,
+                         THRESHOLD_AMBER, THRESHOLD_GREEN, TIER_CODES)
 from ..functions.numeric import round_half_up, traffic_light
-from ..functions.text import fmt_fixed, fmt_pct
+from ..functions.text import fill, fmt_fixed, fmt_pct
 
 
 def binarize(pred: DataFrame) -> DataFrame:
@@ -99,17 +99,10 @@ def narrative(ext: DataFrame, diff: DataFrame) -> DataFrame:
     verdict = (F.when(F.col("dpd") < THRESHOLD_GREEN, F.lit(DPD_VERDICTS[0]))
                 .when(F.col("dpd") < THRESHOLD_AMBER, F.lit(DPD_VERDICTS[1]))
                 .otherwise(F.lit(DPD_VERDICTS[2])))
-    body = F.concat(
-        F.lit("**"), F.col("attr"), F.lit(" Fairness Summary**\n\n"),
-        F.lit("Applicants in the **"), F.col("highest_group"), F.lit("** group are approved at the highest rate (**"),
-        fmt_pct("highest_rate"), F.lit("**), while **"), F.col("lowest_group"),
-        F.lit("** applicants are approved at **"), fmt_pct("lowest_rate"), F.lit("** (gap of **"),
-        fmt_pct("dpd"), F.lit("**, Demographic Parity Difference).\n\n"),
-        F.lit("This gap is "), verdict, F.lit(".\n\n"),
-        F.lit("The Equalized Odds Difference is **"), fmt_fixed("eod", 4),
-        F.lit("**, measuring whether the model's error rates are consistent across groups."))
-    actions = F.concat(F.lit("\n\n**Recommended actions:**\n"),
-                       F.concat_ws("\n", *[F.replace(F.lit(a), F.lit("{attr}"), F.col("attr"))
-                                           for a in NARRATIVE_ACTIONS]))
+    body = fill(NARRATIVE, attr=F.col("attr"), high=F.col("highest_group"), high_rate=fmt_pct("highest_rate"),
+                low=F.col("lowest_group"), low_rate=fmt_pct("lowest_rate"), dpd=fmt_pct("dpd"), verdict=verdict,
+                eod=fmt_fixed("eod", 4))
+    actions = F.concat(F.lit(NARRATIVE_ACTIONS_HEAD),
+                       F.concat_ws("\n", *[fill(a, attr=F.col("attr")) for a in NARRATIVE_ACTIONS]))
     text = F.when(F.col("dpd") >= THRESHOLD_AMBER, F.concat(body, actions)).otherwise(body)
     return j.select("model", "attr", text.alias("narrative"))

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import (DEFAULT_AVG_LOAN, DEFAULT_P3_RATE, DEFAULT_P4_RATE, LOAN_GRID, P3_RATE_GRID,
+from ..constants import (COMPARISON_METRICS, DEFAULT_AVG_LOAN, DEFAULT_P3_RATE, DEFAULT_P4_RATE,
+                         HEADLINE_AVOIDED_MEANING, HEADLINE_RESIDUAL_MEANING, HEADLINE_ROWS, LOAN_GRID, P3_RATE_GRID,
                          P4_RATE_GRID, TIER_ACTION_BUSINESS, TIER_CODES, TIER_TEXT_BUSINESS)
 from ..functions.numeric import safe_div
-from ..functions.text import fmt_crore, fmt_fixed, fmt_pct, fmt_thousands
+from ..functions.text import fill, fmt_crore, fmt_fixed, fmt_pct, fmt_thousands
 
 
 def decision_counts(pred: DataFrame) -> DataFrame:
@@ -102,25 +103,19 @@ def headline(mm: DataFrame, model: str) -> DataFrame:
     def row(pos, metric, value, meaning):
         return F.struct(F.lit(pos).alias("pos"), F.lit(metric).alias("metric"), value.alias("value"),
                         (meaning if not isinstance(meaning, str) else F.lit(meaning)).alias("meaning"))
-    rows = F.array(
-        row(1, "Applicants scored", fmt_thousands("n_test"), "Total test-set applicants evaluated"),
-        row(2, "Correctly classified",
-            F.concat(fmt_thousands("total_correct"), F.lit(" ("), fmt_pct("accuracy"), F.lit(")")),
-            "Applicants placed in the correct credit tier"),
-        row(3, "Approved (P1+P2)",
-            F.concat(fmt_thousands("approved"), F.lit(" ("), fmt_pct("approval_rate"), F.lit(")")),
-            "Creditworthy applicants approved"),
-        row(4, "Marginal flagged (P3)",
-            F.concat(fmt_thousands("marginal"), F.lit(" ("), share("marginal"), F.lit(")")),
-            "Conditional approval"),
-        row(5, "High-risk rejected (P4)",
-            F.concat(fmt_thousands("rejected"), F.lit(" ("), share("rejected"), F.lit(")")),
-            "Loan declined"),
-        row(6, "NPA exposure avoided", fmt_crore("npa_total"),
-            F.concat(F.lit("P4 x "), fmt_pct("p4_rate", 0), F.lit(" + P3 x "), fmt_pct("p3_rate", 0))),
-        row(7, "Residual NPA exposure", fmt_crore("npa_exposure"),
-            F.concat(F.lit("P4 incorrectly approved ("), F.col("fn_p4").cast("string"), F.lit(" cases)"))),
-    )
+    values = [
+        fmt_thousands("n_test"),
+        F.concat(fmt_thousands("total_correct"), F.lit(" ("), fmt_pct("accuracy"), F.lit(")")),
+        F.concat(fmt_thousands("approved"), F.lit(" ("), fmt_pct("approval_rate"), F.lit(")")),
+        F.concat(fmt_thousands("marginal"), F.lit(" ("), share("marginal"), F.lit(")")),
+        F.concat(fmt_thousands("rejected"), F.lit(" ("), share("rejected"), F.lit(")")),
+        fmt_crore("npa_total"),
+        fmt_crore("npa_exposure"),
+    ]
+    computed = {5: fill(HEADLINE_AVOIDED_MEANING, p4=fmt_pct("p4_rate", 0), p3=fmt_pct("p3_rate", 0)),
+                6: fill(HEADLINE_RESIDUAL_MEANING, n=F.col("fn_p4").cast("string"))}
+    rows = F.array(*[row(i + 1, metric, values[i], meaning if meaning is not None else computed[i])
+                     for i, (metric, meaning) in enumerate(HEADLINE_ROWS)])
     return r.select(F.col("model"), F.inline(rows))
 
 
@@ -133,18 +128,19 @@ def comparison_report(mm: DataFrame, baseline: str, challenger: str) -> DataFram
     def row(pos, name, bv, cv, better):
         return F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("metric"), bv.alias("baseline_value"),
                         cv.alias("challenger_value"), F.when(better, c).otherwise(b).alias("better"))
+    m = COMPARISON_METRICS
     rows = F.array(
-        row(1, "Macro F1", fmt_fixed("b_f1_macro", 3), fmt_fixed("c_f1_macro", 3),
+        row(1, m[0], fmt_fixed("b_f1_macro", 3), fmt_fixed("c_f1_macro", 3),
             F.col("c_f1_macro") > F.col("b_f1_macro")),
-        row(2, "AUC (OvR)", fmt_fixed("b_auc_ovr", 3), fmt_fixed("c_auc_ovr", 3),
+        row(2, m[1], fmt_fixed("b_auc_ovr", 3), fmt_fixed("c_auc_ovr", 3),
             F.col("c_auc_ovr") > F.col("b_auc_ovr")),
-        row(3, "Overall Accuracy", fmt_pct("b_accuracy"), fmt_pct("c_accuracy"),
+        row(3, m[2], fmt_pct("b_accuracy"), fmt_pct("c_accuracy"),
             F.col("c_accuracy") > F.col("b_accuracy")),
-        row(4, "NPA Avoided", fmt_crore("b_npa_total"), fmt_crore("c_npa_total"),
+        row(4, m[3], fmt_crore("b_npa_total"), fmt_crore("c_npa_total"),
             F.col("c_npa_total") > F.col("b_npa_total")),
-        row(5, "Residual NPA", fmt_crore("b_npa_exposure"), fmt_crore("c_npa_exposure"),
+        row(5, m[4], fmt_crore("b_npa_exposure"), fmt_crore("c_npa_exposure"),
             F.col("c_npa_exposure") < F.col("b_npa_exposure")),
-        row(6, "P4 Incorrectly Approved", F.col("b_fn_p4").cast("string"), F.col("c_fn_p4").cast("string"),
+        row(6, m[5], F.col("b_fn_p4").cast("string"), F.col("c_fn_p4").cast("string"),
             F.col("c_fn_p4") < F.col("b_fn_p4")),
     )
     return s.select(F.inline(rows))

@@ -9,9 +9,14 @@ questions, patterns) - never results of the Spark side.
 
 from __future__ import annotations
 
-from ..constants import (CATEGORICAL_COLS, DPD_VERDICTS, HELP_TEXT, INTENT_PATTERNS, NARRATIVE_ACTIONS,
-                         TIER_ACTION_BUSINESS, TIER_CODES, TIER_TEXT_ANALYST, TIER_TEXT_BUSINESS,
-                         TIER_TEXT_SCORING, UNKNOWN_TEXT)
+from ..constants import (ANSWER_COMPARE, ANSWER_EXPLAIN, ANSWER_FAIRNESS, ANSWER_GLOBAL, ANSWER_PERFORMANCE,
+                         ATTR_NOT_FOUND, CATEGORICAL_COLS, COMPARE_LINE, COMPARE_OUT_OF_RANGE, COMPARISON_METRICS,
+                         DEFAULT_RECOMMENDATION, DPD_VERDICTS, EXPLAIN_OUT_OF_RANGE, FAIRNESS_LINE, GLOBAL_LINE,
+                         HEADLINE_AVOIDED_MEANING, HEADLINE_RESIDUAL_MEANING, HEADLINE_ROWS, HELP_TEXT,
+                         INTENT_PATTERNS, NARRATIVE, NARRATIVE_ACTIONS, NARRATIVE_ACTIONS_HEAD, PERFORMANCE_ROW,
+                         PROMPT_EXPLAIN, PROMPT_LINE, REASON_LINE, SENSITIVE_ATTRS, TIER_ACTION_BUSINESS,
+                         TIER_CODES, TIER_TEXT_ANALYST, TIER_TEXT_BUSINESS, TIER_TEXT_SCORING, UNKNOWN_TEXT)
+from ..functions.text import template_parts
 from ..sources.fixtures import FIXED_COEFS, FIXED_INTERCEPTS, FIXED_SHAPES, LITERAL_QUESTIONS
 
 NUMS = ["Total_TL", "Tot_Closed_TL", "Tot_Active_TL", "Total_TL_opened_L6M", "Total_TL_opened_L12M",
@@ -26,6 +31,11 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def fill_sql(template: str, **exprs: str) -> str:
+    """The same fixed format as ``functions.text.fill``, as SQL concatenation."""
+    return "(" + " || ".join(q(p) if kind == "lit" else f"({exprs[p]})" for kind, p in template_parts(template)) + ")"
+
+
 def dbl(v: float) -> str:
     return f"CAST({float(v)!r} AS DOUBLE)"
 
@@ -712,19 +722,6 @@ FROM rf_rates WINDOW w AS (PARTITION BY model, attr)""")
 oracle("fairness_overview", ["rf_diff"], f"""
 SELECT model, attr, {rn('dpd', 4)} AS dpd, {traffic('dpd')} AS dpd_status, {rn('eod', 4)} AS eod,
   {traffic('eod')} AS eod_status, dpd >= 0.1 OR eod >= 0.1 AS action_needed FROM rf_diff""")
-_ACTIONS = "\n".join(NARRATIVE_ACTIONS)
-oracle("fairness_narrative", ["rf_ext", "rf_diff"], f"""
-SELECT x.model, x.attr,
-  '**' || x.attr || ' Fairness Summary**' || chr(10) || chr(10) || 'Applicants in the **' || x.highest_group
-  || '** group are approved at the highest rate (**' || {pct1('x.highest_rate')} || '**), while **' || x.lowest_group
-  || '** applicants are approved at **' || {pct1('x.lowest_rate')} || '** (gap of **' || {pct1('d.dpd')}
-  || '**, Demographic Parity Difference).' || chr(10) || chr(10) || 'This gap is '
-  || CASE WHEN d.dpd < 0.05 THEN {q(DPD_VERDICTS[0])} WHEN d.dpd < 0.1 THEN {q(DPD_VERDICTS[1])} ELSE {q(DPD_VERDICTS[2])} END
-  || '.' || chr(10) || chr(10) || 'The Equalized Odds Difference is **' || {fixed('d.eod', 4)}
-  || '**, measuring whether the model''s error rates are consistent across groups.'
-  || CASE WHEN d.dpd >= 0.1 THEN chr(10) || chr(10) || '**Recommended actions:**' || chr(10)
-     || replace({q(_ACTIONS)}, '{{attr}}', x.attr) ELSE '' END AS narrative
-FROM rf_ext x JOIN rf_diff d ON d.model = x.model AND d.attr = x.attr""")
 oracle("fairness_adhoc", ["rfx_rates"], f"SELECT model, attr, grp, n, {r6('selection_rate')} AS selection_rate, "
        f"{r6('tpr')} AS tpr, {r6('fpr')} AS fpr FROM rfx_rates")
 
@@ -759,105 +756,15 @@ FROM (SELECT model, count(*) AS n_test FROM rule_preds GROUP BY model) m
 CROSS JOIN (VALUES """ + ", ".join(f"({k}, '{t}', {q(TIER_TEXT_BUSINESS[t])}, {q(TIER_ACTION_BUSINESS[t])})"
                                    for k, t in enumerate(TIER_CODES)) + """) d(k, tier, description, action)
 LEFT JOIN (SELECT model, pred, count(*) AS n FROM rule_preds GROUP BY ALL) c ON c.model = m.model AND c.pred = d.k""")
-oracle("headline", ["rule_money"], f"""
-SELECT model, pos, metric, value, meaning FROM (
-  SELECT model, 1 AS pos, 'Applicants scored' AS metric, {thousands('n_test')} AS value,
-         'Total test-set applicants evaluated' AS meaning FROM rule_money
-  UNION ALL SELECT model, 2, 'Correctly classified', {thousands('total_correct')} || ' (' || {pct1('accuracy')} || ')',
-         'Applicants placed in the correct credit tier' FROM rule_money
-  UNION ALL SELECT model, 3, 'Approved (P1+P2)', {thousands('approved')} || ' (' || {pct1('approval_rate')} || ')',
-         'Creditworthy applicants approved' FROM rule_money
-  UNION ALL SELECT model, 4, 'Marginal flagged (P3)', {thousands('marginal')} || ' (' || {pct1('CAST(marginal AS DOUBLE) / n_test')} || ')',
-         'Conditional approval' FROM rule_money
-  UNION ALL SELECT model, 5, 'High-risk rejected (P4)', {thousands('rejected')} || ' (' || {pct1('CAST(rejected AS DOUBLE) / n_test')} || ')',
-         'Loan declined' FROM rule_money
-  UNION ALL SELECT model, 6, 'NPA exposure avoided', {crore('npa_total')},
-         'P4 x ' || {pct1('p4_rate', 0)} || ' + P3 x ' || {pct1('p3_rate', 0)} FROM rule_money
-  UNION ALL SELECT model, 7, 'Residual NPA exposure', {crore('npa_exposure')},
-         'P4 incorrectly approved (' || CAST(fn_p4 AS VARCHAR) || ' cases)' FROM rule_money)
-WHERE model = 'rule_b'""")
-
-
 def _cmp_row(pos: int, name: str, b: str, c: str, better: str) -> str:
     return (f"SELECT {pos} AS pos, {q(name)} AS metric, {b} AS baseline_value, {c} AS challenger_value, "
             f"CASE WHEN {better} THEN 'fixed_b' ELSE 'fixed_a' END AS better FROM s")
 
 
-def _s(x: str, m: str) -> str:
-    return f"{m}_{x}"
-
-
-oracle("comparison_report", ["fx_metrics"], ", s AS (SELECT " + ", ".join(
-    f"max({x}) FILTER (WHERE model = 'fixed_a') AS b_{x}, max({x}) FILTER (WHERE model = 'fixed_b') AS c_{x}"
-    for x in ("f1_macro", "auc_ovr", "accuracy", "npa_total", "npa_exposure", "fn_p4")) + " FROM fx_metrics) "
-    + " UNION ALL ".join([
-        _cmp_row(1, "Macro F1", fixed("b_f1_macro", 3), fixed("c_f1_macro", 3), "c_f1_macro > b_f1_macro"),
-        _cmp_row(2, "AUC (OvR)", fixed("b_auc_ovr", 3), fixed("c_auc_ovr", 3), "c_auc_ovr > b_auc_ovr"),
-        _cmp_row(3, "Overall Accuracy", pct1("b_accuracy"), pct1("c_accuracy"), "c_accuracy > b_accuracy"),
-        _cmp_row(4, "NPA Avoided", crore("b_npa_total"), crore("c_npa_total"), "c_npa_total > b_npa_total"),
-        _cmp_row(5, "Residual NPA", crore("b_npa_exposure"), crore("c_npa_exposure"), "c_npa_exposure < b_npa_exposure"),
-        _cmp_row(6, "P4 Incorrectly Approved", "CAST(b_fn_p4 AS VARCHAR)", "CAST(c_fn_p4 AS VARCHAR)", "c_fn_p4 < b_fn_p4"),
-    ]))
-
 # =========================================================== L
 oracle("intent_route", ["routed"], "SELECT qid, intent FROM routed")
 oracle("intent_args", ["routed"], "SELECT qid, intent, idx, idx_a, idx_b, attr FROM routed WHERE intent <> 'unknown'")
 
-_TD = "CASE pred_tier " + " ".join(f"WHEN '{t}' THEN {q(TIER_TEXT_ANALYST[t])}" for t in TIER_CODES) + " ELSE '' END"
-oracle("answer_explain", ["routed", "fa_feat", "fa_info"], f"""
-, top5 AS (SELECT * FROM (SELECT PROSPECTID, feature, mean_phi,
-             row_number() OVER (PARTITION BY PROSPECTID ORDER BY mean_abs DESC, feature) AS rank FROM fa_feat) WHERE rank <= 5),
-per AS (SELECT t.PROSPECTID, i.pred_tier, i.confidence,
-          string_agg('  - **' || t.feature || '**: SHAP ' || {fixed('t.mean_phi', 4, True)} || ' ('
-                     || CASE WHEN t.mean_phi > 0 THEN 'positive' ELSE 'negative' END || ' impact)', chr(10) ORDER BY t.rank)
-            FILTER (WHERE t.rank <= 3) AS reasons,
-          max(t.feature) FILTER (WHERE t.rank = 1) AS rec
-        FROM top5 t JOIN fa_info i ON i.PROSPECTID = t.PROSPECTID GROUP BY t.PROSPECTID, i.pred_tier, i.confidence)
-SELECT r.qid, 'explain_applicant' AS intent,
-  CASE WHEN p.PROSPECTID IS NULL THEN 'Applicant index ' || CAST(r.idx AS VARCHAR) || ' is out of range (dataset has '
-         || CAST((SELECT count(*) FROM fa_info) AS VARCHAR) || ' rows).'
-       ELSE '**DECISION:** Applicant ' || CAST(r.idx AS VARCHAR) || ' classified as **' || p.pred_tier || '** ('
-         || {_TD.replace('pred_tier', 'p.pred_tier')} || ') with ' || {pct1('p.confidence')} || ' confidence.' || chr(10) || chr(10)
-         || '**REASONS:**' || chr(10) || p.reasons || chr(10) || chr(10) || '**RECOMMENDATION:** Focus on improving `'
-         || p.rec || '`.' END AS answer
-FROM routed r LEFT JOIN per p ON p.PROSPECTID = r.idx WHERE r.intent = 'explain_applicant'""")
-
-oracle("answer_compare", ["routed", "fa_delta", "fa_info"], f"""
-, d AS (SELECT idx_a, idx_b, string_agg('  - **' || feature || '**: ' || CAST(idx_a AS VARCHAR) || '=' || {fixed('va', 4, True)}
-          || ', ' || CAST(idx_b AS VARCHAR) || '=' || {fixed('vb', 4, True)}, chr(10) ORDER BY rank) FILTER (WHERE rank <= 3) AS lines
-        FROM fa_delta GROUP BY idx_a, idx_b)
-SELECT r.qid, 'compare_applicants' AS intent,
-  CASE WHEN ia.pred_tier IS NULL OR ib.pred_tier IS NULL
-       THEN 'Index out of range. Dataset has ' || CAST((SELECT count(*) FROM fa_info) AS VARCHAR) || ' rows.'
-       ELSE '**Applicant ' || CAST(r.idx_a AS VARCHAR) || '**: ' || ia.pred_tier || ' (' || {pct1('ia.confidence')} || ')'
-         || chr(10) || '**Applicant ' || CAST(r.idx_b AS VARCHAR) || '**: ' || ib.pred_tier || ' (' || {pct1('ib.confidence')}
-         || ')' || chr(10) || chr(10) || '**Key differences:**' || chr(10) || coalesce(d.lines, '') END AS answer
-FROM routed r LEFT JOIN fa_info ia ON ia.PROSPECTID = r.idx_a LEFT JOIN fa_info ib ON ib.PROSPECTID = r.idx_b
-LEFT JOIN d ON d.idx_a = r.idx_a AND d.idx_b = r.idx_b WHERE r.intent = 'compare_applicants'""")
-
-oracle("answer_global", ["routed", "fa_global"], f"""
-SELECT qid, 'global_importance' AS intent, (SELECT '**Top features driving credit decisions:**' || chr(10)
-  || string_agg('  ' || CAST(rank AS VARCHAR) || '. **' || feature || '** (mean |SHAP| = ' || {fixed('importance', 4)} || ')',
-                chr(10) ORDER BY rank) FROM fa_global) AS answer
-FROM routed WHERE intent = 'global_importance'""")
-
-oracle("answer_fairness", ["routed", "af_rates", "af_diff"], f"""
-, texts AS (SELECT r.attr, '**Fairness — ' || r.attr || ':**' || chr(10) || chr(10)
-    || string_agg('  - **' || r.grp || '**: ' || {pct1('r.selection_rate')}, chr(10) ORDER BY -r.selection_rate, r.grp)
-    || chr(10) || chr(10) || '**DPD:** ' || {fixed('any_value(d.dpd)', 4)} || ' (' || {traffic('any_value(d.dpd)')}
-    || ')' || chr(10) || '**EOD:** ' || {fixed('any_value(d.eod)', 4)} || ' (' || {traffic('any_value(d.eod)')} || ')' AS answer
-  FROM af_rates r JOIN af_diff d ON d.attr = r.attr GROUP BY r.attr)
-SELECT q.qid, 'fairness' AS intent, coalesce(t.answer, 'Attribute `' || q.attr
-  || '` not found. Available: [''GENDER'', ''EDUCATION'', ''MARITALSTATUS'']') AS answer
-FROM routed q LEFT JOIN texts t ON t.attr = q.attr WHERE q.intent = 'fairness'""")
-
-oracle("answer_performance", ["routed", "fx_summary", "fx_split"], f"""
-SELECT qid, 'model_performance' AS intent, (SELECT '**Model performance on ' || {thousands("(SELECT count(*) FROM fx_split WHERE split = 'test')")}
-  || ' test applicants:**' || chr(10) || chr(10) || '| Model | Macro F1 | AUC (OvR) |' || chr(10)
-  || '|-------|----------|----------|' || chr(10)
-  || string_agg('| ' || model || ' | ' || {fixed('f1_macro', 3)} || ' | ' || {fixed('auc_ovr', 3)} || ' |', chr(10) ORDER BY model)
-  FROM fx_summary) AS answer FROM routed WHERE intent = 'model_performance'""")
-
 oracle("answer_static", ["routed"], f"SELECT qid, intent, CASE WHEN intent = 'help' THEN {q(HELP_TEXT)} ELSE {q(UNKNOWN_TEXT)} END "
        "AS answer FROM routed WHERE intent IN ('help', 'unknown')")
 
@@ -883,24 +790,6 @@ UNION ALL SELECT PROSPECTID, 'factor', CAST(rank AS INTEGER), feature, {fixed('m
   CASE WHEN mean_phi > 0 THEN 'Positive' ELSE 'Negative' END FROM fa_topn
   WHERE PROSPECTID IN (SELECT PROSPECTID FROM fx_split WHERE split = 'test')""")
 
-_PROMPT_HEAD = ("You are a credit analyst AI for an Indian bank. Explain the following credit decision\n"
-                "in plain English. Be concise (3-4 sentences). End with one actionable recommendation.\n\n"
-                "Applicant index: ")
-_PROMPT_TAIL = ("\n\nFormat your response as:\nDECISION: [one sentence]\nREASONS: [2-3 bullet points]\n"
-                "RECOMMENDATION: [one actionable sentence]")
-oracle("prompt_text", ["routed", "fa_feat", "fa_info"], f"""
-, top5 AS (SELECT * FROM (SELECT PROSPECTID, feature, mean_phi,
-             row_number() OVER (PARTITION BY PROSPECTID ORDER BY mean_abs DESC, feature) AS rank FROM fa_feat) WHERE rank <= 5),
-per AS (SELECT t.PROSPECTID, i.pred_tier, i.confidence,
-          string_agg('  ' || CAST(t.rank AS VARCHAR) || '. ' || t.feature || ': ' || {fixed('t.mean_phi', 4, True)} || ' ('
-                     || CASE WHEN t.mean_phi > 0 THEN 'increases' ELSE 'decreases' END || ' approval chance)',
-                     chr(10) ORDER BY t.rank) AS lines
-        FROM top5 t JOIN fa_info i ON i.PROSPECTID = t.PROSPECTID GROUP BY t.PROSPECTID, i.pred_tier, i.confidence)
-SELECT r.qid, {q(_PROMPT_HEAD)} || CAST(r.idx AS VARCHAR) || chr(10) || 'Predicted credit tier: ' || p.pred_tier || ' — '
-  || {_TD.replace('pred_tier', 'p.pred_tier')} || chr(10) || 'Confidence: ' || {pct1('p.confidence')} || chr(10) || chr(10)
-  || 'Top SHAP feature contributions (positive = supports approval):' || chr(10) || p.lines || {q(_PROMPT_TAIL)} AS prompt
-FROM routed r JOIN per p ON p.PROSPECTID = r.idx WHERE r.intent = 'explain_applicant'""")
-
 _CONTRACTS = {"internal": ["PROSPECTID", "Total_TL", "Age_Oldest_TL"],
               "external": ["PROSPECTID", "Approved_Flag", "GENDER", "EDUCATION", "MARITALSTATUS", "Credit_Score"],
               "unseen": ["PROSPECTID", "EDUCATION", "Auto_TL", "CC_utilization", "GENDER", "Credit_Score"]}
@@ -911,3 +800,110 @@ ORACLES["contract_check"] = " UNION ALL ".join(
     + "))) AS present" for t, req in _CONTRACTS.items() for c in req)
 oracle("prepare_float32", ["prep_long"], f"SELECT PROSPECTID, feature, {r6('CAST(CAST(value AS FLOAT) AS DOUBLE)')} AS value "
        "FROM prep_long WHERE label IS NOT NULL")
+
+
+# =========================================================== text outputs from the fixed formats
+_VERDICT = (f"CASE WHEN d.dpd < 0.05 THEN {q(DPD_VERDICTS[0])} WHEN d.dpd < 0.1 THEN {q(DPD_VERDICTS[1])} "
+            f"ELSE {q(DPD_VERDICTS[2])} END")
+_ACTIONS = " || chr(10) || ".join(fill_sql(a, attr="x.attr") for a in NARRATIVE_ACTIONS)
+oracle("fairness_narrative", ["rf_ext", "rf_diff"], f"""
+SELECT x.model, x.attr, {fill_sql(NARRATIVE, attr="x.attr", high="x.highest_group", high_rate=pct1("x.highest_rate"),
+                                  low="x.lowest_group", low_rate=pct1("x.lowest_rate"), dpd=pct1("d.dpd"),
+                                  verdict=_VERDICT, eod=fixed("d.eod", 4))}
+  || CASE WHEN d.dpd >= 0.1 THEN {q(NARRATIVE_ACTIONS_HEAD)} || {_ACTIONS} ELSE '' END AS narrative
+FROM rf_ext x JOIN rf_diff d ON d.model = x.model AND d.attr = x.attr""")
+
+_HEAD_VALUES = [thousands("n_test"),
+                f"{thousands('total_correct')} || ' (' || {pct1('accuracy')} || ')'",
+                f"{thousands('approved')} || ' (' || {pct1('approval_rate')} || ')'",
+                f"{thousands('marginal')} || ' (' || {pct1('CAST(marginal AS DOUBLE) / n_test')} || ')'",
+                f"{thousands('rejected')} || ' (' || {pct1('CAST(rejected AS DOUBLE) / n_test')} || ')'",
+                crore("npa_total"), crore("npa_exposure")]
+_HEAD_MEANINGS = {5: fill_sql(HEADLINE_AVOIDED_MEANING, p4=pct1("p4_rate", 0), p3=pct1("p3_rate", 0)),
+                  6: fill_sql(HEADLINE_RESIDUAL_MEANING, n="CAST(fn_p4 AS VARCHAR)")}
+oracle("headline", ["rule_money"], "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT model, {i + 1} AS pos, {q(metric)} AS metric, {_HEAD_VALUES[i]} AS value, "
+    f"{q(meaning) if meaning is not None else _HEAD_MEANINGS[i]} AS meaning FROM rule_money"
+    for i, (metric, meaning) in enumerate(HEADLINE_ROWS)) + ") WHERE model = 'rule_b'")
+
+_M = COMPARISON_METRICS
+oracle("comparison_report", ["fx_metrics"], ", s AS (SELECT " + ", ".join(
+    f"max({x}) FILTER (WHERE model = 'fixed_a') AS b_{x}, max({x}) FILTER (WHERE model = 'fixed_b') AS c_{x}"
+    for x in ("f1_macro", "auc_ovr", "accuracy", "npa_total", "npa_exposure", "fn_p4")) + " FROM fx_metrics) "
+    + " UNION ALL ".join([
+        _cmp_row(1, _M[0], fixed("b_f1_macro", 3), fixed("c_f1_macro", 3), "c_f1_macro > b_f1_macro"),
+        _cmp_row(2, _M[1], fixed("b_auc_ovr", 3), fixed("c_auc_ovr", 3), "c_auc_ovr > b_auc_ovr"),
+        _cmp_row(3, _M[2], pct1("b_accuracy"), pct1("c_accuracy"), "c_accuracy > b_accuracy"),
+        _cmp_row(4, _M[3], crore("b_npa_total"), crore("c_npa_total"), "c_npa_total > b_npa_total"),
+        _cmp_row(5, _M[4], crore("b_npa_exposure"), crore("c_npa_exposure"), "c_npa_exposure < b_npa_exposure"),
+        _cmp_row(6, _M[5], "CAST(b_fn_p4 AS VARCHAR)", "CAST(c_fn_p4 AS VARCHAR)", "c_fn_p4 < b_fn_p4"),
+    ]))
+
+_TD = "CASE p.pred_tier " + " ".join(f"WHEN '{t}' THEN {q(TIER_TEXT_ANALYST[t])}" for t in TIER_CODES) + " ELSE '' END"
+_TOP5 = """, top5 AS (SELECT * FROM (SELECT PROSPECTID, feature, mean_phi,
+             row_number() OVER (PARTITION BY PROSPECTID ORDER BY mean_abs DESC, feature) AS rank FROM fa_feat) WHERE rank <= 5)"""
+oracle("answer_explain", ["routed", "fa_feat", "fa_info"], _TOP5 + f""",
+per AS (SELECT t.PROSPECTID, i.pred_tier, i.confidence,
+          string_agg({fill_sql(REASON_LINE, feature="t.feature", value=fixed("t.mean_phi", 4, True),
+                               direction="CASE WHEN t.mean_phi > 0 THEN 'positive' ELSE 'negative' END")},
+                     chr(10) ORDER BY t.rank) FILTER (WHERE t.rank <= 3) AS reasons,
+          max(t.feature) FILTER (WHERE t.rank = 1) AS rec
+        FROM top5 t JOIN fa_info i ON i.PROSPECTID = t.PROSPECTID GROUP BY t.PROSPECTID, i.pred_tier, i.confidence)
+SELECT r.qid, 'explain_applicant' AS intent,
+  CASE WHEN p.PROSPECTID IS NULL
+       THEN {fill_sql(EXPLAIN_OUT_OF_RANGE, idx="CAST(r.idx AS VARCHAR)", n="CAST((SELECT count(*) FROM fa_info) AS VARCHAR)")}
+       ELSE {fill_sql(ANSWER_EXPLAIN, idx="CAST(r.idx AS VARCHAR)", tier="p.pred_tier", desc=_TD,
+                      confidence=pct1("p.confidence"), reasons="p.reasons",
+                      rec=f"coalesce(p.rec, {q(DEFAULT_RECOMMENDATION)})")} END AS answer
+FROM routed r LEFT JOIN per p ON p.PROSPECTID = r.idx WHERE r.intent = 'explain_applicant'""")
+
+oracle("prompt_text", ["routed", "fa_feat", "fa_info"], _TOP5 + f""",
+per AS (SELECT t.PROSPECTID, i.pred_tier, i.confidence,
+          string_agg({fill_sql(PROMPT_LINE, rank="CAST(t.rank AS VARCHAR)", feature="t.feature",
+                               value=fixed("t.mean_phi", 4, True),
+                               direction="CASE WHEN t.mean_phi > 0 THEN 'increases' ELSE 'decreases' END")},
+                     chr(10) ORDER BY t.rank) AS lines
+        FROM top5 t JOIN fa_info i ON i.PROSPECTID = t.PROSPECTID GROUP BY t.PROSPECTID, i.pred_tier, i.confidence)
+SELECT r.qid, {fill_sql(PROMPT_EXPLAIN, idx="CAST(r.idx AS VARCHAR)", tier="p.pred_tier", desc=_TD,
+                        confidence=pct1("p.confidence"), lines="p.lines")} AS prompt
+FROM routed r JOIN per p ON p.PROSPECTID = r.idx WHERE r.intent = 'explain_applicant'""")
+
+oracle("answer_compare", ["routed", "fa_delta", "fa_info"], f"""
+, d AS (SELECT idx_a, idx_b, string_agg({fill_sql(COMPARE_LINE, feature="feature", a="CAST(idx_a AS VARCHAR)",
+                                                  va=fixed("va", 4, True), b="CAST(idx_b AS VARCHAR)",
+                                                  vb=fixed("vb", 4, True))},
+                                        chr(10) ORDER BY rank) FILTER (WHERE rank <= 3) AS lines
+        FROM fa_delta GROUP BY idx_a, idx_b)
+SELECT r.qid, 'compare_applicants' AS intent,
+  CASE WHEN ia.pred_tier IS NULL OR ib.pred_tier IS NULL
+       THEN {fill_sql(COMPARE_OUT_OF_RANGE, n="CAST((SELECT count(*) FROM fa_info) AS VARCHAR)")}
+       ELSE {fill_sql(ANSWER_COMPARE, a="CAST(r.idx_a AS VARCHAR)", tier_a="ia.pred_tier", conf_a=pct1("ia.confidence"),
+                      b="CAST(r.idx_b AS VARCHAR)", tier_b="ib.pred_tier", conf_b=pct1("ib.confidence"),
+                      lines="coalesce(d.lines, '')")} END AS answer
+FROM routed r LEFT JOIN fa_info ia ON ia.PROSPECTID = r.idx_a LEFT JOIN fa_info ib ON ib.PROSPECTID = r.idx_b
+LEFT JOIN d ON d.idx_a = r.idx_a AND d.idx_b = r.idx_b WHERE r.intent = 'compare_applicants'""")
+
+oracle("answer_global", ["routed", "fa_global"], f"""
+SELECT qid, 'global_importance' AS intent, (SELECT {fill_sql(ANSWER_GLOBAL, lines="string_agg(" + fill_sql(
+    GLOBAL_LINE, rank="CAST(rank AS VARCHAR)", feature="feature", value=fixed("importance", 4)) + ", chr(10) ORDER BY rank)")}
+  FROM fa_global) AS answer
+FROM routed WHERE intent = 'global_importance'""")
+
+_AVAILABLE = "[" + ", ".join(f"'{a}'" for a in SENSITIVE_ATTRS) + "]"
+oracle("answer_fairness", ["routed", "af_rates", "af_diff"], f"""
+, texts AS (SELECT r.attr, {fill_sql(ANSWER_FAIRNESS, attr="r.attr",
+    lines="string_agg(" + fill_sql(FAIRNESS_LINE, group="r.grp", rate=pct1("r.selection_rate"))
+          + ", chr(10) ORDER BY -r.selection_rate, r.grp)",
+    dpd=fixed("any_value(d.dpd)", 4), dpd_status=traffic("any_value(d.dpd)"),
+    eod=fixed("any_value(d.eod)", 4), eod_status=traffic("any_value(d.eod)"))} AS answer
+  FROM af_rates r JOIN af_diff d ON d.attr = r.attr GROUP BY r.attr)
+SELECT q.qid, 'fairness' AS intent, coalesce(t.answer, {fill_sql(ATTR_NOT_FOUND, attr="q.attr", available=q(_AVAILABLE))})
+  AS answer
+FROM routed q LEFT JOIN texts t ON t.attr = q.attr WHERE q.intent = 'fairness'""")
+
+oracle("answer_performance", ["routed", "fx_summary", "fx_split"], f"""
+SELECT qid, 'model_performance' AS intent, (SELECT {fill_sql(ANSWER_PERFORMANCE,
+    n=thousands("(SELECT count(*) FROM fx_split WHERE split = 'test')"),
+    rows="string_agg(" + fill_sql(PERFORMANCE_ROW, model="model", f1=fixed("f1_macro", 3), auc=fixed("auc_ovr", 3))
+         + ", chr(10) ORDER BY model)")}
+  FROM fx_summary) AS answer FROM routed WHERE intent = 'model_performance'""")
