@@ -40,10 +40,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster sets this to shared storage; we only create a local folder
     when nothing is configured (tests, single-machine runs).
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="tierwise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
+        try:
+            spark.conf.set("spark.checkpoint.dir", conf_dir)
+        except Exception:  # noqa: BLE001 - some sessions reject runtime core confs
+            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
