@@ -164,3 +164,14 @@ def test_stream_score_equals_batch(spark):
     s = E.queries()["stream_score"](spark, SF)
     b = E.queries()["score_unseen"](spark, SF)
     assert sorted(map(tuple, s.select(*b.columns).collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_loaders_roundtrip(spark, wb):
+    import __spark_entry__ as E
+    from conftest import SF
+    csv = E.queries()["load_csv"](spark, SF)
+    assert csv.count() == wb.internal.count()
+    assert set(csv.columns) == set(wb.internal.columns)
+    loaded = E.queries()["load_inputs"](spark, SF)
+    assert loaded.count() == wb.merged.count()
+    assert loaded.columns == wb.merged.columns
