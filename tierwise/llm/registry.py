@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, warc
+from . import packing, quality, warc
 
-QUERIES = {"op1_quality": quality.op1_quality, "op3_warc": warc.op3_warc}
+QUERIES = {"op1_quality": quality.op1_quality, "op3_warc": warc.op3_warc, "op8_packing": packing.op8_packing}
 ORACLES = {"op1_quality": quality.oracle()}
