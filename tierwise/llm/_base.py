@@ -58,7 +58,7 @@ def words_of(texts: pa.Array, separators: str, lower: str = "") -> tuple[pa.Arra
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if lower:
         texts = pc.ascii_lower(texts) if lower == "ascii" else pc.utf8_lower(texts)
-    parts = pc.split_pattern_regex(texts, separators)
+    parts = pc.split_pattern(pc.replace_substring_regex(texts, separators, " "), " ")
     rows = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(parts.offsets.to_numpy()))
     flat = parts.flatten()
     full = pc.greater(pc.binary_length(flat), 0)
