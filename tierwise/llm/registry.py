@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, packing, quality, warc
+from . import decontaminate, language, neardup, packing, quality, warc
 
 QUERIES = {"op1_quality": quality.op1_quality, "op2_decontaminate": decontaminate.op2_decontaminate,
-           "op3_warc": warc.op3_warc, "op8_packing": packing.op8_packing,
+           "op3_warc": warc.op3_warc, "op6_language": language.op6_language,
+           "op8_packing": packing.op8_packing,
            "op9_neardup": neardup.op9_neardup}
 ORACLES = {"op1_quality": quality.oracle()}
