@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licences, neardup, packing, quality, warc
+from . import chat, decontaminate, language, licences, neardup, packing, quality, warc
 
 QUERIES = {"op1_quality": quality.op1_quality, "op2_decontaminate": decontaminate.op2_decontaminate,
            "op3_warc": warc.op3_warc, "op6_language": language.op6_language,
-           "op8_packing": packing.op8_packing,
+           "op7_chat": chat.op7_chat, "op8_packing": packing.op8_packing,
            "op9_neardup": neardup.op9_neardup, "op10_licences": licences.op10_licences}
-ORACLES = {"op1_quality": quality.oracle()}
+ORACLES = {"op1_quality": quality.oracle(), "op7_chat": chat.oracle()}
