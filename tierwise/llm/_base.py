@@ -55,9 +55,10 @@ def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 
 def words_of(texts: pa.Array, separators: str, lower: str = "") -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in order, and for each word its row. lower: '' none, 'ascii' A-Z, 'utf8' all."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
+    texts = pc.fill_null(texts, "")
+    if lower:  # before the cast: pyarrow 23 lower-cases a cast slice of strings wrongly
         texts = pc.ascii_lower(texts) if lower == "ascii" else pc.utf8_lower(texts)
+    texts = texts.cast(pa.large_string())
     parts = pc.split_pattern(pc.replace_substring_regex(texts, separators, " "), " ")
     rows = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(parts.offsets.to_numpy()))
     flat = parts.flatten()

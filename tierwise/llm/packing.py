@@ -5,8 +5,8 @@ set if an open bin has f places free. A piece goes to the bin with the least suf
 or above its length); if there is none, a new bin opens, and beyond ``OPEN_BINS`` open ones the fullest closes first.
 Each input partition packs on its own, so nothing is shuffled and a lost task is simply run again.
 
-Tokenizing is exact, word by word: the tokenizer's pattern never crosses ASCII white space, so each distinct word is
-encoded once and its ids reused (a bounded cache per worker process).
+Tokenizing is exact, word by word: the pattern of ``word_bpe_49k.json`` never crosses ASCII white space, so each
+distinct word is encoded once and its ids reused (a bounded cache per worker process).
 
 Defined results: a null or empty text is its end id alone; every row is packed, repeated ones too; a text of any length
 is cut into whole sequences and a rest; an empty table gives no row; other columns are not read.
@@ -74,9 +74,18 @@ class Vocabulary:
         return (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at], self.ids
 
 
+def plain(texts: pa.Array) -> pa.Array:
+    """Texts with the same ids but fewer distinct words: A-Z in lower case, as the tokenizer has them (but for texts
+    with a possible special token, which is told by case), and a blank between a letter and a comma, full stop or
+    exclamation mark, where its pattern always cuts."""
+    texts = pc.fill_null(texts, "")
+    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    return pc.replace_substring_regex(texts.cast(pa.large_string()), "([A-Za-z])([,.!])", r"\1 \2")
+
+
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in order, each text's followed by the end id; and how many each text has."""
-    words, rows = _base.words_of(texts, _base.SPACE)
+    words, rows = _base.words_of(plain(texts), _base.SPACE)
     index, distinct = _base.encoded(words)
     starts, sizes, ids = Vocabulary.of(path).lookup(distinct)
     each = sizes[index]
