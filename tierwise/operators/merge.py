@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import written
 from .schema import find_common_key
 
 _MID_BITS = 33  # monotonically_increasing_id keeps the row-in-partition in the low 33 bits
@@ -36,18 +37,20 @@ def merge(a: DataFrame, b: DataFrame, key: tuple[str, str] | None = None,
 def with_row_index(df: DataFrame, order_cols: list[str], name: str = "_pos") -> DataFrame:
     """0-based position of each row in ``order_cols`` order, computed without a
     single-partition window: a distributed sort, then per-partition offsets
-    (one small aggregate, one row per partition) added to the in-partition id.
-    ``order_cols`` must be unique so the sort, and so the ids, are deterministic.
+    (one row per partition) added to the in-partition id.
+
+    The sorted rows are written once and both the rows and the partition
+    sizes come from that table; evaluated twice, the sort could cut its
+    partitions at different places.  Ties in ``order_cols`` get some order,
+    the same for every reader.
     """
-    s = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
+    s = written(df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()), "positions")
     s = s.withColumn("_pid", F.shiftright(F.col("_mid"), _MID_BITS)).withColumn(
         "_row", F.col("_mid").bitwiseAND(F.lit((1 << _MID_BITS) - 1)))
     sizes = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    from pyspark.sql import Window
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
-    # one row per partition: a bounded table, safe to broadcast
-    return (s.join(F.broadcast(offsets), "_pid")
+    offsets = written(sizes.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off")), "offsets")
+    return (s.join(offsets, "_pid")
              .withColumn(name, F.col("_off") + F.col("_row"))
              .drop("_mid", "_pid", "_row", "_off"))
 
@@ -67,7 +70,8 @@ def merge_positional(a: DataFrame, b: DataFrame, order_a: list[str], order_b: li
 
 def attach_attributes(pred: DataFrame, external: DataFrame, key_pred: str, key_ext: str,
                       attrs: list[str]) -> DataFrame:
-    """Re-attach sensitive attributes by key (left join; no positional fallback)."""
+    """Re-attach sensitive attributes by key (left join, null keys match null keys;
+    no positional fallback)."""
     present = [c for c in attrs if c in external.columns]
     side = external.select(F.col(key_ext).alias("__k"), *present)
-    return pred.join(side, pred[key_pred] == side["__k"], "left").drop("__k")
+    return pred.join(side, pred[key_pred].eqNullSafe(side["__k"]), "left").drop("__k")

@@ -1,13 +1,17 @@
 """Exact stratified sampling and splitting.
 
-Row order inside a stratum is ``(md5(key|salt), key)``.  Selecting the first
-``q`` rows of each stratum is done without a per-stratum window over all rows
-(which would put a whole class, maybe a third of the data, in one task):
+Row order inside a stratum is ``(md5(key|salt), hash of the whole row)``; a
+null key hashes like an empty one.  Selecting the first ``q`` rows of each
+stratum is done without a per-stratum window over all rows (which would put a
+whole class, maybe a third of the data, in one task):
 
 1. histogram of rows per (stratum, 16-bit hash prefix) - a partial aggregate;
-2. cumulative counts over that small table give, per bucket, "all selected",
-   "none selected" or "boundary";
-3. only boundary-bucket rows (about n / 65536 per stratum) are ranked.
+2. cumulative counts over that table give, per bucket, "all selected", "none
+   selected" or "boundary";
+3. the rows of boundary buckets (about n / 65536 per stratum) get a second
+   histogram, by key hash and 16 bits of the row hash, so that the many rows
+   of a repeated key are spread as well;
+4. only rows in boundary cells of the second one are ranked.
 
 Quotas follow the largest-remainder rule over class counts (ties to the
 lower class id).
@@ -18,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import written
 from ..constants import SPLIT_SEED, TEST_PCT
 
 PREFIX_HEX = 4                      # 16-bit buckets
-MAX_BROADCAST_BUCKETS = 4_000_000   # strata x buckets bound for the broadcast side
 
 
 def allocate(counts: dict, n_draw: int) -> dict:
@@ -39,35 +43,48 @@ def allocate(counts: dict, n_draw: int) -> dict:
 
 
 def order_hash(key: str, salt: str) -> Column:
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit("|" + salt)))
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|" + salt)))
+
+
+def _settled(rows: DataFrame, stratum: str, cell: list[str], need: str, flag: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Split ``rows`` at cell level: those whose cell is wholly in or out, with
+    ``flag`` set, and those in boundary cells with ``_left``, how many of the
+    cell's rows are still to be taken.  ``need`` (rows to take of a stratum) is
+    the same for all rows of a stratum.  The cell table is written, so the
+    optimizer broadcasts it only if it is small."""
+    w = Window.partitionBy(stratum).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(stratum, *cell).agg(F.count(F.lit(1)).alias("_cnt"), F.max(need).alias("_q"))
+    cells = cells.select(stratum, *cell, "_cnt", (F.col("_q") - F.coalesce(F.sum("_cnt").over(w), F.lit(0))).alias("_left"))
+    cells = written(cells, name).withColumnRenamed(stratum, "_stratum")
+    on = rows[stratum].eqNullSafe(cells["_stratum"])
+    for c in cell:
+        on = on & (rows[c] == cells[c])
+    j = rows.join(cells, on).drop(cells["_stratum"], *[cells[c] for c in cell])
+    whole = (F.col("_left") <= 0) | (F.col("_left") >= F.col("_cnt"))
+    done = j.filter(whole).withColumn(flag, F.col("_left") >= F.col("_cnt")).drop("_cnt", "_left", need)
+    return done, j.filter(~whole).drop("_cnt", need)
 
 
 def first_k_per_stratum(df: DataFrame, key: str, stratum: str, quotas: dict, salt: str,
                         flag: str = "_first") -> DataFrame:
     """Add boolean ``flag``: row is among the first ``quotas[s]`` rows of its
-    stratum in ``(md5(key|salt), key)`` order.  Exact, and no stratum is ever
+    stratum in hash order.  Exact, every row comes out once (null strata with
+    ``false``, as they have no quota), and no stratum and no repeated key is
     gathered into a single task."""
-    spark = df.sparkSession
-    h = df.withColumn("_h", order_hash(key, salt)).withColumn(
-        "_b", F.conv(F.substring("_h", 1, PREFIX_HEX), 16, 10).cast("int"))
-    hist = h.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    qdf = spark.createDataFrame([(k, int(v)) for k, v in quotas.items()], f"{stratum} int, _q long")
-    w = Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0).cast("long")))
-                   .join(F.broadcast(qdf), stratum, "left")
-                   .withColumn("_q", F.coalesce("_q", F.lit(0).cast("long")))
-                   .withColumn("_need", F.col("_q") - F.col("_before"))
-                   .select(stratum, "_b", "_cnt", "_need"))
-    n_strata = len(quotas)
-    if n_strata * (16 ** PREFIX_HEX) <= MAX_BROADCAST_BUCKETS:
-        buckets = F.broadcast(buckets)   # at most strata x 65536 rows
-    j = h.join(buckets, [stratum, "_b"], "left")
-    settled = j.filter((F.col("_need") <= 0) | (F.col("_need") >= F.col("_cnt"))).withColumn(
-        flag, F.col("_need") >= F.col("_cnt"))
-    boundary = j.filter((F.col("_need") > 0) & (F.col("_need") < F.col("_cnt")))
-    rw = Window.partitionBy(stratum, "_b").orderBy("_h", key)
-    boundary = boundary.withColumn(flag, F.row_number().over(rw) <= F.col("_need"))
-    return settled.unionByName(boundary).drop("_h", "_b", "_cnt", "_need")
+    quota = F.lit(0).cast("long")
+    for value, q in quotas.items():
+        quota = F.when(F.col(stratum).eqNullSafe(F.lit(value)), F.lit(int(q)).cast("long")).otherwise(quota)
+    content = F.xxhash64(*[F.col(f.name) if f.dataType.simpleString().find("map<") < 0 else F.to_json(f.name)
+                           for f in df.schema.fields])
+    h = df.withColumns({"_h": order_hash(key, salt), "_row": content, "_need": quota})
+    h = h.withColumn("_b", F.conv(F.substring("_h", 1, PREFIX_HEX), 16, 10).cast("int"))
+    done, rest = _settled(h, stratum, ["_b"], "_need", flag, "split-buckets")
+    rest = rest.withColumn("_part", F.shiftrightunsigned("_row", 48)).withColumnRenamed("_left", "_need")
+    finer, rest = _settled(rest, stratum, ["_h", "_part"], "_need", flag, "split-cells")
+    rank = F.row_number().over(Window.partitionBy(stratum, "_h", "_part").orderBy("_row"))
+    rest = rest.withColumn(flag, rank <= F.col("_left"))
+    out = [x.select(*df.columns, flag) for x in (done, finer, rest)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def class_counts(df: DataFrame, label: str = "label") -> dict:
