@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import written
 from ..constants import TIER_CODES
 from ..functions.numeric import r6, safe_div
 from .models import prob_cols
 
 K = len(TIER_CODES)
-ROC_BUCKETS = 1 << 12   # score buckets for the distributed running sums
 
 
 def _tier(c) -> Column:
@@ -23,21 +23,17 @@ def _tier(c) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in TIER_CODES]), c + 1)
 
 
-def _grid(models: DataFrame) -> DataFrame:
-    """(model, actual, predicted) for all 4x4 cells, built per model by an
-    explode of a literal array (no cross join)."""
-    cells = F.array(*[F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"))
-                      for a in range(K) for p in range(K)])
-    return models.select("model", F.explode(cells).alias("c")).select("model", "c.actual", "c.predicted")
+CELLS = [(a, p) for a in range(K) for p in range(K)]
 
 
 def confusion(pred: DataFrame) -> DataFrame:
-    """H1: counts on the complete 4x4 grid per model (empty cells = 0)."""
-    counts = pred.groupBy("model", F.col("actual"), F.col("pred").alias("predicted")).agg(
-        F.count(F.lit(1)).alias("n"))
-    models = counts.select("model").distinct()
-    return (_grid(models).join(counts, ["model", "actual", "predicted"], "left")
-            .select("model", "actual", "predicted", F.coalesce("n", F.lit(0).cast("long")).alias("n")))
+    """H1: counts on the complete 4x4 grid per model (empty cells = 0): one
+    aggregate with a column per cell, unpivoted in the row."""
+    wide = pred.groupBy("model").agg(*[
+        F.count_if((F.col("actual") == a) & (F.col("pred") == p)).alias(f"n{a}{p}") for a, p in CELLS])
+    cells = F.array(*[F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"), F.col(f"n{a}{p}").alias("n"))
+                      for a, p in CELLS])
+    return wide.select("model", F.inline(cells))
 
 
 def confusion_pct(cm: DataFrame) -> DataFrame:
@@ -47,12 +43,17 @@ def confusion_pct(cm: DataFrame) -> DataFrame:
 
 
 def class_report(cm: DataFrame) -> DataFrame:
-    """H3: per-class precision / recall / F1 / support; 0/0 -> 0."""
-    sup = cm.groupBy("model", F.col("actual").alias("class")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n"))
-                                           .otherwise(0)).alias("tp"))
-    npred = cm.groupBy("model", F.col("predicted").alias("class")).agg(F.sum("n").alias("n_pred"))
-    j = sup.join(npred, ["model", "class"])
+    """H3: per-class precision / recall / F1 / support; 0/0 -> 0.  The grid of
+    a model comes back into one row (already partitioned by model), and all
+    the rest is arithmetic in that row."""
+    n = {(a, p): F.col(f"n{a}{p}") for a, p in CELLS}
+    wide = cm.groupBy("model").agg(*[
+        F.coalesce(F.sum(F.when((F.col("actual") == a) & (F.col("predicted") == p), F.col("n"))), F.lit(0)).alias(f"n{a}{p}")
+        for a, p in CELLS])
+    rows = F.array(*[F.struct(F.lit(k).alias("class"), sum((n[k, j] for j in range(1, K)), n[k, 0]).alias("support"),
+                              sum((n[j, k] for j in range(1, K)), n[0, k]).alias("n_pred"), n[k, k].alias("tp"))
+                     for k in range(K)])
+    j = wide.select("model", F.inline(rows))
     p = F.coalesce(safe_div("tp", "n_pred"), F.lit(0.0))
     r = F.coalesce(safe_div("tp", "support"), F.lit(0.0))
     j = j.withColumn("precision", p).withColumn("recall", r)
@@ -106,22 +107,22 @@ def _class_scores(pred: DataFrame) -> DataFrame:
 def roc_points(pred: DataFrame) -> DataFrame:
     """H8: (model, class, threshold, fpr, tpr) at every distinct score.
 
-    Rows are first reduced to distinct (model, class, score) groups; running
-    sums then use score buckets: bucket totals (small, broadcast) give the
-    offset, a window inside each bucket gives the rest - so no class is
-    funnelled through one task however many rows it has."""
+    Rows are first reduced to distinct (model, class, score) groups, which are
+    range-partitioned by a sort and written; running sums then take the sort
+    partition as bucket: bucket totals (a row per partition, model and class)
+    give the offset, a window inside each bucket the rest.  However the scores
+    are spread, the buckets hold about as many groups each."""
     g = _class_scores(pred).groupBy("model", "class", "score").agg(
         F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    g = g.withColumn("_bk", F.least(F.floor(F.col("score") * ROC_BUCKETS), F.lit(ROC_BUCKETS)))
+    g = written(g.orderBy("model", "class", F.desc("score")).withColumn("_bk", F.spark_partition_id()), "roc")
     bt = g.groupBy("model", "class", "_bk").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
-    wb = Window.partitionBy("model", "class").orderBy(F.desc("_bk")).rowsBetween(Window.unboundedPreceding, -1)
+    wb = Window.partitionBy("model", "class").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     wt = Window.partitionBy("model", "class")
     bt = bt.select("model", "class", "_bk",
                    F.coalesce(F.sum("bpos").over(wb), F.lit(0)).alias("pos_before"),
                    F.coalesce(F.sum("bneg").over(wb), F.lit(0)).alias("neg_before"),
                    F.sum("bpos").over(wt).alias("P"), F.sum("bneg").over(wt).alias("N"))
-    # bounded: models x classes x (ROC_BUCKETS + 1) rows
-    j = g.join(F.broadcast(bt), ["model", "class", "_bk"])
+    j = g.join(bt, ["model", "class", "_bk"])
     wi = Window.partitionBy("model", "class", "_bk").orderBy(F.desc("score")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     j = (j.withColumn("tp", F.col("pos_before") + F.sum("pos").over(wi))
