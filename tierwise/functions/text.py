@@ -14,8 +14,11 @@ from .numeric import col_, round_half_up
 
 def fmt_fixed(c, digits: int, signed: bool = False) -> Column:
     """Like ``f"{x:.{digits}f}"`` (or ``:+.{digits}f`` when signed)."""
-    spec = ("%+." if signed else "%.") + f"{digits}f"
-    return F.format_string(spec, round_half_up(c, digits))
+    if not signed:
+        return F.format_string(f"%.{digits}f", round_half_up(c, digits))
+    c = col_(c)
+    return F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("+")),
+                    F.format_string(f"%.{digits}f", round_half_up(F.abs(c), digits)))
 
 
 def fmt_pct(c, digits: int = 1) -> Column:

@@ -37,16 +37,21 @@ class LinearModel:
             out.append(z)
         return out
 
-    def to_table(self, spark: SparkSession) -> DataFrame:
+    def to_table(self, spark: SparkSession, background: bool = False) -> DataFrame:
+        """Coefficients and intercepts; with ``background`` also the feature
+        means, as rows of class -1."""
         rows = [(self.name, k, f, float(self.coef[k][j])) for k in range(len(self.intercept))
                 for j, f in enumerate(self.features)]
         rows += [(self.name, k, "(intercept)", float(b)) for k, b in enumerate(self.intercept)]
+        if background:
+            rows += [(self.name, -1, f, float(v)) for f, v in self.background.items() if v is not None]
         return spark.createDataFrame(rows, "model string, class int, feature string, coef double")
 
 
 def linear_from_table(table: DataFrame, name: str) -> LinearModel:
     """Build from a long (model, class, feature, coef) table; bounded size."""
-    rows = table.filter(F.col("model") == name).collect()
+    found = table.filter(F.col("model") == name).collect()
+    rows = [r for r in found if r["class"] >= 0]
     feats = []
     for r in sorted(rows, key=lambda r: (r["class"], r["feature"])):
         if r["feature"] != "(intercept)" and r["feature"] not in feats:
@@ -59,7 +64,7 @@ def linear_from_table(table: DataFrame, name: str) -> LinearModel:
             icpt[r["class"]] = r["coef"]
         else:
             coef[r["class"]][feats.index(r["feature"])] = r["coef"]
-    return LinearModel(name, feats, coef, icpt)
+    return LinearModel(name, feats, coef, icpt, {r["feature"]: r["coef"] for r in found if r["class"] < 0})
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str = "label", C: float = 1.0,
@@ -154,6 +159,31 @@ class AdditiveModel:
             rows, "model string, feature string, bin int, lo double, hi double, class int, score double")
 
 
+    def to_table(self, spark: SparkSession) -> DataFrame:
+        """Shapes, intercept and feature order: all that scoring and explaining needs."""
+        order = {f: i for i, f in enumerate(self.features)}
+        shapes = self.shape_table(spark).withColumn("position", F.lit(0))
+        rank = F.lit(len(order))
+        for f, i in order.items():
+            rank = F.when(F.col("feature") == f, F.lit(i)).otherwise(rank)
+        icpt = spark.createDataFrame([(self.name, "(intercept)", 0, None, None, k, float(v), -1)
+                                      for k, v in enumerate(self.intercept)], shapes.schema)
+        return shapes.withColumn("position", rank).unionByName(icpt)
+
+
+def additive_from_table(table: DataFrame, name: str) -> AdditiveModel:
+    """Rebuild a saved model (features x bins x classes rows, bounded)."""
+    rows = sorted(table.filter(F.col("model") == name).collect(), key=lambda r: (r["position"], r["bin"], r["class"]))
+    shapes: dict[str, dict] = {}
+    for r in rows:
+        if r["position"] >= 0:
+            shapes.setdefault(r["feature"], {}).setdefault(r["bin"], (r["lo"], r["hi"], []))[2].append(r["score"])
+    literal = [(f, b, lo, hi, sc) for f, bins in shapes.items() for b, (lo, hi, sc) in bins.items()]
+    model = additive_from_shapes(literal, list(shapes), name, [r["score"] for r in rows if r["position"] < 0])
+    model.bucketize = True
+    return model
+
+
 def additive_from_shapes(spark_rows: list, features: list[str], name: str, intercept=None) -> AdditiveModel:
     """From literal (feature, bin, lo, hi, [scores]) rows (the fixed shape table)."""
     edges, scores = {}, {}

@@ -1,8 +1,8 @@
 """Feature preparation: fit parameter tables, transform with expressions.
 
-Fitting runs two aggregates over the whole input (medians + modes + category
-sets, then means + population stds of the imputed values); the result is a
-small parameter object (bounded by the number of features and categories)
+Fitting runs aggregates over the whole input (medians, modes + category sets,
+target counts, at once; then means + population stds of the imputed values);
+the result is a small parameter object (bounded by the number of features and categories)
 that is compiled into one ``select`` for transform, so scoring stays inside
 whole-stage codegen and never shuffles.
 """
@@ -18,8 +18,6 @@ from ..constants import KEY_COL, TARGET_COL
 from ..sources.fixtures import label_expr
 from .schema import column_kinds
 
-MAX_CATEGORIES = 10_000  # one-hot width guard; a wider column is not a categorical
-
 
 @dataclass
 class PrepParams:
@@ -43,23 +41,30 @@ class PrepParams:
 
     def to_table(self, spark: SparkSession) -> DataFrame:
         """The parameters as a table (persistable next to a model)."""
-        rows = [(c, "numeric", self.medians[c], self.means[c], self.stds[c], None, None) for c in self.num_cols]
-        rows += [(c, "categorical", None, None, None, self.modes[c], self.categories[c]) for c in self.cat_cols]
+        rows = [(c, "numeric", self.medians[c], self.means[c], self.stds[c], None, None, None) for c in self.num_cols]
+        rows += [(c, "categorical", None, None, None, self.modes[c], self.categories[c], None) for c in self.cat_cols]
+        rows += [(c, kind, None, None, None, None, None, None) for kind, cs in (("dropped", self.dropped), ("all_null", self.all_null))
+                 for c in cs]
+        rows += [(v, "target", None, None, None, None, None, n) for v, n in self.target_counts.items()]
         return spark.createDataFrame(
-            rows, "feature string, kind string, median double, mean double, std double, "
-                  "mode string, categories array<string>")
+            [(i, *r) for i, r in enumerate(rows)],
+            "position int, feature string, kind string, median double, mean double, std double, "
+            "mode string, categories array<string>, rows long")
 
     @staticmethod
     def from_table(df: DataFrame) -> "PrepParams":
         """Rebuild from a saved parameter table (bounded size)."""
-        rows = df.collect()
+        rows = sorted(df.collect(), key=lambda r: r.position)
         nums = [r for r in rows if r.kind == "numeric"]
         cats = [r for r in rows if r.kind == "categorical"]
         return PrepParams(
             num_cols=[r.feature for r in nums], cat_cols=[r.feature for r in cats],
             medians={r.feature: r.median for r in nums}, means={r.feature: r.mean for r in nums},
             stds={r.feature: r.std for r in nums}, modes={r.feature: r.mode for r in cats},
-            categories={r.feature: list(r.categories) for r in cats})
+            categories={r.feature: list(r.categories) for r in cats},
+            dropped=[r.feature for r in rows if r.kind == "dropped"],
+            all_null=[r.feature for r in rows if r.kind == "all_null"],
+            target_counts={r.feature: r.rows for r in rows if r.kind == "target"})
 
 
 def fit(df: DataFrame, key: str = KEY_COL, target: str = TARGET_COL, median: str = "exact",
@@ -77,20 +82,20 @@ def fit(df: DataFrame, key: str = KEY_COL, target: str = TARGET_COL, median: str
         return F.median(x) if median == "exact" else F.percentile_approx(x, 0.5, accuracy)
 
     first = [med(c).alias(f"m{i}") for i, c in enumerate(nums)]
-    counted = cats + ([target] if target in df.columns else [])
-    # medians and the category count table do not depend on each other:
-    # submit both jobs at once (Spark runs concurrent jobs from threads)
+    # medians, categories and target counts do not depend on each other:
+    # submit the jobs at once (Spark runs concurrent jobs from threads)
     from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=2) as pool:
+    with ThreadPoolExecutor(max_workers=3) as pool:
         f1 = pool.submit(lambda: df.agg(*first).collect()[0] if first else None)
-        f2 = pool.submit(lambda: _category_counts(df, counted))
+        f2 = pool.submit(lambda: _category_counts(df, cats))
+        f3 = pool.submit(lambda: _target_counts(df, target))
         r1 = f1.result()
-        modes, categories, counts = f2.result()
+        modes, categories = f2.result()
+        target_counts = f3.result()
     medians = {c: r1[f"m{i}"] for i, c in enumerate(nums)}
     all_null = [c for c in nums if medians[c] is None]
     nums = [c for c in nums if medians[c] is not None]
     cats_kept = [c for c in cats if modes.get(c) is not None]
-    target_counts = counts.get(target, {})
     categories = {c: categories[c] for c in cats_kept}
 
     second = []
@@ -105,30 +110,27 @@ def fit(df: DataFrame, key: str = KEY_COL, target: str = TARGET_COL, median: str
                       dropped=dropped, all_null=all_null, target_counts=target_counts)
 
 
-def _category_counts(df: DataFrame, cats: list[str]) -> tuple[dict, dict, dict]:
+def _category_counts(df: DataFrame, cats: list[str]) -> tuple[dict, dict]:
     """E3 + E4 fit: one distributed (column, value) count table for all
-    categoricals.  Its size is bounded by the one-hot width guard, so only
-    that small table reaches the driver; mode = highest count, ties to the
-    smallest value; categories sorted."""
+    categoricals; mode = highest count, ties to the smallest value, found in
+    Spark.  The driver gets one row per column: its mode and its sorted
+    categories, which are the names of the one-hot columns."""
     if not cats:
-        return {}, {}, {}
+        return {}, {}
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cats]))
     counts = (df.select(pairs.alias("p")).select("p.c", "p.v").filter(F.col("v").isNotNull())
                 .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
-    cap = MAX_CATEGORIES * len(cats)
-    rows = counts.limit(cap + 1).collect()
-    if len(rows) > cap:
-        raise ValueError(f"categorical columns {cats} have more than {MAX_CATEGORIES} values each; "
-                         "not one-hot encodable")
-    modes, categories, counts = {}, {}, {}
-    for c in cats:
-        vals = sorted((r["v"], r["n"]) for r in rows if r["c"] == c)
-        counts[c] = dict(vals)
-        if len(vals) > MAX_CATEGORIES:
-            raise ValueError(f"column {c} has {len(vals)} categories; not one-hot encodable")
-        categories[c] = [v for v, _ in vals]
-        modes[c] = min(vals, key=lambda t: (-t[1], t[0]))[0] if vals else None
-    return modes, categories, counts
+    rows = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("mode"),
+                                   F.sort_array(F.collect_list("v")).alias("values")).collect()
+    return {r["c"]: r["mode"] for r in rows}, {r["c"]: list(r["values"]) for r in rows}
+
+
+def _target_counts(df: DataFrame, target: str) -> dict:
+    """Rows per target value; a handful of rows."""
+    if target not in df.columns:
+        return {}
+    g = df.filter(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("t"))
+    return {r["t"]: r["n"] for r in g.agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def numeric_expr(df_cols: list[str], c: str, p: PrepParams, missing_numeric: str = "zero") -> Column:
@@ -178,12 +180,3 @@ def transform(df: DataFrame, p: PrepParams, key: str = KEY_COL, target: str | No
 def known_labels(prepared: DataFrame) -> DataFrame:
     """C4: keep rows with a known label (statistics were fitted before this)."""
     return prepared.filter(F.col("label").isNotNull())
-
-
-def params_long(spark: SparkSession, p: PrepParams) -> DataFrame:
-    """Parameter table in long form for inspection: (feature, kind, stat, value)."""
-    rows = []
-    for c in p.num_cols:
-        rows += [(c, "numeric", "median", p.medians[c]), (c, "numeric", "mean", p.means[c]),
-                 (c, "numeric", "std", p.stds[c])]
-    return spark.createDataFrame(rows, "feature string, kind string, stat string, value double")

@@ -67,10 +67,9 @@ def _customer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def external(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bureau-like table, one row per customer with ``c_custkey % 97 <> 5``."""
-    c = (read_table(spark, sf_dir, "customer")
-         .select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-         .filter(F.col("c_custkey") % 97 != 5))
+    """Bureau-like table, one row per customer.  Customers without orders have
+    no internal row, so unmatched keys occur by themselves."""
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     lines = _customer_lines(spark, sf_dir)
     j = c.join(lines, c.c_custkey == lines.o_custkey, "left")
     k = F.col("c_custkey")
@@ -137,10 +136,10 @@ def rule_predictions(spark: SparkSession, sf_dir: str, ext: DataFrame | None = N
 
 
 def unseen(spark: SparkSession, sf_dir: str, merged: DataFrame) -> DataFrame:
-    """Scoring input: merged rows with k%10=3, no target, three features
+    """Scoring input: the merged rows without target, with three features
     absent, one extra column and an unseen GENDER category."""
     k = F.col("PROSPECTID")
-    u = merged.filter(k % 10 == 3).drop("Approved_Flag", "EDUCATION", "Auto_TL", "CC_utilization")
+    u = merged.drop("Approved_Flag", "EDUCATION", "Auto_TL", "CC_utilization")
     return (u.withColumn("GENDER", F.when(k % 30 == 3, F.lit("X")).otherwise(F.col("GENDER")))
              .withColumn("note", F.concat(F.lit("batch-"), (k % 7).cast("string"))))
 

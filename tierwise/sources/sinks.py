@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import scratch_path
 from ..operators import prepare
-from ..operators.models import LinearModel, linear_from_table
+from ..operators.models import AdditiveModel, LinearModel, additive_from_table, linear_from_table
 
 
 def write_scored_csv(df: DataFrame, path: str) -> None:
@@ -29,7 +29,7 @@ def roundtrip_csv(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def save_linear(spark: SparkSession, model: LinearModel, path: str) -> None:
     """The coefficient table as parquet (a failure is reported, not fatal)."""
-    model.to_table(spark).write.mode("overwrite").parquet(path)
+    model.to_table(spark, background=True).write.mode("overwrite").parquet(path)
 
 
 def load_linear(spark: SparkSession, path: str, name: str) -> LinearModel:
@@ -43,6 +43,13 @@ def save_load_linear(spark: SparkSession, model: LinearModel, name: str) -> Line
     return load_linear(spark, path, model.name)
 
 
+def save_load_additive(spark: SparkSession, model: AdditiveModel, name: str) -> AdditiveModel:
+    """A7 + A8 for the additive model: shapes, intercept and feature order."""
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    model.to_table(spark).write.mode("overwrite").parquet(path)
+    return additive_from_table(spark.read.parquet(path), model.name)
+
+
 def save_load_params(spark: SparkSession, params: prepare.PrepParams, name: str) -> prepare.PrepParams:
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     params.to_table(spark).write.mode("overwrite").parquet(path)

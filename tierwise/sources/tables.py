@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -32,9 +33,9 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
             return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
         if ext in (".json", ".jsonl"):
             return spark.read.json(path, schema=schema)
-        if os.path.isdir(path):
+        if not ext:
             return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - reference semantics: unreadable -> None
+    except AnalysisException:  # missing or unreadable -> None; faults of the cluster still show
         return None
     return None
 
