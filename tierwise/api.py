@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .constants import (DEFAULT_AVG_LOAN, DEFAULT_P3_RATE, DEFAULT_P4_RATE, KEY_COL, SENSITIVE_ATTRS,
+from .constants import (DEFAULT_AVG_LOAN, DEFAULT_P3_RATE, DEFAULT_P4_RATE, SENSITIVE_ATTRS,
                         TARGET_COL, TIER_TEXT_ANALYST)
 from .operators import ask as ask_ops
 from .operators import evaluate, explain, fairness, impact, merge, models, prepare, schema, split
@@ -48,11 +48,17 @@ def merge_inputs(internal: DataFrame, external: DataFrame, key: tuple[str, str]
     return merge.merge(internal, external, key)
 
 
-def train(spark: SparkSession, internal: DataFrame, external: DataFrame, key: str = KEY_COL,
+def train(spark: SparkSession, internal: DataFrame, external: DataFrame, key: str | None = None,
           sample_pct: int = 100, test_pct: int = 20, seed: int = 42, fit_on: str = "all",
           model_names: tuple[str, ...] = ("logistic", "additive")) -> TrainResult:
-    """Merge, prepare, stratified sample + split, fit both models, evaluate."""
-    merged = materialize(spark, merge_inputs(internal, external), "merged")
+    """Merge, prepare, stratified sample + split, fit both models, evaluate.
+    ``key`` is the shared key's name in ``internal``; by default it is detected."""
+    pair = schema.find_common_key(internal.columns, external.columns) if key is None else \
+        (key, schema.find_common_key([key], external.columns)[1])
+    if not pair[0] or not pair[1]:
+        raise ValueError("the two inputs share no key column; merge them with merge.merge_positional first")
+    key = pair[0]
+    merged = materialize(spark, merge_inputs(internal, external, pair), "merged")
     schema.require_target(merged)
     fit_rows = merged                         # reference: statistics fitted on all rows (QUIRK 10)
     if fit_on == "train":                     # option: fit on the rows of the train split only
@@ -138,15 +144,16 @@ def ask(res: TrainResult, questions: DataFrame, external: DataFrame, model: str
     m = res.models[model]
     rows = res.split_df.drop("split")
     routed = ask_ops.route(questions)
-    named = routed.filter(F.col("intent") == "explain_applicant").select(F.col("idx").alias(res.key))
-    asked = rows.join(named, res.key, "left_semi")
+    named = routed.filter(F.col("intent") == "explain_applicant").select(F.col("idx").cast("string").alias("_asked"))
+    text_key = F.col(res.key).cast("string")
+    asked = rows.join(named, text_key == F.col("_asked"), "left_semi")
     info = models.score(asked, m, [res.key]).select(res.key, models.tier_of(F.col("pred")).alias("pred_tier"),
                                                     "confidence")
-    top = explain.local_topn(asked, m, res.key, 5).join(info, res.key)
+    top = explain.local_topn(asked, m, res.key, 5, by="phi_pred").join(info, res.key)
     n_rows = rows.agg(F.count(F.lit(1))).scalar()
     pairs = routed.filter(F.col("intent") == "compare_applicants").select("idx_a", "idx_b").distinct()
-    ids = pairs.select(F.col("idx_a").alias(res.key)).union(pairs.select(F.col("idx_b").alias(res.key)))
-    prs = rows.join(ids, res.key, "left_semi")
+    ids = pairs.select(F.explode(F.array(F.col("idx_a").cast("string"), F.col("idx_b").cast("string"))).alias("_asked"))
+    prs = rows.join(ids, text_key == F.col("_asked"), "left_semi")
     pinfo = models.score(prs, m, [res.key]).select(res.key, models.tier_of(F.col("pred")).alias("pred_tier"),
                                                    "confidence")
     delta = explain.pair_delta(prs, m, res.key, pairs, 5)
@@ -160,8 +167,8 @@ def ask(res: TrainResult, questions: DataFrame, external: DataFrame, model: str
     texts = ask_ops.fairness_text(rates, fairness.differences(rates))
     perf = ask_ops.performance_text(evaluate.model_summary(res.predictions),
                                     res.test.agg(F.count(F.lit(1))).scalar())
-    return (ask_ops.answer_explain(routed, top, n_rows, TIER_TEXT_ANALYST)
-            .unionByName(ask_ops.answer_compare(routed, delta, pinfo, n_rows))
+    return (ask_ops.answer_explain(routed, top, n_rows, TIER_TEXT_ANALYST, res.key)
+            .unionByName(ask_ops.answer_compare(routed, delta, pinfo, n_rows, res.key))
             .unionByName(ask_ops.answer_global(routed, gtop))
             .unionByName(ask_ops.answer_fairness(routed, texts, external.columns))
             .unionByName(ask_ops.answer_performance(routed, perf))

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..constants import (ANSWER_COMPARE, ANSWER_EXPLAIN, ANSWER_FAIRNESS, ANSWER_GLOBAL, ANSWER_PERFORMANCE,
                          ATTR_NOT_FOUND, COMPARE_LINE, COMPARE_OUT_OF_RANGE, DEFAULT_FAIRNESS_ATTR,
-                         DEFAULT_RECOMMENDATION, EXPLAIN_OUT_OF_RANGE, FAIRNESS_LINE, GLOBAL_LINE, HELP_TEXT,
-                         INTENT_PATTERNS, PERFORMANCE_ROW, PROMPT_EXPLAIN, PROMPT_LINE, REASON_LINE,
-                         SENSITIVE_ATTRS, UNKNOWN_TEXT)
+                         DEFAULT_RECOMMENDATION, EXPLAIN_OUT_OF_RANGE, FAIRNESS_LINE, GLOBAL_LINE, GLOBAL_PROMPT_LINE,
+                         HELP_TEXT, INTENT_PATTERNS, KEY_COL, PERFORMANCE_ROW, PROMPT_COMPARE, PROMPT_COMPARE_LINE,
+                         PROMPT_EXPLAIN, PROMPT_FAIRNESS, PROMPT_GLOBAL, PROMPT_LINE, PROMPT_MODEL_LINE,
+                         PROMPT_PERFORMANCE, PROMPT_RATE_LINE, REASON_LINE, SENSITIVE_ATTRS, UNKNOWN_TEXT)
 from ..functions.numeric import traffic_light
 from ..functions.text import fill, fmt_fixed, fmt_pct, fmt_thousands, py_strip
 
@@ -63,39 +64,40 @@ def _tier_map(tier_text: dict) -> Column:
     return F.create_map(*[x for t, d in tier_text.items() for x in (F.lit(t), F.lit(d))])
 
 
-def answer_explain(routed: DataFrame, topn: DataFrame, n_rows: Column, tier_text: dict) -> DataFrame:
+def answer_explain(routed: DataFrame, topn: DataFrame, n_rows: Column, tier_text: dict, key: str = KEY_COL) -> DataFrame:
     """L4: template answer for 'explain applicant N'.
 
-    ``topn``: (PROSPECTID, rank, feature, mean_phi, pred_tier, confidence) top-5 rows;
+    ``topn``: (key, rank, feature, phi_pred, pred_tier, confidence) top-5 rows;
     ``n_rows``: a scalar-subquery column with the number of applicants.
     """
-    per = (topn.groupBy("PROSPECTID").agg(
+    per = (topn.groupBy(key).agg(
         F.first("pred_tier").alias("pred_tier"), F.first("confidence").alias("confidence"),
-        F.sort_array(F.collect_list(F.struct("rank", "feature", "mean_phi"))).alias("top")))
+        F.sort_array(F.collect_list(F.struct("rank", "feature", "phi_pred"))).alias("top")))
     q = routed.filter(F.col("intent") == "explain_applicant").select("qid", "idx")
-    j = q.join(per, q.idx == per.PROSPECTID, "left").withColumn("n_rows", n_rows)
+    j = q.join(per, q.idx.cast("string") == per[key].cast("string"), "left").withColumn("n_rows", n_rows)
     reasons = _top_lines(F.col("top"), 3, lambda x: fill(
-        REASON_LINE, feature=x["feature"], value=fmt_fixed(x["mean_phi"], 4, signed=True),
-        direction=F.when(x["mean_phi"] > 0, F.lit("positive")).otherwise(F.lit("negative"))))
+        REASON_LINE, feature=x["feature"], value=fmt_fixed(x["phi_pred"], 4, signed=True),
+        direction=F.when(x["phi_pred"] > 0, F.lit("positive")).otherwise(F.lit("negative"))))
     text = fill(ANSWER_EXPLAIN, idx=F.col("idx").cast("string"), tier=F.col("pred_tier"),
                 desc=F.coalesce(_tier_map(tier_text)[F.col("pred_tier")], F.lit("")),
                 confidence=fmt_pct("confidence"), reasons=reasons,
                 rec=F.coalesce(F.element_at("top", 1)["feature"], F.lit(DEFAULT_RECOMMENDATION)))
     missing = fill(EXPLAIN_OUT_OF_RANGE, idx=F.col("idx").cast("string"), n=F.col("n_rows").cast("string"))
     return j.select("qid", F.lit("explain_applicant").alias("intent"),
-                    F.when(F.col("PROSPECTID").isNull(), missing).otherwise(text).alias("answer"))
+                    F.when(F.col(key).isNull(), missing).otherwise(text).alias("answer"))
 
 
-def answer_compare(routed: DataFrame, delta: DataFrame, info: DataFrame, n_rows: Column) -> DataFrame:
+def answer_compare(routed: DataFrame, delta: DataFrame, info: DataFrame, n_rows: Column, key: str = KEY_COL) -> DataFrame:
     """L5: 'compare applicants A and B' with the top-3 differences.
 
-    ``delta``: (idx_a, idx_b, rank, feature, va, vb); ``info``: (PROSPECTID, pred_tier, confidence)."""
+    ``delta``: (idx_a, idx_b, rank, feature, va, vb); ``info``: (key, pred_tier, confidence)."""
     d = delta.groupBy("idx_a", "idx_b").agg(F.sort_array(F.collect_list(F.struct("rank", "feature", "va", "vb")))
                                             .alias("top"))
     q = routed.filter(F.col("intent") == "compare_applicants").select("qid", "idx_a", "idx_b")
-    ia = info.select(F.col("PROSPECTID").alias("idx_a"), F.col("pred_tier").alias("pa"), F.col("confidence").alias("ca"))
-    ib = info.select(F.col("PROSPECTID").alias("idx_b"), F.col("pred_tier").alias("pb"), F.col("confidence").alias("cb"))
-    j = (q.join(ia, "idx_a", "left").join(ib, "idx_b", "left").join(d, ["idx_a", "idx_b"], "left")
+    ia = info.select(F.col(key).cast("string").alias("key_a"), F.col("pred_tier").alias("pa"), F.col("confidence").alias("ca"))
+    ib = info.select(F.col(key).cast("string").alias("key_b"), F.col("pred_tier").alias("pb"), F.col("confidence").alias("cb"))
+    j = (q.join(ia, q.idx_a.cast("string") == ia.key_a, "left").join(ib, q.idx_b.cast("string") == ib.key_b, "left")
+          .join(d, ["idx_a", "idx_b"], "left")
           .withColumn("n_rows", n_rows))
     a, b = F.col("idx_a").cast("string"), F.col("idx_b").cast("string")
     lines = _top_lines(F.col("top"), 3, lambda x: fill(
@@ -103,7 +105,7 @@ def answer_compare(routed: DataFrame, delta: DataFrame, info: DataFrame, n_rows:
         vb=fmt_fixed(x["vb"], 4, signed=True)))
     text = fill(ANSWER_COMPARE, a=a, tier_a=F.col("pa"), conf_a=fmt_pct("ca"), b=b, tier_b=F.col("pb"),
                 conf_b=fmt_pct("cb"), lines=F.coalesce(lines, F.lit("")))
-    missing = fill(COMPARE_OUT_OF_RANGE, n=F.col("n_rows").cast("string"))
+    missing = fill(COMPARE_OUT_OF_RANGE, n=F.col("n_rows").cast("string"), last=(F.col("n_rows") - 1).cast("string"))
     return j.select("qid", F.lit("compare_applicants").alias("intent"),
                     F.when(F.col("pa").isNull() | F.col("pb").isNull(), missing).otherwise(text).alias("answer"))
 
@@ -169,8 +171,46 @@ def prompt_explain(topn_arr: Column, idx: Column, pred_tier: Column, confidence:
     """The prompt for an external model, built from computed values."""
     lines = F.array_join(F.transform(topn_arr, lambda x, i: fill(
         PROMPT_LINE, rank=(i + 1).cast("string"), feature=x["feature"],
-        value=fmt_fixed(x["mean_phi"], 4, signed=True),
-        direction=F.when(x["mean_phi"] > 0, F.lit("increases")).otherwise(F.lit("decreases")))), "\n")
+        value=fmt_fixed(x["phi_pred"], 4, signed=True),
+        direction=F.when(x["phi_pred"] > 0, F.lit("increases")).otherwise(F.lit("decreases")))), "\n")
     return fill(PROMPT_EXPLAIN, idx=idx.cast("string"), tier=pred_tier,
                 desc=F.coalesce(_tier_map(tier_text)[pred_tier], F.lit("")), confidence=fmt_pct(confidence),
                 lines=lines)
+
+
+def prompt_compare(top: Column, a: Column, tier_a: Column, conf_a: Column, b: Column, tier_b: Column,
+                   conf_b: Column) -> Column:
+    """The prompt that compares two applicants; ``top``: array of (feature, va, vb)."""
+    lines = F.array_join(F.transform(top, lambda x: fill(
+        PROMPT_COMPARE_LINE, feature=x["feature"], a=a.cast("string"), va=fmt_fixed(x["va"], 4, signed=True),
+        b=b.cast("string"), vb=fmt_fixed(x["vb"], 4, signed=True), delta=fmt_fixed(x["vb"] - x["va"], 4, signed=True))), "\n")
+    return fill(PROMPT_COMPARE, a=a.cast("string"), tier_a=tier_a, conf_a=fmt_pct(conf_a), b=b.cast("string"),
+                tier_b=tier_b, conf_b=fmt_pct(conf_b), lines=lines,
+                verdict=F.when(tier_b < tier_a, F.lit("better")).otherwise(F.lit("worse")))
+
+
+def prompt_global(top: DataFrame) -> DataFrame:
+    """The prompt on global importance from the (feature, importance, rank) top-10 table (bounded)."""
+    arr = F.sort_array(F.collect_list(F.struct("rank", "feature", "importance")))
+    lines = F.array_join(F.transform(arr, lambda x: fill(
+        GLOBAL_PROMPT_LINE, rank=x["rank"].cast("string"), feature=x["feature"], value=fmt_fixed(x["importance"], 4))), "\n")
+    return top.agg(fill(PROMPT_GLOBAL, lines=lines).alias("prompt"))
+
+
+def prompt_fairness(rates: DataFrame, diff: DataFrame) -> DataFrame:
+    """The fairness prompt per attribute."""
+    r = rates.groupBy("attr").agg(F.sort_array(F.collect_list(F.struct(
+        (-F.col("selection_rate")).alias("neg"), F.col("grp"), F.col("selection_rate")))).alias("rs"))
+    lines = F.array_join(F.transform("rs", lambda x: fill(PROMPT_RATE_LINE, group=x["grp"],
+                                                          rate=fmt_pct(x["selection_rate"]))), "\n")
+    return r.join(diff.select("attr", "dpd", "eod"), "attr").select("attr", fill(
+        PROMPT_FAIRNESS, attr=F.col("attr"), dpd=fmt_fixed("dpd", 4), eod=fmt_fixed("eod", 4), lines=lines).alias("prompt"))
+
+
+def prompt_performance(summary: DataFrame, n_test: Column) -> DataFrame:
+    """The performance prompt, a line per model."""
+    rows = F.sort_array(F.collect_list(F.struct("model", "f1_macro", "auc_ovr")))
+    body = F.array_join(F.transform(rows, lambda x: fill(
+        PROMPT_MODEL_LINE, model=x["model"], f1=fmt_fixed(x["f1_macro"], 3), auc=fmt_fixed(x["auc_ovr"], 3))), "\n")
+    t = summary.agg(body.alias("body")).withColumn("n_test", n_test)
+    return t.select(fill(PROMPT_PERFORMANCE, n=fmt_thousands("n_test"), lines=F.col("body")).alias("prompt"))

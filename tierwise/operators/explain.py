@@ -55,29 +55,32 @@ def phi_long(df: DataFrame, model, key: str) -> DataFrame:
     return df.select(key, F.inline(items))
 
 
-def feature_structs(model, pred_col: str | None = "pred") -> Column:
+def feature_structs(model, by: str = "mean_abs") -> Column:
     """Per row: array<struct<k, feature, value, mean_abs, mean_phi, phi_pred>>,
-    where ``k = -mean_abs`` so that ``sort_array`` ranks by mean |phi| desc,
-    then feature name (codegen'd; no lambda)."""
+    where ``k`` is minus the ranking value, so that ``sort_array`` ranks by
+    mean |phi| over classes (``by="mean_abs"``) or by |phi| of the predicted
+    class (``by="phi_pred"``), then feature name (codegen'd; no lambda).  Over
+    all classes the phi of a softmax model can cancel out; the predicted
+    class's does not.  Reads the predicted class from ``pred``."""
     ph = phi_exprs(model)
     items = []
     for f in model.features:
         terms = [ph[(f, k)] for k in range(K)]
         mean_abs = sum((F.abs(t) for t in terms[1:]), F.abs(terms[0])) / F.lit(float(K))
         mean_phi = sum(terms[1:], terms[0]) / F.lit(float(K))
-        fields = [(-mean_abs).alias("k"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
-                  mean_abs.alias("mean_abs"), mean_phi.alias("mean_phi")]
-        if pred_col:
-            fields.append(F.element_at(F.array(*terms), F.col(pred_col) + 1).alias("phi_pred"))
-        items.append(F.struct(*fields))
+        phi_pred = F.element_at(F.array(*terms), F.col("pred") + 1)
+        k = -mean_abs if by == "mean_abs" else -F.abs(phi_pred)
+        items.append(F.struct(k.alias("k"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
+                              mean_abs.alias("mean_abs"), mean_phi.alias("mean_phi"), phi_pred.alias("phi_pred")))
     return F.array(*items)
 
 
-def local_topn(df: DataFrame, model, key: str, n: int = 10) -> DataFrame:
-    """Per row, top-n features by mean |phi| over classes, with the mean
-    signed phi (reference display) and the predicted-class phi."""
+def local_topn(df: DataFrame, model, key: str, n: int = 10, by: str = "mean_abs") -> DataFrame:
+    """Per row, top-n features by mean |phi| over classes (or, with
+    ``by="phi_pred"``, by the predicted class's |phi|), with the mean signed
+    phi (reference display) and the predicted-class phi."""
     s = score(df, model, [key] + list(model.features))
-    arr = F.slice(F.sort_array(feature_structs(model)), 1, n)
+    arr = F.slice(F.sort_array(feature_structs(model, by)), 1, n)
     return (s.select(key, "pred", F.posexplode(arr).alias("pos", "t"))
              .select(key, "pred", (F.col("pos") + 1).alias("rank"), "t.feature", "t.value", "t.mean_abs",
                      "t.mean_phi", "t.phi_pred"))
@@ -144,18 +147,19 @@ def waterfall(df: DataFrame, model, key: str, max_display: int = 10, cls: int |
 
 
 def pair_delta(df: DataFrame, model, key: str, pairs: DataFrame, n: int = 5) -> DataFrame:
-    """I9 + D8: for each (idx_a, idx_b), the top-n features by |mean phi(b) -
-    mean phi(a)| with both values."""
-    ex = df.select(F.col(key), feature_structs(model, None).alias("fs"))
-    a = ex.select(F.col(key).alias("idx_a"), F.col("fs").alias("fa"))
-    b = ex.select(F.col(key).alias("idx_b"), F.col("fs").alias("fb"))
-    j = pairs.join(a, "idx_a").join(b, "idx_b")
+    """I9 + D8: for each (idx_a, idx_b), the top-n features by |phi(b) - phi(a)|,
+    each applicant's phi being that of their own predicted class."""
+    ex = score(df, model, [key] + list(model.features)).select(F.col(key), feature_structs(model).alias("fs"))
+    a = ex.select(F.col(key).cast("string").alias("_key_a"), F.col("fs").alias("fa"))
+    b = ex.select(F.col(key).cast("string").alias("_key_b"), F.col("fs").alias("fb"))
+    j = (pairs.join(a, F.col("idx_a").cast("string") == F.col("_key_a"))
+              .join(b, F.col("idx_b").cast("string") == F.col("_key_b")))
     nf = len(model.features)
     items = []
     for i in range(nf):
         x, y = F.element_at("fa", i + 1), F.element_at("fb", i + 1)
-        items.append(F.struct((-F.abs(y["mean_phi"] - x["mean_phi"])).alias("k"), x["feature"].alias("feature"),
-                              x["mean_phi"].alias("va"), y["mean_phi"].alias("vb")))
+        items.append(F.struct((-F.abs(y["phi_pred"] - x["phi_pred"])).alias("k"), x["feature"].alias("feature"),
+                              x["phi_pred"].alias("va"), y["phi_pred"].alias("vb")))
     top = F.slice(F.sort_array(F.array(*items)), 1, n)
     return (j.select("idx_a", "idx_b", F.posexplode(top).alias("pos", "t"))
              .select("idx_a", "idx_b", (F.col("pos") + 1).alias("rank"), "t.feature", "t.va", "t.vb",

@@ -120,27 +120,20 @@ def headline(mm: DataFrame, model: str) -> DataFrame:
 
 
 def comparison_report(mm: DataFrame, baseline: str, challenger: str) -> DataFrame:
-    """K9 / A10: 6-row comparison with 'Better' (strict; ties to the baseline)."""
-    s = side_by_side(mm, ["f1_macro", "auc_ovr", "accuracy", "npa_total", "npa_exposure", "fn_p4"],
-                     baseline, challenger)
-    b, c = F.lit(baseline), F.lit(challenger)
-
-    def row(pos, name, bv, cv, better):
-        return F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("metric"), bv.alias("baseline_value"),
-                        cv.alias("challenger_value"), F.when(better, c).otherwise(b).alias("better"))
-    m = COMPARISON_METRICS
-    rows = F.array(
-        row(1, m[0], fmt_fixed("b_f1_macro", 3), fmt_fixed("c_f1_macro", 3),
-            F.col("c_f1_macro") > F.col("b_f1_macro")),
-        row(2, m[1], fmt_fixed("b_auc_ovr", 3), fmt_fixed("c_auc_ovr", 3),
-            F.col("c_auc_ovr") > F.col("b_auc_ovr")),
-        row(3, m[2], fmt_pct("b_accuracy"), fmt_pct("c_accuracy"),
-            F.col("c_accuracy") > F.col("b_accuracy")),
-        row(4, m[3], fmt_crore("b_npa_total"), fmt_crore("c_npa_total"),
-            F.col("c_npa_total") > F.col("b_npa_total")),
-        row(5, m[4], fmt_crore("b_npa_exposure"), fmt_crore("c_npa_exposure"),
-            F.col("c_npa_exposure") < F.col("b_npa_exposure")),
-        row(6, m[5], F.col("b_fn_p4").cast("string"), F.col("c_fn_p4").cast("string"),
-            F.col("c_fn_p4") < F.col("b_fn_p4")),
-    )
-    return s.select(F.inline(rows))
+    """K9 / A10: 9-row comparison with 'Better' (strict; ties to the baseline)."""
+    s = side_by_side(mm, ["f1_macro", "f1_weighted", "auc_ovr", "accuracy", "total_correct", "approved", "approval_rate",
+                          "npa_total", "npa_exposure", "fn_p4"], baseline, challenger)
+    texts = [("f1_macro", lambda x: fmt_fixed(x, 3), 1), ("f1_weighted", lambda x: fmt_fixed(x, 3), 1),
+             ("auc_ovr", lambda x: fmt_fixed(x, 3), 1), ("accuracy", fmt_pct, 1), ("total_correct", fmt_thousands, 1),
+             ("approved", fmt_thousands, 1), ("npa_total", fmt_crore, 1), ("npa_exposure", fmt_crore, -1),
+             ("fn_p4", lambda x: F.col(x).cast("string"), -1)]
+    rows = []
+    for i, ((c, text, sign), name) in enumerate(zip(texts, COMPARISON_METRICS)):
+        def shown(side, c=c, text=text):
+            v = text(f"{side}_{c}")
+            return F.concat(v, F.lit(" ("), fmt_pct(f"{side}_approval_rate"), F.lit(")")) if c == "approved" else v
+        better = F.col(f"c_{c}") > F.col(f"b_{c}") if sign > 0 else F.col(f"c_{c}") < F.col(f"b_{c}")
+        rows.append(F.struct(F.lit(i + 1).alias("pos"), F.lit(name).alias("metric"), shown("b").alias("baseline_value"),
+                             shown("c").alias("challenger_value"),
+                             F.when(better, F.lit(challenger)).otherwise(F.lit(baseline)).alias("better")))
+    return s.select(F.inline(F.array(*rows)))

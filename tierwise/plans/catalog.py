@@ -60,7 +60,7 @@ def q_preview(spark, d):
     return Workbench(spark, d).merged.orderBy(KEY_COL).limit(5)
 
 
-@query("scored_sink", rows_only=True)
+@query("scored_sink")
 def q_scored_sink(spark, d):
     """Write the scored batch as CSV (header, no index) and read it back."""
     from ..sources import sinks
@@ -76,7 +76,6 @@ def q_model_save_load(spark, d):
     from ..sources import sinks
     wb = Workbench(spark, d)
     m = sinks.save_load_linear(spark, wb.fixed_a, "model_save_load")
-    m.background = wb.fixed_a.background
     p = sinks.save_load_params(spark, wb.params, "model_save_load_params")
     test = prepare.transform(wb.merged, p, KEY_COL, TARGET_COL).join(
         wb.test.select(KEY_COL), KEY_COL, "left_semi")
@@ -84,6 +83,15 @@ def q_model_save_load(spark, d):
     return _r6all(s.select(KEY_COL, "pred", *models.prob_cols()), models.prob_cols())
 
 
+@query("additive_save_load")
+def q_additive_save_load(spark, d):
+    """A7 + A8: the additive model saved, loaded and used to explain."""
+    from ..sources import sinks
+    wb = Workbench(spark, d)
+    m = sinks.save_load_additive(spark, wb.fixed_shape_model, "additive_save_load")
+    return _r6all(explain.phi_long(_explain_rows(wb), m, KEY_COL), ["value", "phi"])
+
+
 # =========================================================== B schema
 KEY_CASES = [("documents_labels", "documents", "labels"), ("orders_customer", "orders", "customer"),
              ("conversations_documents", "conversations", "documents"),
@@ -589,7 +597,7 @@ def q_answer_explain(spark, d):
     wb = Workbench(spark, d)
     rows = _explain_rows(wb)
     asked = _named(rows, _explain_question_ids(spark, d))
-    top = explain.local_topn(asked, wb.fixed_a, KEY_COL, 5).join(_applicant_info(wb, asked), KEY_COL)
+    top = explain.local_topn(asked, wb.fixed_a, KEY_COL, 5, by="phi_pred").join(_applicant_info(wb, asked), KEY_COL)
     n_rows = rows.agg(F.count(F.lit(1))).scalar()
     return ask.answer_explain(ask.route(fixtures.questions(spark, d)), top, n_rows, TIER_TEXT_ANALYST)
 
@@ -612,20 +620,24 @@ def q_answer_global(spark, d):
     return ask.answer_global(ask.route(fixtures.questions(spark, d)), top)
 
 
+def _asked_rates(wb: Workbench, routed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Group rates and differences of the attributes that questions name and
+    the external table has.  The names are collected first (at most its column
+    count), so only those columns are unpivoted."""
+    cols = [c for c in wb.external.columns if c.upper() == c and c != TARGET_COL]
+    named = routed.filter((F.col("intent") == "fairness") & F.col("attr").isin(cols)).select("attr").distinct().collect()
+    preds = wb.fixed_preds.filter(F.col("model") == BASELINE)
+    rates = fairness.group_rates(wb.attrs_long(preds, [c for c in cols if c in {r["attr"] for r in named}] or cols[:1]))
+    return rates, fairness.differences(rates)
+
+
 @query("answer_fairness")
 def q_answer_fairness(spark, d):
     """Fairness answers for every attribute any question names that exists
     in the external table (bounded by its column count)."""
     wb = Workbench(spark, d)
     routed = ask.route(fixtures.questions(spark, d))
-    cols = [c for c in wb.external.columns if c.upper() == c and c != TARGET_COL]
-    preds = wb.fixed_preds.filter(F.col("model") == BASELINE)
-    wanted = routed.filter((F.col("intent") == "fairness") & F.col("attr").isin(cols)).select("attr").distinct()
-    # wanted: at most len(cols) rows -> safe to broadcast; filter before aggregating
-    long = wb.attrs_long(preds, cols).join(F.broadcast(wanted), "attr", "left_semi")
-    rates = fairness.group_rates(long)
-    texts = ask.fairness_text(rates, fairness.differences(rates))
-    return ask.answer_fairness(routed, texts, wb.external.columns)
+    return ask.answer_fairness(routed, ask.fairness_text(*_asked_rates(wb, routed)), wb.external.columns)
 
 
 @query("answer_performance")
@@ -643,16 +655,40 @@ def q_answer_static(spark, d):
 
 @query("prompt_text")
 def q_prompt_text(spark, d):
-    """Prompt text for every 'explain applicant' question with a known applicant."""
+    """The prompt of every explain, compare, global, fairness and
+    performance question whose applicants or attribute are known."""
     wb = Workbench(spark, d)
-    asked = _named(_explain_rows(wb), _explain_question_ids(spark, d))
-    top = explain.local_topn(asked, wb.fixed_a, KEY_COL, 5).join(_applicant_info(wb, asked), KEY_COL)
+    routed = ask.route(fixtures.questions(spark, d))
+    rows = _explain_rows(wb)
+    asked = _named(rows, _explain_question_ids(spark, d))
+    top = explain.local_topn(asked, wb.fixed_a, KEY_COL, 5, by="phi_pred").join(_applicant_info(wb, asked), KEY_COL)
     per = top.groupBy(KEY_COL).agg(F.first("pred_tier").alias("pred_tier"), F.first("confidence").alias("confidence"),
-                                   F.sort_array(F.collect_list(F.struct("rank", "feature", "mean_phi"))).alias("top"))
-    q = ask.route(fixtures.questions(spark, d)).filter(F.col("intent") == "explain_applicant").select("qid", "idx")
-    j = q.join(per, q.idx == per[KEY_COL], "inner")
-    return j.select("qid", ask.prompt_explain(F.col("top"), F.col("idx"), F.col("pred_tier"), F.col("confidence"),
-                                              TIER_TEXT_ANALYST).alias("prompt"))
+                                   F.sort_array(F.collect_list(F.struct("rank", "feature", "phi_pred"))).alias("top"))
+    q = routed.filter(F.col("intent") == "explain_applicant").select("qid", "idx")
+    explained = q.join(per, q.idx == per[KEY_COL], "inner").select("qid", ask.prompt_explain(
+        F.col("top"), F.col("idx"), F.col("pred_tier"), F.col("confidence"), TIER_TEXT_ANALYST).alias("prompt"))
+
+    pairs = _compare_pairs(spark, d)
+    both = _named(rows, _pair_ids(pairs))
+    delta = explain.pair_delta(both, wb.fixed_a, KEY_COL, pairs, 5).groupBy("idx_a", "idx_b").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "feature", "va", "vb"))).alias("top"))
+    info = _applicant_info(wb, both)
+    side = lambda x: info.select(F.col(KEY_COL).alias(f"idx_{x}"), F.col("pred_tier").alias(f"tier_{x}"),
+                                 F.col("confidence").alias(f"conf_{x}"))
+    q = routed.filter(F.col("intent") == "compare_applicants").select("qid", "idx_a", "idx_b")
+    compared = q.join(delta, ["idx_a", "idx_b"]).join(side("a"), "idx_a").join(side("b"), "idx_b").select(
+        "qid", ask.prompt_compare(F.col("top"), *[F.col(c) for c in ("idx_a", "tier_a", "conf_a", "idx_b", "tier_b",
+                                                                     "conf_b")]).alias("prompt"))
+
+    said = ask.prompt_global(explain.global_importance(rows, wb.fixed_a, 10)).scalar()
+    overall = routed.filter(F.col("intent") == "global_importance").select("qid", said.alias("prompt"))
+    rates, diff = _asked_rates(wb, routed)
+    fair = routed.filter(F.col("intent") == "fairness").select("qid", "attr").join(
+        ask.prompt_fairness(rates, diff), "attr").select("qid", "prompt")
+    n_test = wb.test.agg(F.count(F.lit(1))).scalar()
+    said = ask.prompt_performance(evaluate.model_summary(wb.fixed_preds), n_test).scalar()
+    perf = routed.filter(F.col("intent") == "model_performance").select("qid", said.alias("prompt"))
+    return explained.unionByName(compared).unionByName(overall).unionByName(fair).unionByName(perf)
 
 
 @query("applicant_report")
@@ -674,10 +710,10 @@ def q_applicant_report(spark, d):
         F.struct(F.lit("probability").alias("section"), F.lit(k + 1).alias("pos"), F.lit(t).alias("label"),
                  fmt_pct(f"Prob_{t}").alias("value"), F.lit(TIER_TEXT_SCORING[t]).alias("note"))
         for k, t in enumerate(TIER_CODES)])))
-    top = explain.local_topn(wb.test, wb.fixed_a, KEY_COL, 10)
+    top = explain.local_topn(wb.test, wb.fixed_a, KEY_COL, 10, by="phi_pred")
     factors = top.select(KEY_COL, F.lit("factor").alias("section"), F.col("rank").alias("pos"),
-                         F.col("feature").alias("label"), fmt_fixed("mean_phi", 4, signed=True).alias("value"),
-                         F.when(F.col("mean_phi") > 0, "Positive").otherwise("Negative").alias("note"))
+                         F.col("feature").alias("label"), fmt_fixed("phi_pred", 4, signed=True).alias("value"),
+                         F.when(F.col("phi_pred") > 0, "Positive").otherwise("Negative").alias("note"))
     return head.unionByName(probs).unionByName(factors)
 
 
@@ -694,7 +730,7 @@ def q_lime(spark, d):
     return lime.lime_batch(wb.train, _explain_rows(wb), _explain_question_ids(spark, d), wb.fixed_a, KEY_COL)
 
 
-@query("stream_score", rows_only=True)
+@query("stream_score")
 def q_stream_score(spark, d):
     """Streaming scoring of the unseen batch: written as parquet files, read
     with readStream, prepared + scored per micro-batch, written exactly once."""
@@ -750,19 +786,20 @@ def q_contract(spark, d):
     return spark.createDataFrame(rows, "table_name string, required string, present boolean")
 
 
-@query("load_csv", rows_only=True)
+@query("load_csv")
 def q_load_csv(spark, d):
     """A1: the internal table written as CSV (header) and loaded back by file
-    extension with inferred types."""
+    extension, with the table's types."""
     import uuid
     from ..config import scratch_path
     from ..sources.tables import load_table
     path = scratch_path(spark, f"internal-{uuid.uuid4().hex}.csv")
-    Workbench(spark, d).internal.write.mode("overwrite").option("header", True).csv(path)
-    return load_table(spark, path)
+    internal = Workbench(spark, d).internal
+    internal.write.mode("overwrite").option("header", True).csv(path)
+    return load_table(spark, path, internal.schema)
 
 
-@query("load_inputs", rows_only=True)
+@query("load_inputs")
 def q_load_inputs(spark, d):
     """A2: internal + external loaded as the required inputs, then merged on
     the detected key (PROSPECTID / prospectid)."""

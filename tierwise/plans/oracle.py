@@ -105,8 +105,7 @@ FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_custke
 cte("external0", ["cust_lines"], """
 SELECT c.c_custkey AS k, c.c_nationkey, c.c_acctbal, c.c_mktsegment, cl.dq, cl.sd, cl.n,
   469 + CAST(floor((c.c_acctbal + 1000) * 342 / 11000) AS BIGINT) AS cs
-FROM customer c LEFT JOIN cust_lines cl ON cl.o_custkey = c.c_custkey
-WHERE c.c_custkey % 97 <> 5""")
+FROM customer c LEFT JOIN cust_lines cl ON cl.o_custkey = c.c_custkey""")
 
 cte("external", ["external0"], """
 SELECT k AS prospectid,
@@ -170,14 +169,14 @@ cte("prep_long", ["prepared", "cats"], "\nUNION ALL\n".join(
     + [f"SELECT p.PROSPECTID, p.label, '{c}_' || ct.cat AS feature, CASE WHEN p.{c} = ct.cat THEN 1.0 ELSE 0.0 END "
        f"AS value FROM prepared p JOIN cats ct ON ct.col = '{c}'" for c in CATS]))
 
-# --- unseen: merged rows k%10=3, three columns absent (raw 0.0 / fitted mode), GENDER 'X' where k%30=3
+# --- unseen: merged rows, three columns absent (raw 0.0 / fitted mode), GENDER 'X' where k%30=3
 cte("unseen_prepared", ["merged", "medians", "modes", "moments"], "SELECT m.PROSPECTID, " + ", ".join(
     f"(coalesce({'0.0' if c in UNSEEN_ABSENT else f'CAST(m.{c} AS DOUBLE)'}, md.md_{c}) - mo.mu_{c}) / "
     f"CASE WHEN mo.sd_{c} = 0 THEN 1 ELSE mo.sd_{c} END AS {c}" for c in NUMS) + ", " + ", ".join(
     (f"md2.mo_{c} AS {c}" if c in UNSEEN_ABSENT else
      (f"coalesce(CASE WHEN m.PROSPECTID % 30 = 3 THEN 'X' ELSE m.GENDER END, md2.mo_{c}) AS {c}" if c == "GENDER"
       else f"coalesce(m.{c}, md2.mo_{c}) AS {c}")) for c in CATS)
-    + " FROM merged m, medians md, modes md2, moments mo WHERE m.PROSPECTID % 10 = 3")
+    + " FROM merged m, medians md, modes md2, moments mo")
 
 cte("unseen_long", ["unseen_prepared", "cats"], "\nUNION ALL\n".join(
     [f"SELECT PROSPECTID, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM unseen_prepared" for c in NUMS]
@@ -386,7 +385,9 @@ def pct1(x: str, d: int = 1) -> str:
 
 
 def fixed(x: str, d: int, signed: bool = False) -> str:
-    return f"printf('%{'+' if signed else ''}.{d}f', {rn(x, d)})"
+    if not signed:
+        return f"printf('%.{d}f', {rn(x, d)})"
+    return f"CASE WHEN {x} < 0 THEN '-' ELSE '+' END || printf('%.{d}f', {rn(f'abs({x})', d)})"
 
 
 def thousands(x: str) -> str:
@@ -459,8 +460,8 @@ FROM routed0""")
 cte("pairs", ["routed"], "SELECT DISTINCT idx_a, idx_b FROM routed WHERE intent = 'compare_applicants'")
 cte("fa_delta", ["pairs", "fa_feat"], """
 SELECT * FROM (
-  SELECT p.idx_a, p.idx_b, a.feature, a.mean_phi AS va, b.mean_phi AS vb, b.mean_phi - a.mean_phi AS delta,
-         row_number() OVER (PARTITION BY p.idx_a, p.idx_b ORDER BY abs(b.mean_phi - a.mean_phi) DESC, a.feature) AS rank
+  SELECT p.idx_a, p.idx_b, a.feature, a.phi_pred AS va, b.phi_pred AS vb, b.phi_pred - a.phi_pred AS delta,
+         row_number() OVER (PARTITION BY p.idx_a, p.idx_b ORDER BY abs(b.phi_pred - a.phi_pred) DESC, a.feature) AS rank
   FROM pairs p JOIN fa_feat a ON a.PROSPECTID = p.idx_a JOIN fa_feat b ON b.PROSPECTID = p.idx_b AND b.feature = a.feature)
 WHERE rank <= 5""")
 
@@ -779,16 +780,17 @@ oracle("additive_importance", ["fx_known"], ", shapes AS (SELECT * FROM (VALUES
        f" SELECT feature, {r6('avg(ma)')} AS importance FROM per GROUP BY feature")
 
 _DESC_SC = "CASE pc " + " ".join(f"WHEN '{t}' THEN {q(TIER_TEXT_SCORING[t])}" for t in TIER_CODES) + " END"
-oracle("applicant_report", ["test_fixed_a", "fa_topn", "fx_split"], f"""
+oracle("applicant_report", ["test_fixed_a", "fa_feat", "fx_split"], f"""
 , sc AS (SELECT *, {tier_of('pred')} AS pc,
            CASE pred WHEN 0 THEN Prob_P1 WHEN 1 THEN Prob_P2 WHEN 2 THEN Prob_P3 ELSE Prob_P4 END AS conf FROM test_fixed_a)
 SELECT PROSPECTID, 'header' AS section, 1 AS pos, 'tier' AS label, pc AS value, {_DESC_SC} AS note FROM sc
 UNION ALL SELECT PROSPECTID, 'header', 2, 'confidence', {pct1('conf')}, '' FROM sc
 """ + "".join(f"UNION ALL SELECT PROSPECTID, 'probability', {k + 1}, '{t}', {pct1(f'Prob_{t}')}, {q(TIER_TEXT_SCORING[t])} FROM sc\n"
               for k, t in enumerate(TIER_CODES)) + f"""
-UNION ALL SELECT PROSPECTID, 'factor', CAST(rank AS INTEGER), feature, {fixed('mean_phi', 4, True)},
-  CASE WHEN mean_phi > 0 THEN 'Positive' ELSE 'Negative' END FROM fa_topn
-  WHERE PROSPECTID IN (SELECT PROSPECTID FROM fx_split WHERE split = 'test')""")
+UNION ALL SELECT PROSPECTID, 'factor', CAST(rank AS INTEGER), feature, {fixed('phi_pred', 4, True)},
+  CASE WHEN phi_pred > 0 THEN 'Positive' ELSE 'Negative' END FROM (
+    SELECT *, row_number() OVER (PARTITION BY PROSPECTID ORDER BY abs(phi_pred) DESC, feature) AS rank FROM fa_feat)
+  WHERE rank <= 10 AND PROSPECTID IN (SELECT PROSPECTID FROM fx_split WHERE split = 'test')""")
 
 _CONTRACTS = {"internal": ["PROSPECTID", "Total_TL", "Age_Oldest_TL"],
               "external": ["PROSPECTID", "Approved_Flag", "GENDER", "EDUCATION", "MARITALSTATUS", "Credit_Score"],
@@ -827,25 +829,23 @@ oracle("headline", ["rule_money"], "SELECT * FROM (" + " UNION ALL ".join(
     for i, (metric, meaning) in enumerate(HEADLINE_ROWS)) + ") WHERE model = 'rule_b'")
 
 _M = COMPARISON_METRICS
+_CMP = [("f1_macro", lambda x: fixed(x, 3), ">"), ("f1_weighted", lambda x: fixed(x, 3), ">"),
+        ("auc_ovr", lambda x: fixed(x, 3), ">"), ("accuracy", pct1, ">"), ("total_correct", thousands, ">"),
+        ("approved", lambda x: f"{thousands(x)} || ' (' || {pct1(x.replace('approved', 'approval_rate'))} || ')'", ">"),
+        ("npa_total", crore, ">"), ("npa_exposure", crore, "<"), ("fn_p4", lambda x: f"CAST({x} AS VARCHAR)", "<")]
 oracle("comparison_report", ["fx_metrics"], ", s AS (SELECT " + ", ".join(
     f"max({x}) FILTER (WHERE model = 'fixed_a') AS b_{x}, max({x}) FILTER (WHERE model = 'fixed_b') AS c_{x}"
-    for x in ("f1_macro", "auc_ovr", "accuracy", "npa_total", "npa_exposure", "fn_p4")) + " FROM fx_metrics) "
-    + " UNION ALL ".join([
-        _cmp_row(1, _M[0], fixed("b_f1_macro", 3), fixed("c_f1_macro", 3), "c_f1_macro > b_f1_macro"),
-        _cmp_row(2, _M[1], fixed("b_auc_ovr", 3), fixed("c_auc_ovr", 3), "c_auc_ovr > b_auc_ovr"),
-        _cmp_row(3, _M[2], pct1("b_accuracy"), pct1("c_accuracy"), "c_accuracy > b_accuracy"),
-        _cmp_row(4, _M[3], crore("b_npa_total"), crore("c_npa_total"), "c_npa_total > b_npa_total"),
-        _cmp_row(5, _M[4], crore("b_npa_exposure"), crore("c_npa_exposure"), "c_npa_exposure < b_npa_exposure"),
-        _cmp_row(6, _M[5], "CAST(b_fn_p4 AS VARCHAR)", "CAST(c_fn_p4 AS VARCHAR)", "c_fn_p4 < b_fn_p4"),
-    ]))
+    for x in [c for c, _, _ in _CMP] + ["approval_rate"]) + " FROM fx_metrics) "
+    + " UNION ALL ".join(_cmp_row(i + 1, _M[i], f("b_" + c), f("c_" + c), f"c_{c} {op} b_{c}")
+                         for i, (c, f, op) in enumerate(_CMP)))
 
 _TD = "CASE p.pred_tier " + " ".join(f"WHEN '{t}' THEN {q(TIER_TEXT_ANALYST[t])}" for t in TIER_CODES) + " ELSE '' END"
-_TOP5 = """, top5 AS (SELECT * FROM (SELECT PROSPECTID, feature, mean_phi,
-             row_number() OVER (PARTITION BY PROSPECTID ORDER BY mean_abs DESC, feature) AS rank FROM fa_feat) WHERE rank <= 5)"""
+_TOP5 = """, top5 AS (SELECT * FROM (SELECT PROSPECTID, feature, phi_pred,
+             row_number() OVER (PARTITION BY PROSPECTID ORDER BY abs(phi_pred) DESC, feature) AS rank FROM fa_feat) WHERE rank <= 5)"""
 oracle("answer_explain", ["routed", "fa_feat", "fa_info"], _TOP5 + f""",
 per AS (SELECT t.PROSPECTID, i.pred_tier, i.confidence,
-          string_agg({fill_sql(REASON_LINE, feature="t.feature", value=fixed("t.mean_phi", 4, True),
-                               direction="CASE WHEN t.mean_phi > 0 THEN 'positive' ELSE 'negative' END")},
+          string_agg({fill_sql(REASON_LINE, feature="t.feature", value=fixed("t.phi_pred", 4, True),
+                               direction="CASE WHEN t.phi_pred > 0 THEN 'positive' ELSE 'negative' END")},
                      chr(10) ORDER BY t.rank) FILTER (WHERE t.rank <= 3) AS reasons,
           max(t.feature) FILTER (WHERE t.rank = 1) AS rec
         FROM top5 t JOIN fa_info i ON i.PROSPECTID = t.PROSPECTID GROUP BY t.PROSPECTID, i.pred_tier, i.confidence)
@@ -857,16 +857,53 @@ SELECT r.qid, 'explain_applicant' AS intent,
                       rec=f"coalesce(p.rec, {q(DEFAULT_RECOMMENDATION)})")} END AS answer
 FROM routed r LEFT JOIN per p ON p.PROSPECTID = r.idx WHERE r.intent = 'explain_applicant'""")
 
-oracle("prompt_text", ["routed", "fa_feat", "fa_info"], _TOP5 + f""",
+_HEAD = "You are a credit analyst AI"
+oracle("prompt_text", ["routed", "fa_feat", "fa_info", "fa_delta", "fa_global", "af_rates", "af_diff", "fx_summary", "fx_split"],
+       _TOP5 + f""",
 per AS (SELECT t.PROSPECTID, i.pred_tier, i.confidence,
-          string_agg({fill_sql(PROMPT_LINE, rank="CAST(t.rank AS VARCHAR)", feature="t.feature",
-                               value=fixed("t.mean_phi", 4, True),
-                               direction="CASE WHEN t.mean_phi > 0 THEN 'increases' ELSE 'decreases' END")},
+          string_agg('  ' || t.rank || '. ' || t.feature || ': ' || {fixed("t.phi_pred", 4, True)} || ' ('
+                     || CASE WHEN t.phi_pred > 0 THEN 'increases' ELSE 'decreases' END || ' approval chance)',
                      chr(10) ORDER BY t.rank) AS lines
-        FROM top5 t JOIN fa_info i ON i.PROSPECTID = t.PROSPECTID GROUP BY t.PROSPECTID, i.pred_tier, i.confidence)
-SELECT r.qid, {fill_sql(PROMPT_EXPLAIN, idx="CAST(r.idx AS VARCHAR)", tier="p.pred_tier", desc=_TD,
-                        confidence=pct1("p.confidence"), lines="p.lines")} AS prompt
-FROM routed r JOIN per p ON p.PROSPECTID = r.idx WHERE r.intent = 'explain_applicant'""")
+        FROM top5 t JOIN fa_info i ON i.PROSPECTID = t.PROSPECTID GROUP BY t.PROSPECTID, i.pred_tier, i.confidence),
+dl AS (SELECT idx_a, idx_b, string_agg('  ' || feature || ': applicant ' || idx_a || '=' || {fixed("va", 4, True)} || ', applicant '
+          || idx_b || '=' || {fixed("vb", 4, True)} || ' (delta=' || {fixed("vb - va", 4, True)} || ')', chr(10) ORDER BY rank) AS lines
+        FROM fa_delta GROUP BY idx_a, idx_b),
+fl AS (SELECT r.attr, string_agg('  ' || r.grp || ': ' || {pct1("r.selection_rate")}, chr(10) ORDER BY -r.selection_rate, r.grp) AS lines,
+          any_value(d.dpd) AS dpd, any_value(d.eod) AS eod FROM af_rates r JOIN af_diff d ON d.attr = r.attr GROUP BY r.attr)
+SELECT r.qid, '{_HEAD} for an Indian bank. Explain the following credit decision' || chr(10)
+  || 'in plain English. Be concise (3-4 sentences). End with one actionable recommendation.' || chr(10) || chr(10)
+  || 'Applicant index: ' || r.idx || chr(10) || 'Predicted credit tier: ' || p.pred_tier || ' — ' || {_TD} || chr(10)
+  || 'Confidence: ' || {pct1("p.confidence")} || chr(10) || chr(10)
+  || 'Top SHAP feature contributions (positive = supports approval):' || chr(10) || p.lines || chr(10) || chr(10)
+  || 'Format your response as:' || chr(10) || 'DECISION: [one sentence]' || chr(10) || 'REASONS: [2-3 bullet points]' || chr(10)
+  || 'RECOMMENDATION: [one actionable sentence]' AS prompt
+FROM routed r JOIN per p ON p.PROSPECTID = r.idx WHERE r.intent = 'explain_applicant'
+UNION ALL
+SELECT r.qid, '{_HEAD}. Compare two loan applicants concisely (4-5 sentences).' || chr(10) || chr(10)
+  || 'Applicant ' || r.idx_a || ': tier ' || a.pred_tier || ' (' || {pct1("a.confidence")} || ' confidence)' || chr(10)
+  || 'Applicant ' || r.idx_b || ': tier ' || b.pred_tier || ' (' || {pct1("b.confidence")} || ' confidence)' || chr(10) || chr(10)
+  || 'Largest SHAP differences:' || chr(10) || d.lines || chr(10) || chr(10) || 'Explain why applicant ' || r.idx_b || ' received a '
+  || CASE WHEN b.pred_tier < a.pred_tier THEN 'better' ELSE 'worse' END || ' tier.'
+FROM routed r JOIN dl d ON d.idx_a = r.idx_a AND d.idx_b = r.idx_b JOIN fa_info a ON a.PROSPECTID = r.idx_a
+  JOIN fa_info b ON b.PROSPECTID = r.idx_b WHERE r.intent = 'compare_applicants'
+UNION ALL
+SELECT qid, '{_HEAD}. Explain what drives credit approval decisions' || chr(10)
+  || 'in 3-4 plain English sentences for a non-technical audience.' || chr(10) || chr(10)
+  || 'Top 10 features by mean absolute SHAP value:' || chr(10) || (SELECT string_agg('  ' || rank || '. ' || feature
+       || ' (mean |SHAP| = ' || {fixed("importance", 4)} || ')', chr(10) ORDER BY rank) FROM fa_global)
+FROM routed WHERE intent = 'global_importance'
+UNION ALL
+SELECT r.qid, '{_HEAD} explaining fairness metrics to a compliance officer.' || chr(10) || 'Be concise (3-4 sentences).' || chr(10)
+  || chr(10) || 'Attribute: ' || r.attr || chr(10) || 'Demographic Parity Difference: ' || {fixed("f.dpd", 4)} || chr(10)
+  || 'Equalized Odds Difference: ' || {fixed("f.eod", 4)} || chr(10) || 'Approval rates: ' || f.lines || chr(10)
+  || 'Thresholds: <0.05 acceptable, 0.05-0.10 monitor, >0.10 action required.'
+FROM routed r JOIN fl f ON f.attr = r.attr WHERE r.intent = 'fairness'
+UNION ALL
+SELECT qid, '{_HEAD} explaining model performance to a bank manager.' || chr(10) || 'Write 3-4 plain English sentences.' || chr(10)
+  || chr(10) || 'Test applicants: ' || {thousands("(SELECT count(*) FROM fx_split WHERE split = 'test')")} || chr(10)
+  || (SELECT string_agg(model || ': Macro F1=' || {fixed("f1_macro", 3)} || ', AUC=' || {fixed("auc_ovr", 3)}, chr(10) ORDER BY model)
+      FROM fx_summary)
+FROM routed WHERE intent = 'model_performance'""")
 
 oracle("answer_compare", ["routed", "fa_delta", "fa_info"], f"""
 , d AS (SELECT idx_a, idx_b, string_agg({fill_sql(COMPARE_LINE, feature="feature", a="CAST(idx_a AS VARCHAR)",
@@ -876,7 +913,8 @@ oracle("answer_compare", ["routed", "fa_delta", "fa_info"], f"""
         FROM fa_delta GROUP BY idx_a, idx_b)
 SELECT r.qid, 'compare_applicants' AS intent,
   CASE WHEN ia.pred_tier IS NULL OR ib.pred_tier IS NULL
-       THEN {fill_sql(COMPARE_OUT_OF_RANGE, n="CAST((SELECT count(*) FROM fa_info) AS VARCHAR)")}
+       THEN {fill_sql(COMPARE_OUT_OF_RANGE, n="CAST((SELECT count(*) FROM fa_info) AS VARCHAR)",
+                      last="CAST((SELECT count(*) - 1 FROM fa_info) AS VARCHAR)")}
        ELSE {fill_sql(ANSWER_COMPARE, a="CAST(r.idx_a AS VARCHAR)", tier_a="ia.pred_tier", conf_a=pct1("ia.confidence"),
                       b="CAST(r.idx_b AS VARCHAR)", tier_b="ib.pred_tier", conf_b=pct1("ib.confidence"),
                       lines="coalesce(d.lines, '')")} END AS answer
@@ -907,3 +945,8 @@ SELECT qid, 'model_performance' AS intent, (SELECT {fill_sql(ANSWER_PERFORMANCE,
     rows="string_agg(" + fill_sql(PERFORMANCE_ROW, model="model", f1=fixed("f1_macro", 3), auc=fixed("auc_ovr", 3))
          + ", chr(10) ORDER BY model)")}
   FROM fx_summary) AS answer FROM routed WHERE intent = 'model_performance'""")
+
+# queries that must give back another query's rows
+for _name, _same in {"scored_sink": "score_fixed", "stream_score": "score_unseen", "load_csv": "internal_table",
+                     "load_inputs": "merge_inner", "additive_save_load": "phi_additive"}.items():
+    ORACLES[_name] = ORACLES[_same]
