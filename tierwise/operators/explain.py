@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..constants import TIER_CODES
 from .models import AdditiveModel, LinearModel, score
+from .quantiles import exact_quantiles
 
 K = len(TIER_CODES)
 
@@ -168,9 +169,7 @@ def pair_delta(df: DataFrame, model, key: str, pairs: DataFrame, n: int = 5) ->
 
 def quartile_bins(train: DataFrame, features: list[str]) -> DataFrame:
     """Quartile cut points per feature and (feature, bin) statistics."""
-    q = train.agg(*[F.percentile(F.col(f), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}")
-                    for i, f in enumerate(features)]).collect()[0]
-    cuts = {f: [float(v) for v in q[f"q{i}"]] for i, f in enumerate(features)}
+    cuts = exact_quantiles(train, features, [0.25, 0.5, 0.75])
     items = []
     for f in features:
         b = sum((F.when(F.col(f) > F.lit(c), 1).otherwise(0) for c in cuts[f][1:]),
@@ -196,8 +195,7 @@ def pdp_grid(df: DataFrame, feature: str, resolution: int = 100, lo_p: float = 0
     def pos(p):
         aleph = n * p + 0.4 + 0.2 * p
         return min(max((aleph - 1) / (n - 1), 0.0), 1.0)
-    qs = df.agg(F.percentile(x, F.lit(pos(lo_p))).alias("lo"), F.percentile(x, F.lit(pos(hi_p))).alias("hi")).collect()[0]
-    lo, hi = qs["lo"], qs["hi"]
+    lo, hi = exact_quantiles(df, [feature], [pos(lo_p), pos(hi_p)])[feature]
     step = (hi - lo) / (resolution - 1)
     return [lo + i * step for i in range(resolution - 1)] + [hi]
 

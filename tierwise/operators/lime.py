@@ -1,128 +1,151 @@
-"""Local surrogate explanations (I10, I11) for a batch of applicants.
-
-Per applicant: ``num_samples`` perturbations (sample 0 is the applicant
-itself).  For every feature a quartile bin is drawn with the training bin
-frequencies and a value inside the bin from a normal with the bin's mean and
-std, clipped to the bin range (the reference's library truncates instead of
-clipping).  The local model is a weighted ridge (alpha 1, intercept) on the
-binary "same bin as the applicant" features, weighted by an exponential
-kernel (width 0.75*sqrt(d)) of the scaled distance.
-
-Spark does the heavy part: sample generation, scoring and the weighted
-normal-equation sums per applicant (one grouped aggregate).  Only the tiny
-(d+1)x(d+1) solve per applicant runs in ``applyInPandas``.
-Randomness is a seeded ``xxhash64`` of (applicant, sample, feature), so the
-result is reproducible and independent of partitioning.
+"""Local surrogate explanations (I10) for a batch of applicants.
+
+As the public LIME library does it for tabular data with quartile bins: per
+applicant ``num_samples`` perturbations (sample 0 is the applicant); each
+feature's bin is drawn with the training frequencies and a value inside it
+from a normal with the bin's mean and std, truncated to the bin's range.  The
+surrogate is a weighted ridge (alpha 1, intercept) on the binary "same bin as
+the applicant" features, which are not scaled; weights are an exponential
+kernel (width 0.75*sqrt(d)) of their Euclidean distance.  Up to six features
+are chosen by forward selection, more by the weights of a first ridge (alpha
+0.01); the surrogate is then fitted on the chosen ones only.
+
+Applicants are dealt out in chunks of samples; a task draws, scores and
+reduces a chunk to its normal equations (a (d+2)-wide matrix), and an
+applicant's matrices are added up and solved.  Seeds come from (applicant,
+chunk), so results don't depend on partitioning.
 """
 
 from __future__ import annotations
 
-import math
+import zlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import TIER_CODES
 from .explain import quartile_bins
 from .models import LinearModel, score
 
-TWO53 = float(2 ** 53)
+CHUNK = 1000
+
+
+class Bins:
+    """Quartile bins of the training rows: cuts, frequencies and moments (features x 4)."""
+
+    def __init__(self, features: list[str], stats: list, cuts: dict[str, list[float]]):
+        self.cuts = np.array([cuts[f] for f in features])
+        shape = (len(features), 4)
+        self.freq, self.mean, self.std, self.low, self.high = (np.zeros(shape) for _ in range(5))
+        number = {f: i for i, f in enumerate(features)}
+        for r in stats:
+            at = number[r["feature"]], r["bin"]
+            self.freq[at], self.mean[at], self.std[at] = r["n"], r["mean"], r["std"] or 0.0
+            self.low[at], self.high[at] = r["min"], r["max"]
+        self.upto = np.cumsum(self.freq / self.freq.sum(axis=1, keepdims=True), axis=1)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return (x[:, :, None] > self.cuts[None]).sum(axis=2)
+
+    def draw(self, rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bins and values of n perturbations."""
+        d = len(self.cuts)
+        bins = np.minimum((rng.random((n, d))[:, :, None] >= self.upto[None]).sum(axis=2), 3)
+        mean, std, low, high = (t[np.arange(d), bins] for t in (self.mean, self.std, self.low, self.high))
+        values = rng.normal(mean, std)
+        for _ in range(30):
+            out = (values < low) | (values > high)
+            if not out.any():
+                break
+            values[out] = rng.normal(mean[out], std[out])
+        return bins, np.clip(values, low, high)
+
 
+def probabilities(model, x: np.ndarray) -> np.ndarray:
+    """Class probabilities of rows, as the model's column expressions give them."""
+    if isinstance(model, LinearModel):
+        z = x @ np.array(model.coef).T + np.array(model.intercept)
+    else:
+        z = np.tile(np.array(model.intercept, dtype=float), (len(x), 1))
+        for j, f in enumerate(model.features):
+            z += np.array(model.scores[f])[np.searchsorted(np.array(model.edges[f]), x[:, j], side="right")]
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
 
-def _uniform(key: str, s: str, f_idx: int, stream: int, seed: int) -> Column:
-    h = F.xxhash64(F.col(key), F.col(s), F.lit(f_idx), F.lit(stream), F.lit(seed))
-    return (F.pmod(h, F.lit(2 ** 53)).cast("double") + 0.5) / F.lit(TWO53)
 
+def normal_equations(model, bins: Bins, x: np.ndarray, cls: int, seed: list[int], n: int, first: bool) -> np.ndarray:
+    """Weighted sums of products of (1, same-bin features, probability) over one chunk of samples."""
+    drawn, values = bins.draw(np.random.default_rng(seed), n)
+    if first:
+        drawn[0], values[0] = bins.of(x[None])[0], x
+    same = (drawn == bins.of(x[None])).astype(float)
+    y = probabilities(model, values)[:, cls]
+    width = 0.75 * np.sqrt(len(x))
+    weight = np.sqrt(np.exp(-(1 - same).sum(axis=1) / width ** 2))
+    full = np.column_stack([np.ones(n), same, y])
+    return full.T @ (full * weight[:, None])
 
-def lime_batch(train: DataFrame, rows: DataFrame, ids: DataFrame, model: LinearModel, key: str,
-               num_samples: int = 5000, num_features: int = 12, cls: int | None = None,
-               seed: int = 42) -> DataFrame:
+
+def solve(total: np.ndarray, num_features: int) -> tuple[list[tuple[int, float]], float]:
+    """Chosen features with their weights, largest first, and the intercept, from summed normal equations."""
+    sw, mean = total[0, 0], total[0] / total[0, 0]
+    centred = total - sw * np.outer(mean, mean)
+    xx, xy, yy, d = centred[1:-1, 1:-1], centred[1:-1, -1], centred[-1, -1], len(total) - 2
+
+    def ridge(chosen: list[int], alpha: float) -> np.ndarray:
+        a = xx[np.ix_(chosen, chosen)] + alpha * np.eye(len(chosen))
+        return np.linalg.lstsq(a, xy[chosen], rcond=None)[0]
+
+    if num_features <= 6:
+        chosen: list[int] = []
+        while len(chosen) < min(num_features, d):
+            def left(i: int) -> float:
+                some = chosen + [i]
+                b = ridge(some, 0.0)
+                return yy - 2 * b @ xy[some] + b @ xx[np.ix_(some, some)] @ b
+            chosen.append(min((i for i in range(d) if i not in chosen), key=lambda i: (left(i), i)))
+    else:
+        rough = ridge(list(range(d)), 0.01)
+        chosen = sorted(range(d), key=lambda i: (-abs(rough[i]), i))[:num_features]
+    beta = ridge(chosen, 1.0)
+    order = sorted(range(len(chosen)), key=lambda k: (-abs(beta[k]), chosen[k]))
+    return [(chosen[k], float(beta[k])) for k in order], float(mean[-1] - mean[1:-1][chosen] @ beta)
+
+
+def lime_batch(train: DataFrame, rows: DataFrame, ids: DataFrame, model, key: str, num_samples: int = 5000,
+               num_features: int = 12, cls: int | None = None, seed: int = 42) -> DataFrame:
     """(key, class, rank, feature, weight, intercept) for each applicant in ``ids``."""
     feats = list(model.features)
-    d = len(feats)
     stats, cuts = quartile_bins(train, feats)
-    st = {(r["feature"], r["bin"]): r for r in stats.collect()}          # features x 4 rows
-    # bin frequencies and the scaler over training bin indices (mean/std of the index)
-    freq, scale = {}, {}
-    for f in feats:
-        n = [st[(f, b)]["n"] if (f, b) in st else 0 for b in range(4)]
-        tot = float(sum(n))
-        freq[f] = [c / tot for c in n]
-        mu = sum(b * c for b, c in enumerate(n)) / tot
-        var = sum(c * (b - mu) ** 2 for b, c in enumerate(n)) / tot
-        scale[f] = math.sqrt(var) if var > 0 else 1.0
-
-    def bin_of(c: Column, f: str) -> Column:
-        q = cuts[f]
-        return sum((F.when(c > F.lit(v), 1).otherwise(0) for v in q[1:]), F.when(c > F.lit(q[0]), 1).otherwise(0))
-
-    inst = rows.join(ids, key, "left_semi")
-    inst_pred = score(inst, model, [key] + feats).select(key, *feats, "pred")
-    base = inst_pred.select(key, F.col("pred").alias("ipred"), *[F.col(f).alias(f"x_{f}") for f in feats],
-                            *[bin_of(F.col(f), f).alias(f"b_{f}") for f in feats])
-    smp = base.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))))
-    cols, same = [], []
-    for i, f in enumerate(feats):
-        u = _uniform(key, "s", i, 0, seed)
-        cum = 0.0
-        thresholds = []
-        for bb in range(3):
-            cum += freq[f][bb]
-            thresholds.append(cum)
-        b = F.when(u < F.lit(thresholds[0]), 0).when(u < F.lit(thresholds[1]), 1) \
-             .when(u < F.lit(thresholds[2]), 2).otherwise(3)
-        u1, u2 = _uniform(key, "s", i, 1, seed), _uniform(key, "s", i, 2, seed)
-        z = F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2)
-        def pick(name, f=f):
-            return F.element_at(F.array(*[F.lit(float(st[(f, k)][name]) if (f, k) in st and st[(f, k)][name]
-                                                 is not None else 0.0) for k in range(4)]), F.col(f"sb_{f}") + 1)
-        cols.append((f, b, z, pick))
-    for f, b, z, pick in cols:
-        smp = smp.withColumn(f"sb_{f}", F.when(F.col("s") == 0, F.col(f"b_{f}")).otherwise(b))
-    sel = [key, "ipred", "s"]
-    vals = []
-    for f, b, z, pick in cols:
-        v = F.least(F.greatest(pick("mean") + pick("std") * z, pick("min")), pick("max"))
-        vals.append(F.when(F.col("s") == 0, F.col(f"x_{f}")).otherwise(v).alias(f))
-        same.append((F.col(f"sb_{f}") == F.col(f"b_{f}")).cast("double").alias(f"z_{f}"))
-    pert = smp.select(*sel, *vals, *same)
-    scored = score(pert, model, sel + [f"z_{f}" for f in feats])
-    k_col = F.col("ipred") if cls is None else F.lit(cls)
-    y = F.element_at(F.array(*[F.col(f"Prob_{t}") for t in TIER_CODES]), k_col + 1)
-    d2 = sum(((1.0 - F.col(f"z_{f}")) / F.lit(scale[f])) ** 2 for f in feats)
-    width = 0.75 * math.sqrt(d)
-    w = F.sqrt(F.exp(-d2 / F.lit(width ** 2)))
-    # features of the surrogate: the scaled binary columns (as the library scales them)
-    xs = [((F.col(f"z_{f}") - F.lit(sum(b * fr for b, fr in enumerate(freq[f])))) / F.lit(scale[f])) for f in feats]
-    long = scored.select(key, k_col.alias("class"), w.alias("w"), y.alias("y"), *[x.alias(f"x{i}") for i, x in
-                                                                                 enumerate(xs)])
-    aggs = [F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("y")).alias("swy")]
-    aggs += [F.sum(F.col("w") * F.col(f"x{i}")).alias(f"sx{i}") for i in range(d)]
-    aggs += [F.sum(F.col("w") * F.col(f"x{i}") * F.col("y")).alias(f"sxy{i}") for i in range(d)]
-    aggs += [F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"sxx{i}_{j}")
-             for i in range(d) for j in range(i, d)]
-    sums = long.groupBy(key, "class").agg(*aggs)     # one row per applicant
-
-    def solve(pdf):
-        import numpy as np
-        import pandas as pd
-        out = []
-        for _, r in pdf.iterrows():
-            sw = r["sw"]
-            xbar = np.array([r[f"sx{i}"] for i in range(d)]) / sw
-            ybar = r["swy"] / sw
-            A = np.empty((d, d))
-            for i in range(d):
-                for j in range(i, d):
-                    A[i, j] = A[j, i] = r[f"sxx{i}_{j}"]
-            A = A - sw * np.outer(xbar, xbar) + np.eye(d)
-            bvec = np.array([r[f"sxy{i}"] for i in range(d)]) - sw * xbar * ybar
-            beta = np.linalg.solve(A, bvec)
-            icpt = ybar - xbar @ beta
-            order = sorted(range(d), key=lambda i: (-abs(beta[i]), feats[i]))[:num_features]
-            for rank, i in enumerate(order, start=1):
-                out.append((r[key], int(r["class"]), rank, feats[i], float(beta[i]), float(icpt)))
-        return pd.DataFrame(out, columns=[key, "class", "rank", "feature", "weight", "intercept"])
-
-    schema = f"{key} long, class int, rank int, feature string, weight double, intercept double"
-    return sums.groupBy(key).applyInPandas(solve, schema)
+    bins = Bins(feats, stats.collect(), cuts)                            # features x 4 rows
+    asked = score(rows.join(ids, key, "left_semi"), model, [key] + feats)
+    kind = dict(asked.dtypes)[key]
+    chunks = -(-num_samples // CHUNK)
+    work = asked.select(key, (F.col("pred") if cls is None else F.lit(cls)).cast("int").alias("class"),
+                        F.array(*[F.col(f).cast("double") for f in feats]).alias("x"),
+                        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")).repartition(key, "chunk")
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                n = min(CHUNK, num_samples - r["chunk"] * CHUNK)
+                sums = normal_equations(model, bins, np.array(r["x"]), r["class"],
+                                        [seed, r["chunk"], zlib.crc32(str(r[key]).encode())], n, r["chunk"] == 0)
+                yield pa.RecordBatch.from_arrays([pa.array([r[key]], batch.schema.field(0).type), pa.array([r["class"]], pa.int32()),
+                                                  pa.array([sums.tobytes()], pa.binary())], names=[key, "class", "sums"])
+
+    def finish(group: tuple, table: pa.Table) -> pa.Table:
+        d = len(feats) + 2
+        total = sum(np.frombuffer(s.as_buffer()).reshape(d, d) for s in table["sums"].combine_chunks())
+        weights, intercept = solve(total, num_features)
+        return pa.table([pa.array([table[key][0].as_py()] * len(weights), table.schema.field(key).type),
+                         pa.array([table["class"][0].as_py()] * len(weights), pa.int32()),
+                         pa.array(range(1, len(weights) + 1), pa.int32()), pa.array([feats[i] for i, _ in weights], pa.string()),
+                         pa.array([w for _, w in weights], pa.float64()), pa.array([intercept] * len(weights), pa.float64())],
+                        names=[key, "class", "rank", "feature", "weight", "intercept"])
+
+    sums = work.mapInArrow(reduce, f"`{key}` {kind}, class int, sums binary")
+    return sums.groupBy(key, "class").applyInArrow(
+        finish, f"`{key}` {kind}, class int, rank int, feature string, weight double, intercept double")

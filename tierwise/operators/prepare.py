@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..constants import KEY_COL, TARGET_COL
 from ..sources.fixtures import label_expr
+from .quantiles import exact_quantiles
 from .schema import column_kinds
 
 
@@ -71,28 +72,30 @@ def fit(df: DataFrame, key: str = KEY_COL, target: str = TARGET_COL, median: str
         accuracy: int = 100_000) -> PrepParams:
     """E6 fit on all rows of ``df`` (the reference fits before the label filter).
 
-    ``median="exact"`` uses Spark's exact percentile (memory grows with the
-    distinct values of a column, not with rows); ``"approx"`` uses
-    ``percentile_approx`` for continuous columns at very large scale.
+    ``median="exact"`` finds the middle order statistics of a distributed
+    sort; ``"approx"`` uses ``percentile_approx``, one pass without a sort.
     """
     nums, cats, dropped = column_kinds(df, key, target)
 
-    def med(c: str) -> Column:
-        x = F.col(c).cast("double")
-        return F.median(x) if median == "exact" else F.percentile_approx(x, 0.5, accuracy)
+    def all_medians() -> dict:
+        if median == "exact":
+            return {c: v[0] for c, v in exact_quantiles(df, nums, [0.5]).items()}
+        if not nums:
+            return {}
+        r = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(f"m{i}")
+                     for i, c in enumerate(nums)]).collect()[0]
+        return {c: r[f"m{i}"] for i, c in enumerate(nums)}
 
-    first = [med(c).alias(f"m{i}") for i, c in enumerate(nums)]
     # medians, categories and target counts do not depend on each other:
     # submit the jobs at once (Spark runs concurrent jobs from threads)
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=3) as pool:
-        f1 = pool.submit(lambda: df.agg(*first).collect()[0] if first else None)
+        f1 = pool.submit(all_medians)
         f2 = pool.submit(lambda: _category_counts(df, cats))
         f3 = pool.submit(lambda: _target_counts(df, target))
-        r1 = f1.result()
+        medians = f1.result()
         modes, categories = f2.result()
         target_counts = f3.result()
-    medians = {c: r1[f"m{i}"] for i, c in enumerate(nums)}
     all_null = [c for c in nums if medians[c] is None]
     nums = [c for c in nums if medians[c] is not None]
     cats_kept = [c for c in cats if modes.get(c) is not None]
