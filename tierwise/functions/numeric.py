@@ -35,7 +35,3 @@ def traffic_light(c) -> Column:
     return (F.when(c < F.lit(THRESHOLD_GREEN), F.lit(STATUS_OK))
              .when(c < F.lit(THRESHOLD_AMBER), F.lit(STATUS_WATCH))
              .otherwise(F.lit(STATUS_ACT)))
-
-
-def direction(c, pos: str = "Positive", neg: str = "Negative") -> Column:
-    return F.when(col_(c) > 0, F.lit(pos)).otherwise(F.lit(neg))

@@ -6,48 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import CATEGORICAL_COLS, KEY_CANDIDATES, TARGET_COL, TIER_CODES
+from ..constants import CATEGORICAL_COLS, TARGET_COL, TIER_CODES
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
 
 def find_common_key(a_cols: list[str], b_cols: list[str]) -> tuple[str | None, str | None]:
-    """B1: first column of A (in A's order) whose lower-cased name is in B.
-
-    The reference's candidate list can never add a match after this rule
-    (any candidate present in both would already have matched), so it is
-    kept only as documentation of intent.
-    """
-    b_lower = {}
-    for c in b_cols:
-        b_lower.setdefault(c.lower(), c)
-    seen = set()
-    for c in a_cols:
-        lc = c.lower()
-        if lc in seen:
-            continue
-        seen.add(lc)
-        if lc in b_lower:
-            return c, b_lower[lc]
-    for cand in KEY_CANDIDATES:  # unreachable by construction; see docstring
-        if cand in seen and cand in b_lower:
-            return cand, b_lower[cand]
-    return None, None
-
-
-def key_detect_table(spark: SparkSession, pairs: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
-    """Key detection over named (left columns, right columns) cases."""
-    rows = []
-    for name, (a, b) in pairs.items():
-        ka, kb = find_common_key(a, b)
-        rows.append((name, ka, kb))
-    return spark.createDataFrame(rows, "case_name string, key_left string, key_right string")
-
-
-def require_columns(df: DataFrame, required: list[str]) -> list[str]:
-    """Missing required columns (exact names), in order."""
-    have = set(df.columns)
-    return [c for c in required if c not in have]
+    """B1: the first column of A whose name, in any case, B has too; with B's spelling."""
+    named = {c.lower(): c for c in reversed(b_cols)}
+    return next(((c, named[c.lower()]) for c in a_cols if c.lower() in named), (None, None))
+
+
+def key_quality(a: DataFrame, b: DataFrame) -> DataFrame:
+    """B1: the detected key and how well it serves, one row: per side rows,
+    null keys, distinct keys and whether the key is unique; and how many
+    distinct keys both sides have.  Null columns if no key is shared."""
+    ka, kb = find_common_key(a.columns, b.columns)
+    names = ["rows", "nulls", "distinct"]
+    if ka is None:
+        empty = [F.lit(None).cast("long").alias(f"{n}_{side}") for side in ("left", "right") for n in names]
+        return a.sparkSession.range(1).select(
+            F.lit(None).cast("string").alias("key_left"), F.lit(None).cast("string").alias("key_right"), *empty,
+            F.lit(None).cast("long").alias("matched"), *[F.lit(None).cast("boolean").alias(f"unique_{s}") for s in ("left", "right")])
+    sides = [df.groupBy(F.col(k).alias("k")).agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(s))
+             for df, k, s in ((a, ka, 0), (b, kb, 1))]
+    keys = sides[0].unionByName(sides[1]).groupBy("k").agg(
+        *[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)).alias(f"n{s}") for s in (0, 1)])
+    known = F.col("k").isNotNull()
+    aggs = []
+    for s, side in enumerate(("left", "right")):
+        n = F.col(f"n{s}")
+        aggs += [F.coalesce(F.sum(n), F.lit(0)).alias(f"rows_{side}"),
+                 F.coalesce(F.sum(F.when(~known, n)), F.lit(0)).alias(f"nulls_{side}"),
+                 F.count_if(known & (n > 0)).alias(f"distinct_{side}"), F.max(F.when(known, n)).alias(f"most_{side}")]
+    both = keys.agg(*aggs, F.count_if(known & (F.col("n0") > 0) & (F.col("n1") > 0)).alias("matched"))
+    return both.select(F.lit(ka).alias("key_left"), F.lit(kb).alias("key_right"),
+                       *[f"{n}_{side}" for side in ("left", "right") for n in names], "matched",
+                       *[(F.coalesce(F.col(f"most_{s}"), F.lit(0)) <= 1).alias(f"unique_{s}") for s in ("left", "right")])
 
 
 def require_target(df: DataFrame, target: str = TARGET_COL) -> None:
@@ -73,11 +68,19 @@ def column_kinds(df: DataFrame, key: str | None, target: str = TARGET_COL,
 
 def column_kinds_table(spark: SparkSession, df: DataFrame, key: str | None,
                        target: str = TARGET_COL) -> DataFrame:
+    """B6 with what the rows say: nulls and distinct values per column.  The
+    columns are unpivoted and counted by value, so no column is one task."""
     nums, cats, dropped = column_kinds(df, key, target)
     order = {c: i for i, c in enumerate(df.columns)}
     rows = ([(c, "numeric", order[c]) for c in nums] + [(c, "categorical", order[c]) for c in cats]
             + [(c, "dropped", order[c]) for c in dropped])
-    return spark.createDataFrame(rows, "column_name string, kind string, position int")
+    kinds = spark.createDataFrame(rows, "column_name string, kind string, position int")
+    items = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c, _, _ in rows])
+    values = df.select(F.inline(items)).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    facts = values.groupBy("column_name").agg(
+        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
+        F.count("v").alias("n_distinct"))
+    return kinds.join(facts, "column_name")
 
 
 def shape(df: DataFrame, target: str = TARGET_COL) -> DataFrame:
@@ -107,15 +110,3 @@ def unknown_labels(spark: SparkSession, df: DataFrame, target: str = TARGET_COL)
     counts = df.groupBy(F.col(target).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     dim = F.broadcast(tier_dim(spark).select(F.col("tier").alias("value")))
     return counts.join(dim, "value", "left_anti")
-
-
-def drop_id_target(df: DataFrame, key: str, target: str = TARGET_COL) -> tuple[DataFrame, DataFrame]:
-    """Features without id and target; the key is kept aside with the target."""
-    feats = df.drop(*[c for c in (target,) if c in df.columns])
-    ids = df.select(key, *[c for c in (target,) if c in df.columns])
-    return feats, ids
-
-
-def missing_attrs(df: DataFrame, attrs: list[str]) -> list[str]:
-    """Which sensitive attributes are unavailable."""
-    return [a for a in attrs if a not in df.columns]

@@ -101,8 +101,15 @@ KEY_CASES = [("documents_labels", "documents", "labels"), ("orders_customer", "o
 
 @query("schema_key_detect")
 def q_key_detect(spark, d):
-    pairs = {n: (read_table(spark, d, a).columns, read_table(spark, d, b).columns) for n, a, b in KEY_CASES}
-    return schema.key_detect_table(spark, pairs)
+    """B1: detected key and its quality for pairs of driver tables and for the two credit inputs."""
+    wb = Workbench(spark, d)
+    out = [schema.key_quality(read_table(spark, d, a), read_table(spark, d, b)).withColumn("case_name", F.lit(n))
+           for n, a, b in KEY_CASES]
+    out.append(schema.key_quality(wb.internal, wb.external).withColumn("case_name", F.lit("internal_external")))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return rows
 
 
 @query("column_kinds")
@@ -280,6 +287,37 @@ def q_fit_logistic(spark, d):
     return m.to_table(spark)
 
 
+@query("logistic_optimum")
+def q_logistic_optimum(spark, d):
+    """G1: the fitted weights are the optimum: every partial derivative of the
+    penalised loss, recomputed over the training rows, is near zero."""
+    wb = Workbench(spark, d)
+    feats = wb.params.feature_names
+    m = models.fit_logistic(wb.train, feats, "label")
+    s = models.score(wb.train, m, ["label"] + feats)
+    slope = {(k, j): F.avg((F.col(f"Prob_{t}") - (F.col("label") == k).cast("double")) * F.col(f"`{f}`")).alias(f"g{k}_{j}")
+             for k, t in enumerate(TIER_CODES) for j, f in enumerate(feats)}
+    row = s.agg(F.count(F.lit(1)).alias("n"), *slope.values())
+    items = F.array(*[F.struct(F.lit(k).alias("class"), F.lit(f).alias("feature"), (F.abs(
+        F.col(f"g{k}_{j}") + F.lit(float(m.coef[k][j])) / F.col("n")) < 5e-3).alias("at_optimum"))
+        for k in range(len(TIER_CODES)) for j, f in enumerate(feats)])
+    return row.select(F.inline(items))
+
+
+@query("shape_centred")
+def q_shape_centred(spark, d):
+    """The fitted shapes of every feature average to zero over the training rows, class by class."""
+    wb = Workbench(spark, d)
+    m = models.fit_additive(wb.train, wb.params.feature_names, "label")
+    binned = m.add_bins(wb.train)
+    terms = {(j, k): F.avg(m.term(f, k, m.bin_col(f))).alias(f"a{j}_{k}") for j, f in enumerate(m.features)
+             for k in range(len(TIER_CODES))}
+    row = binned.agg(*terms.values())
+    items = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(k).alias("class"), (F.abs(F.col(f"a{j}_{k}")) < 1e-9).alias("centred"))
+                      for j, f in enumerate(m.features) for k in range(len(TIER_CODES))])
+    return row.select(F.inline(items))
+
+
 @query("fit_additive", rows_only=True)
 def q_fit_additive(spark, d):
     """Evaluation of the fitted binned additive model on the test split."""
@@ -776,14 +814,20 @@ CONTRACTS = {"internal": ["PROSPECTID", "Total_TL", "Age_Oldest_TL"],
 
 @query("contract_check")
 def q_contract(spark, d):
-    """Required columns (case-insensitive) per input table."""
+    """Required columns (case-insensitive) per input table,
+    and how many of their values are null."""
     wb = Workbench(spark, d)
     tables = {"internal": wb.internal, "external": wb.external, "unseen": wb.unseen_raw}
-    rows = []
+    out = None
     for t, req in CONTRACTS.items():
         missing = set(contract_diff(tables[t], req))
-        rows += [(t, c, c not in missing) for c in req]
-    return spark.createDataFrame(rows, "table_name string, required string, present boolean")
+        row = tables[t].agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(f"_n{i}") for i, c in enumerate(req) if c not in missing])
+        items = F.array(*[F.struct(F.lit(c).alias("required"), F.lit(c not in missing).alias("present"),
+                                   (F.lit(None).cast("long") if c in missing else F.col("_rows") - F.col(f"_n{i}")).alias("n_null"))
+                          for i, c in enumerate(req)])
+        one = row.select(F.lit(t).alias("table_name"), F.inline(items))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("load_csv")

@@ -501,22 +501,33 @@ _KEY_CASES = [("documents_labels", "documents", "labels"), ("orders_customer", "
               ("conversations_documents", "conversations", "documents"),
               ("benchmark_documents", "benchmark", "documents"), ("lineitem_orders", "lineitem", "orders"),
               ("embeddings_labels", "embeddings", "labels")]
-oracle("schema_key_detect", [], "WITH cols AS (SELECT table_name, column_name, ordinal_position FROM "
-       "information_schema.columns), pairs(case_name, a, b) AS (VALUES " + ", ".join(
-           f"({q(n)}, {q(a)}, {q(b)})" for n, a, b in _KEY_CASES) + """)
-SELECT p.case_name,
-  (SELECT ca.column_name FROM cols ca WHERE ca.table_name = p.a AND lower(ca.column_name) IN
-     (SELECT lower(column_name) FROM cols WHERE table_name = p.b) ORDER BY ca.ordinal_position LIMIT 1) AS key_left,
-  (SELECT cb.column_name FROM cols cb WHERE cb.table_name = p.b AND lower(cb.column_name) =
-     (SELECT lower(ca.column_name) FROM cols ca WHERE ca.table_name = p.a AND lower(ca.column_name) IN
-        (SELECT lower(column_name) FROM cols WHERE table_name = p.b) ORDER BY ca.ordinal_position LIMIT 1)
-   ORDER BY cb.ordinal_position LIMIT 1) AS key_right
-FROM pairs p""")
-
-oracle("column_kinds", [], "SELECT column_name, kind, CAST(position AS INTEGER) AS position FROM (VALUES "
+def _key_row(name: str, a: str, b: str, ka: str | None, kb: str | None) -> str:
+    side = lambda t, k: (f"(SELECT count(*) FROM {t})", f"(SELECT count(*) FROM {t} WHERE {k} IS NULL)",
+                         f"(SELECT count(DISTINCT {k}) FROM {t})")
+    if ka is None:
+        return (f"SELECT {q(name)} AS case_name, CAST(NULL AS VARCHAR) AS key_left, CAST(NULL AS VARCHAR) AS key_right, "
+                + ", ".join(f"CAST(NULL AS BIGINT) AS {n}_{s}" for s in ("left", "right") for n in ("rows", "nulls", "distinct"))
+                + ", CAST(NULL AS BIGINT) AS matched, CAST(NULL AS BOOLEAN) AS unique_left, CAST(NULL AS BOOLEAN) AS unique_right")
+    values = [f"{v} AS {n}_{s}" for s, t, k in (("left", a, ka), ("right", b, kb))
+              for n, v in zip(("rows", "nulls", "distinct"), side(t, k))]
+    unique = lambda t, k: f"(SELECT count({k}) = count(DISTINCT {k}) FROM {t})"
+    return (f"SELECT {q(name)} AS case_name, {q(ka)} AS key_left, {q(kb)} AS key_right, " + ", ".join(values)
+            + f", (SELECT count(DISTINCT {ka}) FROM {a} WHERE {ka} IN (SELECT {kb} FROM {b} WHERE {kb} IS NOT NULL)) AS matched, "
+              f"{unique(a, ka)} AS unique_left, {unique(b, kb)} AS unique_right")
+
+
+_KEYS = {"documents_labels": "doc_id", "conversations_documents": "text", "benchmark_documents": "text"}
+oracle("schema_key_detect", ["internal", "external"], " UNION ALL ".join(
+    [_key_row(n, a, b, _KEYS.get(n), _KEYS.get(n)) for n, a, b in _KEY_CASES]
+    + [_key_row("internal_external", "internal", "external", "PROSPECTID", "prospectid")]))
+
+oracle("column_kinds", ["merged"], ", k AS (SELECT * FROM (VALUES "
        + ", ".join(f"({q(c)}, 'numeric')" for c in NUMS) + ", " + ", ".join(f"({q(c)}, 'categorical')" for c in CATS)
-       + ") k(column_name, kind) JOIN (SELECT column_name AS cn, row_number() OVER () - 1 AS position FROM "
-       "(DESCRIBE (" + with_ctes("SELECT * FROM merged", ["merged"]) + "))) d ON d.cn = k.column_name")
+       + ") k(column_name, kind)), p AS (SELECT column_name AS cn, CAST(row_number() OVER () - 1 AS INTEGER) AS position FROM "
+       "(DESCRIBE (" + with_ctes("SELECT * FROM merged", ["merged"]) + "))), v AS (" + " UNION ALL ".join(
+           f"SELECT {q(c)} AS cn, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct FROM merged" for c in NUMS + CATS)
+       + ") SELECT k.column_name, k.kind, p.position, v.n_null, v.n_distinct FROM k JOIN p ON p.cn = k.column_name "
+       "JOIN v ON v.cn = k.column_name")
 oracle("table_shape", ["merged"], "SELECT count(*) AS n_rows, CAST((SELECT count(*) FROM (DESCRIBE ("
        + with_ctes("SELECT * FROM merged", ["merged"]) + "))) AS BIGINT) AS n_cols, "
        "count(DISTINCT Approved_Flag) AS n_classes FROM merged")
@@ -796,10 +807,15 @@ _CONTRACTS = {"internal": ["PROSPECTID", "Total_TL", "Age_Oldest_TL"],
               "external": ["PROSPECTID", "Approved_Flag", "GENDER", "EDUCATION", "MARITALSTATUS", "Credit_Score"],
               "unseen": ["PROSPECTID", "EDUCATION", "Auto_TL", "CC_utilization", "GENDER", "Credit_Score"]}
 _UNSEEN_COLS = "SELECT * EXCLUDE (Approved_Flag, EDUCATION, Auto_TL, CC_utilization), 'x' AS note FROM merged"
-ORACLES["contract_check"] = " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, {q(c)} AS required, {q(c.lower())} IN (SELECT lower(column_name) FROM (DESCRIBE ("
-    + with_ctes(_UNSEEN_COLS if t == "unseen" else f"SELECT * FROM {t}", ["merged" if t == "unseen" else t])
-    + "))) AS present" for t, req in _CONTRACTS.items() for c in req)
+_ABSENT = {"unseen": ["EDUCATION", "Auto_TL", "CC_utilization"]}
+oracle("contract_check", ["merged", "internal", "external"], f", unseen AS ({_UNSEEN_COLS}) " + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, {q(c)} AS required, {'false' if c in _ABSENT.get(t, []) else 'true'} AS present, "
+    + ("CAST(NULL AS BIGINT)" if c in _ABSENT.get(t, []) else f"(SELECT count(*) - count({c}) FROM {t})") + " AS n_null"
+    for t, req in _CONTRACTS.items() for c in req))
+_FEATURES = ("(SELECT unnest([" + ", ".join(q(c) for c in NUMS) + "]) AS feature UNION ALL SELECT col || '_' || cat FROM cats)")
+oracle("logistic_optimum", ["cats"], f"SELECT class, feature, true AS at_optimum FROM {_FEATURES}, "
+       "(SELECT unnest([0, 1, 2, 3]) AS class)")
+oracle("shape_centred", ["cats"], f"SELECT feature, class, true AS centred FROM {_FEATURES}, (SELECT unnest([0, 1, 2, 3]) AS class)")
 oracle("prepare_float32", ["prep_long"], f"SELECT PROSPECTID, feature, {r6('CAST(CAST(value AS FLOAT) AS DOUBLE)')} AS value "
        "FROM prep_long WHERE label IS NOT NULL")
 

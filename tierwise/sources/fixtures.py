@@ -195,11 +195,6 @@ def fixed_coefficients(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "model string, class int, feature string, coef double")
 
 
-def fixed_shapes(spark: SparkSession) -> DataFrame:
-    rows = [(f, b, lo, hi, k, float(v)) for f, b, lo, hi, sc in FIXED_SHAPES for k, v in enumerate(sc)]
-    return spark.createDataFrame(rows, "feature string, bin int, lo double, hi double, class int, score double")
-
-
 # --- fixed values: literal questions (one per intent + edge cases) -----------
 LITERAL_QUESTIONS = [
     (1, "explain applicant 42"),

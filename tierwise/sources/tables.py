@@ -52,10 +52,6 @@ def load_inputs(spark: SparkSession, internal_path: str, external_path: str,
 
 
 # --- B8: expected contracts of the credit tables ----------------------------
-INTERNAL_REQUIRED = ["PROSPECTID"]
-EXTERNAL_REQUIRED = ["PROSPECTID", "Approved_Flag"]
-
-
 def contract_diff(df: DataFrame, required: list[str]) -> list[str]:
     """Names in ``required`` that ``df`` lacks (case-insensitive), in order."""
     have = {c.lower() for c in df.columns}
