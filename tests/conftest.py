@@ -16,6 +16,8 @@ def spark():
     s = (SparkSession.builder.master("local[8]")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
+         .config("spark.driver.memory", "6g")
+         .config("spark.sql.ui.retainedExecutions", "20")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.ansi.enabled", "true")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tierwise-test-"))

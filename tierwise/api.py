@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .constants import (DEFAULT_AVG_LOAN, DEFAULT_P3_RATE, DEFAULT_P4_RATE, SENSITIVE_ATTRS,
                         TARGET_COL, TIER_TEXT_ANALYST)
 from .operators import ask as ask_ops
-from .operators import evaluate, explain, fairness, impact, merge, models, prepare, schema, split
+from .operators import evaluate, explain, fairness, impact, lime, merge, models, prepare, report, schema, split
 from .plans.workbench import materialize
 
 
@@ -139,37 +139,91 @@ def business(res: TrainResult, baseline: str = "logistic", challenger: str = "ad
             "comparison": impact.comparison_report(mm, baseline, challenger)}
 
 
-def ask(res: TrainResult, questions: DataFrame, external: DataFrame, model: str = "logistic") -> DataFrame:
-    """Route (qid, text) questions and answer them from the tables."""
+def partial_dependence(res: TrainResult, feature: str, model: str = "logistic") -> DataFrame:
+    """Average probability per (grid value, class) over all labelled rows."""
+    rows = res.split_df.drop("split")
+    return explain.partial_dependence(rows, res.models[model], feature, explain.pdp_grid(rows, feature))
+
+
+def local_surrogates(res: TrainResult, ids: DataFrame, model: str = "logistic", num_features: int = 12) -> DataFrame:
+    """LIME weights for the applicants whose keys ``ids`` lists (a column named as the key)."""
+    return lime.lime_batch(res.train, res.split_df.drop("split"), ids, res.models[model], res.key, num_features=num_features)
+
+
+def compare(res: TrainResult, pairs: DataFrame, model: str = "logistic", top: int = 5) -> DataFrame:
+    """The features in which the applicants of ``pairs`` (idx_a, idx_b) differ most."""
+    return explain.pair_delta(res.split_df.drop("split"), res.models[model], res.key, pairs, top)
+
+
+def reports(res: TrainResult, model: str = "additive", rows: DataFrame | None = None) -> DataFrame:
+    """Report records per applicant (default: the test split)."""
+    return report.applicant_report(res.test if rows is None else rows, res.models[model], res.key)
+
+
+def explain_once(res: TrainResult, store: explain.PhiStore, dataset: str = "labelled", model: str = "logistic") -> DataFrame:
+    """Long explanations of all labelled rows, kept in ``store`` and computed on first use only."""
+    return store.of(res.split_df.drop("split"), res.models[model], res.key, dataset)
+
+
+def save(res: TrainResult, path: str) -> None:
+    """Preparation parameters and both models as tables under ``path``."""
+    spark = res.split_df.sparkSession
+    res.params.to_table(spark).write.mode("overwrite").parquet(f"{path}/params")
+    for name, m in res.models.items():
+        kind = "linear" if isinstance(m, models.LinearModel) else "additive"
+        table = m.to_table(spark, background=True) if kind == "linear" else m.to_table(spark)
+        table.write.mode("overwrite").parquet(f"{path}/{kind}-{name}")
+
+
+def load(spark: SparkSession, path: str, linear: tuple[str, ...] = ("logistic",),
+         additive: tuple[str, ...] = ("additive",)) -> tuple[prepare.PrepParams, dict]:
+    """The saved parameters and models; score new rows with ``prepare.transform`` and ``models.scored_table``."""
+    params = prepare.PrepParams.from_table(spark.read.parquet(f"{path}/params"))
+    found = {n: models.linear_from_table(spark.read.parquet(f"{path}/linear-{n}"), n) for n in linear}
+    found |= {n: models.additive_from_table(spark.read.parquet(f"{path}/additive-{n}"), n) for n in additive}
+    return params, found
+
+
+def _asked(res: TrainResult, questions: DataFrame, external: DataFrame, model: str) -> dict:
+    """What answers and prompts are made of, for the applicants and attributes that questions name."""
     m = res.models[model]
     rows = res.split_df.drop("split")
     routed = ask_ops.route(questions)
-    named = routed.filter(F.col("intent") == "explain_applicant").select(F.col("idx").cast("string").alias("_asked"))
     text_key = F.col(res.key).cast("string")
-    asked = rows.join(named, text_key == F.col("_asked"), "left_semi")
-    info = models.score(asked, m, [res.key]).select(res.key, models.tier_of(F.col("pred")).alias("pred_tier"),
-                                                    "confidence")
-    top = explain.local_topn(asked, m, res.key, 5, by="phi_pred").join(info, res.key)
-    n_rows = rows.agg(F.count(F.lit(1))).scalar()
+
+    def info(some: DataFrame) -> DataFrame:
+        return models.score(some, m, [res.key]).select(res.key, models.tier_of(F.col("pred")).alias("pred_tier"), "confidence")
+
+    named = routed.filter(F.col("intent") == "explain_applicant").select(F.col("idx").cast("string").alias("_asked"))
+    one = rows.join(named, text_key == F.col("_asked"), "left_semi")
     pairs = routed.filter(F.col("intent") == "compare_applicants").select("idx_a", "idx_b").distinct()
     ids = pairs.select(F.explode(F.array(F.col("idx_a").cast("string"), F.col("idx_b").cast("string"))).alias("_asked"))
-    prs = rows.join(ids, text_key == F.col("_asked"), "left_semi")
-    pinfo = models.score(prs, m, [res.key]).select(res.key, models.tier_of(F.col("pred")).alias("pred_tier"),
-                                                   "confidence")
-    delta = explain.pair_delta(prs, m, res.key, pairs, 5)
-    gtop = explain.global_importance(rows, m, 10)
-    cols = [c for c in external.columns if c.upper() == c and c != TARGET_COL]
+    two = rows.join(ids, text_key == F.col("_asked"), "left_semi")
+    cols = [c for c in external.columns if c.upper() == c and c not in (TARGET_COL, res.key)]
+    wanted = routed.filter((F.col("intent") == "fairness") & F.col("attr").isin(cols)).select("attr").distinct().collect()
+    cols = [c for c in cols if c in {r["attr"] for r in wanted}] or cols[:1]  # names of columns: a few rows
     ek = schema.find_common_key([res.key], external.columns)[1]
-    preds = res.predictions.filter(F.col("model") == model)
-    wanted = routed.filter((F.col("intent") == "fairness") & F.col("attr").isin(cols)).select("attr").distinct()
-    long = fairness.audit(preds, external, res.key, ek, cols).join(F.broadcast(wanted), "attr", "left_semi")
-    rates = fairness.group_rates(long)
-    texts = ask_ops.fairness_text(rates, fairness.differences(rates))
-    perf = ask_ops.performance_text(evaluate.model_summary(res.predictions),
-                                    res.test.agg(F.count(F.lit(1))).scalar())
-    return (ask_ops.answer_explain(routed, top, n_rows, TIER_TEXT_ANALYST, res.key)
-            .unionByName(ask_ops.answer_compare(routed, delta, pinfo, n_rows, res.key))
-            .unionByName(ask_ops.answer_global(routed, gtop))
-            .unionByName(ask_ops.answer_fairness(routed, texts, external.columns))
-            .unionByName(ask_ops.answer_performance(routed, perf))
-            .unionByName(ask_ops.answer_static(routed)))
+    rates = fairness.group_rates(fairness.audit(res.predictions.filter(F.col("model") == model), external, res.key, ek, cols))
+    return {"routed": routed, "top": explain.local_topn(one, m, res.key, 5, by="phi_pred").join(info(one), res.key),
+            "delta": explain.pair_delta(two, m, res.key, pairs, 5), "info": info(two),
+            "gtop": explain.global_importance(rows, m, 10), "rates": rates, "diff": fairness.differences(rates),
+            "summary": evaluate.model_summary(res.predictions), "n_test": res.test.agg(F.count(F.lit(1))).scalar(),
+            "n_rows": rows.agg(F.count(F.lit(1))).scalar()}
+
+
+def ask(res: TrainResult, questions: DataFrame, external: DataFrame, model: str = "logistic") -> DataFrame:
+    """Route (qid, text) questions and answer them from the tables."""
+    x = _asked(res, questions, external, model)
+    return (ask_ops.answer_explain(x["routed"], x["top"], x["n_rows"], TIER_TEXT_ANALYST, res.key)
+            .unionByName(ask_ops.answer_compare(x["routed"], x["delta"], x["info"], x["n_rows"], res.key))
+            .unionByName(ask_ops.answer_global(x["routed"], x["gtop"]))
+            .unionByName(ask_ops.answer_fairness(x["routed"], ask_ops.fairness_text(x["rates"], x["diff"]), external.columns))
+            .unionByName(ask_ops.answer_performance(x["routed"], ask_ops.performance_text(x["summary"], x["n_test"])))
+            .unionByName(ask_ops.answer_static(x["routed"])))
+
+
+def prompts(res: TrainResult, questions: DataFrame, external: DataFrame, model: str = "logistic") -> DataFrame:
+    """Prompts for an external text model, one per question that can be answered."""
+    x = _asked(res, questions, external, model)
+    return ask_ops.prompts(x["routed"], x["top"], x["delta"], x["info"], x["gtop"], x["rates"], x["diff"], x["summary"],
+                           x["n_test"], TIER_TEXT_ANALYST, res.key)

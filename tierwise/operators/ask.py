@@ -214,3 +214,28 @@ def prompt_performance(summary: DataFrame, n_test: Column) -> DataFrame:
         PROMPT_MODEL_LINE, model=x["model"], f1=fmt_fixed(x["f1_macro"], 3), auc=fmt_fixed(x["auc_ovr"], 3))), "\n")
     t = summary.agg(body.alias("body")).withColumn("n_test", n_test)
     return t.select(fill(PROMPT_PERFORMANCE, n=fmt_thousands("n_test"), lines=F.col("body")).alias("prompt"))
+
+
+def prompts(routed: DataFrame, top: DataFrame, delta: DataFrame, info: DataFrame, gtop: DataFrame, rates: DataFrame,
+            diff: DataFrame, summary: DataFrame, n_test: Column, tier_text: dict, key: str = KEY_COL) -> DataFrame:
+    """(qid, prompt) for every explain, compare, global, fairness and
+    performance question whose applicants or attribute are known."""
+    per = top.groupBy(key).agg(F.first("pred_tier").alias("pred_tier"), F.first("confidence").alias("confidence"),
+                               F.sort_array(F.collect_list(F.struct("rank", "feature", "phi_pred"))).alias("top"))
+    q = routed.filter(F.col("intent") == "explain_applicant").select("qid", "idx")
+    explained = q.join(per, F.col("idx").cast("string") == per[key].cast("string")).select("qid", prompt_explain(
+        F.col("top"), F.col("idx"), F.col("pred_tier"), F.col("confidence"), tier_text).alias("prompt"))
+    d = delta.groupBy("idx_a", "idx_b").agg(F.sort_array(F.collect_list(F.struct("rank", "feature", "va", "vb"))).alias("top"))
+    both = routed.filter(F.col("intent") == "compare_applicants").select("qid", "idx_a", "idx_b").join(d, ["idx_a", "idx_b"])
+    for x in ("a", "b"):
+        side = info.select(F.col(key).cast("string").alias(f"key_{x}"), F.col("pred_tier").alias(f"tier_{x}"),
+                           F.col("confidence").alias(f"conf_{x}"))
+        both = both.join(side, F.col(f"idx_{x}").cast("string") == F.col(f"key_{x}"))
+    compared = both.select("qid", prompt_compare(F.col("top"), *[F.col(c) for c in (
+        "idx_a", "tier_a", "conf_a", "idx_b", "tier_b", "conf_b")]).alias("prompt"))
+    overall = routed.filter(F.col("intent") == "global_importance").select("qid", prompt_global(gtop).scalar().alias("prompt"))
+    fair = routed.filter(F.col("intent") == "fairness").select("qid", "attr").join(
+        prompt_fairness(rates, diff), "attr").select("qid", "prompt")
+    perf = routed.filter(F.col("intent") == "model_performance").select(
+        "qid", prompt_performance(summary, n_test).scalar().alias("prompt"))
+    return explained.unionByName(compared).unionByName(overall).unionByName(fair).unionByName(perf)

@@ -6,7 +6,7 @@ Per-row explanations stay as arrays inside the row until a top-k is taken
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import TIER_CODES
@@ -30,7 +30,7 @@ def phi_exprs(model) -> dict[tuple[str, int], Column]:
                 out[(f, k)] = F.lit(float(model.coef[k][j])) * (F.col(f) - F.lit(mu))
     elif isinstance(model, AdditiveModel):
         for f in model.features:
-            b = model.bin_expr(f)
+            b = model.bin_col(f) if model.bucketize else model.bin_expr(f)
             for k in range(K):
                 out[(f, k)] = model.term(f, k, b)
     else:
@@ -38,6 +38,12 @@ def phi_exprs(model) -> dict[tuple[str, int], Column]:
     return out
 
 
+def with_bins(df: DataFrame, model) -> DataFrame:
+    """``df`` with the bin columns that ``phi_exprs`` reads for a fitted
+    additive model: one binary search per feature, shared by all classes."""
+    return model.add_bins(df) if isinstance(model, AdditiveModel) and model.bucketize else df
+
+
 def base_values(model) -> list[float]:
     """Expected logit per class over the background (sum(phi) + base = logit)."""
     if isinstance(model, LinearModel):
@@ -53,7 +59,29 @@ def phi_long(df: DataFrame, model, key: str) -> DataFrame:
     items = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(k).alias("class"),
                                F.col(f).cast("double").alias("value"), e.alias("phi"))
                       for (f, k), e in ph.items()])
-    return df.select(key, F.inline(items))
+    return with_bins(df, model).select(key, F.inline(items))
+
+
+class PhiStore:
+    """Long explanation tables kept under a path, one per (model, dataset).
+    A table is looked for before it is computed, so every later view of the
+    same model and rows reads it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def of(self, df: DataFrame, model, key: str, dataset: str) -> DataFrame:
+        """The explanations of ``df`` (named ``dataset``) by ``model``, from the store if it has them.  A table
+        is complete once its folder has Spark's success mark; one cut off half way is written anew."""
+        place = f"{self.path}/model={model.name}/dataset={dataset}"
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS")
+        if not mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark):
+            phi_long(df, model, key).write.mode("overwrite").parquet(place)
+        return self.spark.read.parquet(place)
+
+    def all(self) -> DataFrame:
+        """All kept explanations with their model and dataset."""
+        return self.spark.read.option("basePath", self.path).parquet(self.path)
 
 
 def feature_structs(model, by: str = "mean_abs") -> Column:
@@ -80,7 +108,7 @@ def local_topn(df: DataFrame, model, key: str, n: int = 10, by: str = "mean_abs"
     """Per row, top-n features by mean |phi| over classes (or, with
     ``by="phi_pred"``, by the predicted class's |phi|), with the mean signed
     phi (reference display) and the predicted-class phi."""
-    s = score(df, model, [key] + list(model.features))
+    s = with_bins(score(df, model, [key] + list(model.features)), model)
     arr = F.slice(F.sort_array(feature_structs(model, by)), 1, n)
     return (s.select(key, "pred", F.posexplode(arr).alias("pos", "t"))
              .select(key, "pred", (F.col("pos") + 1).alias("rank"), "t.feature", "t.value", "t.mean_abs",
@@ -94,7 +122,7 @@ def global_importance(df: DataFrame, model, top: int | None = 10) -> DataFrame:
     for i, f in enumerate(model.features):
         tot = sum((F.abs(ph[(f, k)]) for k in range(1, K)), F.abs(ph[(f, 0)]))
         aggs.append(F.avg(tot / F.lit(float(K))).alias(f"i{i}"))
-    row = df.agg(*aggs)
+    row = with_bins(df, model).agg(*aggs)
     items = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"i{i}").alias("importance"))
                       for i, f in enumerate(model.features)])
     long = row.select(F.inline(items))
@@ -118,7 +146,7 @@ def waterfall(df: DataFrame, model, key: str, max_display: int = 10, cls: int |
     remaining features folded into one step.  In-row array work, no shuffle."""
     ph = phi_exprs(model)
     base = base_values(model)
-    s = score(df, model, [key] + list(model.features))
+    s = with_bins(score(df, model, [key] + list(model.features)), model)
     k_col = F.col("pred") if cls is None else F.lit(cls)
     items = []
     for f in model.features:
@@ -150,7 +178,7 @@ def waterfall(df: DataFrame, model, key: str, max_display: int = 10, cls: int |
 def pair_delta(df: DataFrame, model, key: str, pairs: DataFrame, n: int = 5) -> DataFrame:
     """I9 + D8: for each (idx_a, idx_b), the top-n features by |phi(b) - phi(a)|,
     each applicant's phi being that of their own predicted class."""
-    ex = score(df, model, [key] + list(model.features)).select(F.col(key), feature_structs(model).alias("fs"))
+    ex = with_bins(score(df, model, [key] + list(model.features)), model).select(F.col(key), feature_structs(model).alias("fs"))
     a = ex.select(F.col(key).cast("string").alias("_key_a"), F.col("fs").alias("fa"))
     b = ex.select(F.col(key).cast("string").alias("_key_b"), F.col("fs").alias("fb"))
     j = (pairs.join(a, F.col("idx_a").cast("string") == F.col("_key_a"))

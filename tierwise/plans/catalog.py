@@ -407,6 +407,18 @@ def q_phi_additive(spark, d):
     return _r6all(explain.phi_long(_explain_rows(wb), wb.fixed_shape_model, KEY_COL), ["value", "phi"])
 
 
+@query("phi_store")
+def q_phi_store(spark, d):
+    """Explanations kept once per (model, dataset); asked for twice, computed once."""
+    from ..config import scratch_path
+    import uuid
+    wb = Workbench(spark, d)
+    store = explain.PhiStore(spark, scratch_path(spark, f"phi-{uuid.uuid4().hex}"))
+    for m in (wb.fixed_a, wb.fixed_shape_model, wb.fixed_a):
+        store.of(_explain_rows(wb), m, KEY_COL, "labelled")
+    return _r6all(store.all(), ["value", "phi"])
+
+
 @query("global_importance")
 def q_global(spark, d):
     wb = Workbench(spark, d)
@@ -700,59 +712,22 @@ def q_prompt_text(spark, d):
     rows = _explain_rows(wb)
     asked = _named(rows, _explain_question_ids(spark, d))
     top = explain.local_topn(asked, wb.fixed_a, KEY_COL, 5, by="phi_pred").join(_applicant_info(wb, asked), KEY_COL)
-    per = top.groupBy(KEY_COL).agg(F.first("pred_tier").alias("pred_tier"), F.first("confidence").alias("confidence"),
-                                   F.sort_array(F.collect_list(F.struct("rank", "feature", "phi_pred"))).alias("top"))
-    q = routed.filter(F.col("intent") == "explain_applicant").select("qid", "idx")
-    explained = q.join(per, q.idx == per[KEY_COL], "inner").select("qid", ask.prompt_explain(
-        F.col("top"), F.col("idx"), F.col("pred_tier"), F.col("confidence"), TIER_TEXT_ANALYST).alias("prompt"))
-
     pairs = _compare_pairs(spark, d)
     both = _named(rows, _pair_ids(pairs))
-    delta = explain.pair_delta(both, wb.fixed_a, KEY_COL, pairs, 5).groupBy("idx_a", "idx_b").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "feature", "va", "vb"))).alias("top"))
-    info = _applicant_info(wb, both)
-    side = lambda x: info.select(F.col(KEY_COL).alias(f"idx_{x}"), F.col("pred_tier").alias(f"tier_{x}"),
-                                 F.col("confidence").alias(f"conf_{x}"))
-    q = routed.filter(F.col("intent") == "compare_applicants").select("qid", "idx_a", "idx_b")
-    compared = q.join(delta, ["idx_a", "idx_b"]).join(side("a"), "idx_a").join(side("b"), "idx_b").select(
-        "qid", ask.prompt_compare(F.col("top"), *[F.col(c) for c in ("idx_a", "tier_a", "conf_a", "idx_b", "tier_b",
-                                                                     "conf_b")]).alias("prompt"))
-
-    said = ask.prompt_global(explain.global_importance(rows, wb.fixed_a, 10)).scalar()
-    overall = routed.filter(F.col("intent") == "global_importance").select("qid", said.alias("prompt"))
-    rates, diff = _asked_rates(wb, routed)
-    fair = routed.filter(F.col("intent") == "fairness").select("qid", "attr").join(
-        ask.prompt_fairness(rates, diff), "attr").select("qid", "prompt")
+    delta = explain.pair_delta(both, wb.fixed_a, KEY_COL, pairs, 5)
+    gtop = explain.global_importance(rows, wb.fixed_a, 10)
     n_test = wb.test.agg(F.count(F.lit(1))).scalar()
-    said = ask.prompt_performance(evaluate.model_summary(wb.fixed_preds), n_test).scalar()
-    perf = routed.filter(F.col("intent") == "model_performance").select("qid", said.alias("prompt"))
-    return explained.unionByName(compared).unionByName(overall).unionByName(fair).unionByName(perf)
+    return ask.prompts(routed, top, delta, _applicant_info(wb, both), gtop, *_asked_rates(wb, routed),
+                       evaluate.model_summary(wb.fixed_preds), n_test, TIER_TEXT_ANALYST, KEY_COL)
 
 
 @query("applicant_report")
 def q_applicant_report(spark, d):
     """Per-applicant report records for every test applicant, flattened to
     (PROSPECTID, section, pos, label, value, note)."""
-    from ..constants import TIER_TEXT_SCORING
-    from ..functions.text import fmt_fixed, fmt_pct
-    wb = Workbench(spark, d)
-    s = models.score(wb.test, wb.fixed_a, [KEY_COL])
-    tier = models.tier_of(F.col("pred"))
-    desc = F.create_map(*[x for t, v in TIER_TEXT_SCORING.items() for x in (F.lit(t), F.lit(v))])
-    head = s.select(KEY_COL, F.inline(F.array(
-        F.struct(F.lit("header").alias("section"), F.lit(1).alias("pos"), F.lit("tier").alias("label"),
-                 tier.alias("value"), desc[tier].alias("note")),
-        F.struct(F.lit("header").alias("section"), F.lit(2).alias("pos"), F.lit("confidence").alias("label"),
-                 fmt_pct("confidence").alias("value"), F.lit("").alias("note")))))
-    probs = s.select(KEY_COL, F.inline(F.array(*[
-        F.struct(F.lit("probability").alias("section"), F.lit(k + 1).alias("pos"), F.lit(t).alias("label"),
-                 fmt_pct(f"Prob_{t}").alias("value"), F.lit(TIER_TEXT_SCORING[t]).alias("note"))
-        for k, t in enumerate(TIER_CODES)])))
-    top = explain.local_topn(wb.test, wb.fixed_a, KEY_COL, 10, by="phi_pred")
-    factors = top.select(KEY_COL, F.lit("factor").alias("section"), F.col("rank").alias("pos"),
-                         F.col("feature").alias("label"), fmt_fixed("phi_pred", 4, signed=True).alias("value"),
-                         F.when(F.col("phi_pred") > 0, "Positive").otherwise("Negative").alias("note"))
-    return head.unionByName(probs).unionByName(factors)
+    from ..operators import report
+    wb = Workbench(spark, d)
+    return report.applicant_report(wb.test, wb.fixed_a, KEY_COL)
 
 
 def _explain_question_ids(spark, d) -> DataFrame:

@@ -966,3 +966,7 @@ SELECT qid, 'model_performance' AS intent, (SELECT {fill_sql(ANSWER_PERFORMANCE,
 for _name, _same in {"scored_sink": "score_fixed", "stream_score": "score_unseen", "load_csv": "internal_table",
                      "load_inputs": "merge_inner", "additive_save_load": "phi_additive"}.items():
     ORACLES[_name] = ORACLES[_same]
+
+ORACLES["phi_store"] = " UNION ALL ".join(
+    f"SELECT '{m}' AS model, 'labelled' AS dataset, * FROM ({ORACLES[o]})"
+    for m, o in (("fixed_a", "phi_linear"), ("fixed_shape", "phi_additive")))
