@@ -3,6 +3,7 @@
 Online and in bounded space: a partition's pieces arrive in order; a fixed number of bins is open; a bitset has bit f
 set if an open bin has f places free. A piece goes to the bin with the least sufficient free space (lowest set bit at
 or above its length); if there is none, a new bin opens, and beyond ``OPEN_BINS`` open ones the fullest closes first.
+The pieces of a slice of ``SLICE_BYTES`` of text are placed longest first, so that short ones fill what is left.
 Each input partition packs on its own, so nothing is shuffled and a lost task is simply run again.
 
 Tokenizing is exact, word by word: the pattern of ``word_bpe_49k.json`` never crosses ASCII white space, so each
@@ -144,7 +145,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_bins: int =
                 start = number * length
                 size = np.minimum(length, counts[doc] - start)
                 at = (np.cumsum(counts) - counts)[doc] + start
-                placed = np.array([fit.place(s) for s in size.tolist()], np.int64).reshape(-1, 2)
+                placed = np.empty((len(size), 2), np.int64)
+                for i in np.argsort(-size, kind="stable").tolist():
+                    placed[i] = fit.place(int(size[i]))
                 raw = ids.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(number.astype(np.int32)),
