@@ -63,8 +63,7 @@ def paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     members = nodes.join(inner, "id", "left_anti").select(F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("back"))
     for k in range(len(ups) - 1, -1, -1):
         step = members.join(ups[k], "id").select("leaf", F.col("up").alias("id"), (F.col("back") + 2 ** k).alias("back"))
-        members = members.unionByName(step)
-    members = _base.stored(members, "chat-paths")
+        members = _base.stored(members.unionByName(step), "chat-paths")
     roots = nodes.join(ups[0].select("id"), "id", "left_anti").select("id", F.lit(True).alias("is_root"))
     whole = (members.join(nodes.select("id", "score"), "id").join(roots, "id", "left").groupBy("leaf")
              .agg(F.avg("score").alias("path_score"), F.max(F.when(F.col("is_root"), F.col("id"))).alias("root"))
