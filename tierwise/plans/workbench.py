@@ -3,8 +3,9 @@ score new rows, audit fairness, money terms.
 
 ``Workbench`` wires the operators over one input directory.  Attributes are
 lazy DataFrames; fitted parameters (bounded tables) are computed on first use.
-Nothing is cached across queries, so every registered query runs its whole
-plan over the whole input tables.
+Every registered query plans over the whole input tables.  Tables that several
+of its jobs read stay persisted until the session's cache is cleared (the bench
+does so after each query); a later query may find them there.
 """
 
 from __future__ import annotations
