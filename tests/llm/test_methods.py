@@ -17,7 +17,7 @@ import __spark_entry__ as E
 import corpus_pipeline
 from conftest import SF
 from oracle_check import compare, duck
-from tierwise.llm import (_base, chat, decontaminate, language, licences, mixing, neardup, packing, registry, rollups,
+from tierwise.llm import (_base, chat, copying, decontaminate, language, licences, mixing, neardup, packing, registry, rollups,
                           warc)
 
 
@@ -136,6 +136,40 @@ def test_mixing_against_brute_force(spark, texts):
         assert r.score < 0 and 0 < r.bits_per_byte < 8
 
 
+def test_copy_predictions_against_brute_force():
+    """For every anchor: the run seen most often behind its context in other training texts."""
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n = 60
+        context, held = rng.integers(0, 6, n).astype(np.uint64), rng.random(n) < 0.3
+        runs = [tuple(rng.integers(0, 2, rng.integers(1, 4)).tolist()) for _ in range(n)]
+        same, other, size, agreed = copying.predicted(context, held, np.array([len(r) for r in runs]), np.array(sum(runs, ()), np.uint32))
+        for i in range(n):
+            seen = collections.Counter(runs[j] for j in range(n) if context[j] == context[i] and not held[j])
+            most = max(seen.values(), default=0)
+            own = 0 if held[i] else 1
+            candidates = [r for r, k in seen.items() if k == most] or [None]
+            options = set()
+            for r in candidates:
+                mine = own if runs[i] == r else 0
+                if r is None:
+                    options.add((0, 0))
+                    continue
+                agree = next((k for k, (x, y) in enumerate(zip(r, runs[i])) if x != y), min(len(r), len(runs[i])))
+                options.add((most - mine, sum(seen.values()) - most - (own - mine), len(r), agree))
+            got = (int(same[i]), int(other[i]), int(size[i]), int(agreed[i]))
+            assert got in options or (got[0] == 0 and (0, 0) in options), (got, options)
+
+
+def test_copied_passages_cost_less(spark, texts):
+    """A held-out copy of a training text is far cheaper than its words one by one."""
+    long = max(texts.items(), key=lambda kv: len(kv[1]))
+    rows = [(d, t) for d, t in texts.items()] + [(10_000, long[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    r = mixing.score(df, F.col("doc_id") != 10_000).filter("doc_id = 10000").first()
+    assert r.score > 0.8 * r.base_score
+
+
 def test_spelling_is_a_distribution():
     """The probabilities of all two-byte codes add up to one: each byte's code is complete."""
     code = mixing.Code(np.bincount(np.frombuffer(b"some bytes to count", np.uint8), minlength=256))
