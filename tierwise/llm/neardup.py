@@ -8,7 +8,7 @@ also bring together all texts that share one long passage.
 
 Two nodes are linked if their word edit distance is at most 0.2 of the longer one, found by a bit-parallel alignment
 inside a band of that width, after a bag-of-words lower bound. A bucket is never expanded into its pairs: each node is
-compared with the bucket's hub (smallest node). Nodes that the hub refuses, if there are few, are compared among
+compared with the bucket's hub. Nodes that the hub refuses, if there are few, are compared among
 themselves in one task (``SMALL``); of larger remainders, nodes go on into buckets of two equal sketches, up
 to ``LEVELS``, then round by round with another hub. A refused node that lies so near to the hub that, by the triangle inequality, it can still be linked to an
 accepted one, is compared with those.
@@ -28,9 +28,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _base
@@ -39,8 +38,10 @@ K = 5
 SAMPLES = 3
 SKETCHES = 32
 SIMILARITY = 0.8
-SMALL = 64
+SMALL = 512
+COLUMNS = 4096
 LEVELS = 4
+BITMAP_BITS = 25
 SLICE_BYTES = 3 << 20
 
 
@@ -143,6 +144,29 @@ def distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     return got if got <= limit else limit + 1
 
 
+def common_words(texts: list[np.ndarray]) -> np.ndarray:
+    """For every two texts the size of their common bag of words, some columns (words numbered by occurrence) at a time."""
+    word, text = np.concatenate(texts).astype(np.int64), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    order = np.lexsort((word, text))
+    word, text = word[order], text[order]
+    first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (text[1:] != text[:-1])])) if len(word) else word
+    occurrence = np.arange(len(word)) - np.repeat(first, np.diff(np.append(first, len(word))))
+    _, column, held = np.unique(np.stack([word, occurrence], 1), axis=0, return_inverse=True, return_counts=True)
+    column = column.ravel()
+    keep = held[column] > 1
+    _, column = np.unique(column[keep], return_inverse=True)
+    text = text[keep]
+    order = np.argsort(column, kind="stable")
+    column, text = column[order], text[order]
+    out = np.zeros((len(texts), len(texts)), np.int64)
+    for a in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        lo, hi = np.searchsorted(column, [a, a + COLUMNS])
+        dense = np.zeros((len(texts), COLUMNS), np.float32)
+        dense[text[lo:hi], column[lo:hi] - a] = 1
+        out += (dense @ dense.T).astype(np.int64)
+    return out
+
+
 def allowed(m: int, n: int) -> int:
     """The largest edit distance of linked texts of m and n words."""
     return int((1 - SIMILARITY) * max(m, n) + 1e-9)
@@ -176,15 +200,24 @@ def _compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _among(members: DataFrame, words: DataFrame) -> DataFrame:
-    """Links inside small buckets (key, fp): all members of one are compared in one task."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        fps, texts = group["fp"].tolist(), [_words(w) for w in group["words"]]
-        out = [(fps[i], fps[j]) for j in range(len(fps)) for i in range(j)
-               if distance(texts[i], texts[j], most := allowed(len(texts[i]), len(texts[j]))) <= most]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return members.join(words, "fp").groupBy("key").applyInPandas(run, "a binary, b binary")
+    """Links inside small buckets (key, fp), compared in one task each: every two members are, unless links found
+    before already connect them, so the links that come out are a spanning forest of all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        fps, texts = table["fp"].to_pylist(), [_words(w.as_buffer()) for w in table["words"].combine_chunks()]
+        sizes = np.array([len(t) for t in texts])
+        longest = np.maximum.outer(sizes, sizes)
+        most = ((1 - SIMILARITY) * longest + 1e-9).astype(np.int64)
+        near = longest - common_words(texts) <= most
+        part, out = np.arange(len(fps)), []
+        for i in range(len(fps)):
+            for j in np.flatnonzero(near[i]).tolist():
+                if part[i] != part[j] and distance(texts[i], texts[j], int(most[i, j])) <= most[i, j]:
+                    part[part == part[j]] = part[i]
+                    out.append((fps[i], fps[j]))
+        return pa.table([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return members.join(words, "fp").groupBy("key").applyInArrow(run, "a binary, b binary")
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -208,42 +241,66 @@ def sketched(docs: DataFrame) -> DataFrame:
         .mapInArrow(run, "doc_id long, text_key string, fp binary, sig array<long>")
 
 
+def _places(key: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(1 << BITMAP_BITS)) for i in range(2)]
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of (text_key) with ``2 ** BITMAP_BITS`` bits, whatever the number of keys."""
+
+    def fill(key: tuple, table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 15, bool)
+        bits[table["place"].to_numpy() & 0x7FFF] = True
+        return pa.table([pa.array([key[0].as_py()], pa.int64()),
+                         pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["block", "bits"])
+
+    places = keys.select(F.explode(F.array(*_places(F.col("text_key")))).alias("place")).distinct()
+    blocks = places.withColumn("block", F.shiftright("place", 15)).groupBy("block").applyInArrow(fill, "block long, bits binary")
+    out = np.zeros((1 << BITMAP_BITS - 15, 1 << 12), np.uint8)
+    for block, bits in zip(*blocks.toArrow().to_pydict().values()):
+        out[block] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
 def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, words) of the nodes named by wanted (text_key)."""
+    """(fp, words) of the nodes named by wanted (text_key), and of a few others: a Bloom filter of fixed size lets texts
+    through, so that no text is shuffled, and the joins on fp that follow are exact."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
-            for lo, hi in _base.slices(batch.column(0), SLICE_BYTES):
-                h, counts = hashed_words(batch.column(0).slice(lo, hi - lo))
+            places = (batch.column(i).to_numpy() for i in (1, 2))
+            through = np.logical_and(*((bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 for p in places)).astype(bool)
+            texts = batch.column(0).filter(pa.array(through))
+            for lo, hi in _base.slices(texts, SLICE_BYTES):
+                h, counts = hashed_words(texts.slice(lo, hi - lo))
                 ends, short = np.cumsum(counts), h.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([r.tobytes() for r in fingerprints(h, counts)], pa.binary()),
                     pa.array([short[e - c:e].tobytes() for e, c in zip(ends, counts)], pa.binary())], names=["fp", "words"])
 
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    picked = texts.join(wanted, F.md5("text") == wanted["text_key"], "left_semi")
-    return picked.mapInArrow(run, "fp binary, words binary").dropDuplicates(["fp"])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(text.alias("text"), *[p.alias(f"place{i}") for i, p in enumerate(_places(F.md5(text)))])
+    return texts.mapInArrow(run, "fp binary, words binary").dropDuplicates(["fp"])
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Verified links (a, b) between nodes (fp, text_key, sig)."""
-    keys = nodes.select("fp", "text_key", F.explode("sig").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    buckets = _base.stored(keys.join(shared, "key"), "neardup-buckets")
-    words = _base.stored(_words_of(docs, buckets.select("text_key").distinct()), "neardup-words")
-    buckets = buckets.select("key", "fp")
-    found, open_buckets, level = [], buckets, 1
+def hubs(buckets: DataFrame) -> DataFrame:
+    """For every bucket (key, fp) its hub ``b``: the node that is in most buckets, of equals the smallest. It is in the
+    middle of its like, where most others are near."""
+    often = buckets.groupBy("fp").agg(F.count("*").alias("often"))
+    return buckets.join(often, "fp").groupBy("key").agg(F.min(F.struct(-F.col("often"), F.col("fp")))["fp"].alias("b"))
+
+
+def links(nodes: DataFrame, buckets: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) of nodes (fp, sig) that share a bucket (key, fp), and all comparisons with hubs."""
+    found, tries, open_buckets, level = [], [], buckets, 1
     while True:
-        hubs = open_buckets.groupBy("key").agg(F.min("fp").alias("b"))
-        members = open_buckets.join(hubs, "key").filter("fp <> b").withColumnRenamed("fp", "a")
+        members = _base.stored(open_buckets.join(hubs(open_buckets), "key").filter("fp <> b").withColumnRenamed("fp", "a"),
+                               "neardup-members")
         tried = _base.stored(_compared(members.select("a", "b").distinct(), words), "neardup-tried")
+        tries.append(tried)
         found.append(tried.filter("linked").select("a", "b"))
-        border = tried.filter("not linked and d is not null").select("a", "b", "d", "n")
-        taken = tried.filter("linked").select(F.col("a").alias("c"), "b", F.col("d").alias("e"), F.col("n").alias("o"))
-        slack = F.floor((1 - SIMILARITY) * F.greatest("n", "o") + 1e-9)
-        near = (border.join(taken, "b").filter(F.abs(F.col("d") - F.col("e")) <= slack)
-                .select("a", F.col("c").alias("b")).distinct())
-        found.append(_compared(near, words).filter("linked").select("a", "b"))
         refused = _base.stored(members.join(tried.filter("not linked"), ["a", "b"]).select("key", F.col("a").alias("fp")),
                                "neardup-refused")
         sizes = refused.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
@@ -260,29 +317,52 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             shared = finer.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
             rest = finer.join(shared, "key")
         open_buckets = _base.stored(rest, "neardup-open")
-    out = found[0]
-    for more in found[1:]:
+    return _base.stored(_union(found).distinct(), "neardup-links"), _union(tries)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
         out = out.unionByName(more)
-    return _base.stored(out.distinct(), "neardup-links")
+    return out
+
+
+def border_links(tried: DataFrame, part: DataFrame, words: DataFrame) -> DataFrame:
+    """Links between a node that its hub refused and one that the hub accepted, where the two are not yet of one class
+    and the triangle inequality allows a link: |d(a, hub) - d(c, hub)| is at most the distance that linked texts may have."""
+    def root(side: str) -> DataFrame:
+        return part.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+
+    border = (tried.filter("not linked and d is not null").join(root("a"), "a", "left").join(root("b"), "b", "left")
+              .filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "d", "n"))
+    taken = tried.filter("linked").select(F.col("a").alias("c"), "b", F.col("d").alias("e"), F.col("n").alias("o"))
+    slack = F.floor((1 - SIMILARITY) * F.greatest("n", "o") + 1e-9)
+    near = border.join(taken, "b").filter(F.abs(F.col("d") - F.col("e")) <= slack).select("a", F.col("c").alias("b")).distinct()
+    return _compared(near, words).filter("linked").select("a", "b")
+
+
+def _to_least(edges: DataFrame) -> DataFrame:
+    """Small star: every node's neighbours, and the node, are linked to the least of them."""
+    joined = edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
+    return joined.select("a", F.col("m").alias("b")).unionByName(
+        joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected parts of edges (a, b): rows (node, root), the root being the smallest node. Alternates large-star and
-    small-star steps, each a grouped minimum, until the edges are stars."""
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    """Connected parts of edges (a, b): rows (node, root), the root being the smallest node. As the edges lead from many
+    nodes to few hubs, a first small star leaves hardly more edges than nodes. Then large stars and small stars
+    alternate, each a grouped minimum, until no node has two edges and no root has one."""
+    now = _base.stored(_to_least(edges.filter("a <> b")), "neardup-star")
+    now = now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = _base.stored(large.filter("a <> b"), "neardup-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select("a", F.col("m").alias("b")).unionByName(
-            joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
-        small = _base.stored(small, "neardup-star")
-        if small.exceptAll(now).isEmpty() and now.exceptAll(small).isEmpty():
-            return small.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        now = small
+        now = _base.stored(_to_least(_base.stored(large.filter("a <> b"), "neardup-star")), "neardup-star")
+        more = now.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a") \
+            .unionByName(now.join(now.select(F.col("a").alias("b")), "b", "left_semi").select("a"))
+        if more.isEmpty():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -290,7 +370,15 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = _base.stored(sketched(docs), "neardup-rows")
     nodes = _base.stored(rows.groupBy("fp").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("least"),
                                                 F.count("*").alias("n"), F.min("sig").alias("sig")), "neardup-nodes")
-    part = components(links(docs, nodes))
+    keys = nodes.select("fp", "text_key", F.explode("sig").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    buckets = _base.stored(keys.join(shared, "key"), "neardup-buckets")
+    words = _base.stored(_words_of(docs, buckets.select("text_key").distinct()), "neardup-words")
+    found, tried = links(nodes, buckets.select("key", "fp"), words)
+    part = components(found)
+    more = _base.stored(border_links(tried, part, words), "neardup-border")
+    if not more.isEmpty():
+        part = components(part.toDF("a", "b").unionByName(more))
     rooted = nodes.join(part, nodes["fp"] == part["node"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least", "n")
     heads = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("copies"))
