@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tierwise.config import ensure_checkpoint_dir
 
+pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between tasks; workers live on idle
+
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
