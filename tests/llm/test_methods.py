@@ -342,6 +342,29 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == brute_classes(dict(rows))
 
 
+def test_borders_are_linked_through_accepted_nodes(spark, monkeypatch):
+    """Nodes that the hub refused, each near one that it accepted; a far one stays alone. Several blocks a side."""
+    monkeypatch.setattr(neardup, "SMALL", 3)
+    hub = np.arange(100, dtype=np.uint32)
+    texts, rows = {b"hub": hub}, []
+    for i in range(8):
+        accepted, refused = hub.copy(), hub.copy()
+        accepted[:15] = 1000 + 100 * i + np.arange(15)
+        refused[:15] = accepted[:15]
+        refused[40:52] = 5000 + 100 * i + np.arange(12)
+        texts[b"c%d" % i], texts[b"a%d" % i] = accepted, refused
+    texts[b"z"] = np.concatenate([hub[:70], np.arange(9000, 9030, dtype=np.uint32)])
+    for name, text in texts.items():
+        if name != b"hub":
+            d = neardup.distance(text, hub, 1000)
+            rows.append((name, b"hub", d, d <= 20, len(text)))
+    tried = spark.createDataFrame(rows, "a binary, b binary, d int, linked boolean, n int")
+    part = spark.createDataFrame([(b"c%d" % i, b"a hub") for i in range(8)] + [(b"hub", b"a hub")], "node binary, root binary")
+    words = spark.createDataFrame([(k, v.tobytes()) for k, v in texts.items()], "fp binary, words binary")
+    got = {(bytes(r.a), bytes(r.b)) for r in neardup.border_links(tried, part, words).collect()}
+    assert got == {(b"a%d" % i, b"c%d" % i) for i in range(8)}
+
+
 def test_components(spark):
     random.seed(8)
     edges = [(f"{a:04d}", f"{a + 1:04d}") for a in range(0, 60) if a % 20] + [(f"{random.randrange(100, 160):04d}", f"{random.randrange(100, 160):04d}") for _ in range(40)]

@@ -8,10 +8,10 @@ also bring together all texts that share one long passage.
 
 Two nodes are linked if their word edit distance is at most 0.2 of the longer one, found by a bit-parallel alignment
 inside a band of that width, after a bag-of-words lower bound. A bucket is never expanded into its pairs: each node is
-compared with the bucket's hub. Nodes that the hub refuses, if there are few, are compared among
-themselves in one task (``SMALL``); of larger remainders, nodes go on into buckets of two equal sketches, up
-to ``LEVELS``, then round by round with another hub. A refused node that lies so near to the hub that, by the triangle inequality, it can still be linked to an
-accepted one, is compared with those.
+compared with the bucket's hub. Nodes that the hub refuses are compared among themselves in one task if they are at
+most ``SMALL``; of larger remainders, nodes go on into buckets of two equal sketches, up to ``LEVELS``, then round by
+round with another hub. A refused node that lies so near to the hub that, by the triangle inequality, it can still be
+linked to an accepted one, is compared with those, if the two are not of one class by then.
 
 Classes are the connected parts of the links; a class's id is its smallest doc_id. Every document gets a row. Links are
 found by equal sketches, so a pair of a low k-mer similarity may be missed with the small probability that none of
@@ -329,16 +329,46 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def border_links(tried: DataFrame, part: DataFrame, words: DataFrame) -> DataFrame:
     """Links between a node that its hub refused and one that the hub accepted, where the two are not yet of one class
-    and the triangle inequality allows a link: |d(a, hub) - d(c, hub)| is at most the distance that linked texts may have."""
+    and the triangle inequality allows a link: |d(a, hub) - d(c, hub)| is at most the distance that linked texts may have.
+    A hub's refused and accepted nodes meet in blocks of at most about ``SMALL`` each, so a row goes to as many tasks as
+    the other side has blocks; one link connects a node to the class of the hub, so a block gives one a node at most."""
     def root(side: str) -> DataFrame:
         return part.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
 
+    slack = lambda x, y: F.floor((1 - SIMILARITY) * F.greatest(x, y) + 1e-9)
+    taken = tried.filter("linked").select("b", F.col("a").alias("fp"), "d", "n")
+    far = taken.groupBy("b").agg(F.max("d").alias("e"), F.max("n").alias("o"), F.count("*").alias("accepted"))
     border = (tried.filter("not linked and d is not null").join(root("a"), "a", "left").join(root("b"), "b", "left")
-              .filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "d", "n"))
-    taken = tried.filter("linked").select(F.col("a").alias("c"), "b", F.col("d").alias("e"), F.col("n").alias("o"))
-    slack = F.floor((1 - SIMILARITY) * F.greatest("n", "o") + 1e-9)
-    near = border.join(taken, "b").filter(F.abs(F.col("d") - F.col("e")) <= slack).select("a", F.col("c").alias("b")).distinct()
-    return _compared(near, words).filter("linked").select("a", "b")
+              .filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).join(far, "b")
+              .filter(F.col("d") - F.col("e") <= slack("n", "o"))
+              .select("b", F.col("a").alias("fp"), "d", "n", "accepted", (F.col("d") - slack("n", "o")).alias("least")))
+    border = _base.stored(border, "neardup-borders")
+    sizes = border.groupBy("b").agg(F.count("*").alias("refused"), F.min("least").alias("least"))
+    blocks = lambda count: F.ceil(F.col(count) / SMALL)
+    own = lambda count: F.pmod(F.xxhash64("fp"), blocks(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), blocks(count) - 1))
+    left = border.join(sizes.select("b", "refused"), "b").select(
+        "b", "fp", "d", "n", F.lit(True).alias("refused_one"), own("refused").alias("x"), every("accepted").alias("y"))
+    right = taken.join(sizes, "b").filter(F.col("d") >= F.col("least")).join(far.select("b", "accepted"), "b").select(
+        "b", "fp", "d", "n", F.lit(False).alias("refused_one"), every("refused").alias("x"), own("accepted").alias("y"))
+
+    def run(table: pa.Table) -> pa.Table:
+        refused = table["refused_one"].to_numpy()
+        fps, texts = table["fp"].to_pylist(), [_words(w.as_buffer()) for w in table["words"].combine_chunks()]
+        d, size = table["d"].to_numpy(), table["n"].to_numpy()
+        out = []
+        if refused.any() and not refused.all():
+            longest = np.maximum.outer(size, size)
+            most = ((1 - SIMILARITY) * longest + 1e-9).astype(np.int64)
+            near = (longest - common_words(texts) <= most) & (np.abs(np.subtract.outer(d, d)) <= most) & ~refused[None, :]
+            for i in np.flatnonzero(refused).tolist():
+                for j in np.flatnonzero(near[i]).tolist():
+                    if distance(texts[i], texts[j], int(most[i, j])) <= most[i, j]:
+                        out.append((fps[i], fps[j]))
+                        break
+        return pa.table([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return left.unionByName(right).join(words, "fp").groupBy("b", "x", "y").applyInArrow(run, "a binary, b binary")
 
 
 def _to_least(edges: DataFrame) -> DataFrame:
