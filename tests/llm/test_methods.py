@@ -365,6 +365,44 @@ def test_borders_are_linked_through_accepted_nodes(spark, monkeypatch):
     assert got == {(b"a%d" % i, b"c%d" % i) for i in range(8)}
 
 
+def planted(kind, n, share, rng):
+    """A text of n random words and its copy at a word edit distance of at most share of the longer one."""
+    a = rng.integers(0, 2 ** 63, n).astype(np.uint64)
+    b, edits = a.copy(), int(share * n + 1e-9)
+    if kind == "random":
+        b[rng.choice(n, edits, False)] = rng.integers(0, 2 ** 63, edits).astype(np.uint64)
+    elif kind == "regular":
+        b[np.arange(edits) * n // edits] = rng.integers(0, 2 ** 63, edits).astype(np.uint64)
+    else:
+        more = rng.integers(0, 2 ** 63, int(n * share / (1 - share) + 1e-9)).astype(np.uint64)
+        b = np.concatenate([more, a] if kind == "before" else [a, more])
+    return a, b
+
+
+@pytest.mark.parametrize("kind", ["random", "regular", "before", "after"])
+@pytest.mark.parametrize("share", [0.1, 0.15, 0.2])
+def test_candidates_at_the_threshold(kind, share):
+    """Planted pairs at edit similarity 0.9, 0.85 and 0.8 share a sketch."""
+    rng = np.random.default_rng(5)
+    for n in (40, 100, 300, 1000):
+        pairs = [planted(kind, n, share, rng) for _ in range(100)]
+        a, b = (neardup.sketches(np.concatenate(x), np.array([len(t) for t in x]))[0] for x in zip(*pairs))
+        assert (a == b).any(1).sum() >= 97
+
+
+def test_linked_at_the_threshold(spark):
+    """Words substituted all over the text, and words added on one side, are linked as all pairs say."""
+    rng, rows = np.random.default_rng(6), []
+    for kind in ("random", "regular", "before", "after"):
+        for n in (60, 200):
+            for share in (0.1, 0.15, 0.2):
+                rows += [(len(rows) + i, " ".join(f"w{x}" for x in t)) for i, t in enumerate(planted(kind, n, share, rng))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(dict(rows))
+    assert sum(d != c for d, c in want.items()) == len(rows) // 2
+    assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == want
+
+
 def test_components(spark):
     random.seed(8)
     edges = [(f"{a:04d}", f"{a + 1:04d}") for a in range(0, 60) if a % 20] + [(f"{random.randrange(100, 160):04d}", f"{random.randrange(100, 160):04d}") for _ in range(40)]

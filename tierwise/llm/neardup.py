@@ -1,10 +1,12 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
 Texts are lower-cased and cut into words (runs of letters and digits). Texts of equal words are one node. Of each node's
-5-word k-mers, labelled by how often they occurred before, every sketch takes ``SAMPLES`` with the smallest hash, one
-from each third of the text, and keeps them in text order; equal sketches put nodes into one bucket. Equality thus needs
-common k-mers in the same order all along the text, which follows edit similarity; sampling the whole text at once would
-also bring together all texts that share one long passage.
+2-word k-mers, labelled by how often they occurred before, every sketch takes one with the smallest hash from each of
+``PARTS``, halves of the text that overlap, and keeps them in text order; equal sketches put nodes into one bucket.
+Equality thus needs common k-mers in the same order all along the text, which follows edit similarity; sampling the whole
+text at once would also bring together all texts that share one long passage. Two words are short enough that texts with
+every fifth word changed still share a good part of their k-mers, and the overlap leaves texts with words added on one
+side common k-mers in each part. Buckets of the same members are compared once.
 
 Two nodes are linked if their word edit distance is at most 0.2 of the longer one, found by a bit-parallel alignment
 inside a band of that width, after a bag-of-words lower bound. A bucket is never expanded into its pairs: each node is
@@ -14,8 +16,8 @@ round with another hub. A refused node that lies so near to the hub that, by the
 linked to an accepted one, is compared with those, if the two are not of one class by then.
 
 Classes are the connected parts of the links; a class's id is its smallest doc_id. Every document gets a row. Links are
-found by equal sketches, so a pair of a low k-mer similarity may be missed with the small probability that none of
-``SKETCHES`` sketches agree: below 1e-9 at a k-mer similarity of 0.8, 1 % at 0.5.
+found by equal sketches, so a pair may be missed if none of ``SKETCHES`` sketches agree; the README states the recall
+measured on planted pairs at and above the threshold.
 
 Defined results: null texts count as empty; all texts without words are one class; a text of fewer than five words is a
 single k-mer; repeated rows are one class; a class with no doc_id at all has a null id; an empty table gives no row;
@@ -34,9 +36,9 @@ from pyspark.sql import functions as F
 
 from . import _base
 
-K = 5
-SAMPLES = 3
-SKETCHES = 32
+K = 2
+PARTS = ((0, 2), (1, 3), (2, 4))  # quarters of the text
+SKETCHES = 64
 SIMILARITY = 0.8
 SMALL = 512
 COLUMNS = 4096
@@ -90,18 +92,18 @@ def sketches(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     label[order] = occurrence.astype(np.uint64)
     gram = _base.mixed(gram + label * np.uint64(0xD6E8FEB86659FD93))
     sizes = np.bincount(row, minlength=len(texts))
-    place = np.arange(len(gram)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    part = row * SAMPLES + place * SAMPLES // np.maximum(1, np.repeat(sizes, sizes))
-    at = np.flatnonzero(np.diff(part, prepend=-1))
-    owner = row[at]
-    head = np.flatnonzero(np.diff(owner, prepend=-1))
-    rank = (np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))).astype(np.uint64)
-    out = np.empty((len(texts), SKETCHES), np.int64)
+    ends = np.cumsum(sizes)
+    gram = np.append(gram, np.uint64(0))  # so that a part may end with the last text
+    out = np.zeros((len(texts), SKETCHES), np.uint64)
+    for p, (lo, hi) in enumerate(PARTS):
+        first = ends - sizes + np.minimum(sizes * lo // 4, sizes - 1)
+        at = np.stack([first, np.maximum(ends - sizes + -(-sizes * hi // 4), first + 1)], 1).ravel()
+        for j, odd in enumerate(_odd(SKETCHES, 11 + p)):
+            if len(at):
+                out[:, j] = _base.mixed(out[:, j] + np.minimum.reduceat(gram * odd, at)[::2])
     for j, odd in enumerate(_odd(SKETCHES, 11)):
-        least = np.minimum.reduceat(gram * odd, at) if len(at) else gram
-        chosen = _base.mixed(_base.mixed(least + rank) * (np.uint64(2) * rank + np.uint64(1)))
-        out[:, j] = _base.mixed((np.add.reduceat(chosen, head) if len(head) else chosen) + odd).view(np.int64)
-    return out, texts
+        out[:, j] = _base.mixed(out[:, j] + odd)
+    return out.view(np.int64), texts
 
 
 def distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
@@ -285,10 +287,18 @@ def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "fp binary, words binary").dropDuplicates(["fp"])
 
 
+def _alike(buckets: DataFrame) -> DataFrame:
+    """One ``key`` of all buckets (key, fp) with the same two or more members, how many members, and for how many buckets
+    it stands. Buckets are alike if counts, smallest nodes and 64-bit sums of the members agree."""
+    sets = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min("fp").alias("least"),
+                                      F.bit_xor(F.xxhash64("fp")).alias("sum")).filter("members > 1")
+    return sets.groupBy("members", "least", "sum").agg(F.min("key").alias("key"), F.count("*").alias("times"))
+
+
 def hubs(buckets: DataFrame) -> DataFrame:
-    """For every bucket (key, fp) its hub ``b``: the node that is in most buckets, of equals the smallest. It is in the
-    middle of its like, where most others are near."""
-    often = buckets.groupBy("fp").agg(F.count("*").alias("often"))
+    """For every bucket (key, fp, times) its hub ``b``: the node that is in most buckets, of equals the smallest. It is in
+    the middle of its like, where most others are near."""
+    often = buckets.groupBy("fp").agg(F.sum("times").alias("often"))
     return buckets.join(often, "fp").groupBy("key").agg(F.min(F.struct(-F.col("often"), F.col("fp")))["fp"].alias("b"))
 
 
@@ -301,11 +311,11 @@ def links(nodes: DataFrame, buckets: DataFrame, words: DataFrame) -> tuple[DataF
         tried = _base.stored(_compared(members.select("a", "b").distinct(), words), "neardup-tried")
         tries.append(tried)
         found.append(tried.filter("linked").select("a", "b"))
-        refused = _base.stored(members.join(tried.filter("not linked"), ["a", "b"]).select("key", F.col("a").alias("fp")),
-                               "neardup-refused")
+        refused = _base.stored(members.join(tried.filter("not linked"), ["a", "b"])
+                               .select("key", F.col("a").alias("fp"), "times"), "neardup-refused")
         sizes = refused.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
         few = sizes.filter(F.col("members") <= SMALL).select("key")
-        found.append(_among(refused.join(few, "key"), words))
+        found.append(_among(refused.join(few, "key").select("key", "fp"), words))
         many = sizes.filter(F.col("members") > SMALL).select("key")
         if many.isEmpty():
             break
@@ -313,7 +323,7 @@ def links(nodes: DataFrame, buckets: DataFrame, words: DataFrame) -> tuple[DataF
         level += 1
         if level <= LEVELS:
             finer = (rest.join(nodes.select("fp", F.explode("sig").alias("other")), "fp")
-                     .filter("key <> other").select(F.xxhash64("key", "other").alias("key"), "fp"))
+                     .filter("key <> other").select(F.xxhash64("key", "other").alias("key"), "fp", "times"))
             shared = finer.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
             rest = finer.join(shared, "key")
         open_buckets = _base.stored(rest, "neardup-open")
@@ -400,11 +410,12 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = _base.stored(sketched(docs), "neardup-rows")
     nodes = _base.stored(rows.groupBy("fp").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("least"),
                                                 F.count("*").alias("n"), F.min("sig").alias("sig")), "neardup-nodes")
-    keys = nodes.select("fp", "text_key", F.explode("sig").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    keys = nodes.select("fp", F.explode("sig").alias("key"))
+    shared = _alike(keys).select("key", "times")
     buckets = _base.stored(keys.join(shared, "key"), "neardup-buckets")
-    words = _base.stored(_words_of(docs, buckets.select("text_key").distinct()), "neardup-words")
-    found, tried = links(nodes, buckets.select("key", "fp"), words)
+    wanted = nodes.join(buckets.select("fp").distinct(), "fp", "left_semi").select("text_key")
+    words = _base.stored(_words_of(docs, wanted), "neardup-words")
+    found, tried = links(nodes, buckets, words)
     part = components(found)
     more = _base.stored(border_links(tried, part, words), "neardup-border")
     if not more.isEmpty():
