@@ -403,6 +403,21 @@ def test_linked_at_the_threshold(spark):
     assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == want
 
 
+def test_large_refused_buckets_are_compared_whole(spark, monkeypatch):
+    """Pairs at edit similarity 0.85 to 0.9 that share one bucket only, with many others that every hub refuses."""
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    rng, texts = np.random.default_rng(7), []
+    for i in range(15):
+        texts += planted("random", 40, (0.1, 0.15)[i % 2], rng)
+    words = {b"%03d" % i: (t % 2 ** 32).astype(np.uint32) for i, t in enumerate(texts)}
+    buckets = spark.createDataFrame([(1, k, 1) for k in words], "key long, fp binary, times long")
+    table = spark.createDataFrame([(k, w.tobytes()) for k, w in words.items()], "fp binary, words binary")
+    found, tried = neardup.links(buckets, table)
+    part = neardup.components(found)
+    both = found.unionByName(neardup.border_links(tried, part, table)).collect()
+    assert {tuple(sorted((int(r.a), int(r.b)))) for r in both} == {(2 * i, 2 * i + 1) for i in range(15)}
+
+
 def test_components(spark):
     random.seed(8)
     edges = [(f"{a:04d}", f"{a + 1:04d}") for a in range(0, 60) if a % 20] + [(f"{random.randrange(100, 160):04d}", f"{random.randrange(100, 160):04d}") for _ in range(40)]

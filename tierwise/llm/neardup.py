@@ -11,8 +11,9 @@ side common k-mers in each part. Buckets of the same members are compared once.
 Two nodes are linked if their word edit distance is at most 0.2 of the longer one, found by a bit-parallel alignment
 inside a band of that width, after a bag-of-words lower bound. A bucket is never expanded into its pairs: each node is
 compared with the bucket's hub. Nodes that the hub refuses are compared among themselves in one task if they are at
-most ``SMALL``; of larger remainders, nodes go on into buckets of two equal sketches, up to ``LEVELS``, then round by
-round with another hub. A refused node that lies so near to the hub that, by the triangle inequality, it can still be
+most ``SMALL``; larger remainders stay one bucket and meet another hub, up to ``ROUNDS`` of them. What is left then is
+compared in blocks of about ``SMALL`` nodes, each of which meets every other, so that no two members of a bucket go
+uncompared, however many they are. A refused node that lies so near to the hub that, by the triangle inequality, it can still be
 linked to an accepted one, is compared with those, if the two are not of one class by then.
 
 Classes are the connected parts of the links; a class's id is its smallest doc_id. Every document gets a row. Links are
@@ -42,7 +43,7 @@ SKETCHES = 64
 SIMILARITY = 0.8
 SMALL = 512
 COLUMNS = 4096
-LEVELS = 4
+ROUNDS = 4
 BITMAP_BITS = 25
 SLICE_BYTES = 3 << 20
 
@@ -202,15 +203,22 @@ def _compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _among(members: DataFrame, words: DataFrame) -> DataFrame:
-    """Links inside small buckets (key, fp), compared in one task each: every two members are, unless links found
-    before already connect them, so the links that come out are a spanning forest of all."""
+    """Links inside buckets (key, fp, members), compared in blocks of at most about ``SMALL`` nodes, every two blocks in
+    a task: every two members are, unless links found before in that task already connect them, so the links that come
+    out hold a spanning forest of all."""
+    blocks = F.ceil(F.col("members") / SMALL)
+    dealt = members.select("key", "fp", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"),
+                           F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", "fp", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
     def run(table: pa.Table) -> pa.Table:
         fps, texts = table["fp"].to_pylist(), [_words(w.as_buffer()) for w in table["words"].combine_chunks()]
-        sizes = np.array([len(t) for t in texts])
+        sizes, own = np.array([len(t) for t in texts]), table["own"].to_numpy()
         longest = np.maximum.outer(sizes, sizes)
         most = ((1 - SIMILARITY) * longest + 1e-9).astype(np.int64)
-        near = longest - common_words(texts) <= most
+        near = np.triu(longest - common_words(texts) <= most, 1)
+        if table["x"][0] != table["y"][0]:
+            near &= own[:, None] != own[None, :]
         part, out = np.arange(len(fps)), []
         for i in range(len(fps)):
             for j in np.flatnonzero(near[i]).tolist():
@@ -219,7 +227,7 @@ def _among(members: DataFrame, words: DataFrame) -> DataFrame:
                     out.append((fps[i], fps[j]))
         return pa.table([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return members.join(words, "fp").groupBy("key").applyInArrow(run, "a binary, b binary")
+    return dealt.join(words, "fp").groupBy("key", "x", "y").applyInArrow(run, "a binary, b binary")
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -302,31 +310,24 @@ def hubs(buckets: DataFrame) -> DataFrame:
     return buckets.join(often, "fp").groupBy("key").agg(F.min(F.struct(-F.col("often"), F.col("fp")))["fp"].alias("b"))
 
 
-def links(nodes: DataFrame, buckets: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) of nodes (fp, sig) that share a bucket (key, fp), and all comparisons with hubs."""
-    found, tries, open_buckets, level = [], [], buckets, 1
+def links(buckets: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) of nodes that share a bucket (key, fp, times), and all comparisons with hubs."""
+    found, tries, open_buckets, rounds = [], [], buckets, 0
     while True:
         members = _base.stored(open_buckets.join(hubs(open_buckets), "key").filter("fp <> b").withColumnRenamed("fp", "a"),
                                "neardup-members")
         tried = _base.stored(_compared(members.select("a", "b").distinct(), words), "neardup-tried")
         tries.append(tried)
         found.append(tried.filter("linked").select("a", "b"))
-        refused = _base.stored(members.join(tried.filter("not linked"), ["a", "b"])
-                               .select("key", F.col("a").alias("fp"), "times"), "neardup-refused")
-        sizes = refused.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-        few = sizes.filter(F.col("members") <= SMALL).select("key")
-        found.append(_among(refused.join(few, "key").select("key", "fp"), words))
-        many = sizes.filter(F.col("members") > SMALL).select("key")
-        if many.isEmpty():
+        refused = _base.stored(members.join(tried.filter("not linked"), ["a", "b"]).select("key", F.col("a").alias("fp")),
+                               "neardup-refused")
+        rounds += 1
+        sizes = _base.stored(_alike(refused), "neardup-sizes")
+        many = (F.col("members") > SMALL) & F.lit(rounds < ROUNDS)
+        found.append(_among(refused.join(sizes.filter(~many).select("key", "members"), "key"), words))
+        if sizes.filter(many).isEmpty():
             break
-        rest = refused.join(many, "key")
-        level += 1
-        if level <= LEVELS:
-            finer = (rest.join(nodes.select("fp", F.explode("sig").alias("other")), "fp")
-                     .filter("key <> other").select(F.xxhash64("key", "other").alias("key"), "fp", "times"))
-            shared = finer.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-            rest = finer.join(shared, "key")
-        open_buckets = _base.stored(rest, "neardup-open")
+        open_buckets = _base.stored(refused.join(sizes.filter(many).select("key", "times"), "key"), "neardup-open")
     return _base.stored(_union(found).distinct(), "neardup-links"), _union(tries)
 
 
@@ -415,7 +416,7 @@ def classes(docs: DataFrame) -> DataFrame:
     buckets = _base.stored(keys.join(shared, "key"), "neardup-buckets")
     wanted = nodes.join(buckets.select("fp").distinct(), "fp", "left_semi").select("text_key")
     words = _base.stored(_words_of(docs, wanted), "neardup-words")
-    found, tried = links(nodes, buckets, words)
+    found, tried = links(buckets, words)
     part = components(found)
     more = _base.stored(border_links(tried, part, words), "neardup-border")
     if not more.isEmpty():
