@@ -418,6 +418,36 @@ def test_large_refused_buckets_are_compared_whole(spark, monkeypatch):
     assert {tuple(sorted((int(r.a), int(r.b)))) for r in both} == {(2 * i, 2 * i + 1) for i in range(15)}
 
 
+def short_pairs():
+    for n in range(1, neardup.SHORT + 1):
+        a, other = np.arange(1, n + 1, dtype=np.uint64), np.arange(100, 103, dtype=np.uint64)
+        for k in range(1, 3):
+            yield from ((a, np.concatenate(x)) for x in ((a, other[:k]), (other[:k], a)))
+            for at in range(n - k + 1):
+                b = a.copy()
+                b[at:at + k] = other[:k]
+                yield a, b
+                yield a, np.concatenate([b[1:], other[2:]])
+
+
+def test_short_texts_are_candidates():
+    """Every linked pair of short texts with words appended, prepended, substituted or shifted has a bucket in common."""
+    checked = 0
+    for a, b in short_pairs():
+        most = neardup.allowed(len(a), len(b))
+        if len(b) <= neardup.SHORT and neardup.distance(a.astype(np.uint32), b.astype(np.uint32), most) <= most:
+            keys, owner = neardup.deletions(_base.mixed(np.concatenate([a, b])), np.array([len(a), len(b)]))
+            assert set(keys[owner == 0]) & set(keys[owner == 1])
+            checked += 1
+    assert checked > 150
+
+
+def test_short_texts_against_all_pairs(spark):
+    rows = [" ".join(f"t{number // 4}w{x}" for x in t) for number, pair in enumerate(short_pairs()) if number % 4 == 0 for t in pair]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == brute_classes(dict(enumerate(rows)))
+
+
 def test_components(spark):
     random.seed(8)
     edges = [(f"{a:04d}", f"{a + 1:04d}") for a in range(0, 60) if a % 20] + [(f"{random.randrange(100, 160):04d}", f"{random.randrange(100, 160):04d}") for _ in range(40)]

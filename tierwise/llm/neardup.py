@@ -6,7 +6,9 @@ Texts are lower-cased and cut into words (runs of letters and digits). Texts of
 Equality thus needs common k-mers in the same order all along the text, which follows edit similarity; sampling the whole
 text at once would also bring together all texts that share one long passage. Two words are short enough that texts with
 every fifth word changed still share a good part of their k-mers, and the overlap leaves texts with words added on one
-side common k-mers in each part. Buckets of the same members are compared once.
+side common k-mers in each part. Texts of up to ``SHORT`` words also go into a bucket for every text that is left of them
+when as many words as their links may differ by are deleted, so that none of their links is missed. Buckets of the same
+members are compared once.
 
 Two nodes are linked if their word edit distance is at most 0.2 of the longer one, found by a bit-parallel alignment
 inside a band of that width, after a bag-of-words lower bound. A bucket is never expanded into its pairs: each node is
@@ -17,7 +19,7 @@ uncompared, however many they are. A refused node that lies so near to the hub t
 linked to an accepted one, is compared with those, if the two are not of one class by then.
 
 Classes are the connected parts of the links; a class's id is its smallest doc_id. Every document gets a row. Links are
-found by equal sketches, so a pair may be missed if none of ``SKETCHES`` sketches agree; the README states the recall
+found by equal sketches, so a pair of longer texts may be missed if none of ``SKETCHES`` sketches agree; the README states the recall
 measured on planted pairs at and above the threshold.
 
 Defined results: null texts count as empty; all texts without words are one class; a text of fewer than five words is a
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,7 @@ from . import _base
 K = 2
 PARTS = ((0, 2), (1, 3), (2, 4))  # quarters of the text
 SKETCHES = 64
+SHORT = 14
 SIMILARITY = 0.8
 SMALL = 512
 COLUMNS = 4096
@@ -107,6 +111,25 @@ def sketches(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out.view(np.int64), texts
 
 
+def deletions(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of what is left of each text of 1 to ``SHORT`` words without up to ``allowed`` of its words, and each key's
+    text. Linked texts have such a rest in common: the words that an alignment of least cost keeps."""
+    starts, keys, owners = np.cumsum(counts) - counts, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    odd = _odd(1, 99)[0]
+    for n in range(1, SHORT + 1):
+        texts = np.flatnonzero(counts == n)
+        if not len(texts):
+            continue
+        words = _base.mixed(h[starts[texts][:, None] + np.arange(n)])
+        for k in range(allowed(n, n) + 1):
+            place = _base.mixed(np.arange(n - k, dtype=np.uint64) * odd) | np.uint64(1)
+            for gone in combinations(range(n), k):
+                keys.append(_base.mixed((np.delete(words, gone, axis=1) * place).sum(1) + odd))
+                owners.append(texts)
+    both = np.unique(np.stack([np.concatenate(owners).astype(np.uint64), np.concatenate(keys)], 1), axis=0)
+    return both[:, 1].copy().view(np.int64), both[:, 0].astype(np.int64)
+
+
 def distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     """Word edit distance, or limit + 1 if it is larger: a bit-parallel alignment inside the band of diagonals that
     ``limit`` allows, common ends being cut off first."""
@@ -239,12 +262,15 @@ def sketched(docs: DataFrame) -> DataFrame:
                 h, counts = hashed_words(batch.column(2).slice(lo, hi - lo))
                 fp = fingerprints(h, counts)
                 sig, texts = sketches(h, counts)
+                rests, short = deletions(h, counts)
+                owner = np.concatenate([np.repeat(texts, SKETCHES), short])
+                sig = np.concatenate([sig.ravel(), rests])[np.argsort(owner, kind="stable")]
                 lists = np.zeros(len(counts) + 1, np.int32)
-                lists[1:] = np.cumsum(np.isin(np.arange(len(counts)), texts) * SKETCHES)
+                lists[1:] = np.cumsum(np.bincount(owner, minlength=len(counts)))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
                     pa.array([r.tobytes() for r in fp], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(lists), pa.array(sig.ravel()))], names=["doc_id", "text_key", "fp", "sig"])
+                    pa.ListArray.from_arrays(pa.array(lists), pa.array(sig))], names=["doc_id", "text_key", "fp", "sig"])
 
     return docs.select(F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"),
                        F.col("text").cast("string")) \
