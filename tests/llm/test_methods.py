@@ -38,7 +38,7 @@ def test_oracle(spark, name):
 
 def test_registered():
     assert set(registry.QUERIES) | {"pipeline"} <= set(E.queries())
-    assert {re.match(r"op(\d+)_", q)[1] for q in registry.QUERIES} == set(map(str, range(1, 11)))
+    assert {re.match(r"op(\d+)_", q)[1] for q in registry.QUERIES} == set(map(str, range(1, 14)))
 
 
 # ------------------------------------------------------------------------------------------------ helpers

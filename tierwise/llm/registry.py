@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, licences, mixing, neardup, packing, quality, rollups, warc
+from . import (alignment, chat, decontaminate, infill, language, licences, mixing, neardup, packing, quality, rollups, topk,
+               warc)
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,5 +16,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_neardup": neardup.op9_neardup,
     "op10_licences": licences.op10_licences,
+    "op11_topk": topk.op11_topk,
+    "op12_infill": infill.op12_infill,
+    "op13_alignment": alignment.op13_alignment,
 }
-ORACLES = {"op1_quality": quality.oracle(), "op4_rollup": rollups.oracle(), "op7_chat": chat.oracle()}
+ORACLES = {"op1_quality": quality.oracle(), "op4_rollup": rollups.oracle(), "op7_chat": chat.oracle(),
+           "op11_topk": topk.oracle(), "op12_infill": infill.oracle()}
