@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 
 from . import _base
 
-KNOWN_UNITS = 300_000
-SLICE_BYTES = 3 << 20
+KNOWN_UNITS = 200_000
+SLICE_BYTES = 4 << 20   # of texts that share a list of pairs
+BATCH_BYTES = 512 << 10  # of texts whose tokens are held at once
 ROWS = "slice long, doc_id long, n_a long, n_b long, n_groups long, groups string, groups_sha256 string, " \
        "links binary, pairs array<long>, counts array<long>"
 #: White space beyond ASCII, and control characters that some patterns take for white space: texts with any stay whole.
@@ -251,19 +252,25 @@ def align(docs: DataFrame, a: str, b: str, keep_groups: bool = True) -> DataFram
         for batch in batches:
             for lo, hi in _base.slices(batch.column(1), SLICE_BYTES):
                 ids, n = batch.column(0).slice(lo, hi - lo), hi - lo
-                left, right, i, j = _aligned(batch.column(1).slice(lo, n), known)
-                doc = left["doc"].to_numpy()
-                groups = spelled(left, right, i, j, n)
-                pairs, place, counts = np.unique((right["id"].to_numpy()[j] << 32) | left["id"].to_numpy()[i],
-                                                 return_inverse=True, return_counts=True)
-                links = np.bincount(doc[i], minlength=n)
+                n_a, n_b, links, groups, linked = [], [], [], [], []
+                texts = batch.column(1).slice(lo, n)
+                for p, q in _base.slices(texts, BATCH_BYTES):
+                    left, right, i, j = _aligned(texts.slice(p, q - p), known)
+                    doc = left["doc"].to_numpy()
+                    n_a.append(np.bincount(doc, minlength=q - p))
+                    n_b.append(np.bincount(right["doc"].to_numpy(), minlength=q - p))
+                    links.append(np.bincount(doc[i], minlength=q - p))
+                    linked.append((right["id"].to_numpy()[j] << 32) | left["id"].to_numpy()[i])
+                    groups += [(g.decode() if keep_groups else None, hashlib.sha256(g).hexdigest() if g else "")
+                               for g in spelled(left, right, i, j, q - p)]
+                n_a, n_b, links = map(np.concatenate, (n_a, n_b, links))
+                place, pairs = pd.factorize(np.concatenate(linked))
+                counts = np.bincount(place, minlength=len(pairs))
                 raw, stops = place.astype("<u4").tobytes(), 4 * np.cumsum(links)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(n + 1, number)), pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(1, pa.int64())]),
-                    *(pa.array([*c.tolist(), None], pa.int64()) for c in
-                      (np.bincount(doc, minlength=n), np.bincount(right["doc"].to_numpy(), minlength=n), links)),
-                    pa.array([*(g.decode() for g in groups), None] if keep_groups else [None] * (n + 1), pa.string()),
-                    pa.array([*(hashlib.sha256(g).hexdigest() if g else "" for g in groups), None], pa.string()),
+                    *(pa.array([*c.tolist(), None], pa.int64()) for c in (n_a, n_b, links)),
+                    *(pa.array([*(g[k] for g in groups), None], pa.string()) for k in (0, 1)),
                     pa.array([*(raw[p:q] for p, q in zip([0, *stops[:-1].tolist()], stops.tolist())), None], pa.binary()),
                     pa.array([None] * n + [pairs.tolist()], pa.list_(pa.int64())),
                     pa.array([None] * n + [counts.tolist()], pa.list_(pa.int64()))],
