@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .constants import (DEFAULT_AVG_LOAN, DEFAULT_P3_RATE, DEFAULT_P4_RATE, SENSITIVE_ATTRS,
                         TARGET_COL, TIER_TEXT_ANALYST)
 from .operators import ask as ask_ops
-from .operators import evaluate, explain, fairness, impact, lime, merge, models, prepare, report, schema, split
+from .operators import boosting, evaluate, explain, fairness, impact, lime, merge, models, prepare, report, schema, split
 from .plans.workbench import materialize
 
 
@@ -78,7 +78,7 @@ def train(spark: SparkSession, internal: DataFrame, external: DataFrame, key: st
     if "logistic" in model_names:
         res.models["logistic"] = models.fit_logistic(res.train, feats, "label", name="logistic")
     if "additive" in model_names:
-        res.models["additive"] = models.fit_additive(res.train, feats, "label", name="additive")
+        res.models["additive"] = boosting.fit_boosted(res.train, feats, "label", name="additive").model
     bg = models.background_means(res.train, models.LinearModel("all", feats, [], []))
     for m in res.models.values():
         if isinstance(m, models.LinearModel):

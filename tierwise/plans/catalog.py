@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import KEY_COL, SENSITIVE_ATTRS, TARGET_COL, TIER_CODES, TIER_TEXT_ANALYST
 from ..functions.numeric import r6, round_half_up
-from ..operators import ask, evaluate, explain, fairness, impact, merge, models, prepare, schema, split
+from ..operators import ask, boosting, evaluate, explain, fairness, impact, merge, models, prepare, schema, split
 from ..sources import fixtures
 from ..sources.tables import contract_diff, read_table
 from .workbench import BASELINE, CHALLENGER, RULE_BASELINE, RULE_CHALLENGER, Workbench, materialize
@@ -334,6 +334,49 @@ def q_shape_table(spark, d):
     return m.shape_table(spark)
 
 
+BOOST_EDGES = {"Credit_Score": [520.0, 560.0, 640.0, 720.0, 772.0], "AGE": [30.0, 45.0, 60.0], "num_times_delinquent": [1.0, 3.0]}
+BOOST_STEP = 0.25
+
+
+@query("boost_histogram")
+def q_boost_histogram(spark, d):
+    """The boosting histograms of three raw features at the class shares, and again after one step from them."""
+    wb = Workbench(spark, d)
+    rows = wb.merged.select(*BOOST_EDGES, fixtures.label_expr(TARGET_COL).alias("label"))
+    rows = materialize(spark, boosting.binned(rows, BOOST_EDGES, "label"), "boost_rows")
+    shares = boosting.class_intercept(rows)
+    scores = boosting.flat_scores(BOOST_EDGES)
+    out = []
+    for r in range(2):
+        table = boosting.histograms(rows, shares, [scores])
+        cells = table.filter("feature >= 0")
+        name = F.element_at(F.array(*[F.lit(f) for f in BOOST_EDGES]), F.col("feature") + 1)
+        out.append(cells.select(F.lit(r).alias("round"), name.alias("feature"), "bin", "class", "n", r6("g").alias("g"), r6("h").alias("h")))
+        if not r:
+            g, h = boosting.dense(cells.toPandas(), scores)
+            scores = scores + BOOST_STEP * boosting.newton(g, h, 1.0)
+    return out[0].unionByName(out[1])
+
+
+@query("boost_rounds")
+def q_boost_rounds(spark, d):
+    """The loss of every accepted round is below the one before it, in both bags."""
+    wb = Workbench(spark, d)
+    fitted = boosting.fit_boosted(wb.train, wb.params.feature_names, "label", rounds=6, bags=2, held_pct=0)
+    rounds = spark.createDataFrame(fitted.rounds, "bag int, round int, loss double, held_loss double, step double")
+    before = F.lag("loss").over(Window.partitionBy("bag").orderBy("round"))
+    return rounds.select("bag", "round", F.coalesce(F.col("loss") < before, F.lit(True)).alias("falls"))
+
+
+@query("fit_boosted", rows_only=True)
+def q_fit_boosted(spark, d):
+    """Evaluation of the boosted additive model on the test split."""
+    wb = Workbench(spark, d)
+    fitted = boosting.fit_boosted(wb.train, wb.params.feature_names, "label")
+    preds = materialize(spark, models.predictions_long(wb.test, [fitted.model], KEY_COL, "label"), "boosted_preds")
+    return evaluate.model_summary(preds)
+
+
 # =========================================================== H evaluation
 @query("confusion")
 def q_confusion(spark, d):
@@ -818,6 +861,21 @@ def q_load_csv(spark, d):
     return load_table(spark, path, internal.schema)
 
 
+@query("load_xlsx")
+def q_load_xlsx(spark, d):
+    """A1: the internal table written as workbooks and loaded back by file extension; names, whole numbers and
+    fractions are told from the cells, then given the table's widths."""
+    import uuid
+    from ..config import scratch_path
+    from ..sources.tables import load_table
+    from ..sources.xlsx import write_xlsx
+    path = scratch_path(spark, f"internal-{uuid.uuid4().hex}.xlsx")
+    internal = Workbench(spark, d).internal
+    write_xlsx(internal, path)
+    loaded = load_table(spark, path)
+    return loaded.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in internal.schema])
+
+
 @query("load_inputs")
 def q_load_inputs(spark, d):
     """A2: internal + external loaded as the required inputs, then merged on

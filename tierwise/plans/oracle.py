@@ -489,6 +489,43 @@ def oracle(name: str, needs: list[str], final: str) -> None:
     ORACLES[name] = with_ctes(final, needs)
 
 
+# =========================================================== G2 boosting
+_BOOST = {"Credit_Score": [520.0, 560.0, 640.0, 720.0, 772.0], "AGE": [30.0, 45.0, 60.0], "num_times_delinquent": [1.0, 3.0]}
+
+
+def _boost_sql() -> None:
+    """Two rounds of gradient and Hessian sums: at the class shares, and after a quarter of the Newton step."""
+    bins = ", ".join("(" + " + ".join(f"CASE WHEN {f} >= {e} THEN 1 ELSE 0 END" for e in edges) + f") AS b{i}"
+                     for i, (f, edges) in enumerate(_BOOST.items()))
+    names = list(_BOOST)
+    z0 = ", ".join(f"ln((SELECT count(*) FILTER (WHERE label = {k}) FROM known_rows)::DOUBLE / (SELECT count(*) FROM known_rows)) AS z{k}"
+                   for k in range(4))
+
+    def sums(src: str, r: int) -> str:
+        total = " + ".join(f"exp(z{j} - zm)" for j in range(4))
+        return "\nUNION ALL\n".join(
+            f"""SELECT {r} AS round, '{f}' AS feature, b{i} AS bin, {k} AS class, count(*) AS n,
+  sum(exp(z{k} - zm) / ({total}) - (label = {k})::INTEGER) AS g,
+  sum(exp(z{k} - zm) / ({total}) * (1 - exp(z{k} - zm) / ({total}))) AS h
+FROM (SELECT *, greatest(z0, z1, z2, z3) AS zm FROM {src}) GROUP BY b{i}""" for i, f in enumerate(names) for k in range(4))
+
+    def moved(k: int) -> str:
+        return f"z{k}" + "".join(f" + 0.25 * (SELECT -g / (h + 1) FROM first_round t WHERE t.feature = '{f}' AND t.bin = b{i} AND t.class = {k})"
+                                 for i, f in enumerate(names)) + f" AS z{k}"
+
+    cte("known_rows", ["merged"], f"SELECT *, {LABEL_SQL} AS label FROM merged WHERE {LABEL_SQL} IS NOT NULL")
+    cte("at_shares", ["known_rows"], f"SELECT label, {bins}, {z0} FROM known_rows")
+    cte("first_round", ["at_shares"], sums("at_shares", 0))
+    cte("after_step", ["at_shares", "first_round"], f"SELECT label, b0, b1, b2, {', '.join(moved(k) for k in range(4))} FROM at_shares")
+    cte("second_round", ["after_step"], sums("after_step", 1))
+    oracle("boost_histogram", ["first_round", "second_round"], f"""
+SELECT round::INTEGER AS round, feature, bin::INTEGER AS bin, class::INTEGER AS class, n, {r6('g')} AS g, {r6('h')} AS h
+FROM (SELECT * FROM first_round UNION ALL SELECT * FROM second_round)""")
+
+
+_boost_sql()
+ORACLES["boost_rounds"] = """SELECT b::INTEGER AS bag, r::INTEGER AS round, true AS falls FROM range(2) bags(b), range(7) rounds(r)"""
+
 # =========================================================== A / B / C / D
 oracle("internal_table", ["internal"], "SELECT * FROM internal")
 oracle("external_table", ["external"], "SELECT * FROM external")
@@ -963,7 +1000,7 @@ SELECT qid, 'model_performance' AS intent, (SELECT {fill_sql(ANSWER_PERFORMANCE,
   FROM fx_summary) AS answer FROM routed WHERE intent = 'model_performance'""")
 
 # queries that must give back another query's rows
-for _name, _same in {"scored_sink": "score_fixed", "stream_score": "score_unseen", "load_csv": "internal_table",
+for _name, _same in {"scored_sink": "score_fixed", "stream_score": "score_unseen", "load_csv": "internal_table", "load_xlsx": "internal_table",
                      "load_inputs": "merge_inner", "additive_save_load": "phi_additive"}.items():
     ORACLES[_name] = ORACLES[_same]
 

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .xlsx import read_xlsx
+
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -18,7 +20,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """A1: load a table by file extension (csv with header, parquet, json).
+    """A1: load a table by file extension (xlsx, csv with header, parquet, json).
 
     Returns ``None`` on an unreadable or unsupported file, like the reference.
     An explicit ``schema`` avoids the extra inference pass over large CSV.
@@ -29,6 +31,8 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
             r = spark.read.option("header", True)
             r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
             return r.csv(path)
+        if ext == ".xlsx":
+            return read_xlsx(spark, path, schema)
         if ext == ".parquet":
             return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
         if ext in (".json", ".jsonl"):
