@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..constants import LAKH
 from .numeric import col_, round_half_up
 
 
@@ -36,6 +37,11 @@ def fmt_crore(c) -> Column:
     return F.concat(F.lit("Rs "), F.format_number(round_half_up(col_(c) / F.lit(1e7), 2), 2), F.lit(" Cr"))
 
 
+def fmt_lakh(c) -> Column:
+    """Like ``f"Rs {x/1e5:,.0f}L"``."""
+    return F.concat(F.lit("Rs "), F.format_number(round_half_up(col_(c) / F.lit(LAKH), 0), 0), F.lit("L"))
+
+
 def py_strip(c) -> Column:
     """Python ``str.strip()``: all leading/trailing whitespace, not only spaces."""
     return F.regexp_replace(col_(c), r"^\s+|\s+$", "")

@@ -43,6 +43,7 @@ class _Bag:
     scores: np.ndarray                  # accepted, [feature][bin][class]
     tried: np.ndarray
     step: float
+    grow: float = 1.5
     loss: float = float("inf")
     g: np.ndarray | None = None
     h: np.ndarray | None = None
@@ -206,9 +207,9 @@ def _accept(s: _Bag, own, b: int, found: Boosted, rounds: int, patience: int, re
             s.best, s.best_loss, s.best_round = s.scores, held, s.round
         if s.round >= rounds or s.round - s.best_round >= patience:
             s.done = True
-        s.step = min(1.0, s.step * 1.5) if s.round else s.step
+        s.step = min(1.0, s.step * s.grow) if s.round else s.step
         s.round += 1
     else:
-        s.step /= 2
+        s.step, s.grow = s.step / 2, 1.1  # near the largest step that works from here on
         s.done = s.step < 1e-6
     s.tried = s.scores if s.done else s.scores + s.step * newton(s.g, s.h, reg)

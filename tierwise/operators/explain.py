@@ -176,22 +176,24 @@ def waterfall(df: DataFrame, model, key: str, max_display: int = 10, cls: int |
 
 
 def pair_delta(df: DataFrame, model, key: str, pairs: DataFrame, n: int = 5) -> DataFrame:
-    """I9 + D8: for each (idx_a, idx_b), the top-n features by |phi(b) - phi(a)|,
-    each applicant's phi being that of their own predicted class."""
-    ex = with_bins(score(df, model, [key] + list(model.features)), model).select(F.col(key), feature_structs(model).alias("fs"))
-    a = ex.select(F.col(key).cast("string").alias("_key_a"), F.col("fs").alias("fa"))
-    b = ex.select(F.col(key).cast("string").alias("_key_b"), F.col("fs").alias("fb"))
+    """I9 + D8: for each (idx_a, idx_b), the top-n features by |phi(b) - phi(a)|.  Both contributions are to one class,
+    the one predicted for ``idx_a`` (column ``class``), so their difference is what moves that class's logit."""
+    ph = phi_exprs(model)
+    by_class = [F.array(*[ph[(f, k)] for f in model.features]) for k in range(K)]
+    ex = with_bins(score(df, model, [key] + list(model.features)), model).select(
+        F.col(key).cast("string").alias("_key"), "pred", F.array(*by_class).alias("phis"))
+    a = ex.select(F.col("_key").alias("_key_a"), F.col("pred").alias("class"), F.element_at("phis", F.col("pred") + 1).alias("pa"))
+    b = ex.select(F.col("_key").alias("_key_b"), F.col("phis").alias("pb"))
     j = (pairs.join(a, F.col("idx_a").cast("string") == F.col("_key_a"))
               .join(b, F.col("idx_b").cast("string") == F.col("_key_b")))
-    nf = len(model.features)
+    j = j.select("idx_a", "idx_b", "class", "pa", F.element_at("pb", F.col("class") + 1).alias("pb"))
     items = []
-    for i in range(nf):
-        x, y = F.element_at("fa", i + 1), F.element_at("fb", i + 1)
-        items.append(F.struct((-F.abs(y["phi_pred"] - x["phi_pred"])).alias("k"), x["feature"].alias("feature"),
-                              x["phi_pred"].alias("va"), y["phi_pred"].alias("vb")))
+    for i, f in enumerate(model.features, 1):
+        x, y = F.element_at("pa", i), F.element_at("pb", i)
+        items.append(F.struct((-F.abs(y - x)).alias("k"), F.lit(f).alias("feature"), x.alias("va"), y.alias("vb")))
     top = F.slice(F.sort_array(F.array(*items)), 1, n)
-    return (j.select("idx_a", "idx_b", F.posexplode(top).alias("pos", "t"))
-             .select("idx_a", "idx_b", (F.col("pos") + 1).alias("rank"), "t.feature", "t.va", "t.vb",
+    return (j.select("idx_a", "idx_b", "class", F.posexplode(top).alias("pos", "t"))
+             .select("idx_a", "idx_b", "class", (F.col("pos") + 1).alias("rank"), "t.feature", "t.va", "t.vb",
                      (F.col("t.vb") - F.col("t.va")).alias("delta")))
 
 

@@ -15,6 +15,7 @@ from ..constants import (APPROVED_CLASSES, DPD_VERDICTS, NARRATIVE, NARRATIVE_AC
                          THRESHOLD_AMBER, THRESHOLD_GREEN, TIER_CODES)
 from ..functions.numeric import round_half_up, traffic_light
 from ..functions.text import fill, fmt_fixed, fmt_pct
+from .merge import attach_attributes
 
 
 def binarize(pred: DataFrame) -> DataFrame:
@@ -57,9 +58,7 @@ def differences(rates: DataFrame) -> DataFrame:
 def audit(pred: DataFrame, external: DataFrame, key_pred: str, key_ext: str, attrs: list[str]) -> DataFrame:
     """D4 + binarize + unpivot: the long (model, attr, grp, y_true, y_pred) table."""
     present = [a for a in attrs if a in external.columns]
-    side = external.select(F.col(key_ext).alias("__k"), *present)
-    j = binarize(pred).join(side, F.col(key_pred) == F.col("__k"), "left")
-    return long_groups(j, present)
+    return long_groups(attach_attributes(binarize(pred), external, key_pred, key_ext, present), present)
 
 
 def overview(diff: DataFrame) -> DataFrame:

@@ -12,12 +12,15 @@ _MID_BITS = 33  # monotonically_increasing_id keeps the row-in-partition in the
 
 
 def merge(a: DataFrame, b: DataFrame, key: tuple[str, str] | None = None,
-          null_safe: bool = True, suffixes: tuple[str, str] = ("_int", "_ext")) -> DataFrame:
+          null_safe: bool = True, suffixes: tuple[str, str] = ("_int", "_ext"), hot_rows: int | None = None) -> DataFrame:
     """D1 + D2: inner equi-join on the detected (or given) key.
 
     Overlapping non-key columns (case-insensitive) get suffixes; the right key
-    is dropped.  ``null_safe`` reproduces pandas' null-matches-null merge.
+    is dropped.  ``null_safe`` reproduces pandas' null-matches-null merge, which
+    makes every pair of rows without key; ``merge_size`` tells how many that is.
     Catalyst/AQE choose broadcast vs sort-merge and split skewed partitions.
+    With ``hot_rows``, keys that would make more output rows than that are
+    salted (``spread``), so no task holds one key's pairs alone.
     """
     ka, kb = key if key else find_common_key(a.columns, b.columns)
     if ka is None:
@@ -30,10 +33,52 @@ def merge(a: DataFrame, b: DataFrame, key: tuple[str, str] | None = None,
     right = b.select(*[F.col(c).alias(rk) if c == kb else
                        (F.col(c).alias(c + suffixes[1]) if c.lower() in both else F.col(c))
                        for c in b.columns if not (c.lower() == ka.lower() and c != kb)])
+    if hot_rows is not None:
+        return spread(left, right, ka, rk, null_safe, hot_rows).drop(rk)
     cond = left[ka].eqNullSafe(right[rk]) if null_safe else left[ka] == right[rk]
     return left.join(right, cond, "inner").drop(rk)
 
 
+def key_counts(a: DataFrame, b: DataFrame, ka: str, kb: str) -> DataFrame:
+    """Rows of each side per key (``__k``, na, nb; a null key is a key here), counted before any join."""
+    each = [df.groupBy(F.col(k).alias("__k")).agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(i))
+            for i, (df, k) in enumerate(((a, ka), (b, kb)))]
+    both = each[0].unionByName(each[1]).groupBy("__k")
+    return both.agg(*[F.sum(F.when(F.col("side") == i, F.col("n")).otherwise(0)).alias(n) for i, n in enumerate(("na", "nb"))])
+
+
+def merge_size(a: DataFrame, b: DataFrame, key: tuple[str, str] | None = None) -> DataFrame:
+    """One row, before anything is merged: how many rows the merge makes, how many its largest key, and how many
+    pairs of rows without key there are (made only by ``null_safe``)."""
+    ka, kb = key if key else find_common_key(a.columns, b.columns)
+    pairs, known = F.col("na") * F.col("nb"), F.col("__k").isNotNull()
+    return key_counts(a, b, ka, kb).agg(
+        F.coalesce(F.sum(F.when(known, pairs)), F.lit(0)).alias("n_rows"), F.coalesce(F.max(F.when(known, pairs)), F.lit(0)).alias("largest_key"),
+        F.coalesce(F.sum(F.when(~known, pairs)), F.lit(0)).alias("null_pairs"))
+
+
+def spread(left: DataFrame, right: DataFrame, ka: str, kb: str, null_safe: bool, hot_rows: int) -> DataFrame:
+    """The equi-join with hot keys dealt out: a key that makes more than ``hot_rows`` output rows gets as many salts as
+    keep each below that (at most one for each of its rows on the larger side).  Rows of the larger side get one of
+    them, by a hash of the row; the smaller side's are repeated for all.  The list of hot keys has at most
+    output rows / ``hot_rows`` entries; Spark broadcasts it only if it is small."""
+    counts = key_counts(left, right, ka, kb).filter((F.col("na") * F.col("nb") > hot_rows) & (F.col("__k").isNotNull() | F.lit(null_safe)))
+    salts = F.least(F.greatest("na", "nb"), F.ceil(F.col("na") * F.col("nb") / hot_rows)).cast("int")
+    hot = written(counts.select("__k", salts.alias("__n"), (F.col("na") >= F.col("nb")).alias("__left")), "hot-keys")
+
+    def salted(df: DataFrame, k: str, own: bool) -> DataFrame:
+        h = hot.select(F.col("__k").alias("__hk"), "__n", (F.col("__left") == F.lit(own)).alias("__dealt"))
+        at = df.join(h, df[k].eqNullSafe(h["__hk"]) if null_safe else df[k] == h["__hk"], "left")
+        one = F.array(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.monotonically_increasing_id()), F.col("__n")).cast("int"))
+        salt = F.when(F.col("__n").isNull(), F.array(F.lit(0))).when(F.col("__dealt"), one).otherwise(
+            F.sequence(F.lit(0), F.coalesce(F.col("__n"), F.lit(1)) - 1))
+        return at.select(*[F.col(f"`{c}`") for c in df.columns], salt.alias("__salts")).withColumn("__salt", F.explode("__salts")).drop("__salts")
+
+    l, r = salted(left, ka, True), salted(right, kb, False).withColumnRenamed("__salt", "__salt_r")
+    key = l[ka].eqNullSafe(r[kb]) if null_safe else l[ka] == r[kb]
+    return l.join(r, key & (l["__salt"] == r["__salt_r"])).drop("__salt", "__salt_r")
+
+
 def with_row_index(df: DataFrame, order_cols: list[str], name: str = "_pos") -> DataFrame:
     """0-based position of each row in ``order_cols`` order, computed without a
     single-partition window: a distributed sort, then per-partition offsets
@@ -68,10 +113,19 @@ def merge_positional(a: DataFrame, b: DataFrame, order_a: list[str], order_b: li
     return ia.join(ib, "_pos", "inner").drop("_pos")
 
 
+def one_row_a_key(external: DataFrame, key: str, attrs: list[str]) -> DataFrame:
+    """Attributes by key (``__k``), one row each: of rows that repeat a key the least by ``attrs`` in order, nulls
+    first.  Rows without key are left out."""
+    least = external.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min(F.struct(*attrs)).alias("__a"))
+    return least.select("__k", *[F.col("__a")[c].alias(c) for c in attrs])
+
+
 def attach_attributes(pred: DataFrame, external: DataFrame, key_pred: str, key_ext: str,
                       attrs: list[str]) -> DataFrame:
-    """Re-attach sensitive attributes by key (left join, null keys match null keys;
-    no positional fallback)."""
+    """Re-attach sensitive attributes by key.  Every prediction stays one row: repeated keys of ``external`` are
+    one row (``one_row_a_key``) and a null key attaches nothing; there is no positional fallback."""
     present = [c for c in attrs if c in external.columns]
-    side = external.select(F.col(key_ext).alias("__k"), *present)
-    return pred.join(side, pred[key_pred].eqNullSafe(side["__k"]), "left").drop("__k")
+    if not present:
+        return pred
+    side = one_row_a_key(external, key_ext, present)
+    return pred.join(side, pred[key_pred] == side["__k"], "left").drop("__k")

@@ -309,16 +309,55 @@ def scored_table(df: DataFrame, model, key: str, keep_features: bool = True,
 
 def predictions_long(df: DataFrame, models: list, key: str, label: str = "label",
                      extra: list[str] | None = None) -> DataFrame:
-    """Every model over the same rows, stacked in long form with ``model``."""
-    parts = []
-    for m in models:
-        s = score(df, m, [key, label] + (extra or []))
-        parts.append(s.select(F.lit(m.name).alias("model"), F.col(key), F.col(label).alias("actual"),
-                              "pred", *prob_cols(), "confidence", *(extra or [])))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Every model over the same rows, in long form with ``model``.  The rows are read once: each model adds its
+    logits as columns, and one projection makes a row per model of them.  Of fitted additive models (hundreds of
+    lookups each) only one shares a scan, as generated code for more would outgrow what the JVM compiles."""
+    extra = extra or []
+    fitted = [m for m in models if isinstance(m, AdditiveModel) and m.bucketize]
+    if len(fitted) > 1:
+        first = predictions_long(df, [m for m in models if m not in fitted[1:]], key, label, extra)
+        for m in fitted[1:]:
+            first = first.unionByName(predictions_long(df, [m], key, label, extra))
+        return first
+    held = [key, label, *extra]
+    features = [f for m in models for f in m.features]
+    base = list(dict.fromkeys(held + features))
+    wide, kept = df.select(*[F.col(f"`{c}`") for c in base]), base
+    for i, m in enumerate(models):
+        by_search = isinstance(m, AdditiveModel) and m.bucketize
+        src = m.add_bins(wide) if by_search else wide
+        z = m.logits(from_bin_cols=True) if by_search else m.logits()
+        wide = src.select(*[F.col(f"`{c}`") for c in kept], *[e.alias(f"_z{i}_{k}") for k, e in enumerate(z)])
+        kept = kept + [f"_z{i}_{k}" for k in range(len(z))]
+    def named(i: int, what: str) -> list[str]:
+        return [f"_{what}{i}_{k}" for k in range(K)]
+
+    each = range(len(models))
+    top = {i: F.greatest(*[F.col(c) for c in named(i, "z")]) for i in each}
+    ex = wide.select(*held, *[F.exp(F.col(z) - top[i]).alias(e) for i in each for z, e in zip(named(i, "z"), named(i, "e"))],
+                     *[_first_greatest(named(i, "z"), top[i]).alias(f"_pred{i}") for i in each])
+    probs = ex.select(*held, *[f"_pred{i}" for i in each], *[(F.col(e) / _sum(named(i, "e"))).alias(p)
+                                                              for i in each for e, p in zip(named(i, "e"), named(i, "p"))])
+    rows = F.array(*[F.struct(
+        F.lit(m.name).alias("model"), F.col(f"_pred{i}").alias("pred"), *[F.col(p).alias(n) for p, n in zip(named(i, "p"), prob_cols())],
+        F.greatest(*[F.col(p) for p in named(i, "p")]).alias("confidence")) for i, m in enumerate(models)])
+    out = probs.select(F.col(key), F.col(label).alias("actual"), *extra, F.inline(rows))
+    return out.select("model", key, "actual", "pred", *prob_cols(), "confidence", *extra)
+
+
+def _sum(names: list[str]) -> Column:
+    total = F.col(names[0])
+    for n in names[1:]:
+        total = total + F.col(n)
+    return total
+
+
+def _first_greatest(names: list[str], top: Column) -> Column:
+    """The place of the first column that equals the greatest: ties go to the lower class."""
+    at = F.lit(len(names) - 1)
+    for k in reversed(range(len(names) - 1)):
+        at = F.when(F.col(names[k]) == top, F.lit(k)).otherwise(at)
+    return at.cast("int")
 
 
 def tier_counts(scored: DataFrame, spark: SparkSession) -> DataFrame:

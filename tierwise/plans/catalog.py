@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..constants import KEY_COL, SENSITIVE_ATTRS, TARGET_COL, TIER_CODES, TIER_TEXT_ANALYST
 from ..functions.numeric import r6, round_half_up
+from ..functions.text import fmt_lakh
 from ..operators import ask, boosting, evaluate, explain, fairness, impact, merge, models, prepare, schema, split
 from ..sources import fixtures
 from ..sources.tables import contract_diff, read_table
@@ -184,7 +185,51 @@ def q_attach(spark, d):
     return merge.attach_attributes(p, wb.external, KEY_COL, "prospectid", SENSITIVE_ATTRS)
 
 
+@query("attach_repeated")
+def q_attach_repeated(spark, d):
+    """Predictions of which some have no key, external rows that repeat keys and lack some; one row a prediction."""
+    wb = Workbench(spark, d)
+    p = wb.rule_preds.filter(F.col("model") == RULE_BASELINE).withColumn(KEY_COL, F.when(F.col(KEY_COL) % 7 != 0, F.col(KEY_COL)))
+    k = F.col("prospectid")
+    e = wb.external.withColumn("prospectid", F.when(k % 11 != 0, F.floor(k / 2)))
+    return merge.attach_attributes(p, e, KEY_COL, "prospectid", SENSITIVE_ATTRS).select(*p.columns, *SENSITIVE_ATTRS)
+
+
+def _hot_sides(spark, d):
+    """Orders and customers on one key of which 0 is a fifth of the orders and a fortieth of the customers."""
+    def side(table, key, own, name, every):
+        k = F.when(F.col(own) % every == 0, 0).when(F.col(own) % 41 == 1, None).otherwise(F.col(key))
+        return read_table(spark, d, table).select(k.cast("long").alias("k"), F.col(own).alias(name))
+    return side("orders", "o_custkey", "o_orderkey", "a", 5), side("customer", "c_custkey", "c_custkey", "b", 40)
+
+
+@query("merge_size")
+def q_merge_size(spark, d):
+    """How many rows a merge makes, told before it is made."""
+    return merge.merge_size(*_hot_sides(spark, d), ("k", "k"))
+
+
+@query("merge_skewed")
+def q_merge_skewed(spark, d):
+    """A merge whose hot key's pairs are dealt to many tasks; rows without key match nothing."""
+    return merge.merge(*_hot_sides(spark, d), ("k", "k"), null_safe=False, hot_rows=10_000)
+
+
 # =========================================================== E prepare
+@query("all_null_column")
+def q_all_null(spark, d):
+    """A numeric column without any value leaves the features; the other parameters stay as they are."""
+    df = Workbench(spark, d).merged.withColumn("Never_Filled", F.lit(None).cast("double"))
+    p = prepare.fit(df, KEY_COL, TARGET_COL).to_table(spark)
+    return _r6all(p.filter("kind in ('numeric', 'all_null')").select("feature", "kind", "median", "mean", "std"), ["median", "mean", "std"])
+
+
+@query("loan_texts")
+def q_loan_texts(spark, d):
+    """C14: five years of income as a display text in lakh."""
+    return Workbench(spark, d).external.select("prospectid", fmt_lakh(F.col("NETMONTHLYINCOME") * 60).alias("lakh"))
+
+
 @query("median_impute")
 def q_median(spark, d):
     p = Workbench(spark, d).params

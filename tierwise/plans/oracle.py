@@ -143,6 +143,10 @@ def _pos_median() -> str:
 cte("medians", ["merged"], "SELECT " + ",\n  ".join(
     f"{spark_pct('merged', c, _pos_median())} AS md_{c}" for c in NUMS))
 
+cte("merge_hot_sides", [], """
+SELECT CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 41 = 1 THEN NULL ELSE o_custkey END AS k, o_orderkey AS a, NULL AS b FROM orders
+UNION ALL SELECT CASE WHEN c_custkey % 40 = 0 THEN 0 WHEN c_custkey % 41 = 1 THEN NULL ELSE c_custkey END, NULL, c_custkey FROM customer""")
+
 cte("modes", ["merged"], "SELECT " + ",\n  ".join(
     f"(SELECT {c} FROM merged WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mo_{c}"
     for c in CATS))
@@ -458,11 +462,13 @@ cte("routed", ["routed0"], "SELECT qid, pattern_no, CASE pattern_no " + " ".join
   CASE WHEN pattern_no = 5 THEN upper(coalesce(nullif(regexp_extract(q, {q(PATS[4])}, 1), ''), 'GENDER')) END AS attr
 FROM routed0""")
 cte("pairs", ["routed"], "SELECT DISTINCT idx_a, idx_b FROM routed WHERE intent = 'compare_applicants'")
-cte("fa_delta", ["pairs", "fa_feat"], """
+cte("fa_delta", ["pairs", "fa_phi", "all_fixed_a"], """
 SELECT * FROM (
-  SELECT p.idx_a, p.idx_b, a.feature, a.phi_pred AS va, b.phi_pred AS vb, b.phi_pred - a.phi_pred AS delta,
-         row_number() OVER (PARTITION BY p.idx_a, p.idx_b ORDER BY abs(b.phi_pred - a.phi_pred) DESC, a.feature) AS rank
-  FROM pairs p JOIN fa_feat a ON a.PROSPECTID = p.idx_a JOIN fa_feat b ON b.PROSPECTID = p.idx_b AND b.feature = a.feature)
+  SELECT p.idx_a, p.idx_b, a.class, a.feature, a.phi AS va, b.phi AS vb, b.phi - a.phi AS delta,
+         row_number() OVER (PARTITION BY p.idx_a, p.idx_b ORDER BY abs(b.phi - a.phi) DESC, a.feature) AS rank
+  FROM pairs p JOIN all_fixed_a s ON s.PROSPECTID = p.idx_a
+  JOIN fa_phi a ON a.PROSPECTID = p.idx_a AND a.class = s.pred
+  JOIN fa_phi b ON b.PROSPECTID = p.idx_b AND b.feature = a.feature AND b.class = s.pred)
 WHERE rank <= 5""")
 
 
@@ -593,6 +599,25 @@ SELECT a.c_custkey, a.c_name, b.other_custkey, b.c_acctbal FROM
 oracle("attach_attrs", ["rule_preds", "external"], """
 SELECT p.*, e.GENDER, e.EDUCATION, e.MARITALSTATUS FROM rule_preds p
 LEFT JOIN external e ON e.prospectid = p.PROSPECTID WHERE p.model = 'rule_a'""")
+oracle("attach_repeated", ["rule_preds", "external"], """
+, p AS (SELECT model, CASE WHEN PROSPECTID % 7 <> 0 THEN PROSPECTID END AS PROSPECTID, actual, pred FROM rule_preds WHERE model = 'rule_a'),
+e AS (SELECT CASE WHEN prospectid % 11 <> 0 THEN prospectid // 2 END AS k, GENDER, EDUCATION, MARITALSTATUS FROM external),
+one AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY GENDER NULLS FIRST, EDUCATION NULLS FIRST, MARITALSTATUS NULLS FIRST) AS i
+        FROM e WHERE k IS NOT NULL)
+SELECT p.*, one.GENDER, one.EDUCATION, one.MARITALSTATUS FROM p LEFT JOIN one ON one.k = p.PROSPECTID AND one.i = 1""".replace("\n, p AS", ", p AS", 1))
+oracle("merge_skewed", ["merge_hot_sides"], """
+SELECT a.*, b.b FROM (SELECT k, a FROM merge_hot_sides WHERE a IS NOT NULL) a
+JOIN (SELECT k, b FROM merge_hot_sides WHERE b IS NOT NULL) b ON a.k = b.k""")
+oracle("merge_size", ["merge_hot_sides"], """
+SELECT sum(na * nb)::BIGINT AS n_rows, max(na * nb)::BIGINT AS largest_key,
+  ((SELECT count(*) FROM merge_hot_sides WHERE a IS NOT NULL AND k IS NULL)
+   * (SELECT count(*) FROM merge_hot_sides WHERE b IS NOT NULL AND k IS NULL))::BIGINT AS null_pairs
+FROM (SELECT k, count(a) AS na, count(b) AS nb FROM merge_hot_sides WHERE k IS NOT NULL GROUP BY k)""")
+oracle("all_null_column", ["medians", "moments"], "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, 'numeric' AS kind, {r6(f'md_{c}')} AS median, {r6(f'mu_{c}')} AS mean, {r6(f'sd_{c}')} AS std FROM medians, moments"
+    for c in NUMS) + "\nUNION ALL SELECT 'Never_Filled', 'all_null', NULL, NULL, NULL")
+oracle("loan_texts", ["external"], """
+SELECT prospectid, 'Rs ' || format('{:,d}', floor(NETMONTHLYINCOME * 60 / 1e5 + 0.5)::BIGINT) || 'L' AS lakh FROM external""")
 
 # =========================================================== E / F
 oracle("median_impute", ["medians"], "\nUNION ALL\n".join(
@@ -712,7 +737,7 @@ oracle("compare_rows", ["fa_topn", "pairs"], f"""
 SELECT PROSPECTID, pred, CAST(rank AS INTEGER) AS rank, feature, {r6('value')} AS value, {r6('mean_abs')} AS mean_abs,
   {r6('mean_phi')} AS mean_phi, {r6('phi_pred')} AS phi_pred FROM fa_topn
 WHERE PROSPECTID IN (SELECT idx_a FROM pairs UNION SELECT idx_b FROM pairs)""")
-oracle("phi_delta", ["fa_delta"], f"SELECT idx_a, idx_b, CAST(rank AS INTEGER) AS rank, feature, {r6('va')} AS va, "
+oracle("phi_delta", ["fa_delta"], f"SELECT idx_a, idx_b, class, CAST(rank AS INTEGER) AS rank, feature, {r6('va')} AS va, "
        f"{r6('vb')} AS vb, {r6('delta')} AS delta FROM fa_delta")
 
 
