@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 import corpus_pipeline
-from conftest import SF
+from conftest import SF, SF01
 from oracle_check import compare, duck
-from tierwise.llm import (_base, chat, copying, decontaminate, language, licences, mixing, neardup, packing, registry, rollups,
-                          warc)
+from tierwise.llm import (_base, chat, copying, decontaminate, language, licences, mixing, neardup, packing, quality, registry,
+                          rollups, warc)
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +71,67 @@ def test_substituted_words_are_tolerated(spark, texts):
     assert found.count() == len(rows)
 
 
+def stretches(doc, item, least):
+    """Longest (length, matches, doc start, item start) over all diagonals and all stretches with enough equal words."""
+    best = None
+    for d in range(-len(item) + 1, len(doc)):
+        lo, hi = max(d, 0), min(d + len(item), len(doc))
+        equal = [doc[i] == item[i - d] for i in range(lo, hi)]
+        total = [0]
+        for e in equal:
+            total.append(total[-1] + e)
+        for a in range(len(equal)):
+            for b in range(a + least, len(equal) + 1):
+                if equal[a] and equal[b - 1] and total[b] - total[a] >= decontaminate.IDENTITY * (b - a) - 1e-9:
+                    found = (b - a, total[b] - total[a], -(lo + a), lo + a - d)
+                    best = max(best or found, found)
+    return best
+
+
+def test_passages_between_substitutions_are_found(spark):
+    """Overlaps against all diagonals and stretches, with items of which only pieces are left."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (46, 46, 30, 12, 9, 7, 120)]
+    docs = []
+    for n in range(60):
+        doc = rng.choices(vocabulary, k=rng.randint(0, 40))
+        for item in rng.sample(items, 2):
+            kept = [w if (p := rng.random()) > 0.12 else rng.choice(vocabulary) for w in item]
+            if n % 3 == 0:  # pieces of which each is long enough, but not all together
+                for lo in range(12, len(kept), 17):
+                    kept[lo:lo + 5] = rng.choices(vocabulary, k=len(kept[lo:lo + 5]))
+            doc += kept + rng.choices(vocabulary, k=rng.randint(0, 9))
+        docs.append(doc)
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.length, r.matches, r.doc_start, r.item_start) for r in decontaminate.contaminated(frame, bench).collect()}
+    least = [max(decontaminate.LEAST_WORDS, min(decontaminate.MIN_WORDS, len(t))) for t in items]
+    want = {(i, k): (s[0], s[1], -s[2], s[3]) for i, d in enumerate(docs) for k, t in enumerate(items) if (s := stretches(d, t, least[k]))}
+    assert not any(k == 5 for _, k in got)
+    assert all(want[pair] == found for pair, found in got.items())
+    # a stretch is missed only where no mask fits between its substitutions
+    assert len(want) - len(got) <= 0.03 * len(want) and len(want) > 60
+
+
+# ------------------------------------------------------------------------------------------------ quality
+def test_cutoffs_follow_the_group(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(("x" * rng.randint(*((4, 6) if i % 2 else (9, 11)))) + str(rng.randint(0, 9)) for _ in range(80)), "en", "short" if i % 2 else "long")
+            for i in range(800)]
+    rows += [(9001, rows[0][1], "en", "short"), (9002, rows[1][1], "en", "long")]
+    got = {r.row.doc_id: r for r in quality.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "doc_id").collect()}
+    assert all(got[i].kept for i in range(800))
+    assert not got[9001].kept and not got[9002].kept  # normal in one source, odd in the other
+    assert not got[9001].base_failed and not got[9002].base_failed
+
+
+def test_cutoffs_of_the_documents_differ(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    limits = quality.thresholds(quality.sketch(quality.measure(docs))).toPandas()
+    assert limits["cut_mean_word_milli"].nunique() > 1 and limits["cut_mean_word_milli_low"].nunique() > 1
+
+
 # ------------------------------------------------------------------------------------------------ WARC
 def test_warc_round_trip(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()

@@ -4,8 +4,9 @@ Words are lower-cased runs of letters and digits. A mask such as ``110110101`` r
 ignores the others, so a substituted word at an ignored place leaves the hash as it was; several masks cover
 substitutions at different places. The seeds of all test items are joined to the seeds of all document positions by
 hash (equal 64-bit values); around each hit, document and item are aligned without gaps along the hit's diagonal, and
-the stretch with the best score (match +1, substitution -``PENALTY``) is verified: at least ``MIN_WORDS`` words long (or
-the whole item, if that is shorter, down to ``LEAST_WORDS``) with at least ``IDENTITY`` of the words equal.
+the longest stretch there is found that has at least ``IDENTITY`` of its words equal and ``MIN_WORDS`` words (or the
+whole item's, if that is shorter, down to ``LEAST_WORDS``). No stretch hides another: a passage counts whatever else of
+the item stands around it.
 
 The benchmark is the stated query set. It is taken in blocks of at most ``BLOCK_WORDS`` words, whose sorted seeds every
 task holds (some 100 bytes a word, a fixed bound); each block meets all documents in one scan without a shuffle. A
@@ -13,7 +14,8 @@ larger benchmark means more scans, not larger tasks.
 
 Defined results: null and empty texts and items match nothing; items with a null id are kept under a null id; repeated
 items or documents give a row each; items shorter than ``LEAST_WORDS`` words are too short to tell and match nothing;
-empty tables give no row; other columns are not read.
+empty tables give no row; other columns are not read. Of stretches of equal length the one with more equal words, then
+the first in the document counts. Texts of any length are read whole, a slice of ``SLICE_BYTES`` or one text at a time.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ MASKS = ("11111", "1101011", "1010110011", "11001001011")
 MIN_WORDS = 12
 LEAST_WORDS = 8
 IDENTITY = 0.8
-PENALTY = 2
 BLOCK_WORDS = 1 << 20
 SLICE_BYTES = 4 << 20
 SCHEMA = ("doc_id long, item_id long, doc_start long, item_start long, length long, matches long, identity double, "
@@ -90,12 +91,22 @@ class Block:
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """Start and end of the stretch with the largest sum of +1 for equal and -PENALTY for unequal words."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -PENALTY))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    return int(np.argmin(total[:end + 1])), end
+def longest_stretch(equal: np.ndarray, least: int) -> tuple[int, int] | None:
+    """Start and end of the longest stretch of at least ``least`` words that begins and ends with an equal word and has
+    ``IDENTITY`` of its words equal; of equals the one with more equal words, then the first. A stretch has the share
+    if its words add up to 0 or more, an equal one counting 1 - IDENTITY and another -IDENTITY."""
+    share = round(1000 * IDENTITY)
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1000 - share, -share))])
+    ends = np.where(np.concatenate([[False], equal]), total, -(1 << 60))
+    later = np.maximum.accumulate(ends[::-1])[::-1]  # best total at an end from here on; falls
+    starts = np.flatnonzero(equal)
+    stops = np.searchsorted(-later, -total[starts], side="right") - 1  # the last end with at least the start's total
+    length = stops - starts
+    if not len(starts) or length.max() < least:
+        return None
+    longest = np.flatnonzero(length == length.max())
+    i = longest[np.argmax((total[stops] - total[starts])[longest])]
+    return int(starts[i]), int(stops[i])
 
 
 def overlaps(block: Block, texts: pa.Array) -> Iterator[tuple]:
@@ -108,10 +119,11 @@ def overlaps(block: Block, texts: pa.Array) -> Iterator[tuple]:
         lo, hi = max(first, int(bounds[row])), min(first + size, int(bounds[row + 1]))
         skip, base = lo - first, int(block.starts[item])
         equal = h[lo:hi] == block.h[base + skip:base + skip + hi - lo]
-        a, b = best_stretch(equal)
-        matches = int(equal[a:b].sum())
-        if b - a < max(LEAST_WORDS, min(MIN_WORDS, size)) or matches < IDENTITY * (b - a):
+        stretch = longest_stretch(equal, max(LEAST_WORDS, min(MIN_WORDS, size)))
+        if stretch is None:
             continue
+        a, b = stretch
+        matches = int(equal[a:b].sum())
         found = (b - a, matches, -(lo - int(bounds[row]) + a), skip + a)
         best[row, item] = max(best.get((row, item), found), found)
     for (row, item), (length, matches, minus, start) in best.items():

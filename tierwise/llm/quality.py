@@ -4,14 +4,16 @@ Each document gets integer metrics. Per (language, source) and metric, a mergeab
 log-linear bucket: values below 64 have a bucket each, larger ones 32 buckets per power of two (at most 1/32 relative
 error). Sketches are rows (lang, source, metric, bucket, n); merging is a sum, so partial aggregation does it and a
 source with a third of all rows is no special case. From the sketch follow quartiles, and from these the cutoffs
-(Tukey fences, floored by a guard so that a group without spread rejects nothing). A group with fewer than
+(Tukey fences; the quartile distance counts as a metric's least spread at least, so that a group whose documents are
+all alike doesn't reject the next one that differs a little). A group with fewer than
 ``MIN_GROUP`` documents uses its language's merged sketch, and if that is small too, the whole corpus's.
 
 The thresholds are written as a table and joined to the documents null-safely on (language, source); Spark broadcasts
 them only if their real size is under its threshold.
 
 Nulls: a null text has no words and fails; null languages and sources are groups of their own. Repeated rows each get
-their verdict. An empty table gives an empty result. Other columns pass through unread; results carry fixed names only.
+their verdict. A value equal to its cutoff is inside it. Texts of any length are measured whole, in memory with their
+words. An empty table gives an empty result. Other columns pass through unread; results carry fixed names only.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from pyspark.sql.window import Window
 
 from . import _base
 
-#: metric: (side that is bad, fence in units of the quartile distance, guard: a cutoff never lies inside this value)
+#: metric: (side that is bad, fence in units of the quartile distance, least quartile distance that is reckoned with)
 RULES = {
-    "symbol_ppm": ("high", 6, 20_000),
-    "upper_ppm": ("high", 6, 300_000),
-    "repeat_ppm": ("high", 6, 400_000),
-    "dup_line_ppm": ("high", 6, 500_000),
-    "mean_word_milli": ("high", 4, 12_000),
-    "mean_word_milli_low": ("low", 4, 2_500),
+    "symbol_ppm": ("high", 6, 3_000),
+    "upper_ppm": ("high", 6, 4_000),
+    "repeat_ppm": ("high", 10, 30_000),
+    "dup_line_ppm": ("high", 6, 60_000),
+    "mean_word_milli": ("high", 6, 200),
+    "mean_word_milli_low": ("low", 6, 200),
 }
 MIN_WORDS = 50
 MIN_GROUP = 200
@@ -119,11 +121,10 @@ def cutoffs(sketches: DataFrame, *keys: str) -> DataFrame:
         return F.min(F.when(F.col("upto") * 4 >= F.col("total") * num, bucket_low(F.col("bucket"))))
 
     q = run.groupBy(*keys, "metric").agg(F.max("total").alias("docs"), quantile(1).alias("q1"), quantile(3).alias("q3"))
-    spread = F.col("q3") - F.col("q1")
     cut = F.lit(None).cast("long")
-    for m, (side, fence, guard) in RULES.items():
-        at = F.greatest(F.col("q3") + fence * spread, F.lit(guard)) if side == "high" \
-            else F.least(F.col("q1") - fence * spread, F.lit(guard))
+    for m, (side, fence, least) in RULES.items():
+        reach = fence * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
+        at = F.col("q3") + reach if side == "high" else F.col("q1") - reach
         cut = F.when(F.col("metric") == m, at.cast("long")).otherwise(cut)
     return q.select(*keys, "metric", "docs", cut.alias("cut"))
 
@@ -157,13 +158,12 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
 
 def rules(docs: DataFrame, *carry: str) -> DataFrame:
     """Every document's metrics and verdict; the columns named in ``carry`` come back inside the struct ``row``, so
-    that their names can't clash with the operator's. With the text carried, texts are measured twice (thresholds,
-    verdict) rather than written out; without it, the narrow metrics are written once."""
+    that their names can't clash with the operator's. Texts are measured once: the metrics are written, with the text
+    only if that is carried, and read for the thresholds and again for the verdict."""
     rest = [c for c in carry if c not in ("text", "lang", "source")]
     row = F.struct(*[F.col(c) for c in rest]) if rest else F.struct(F.lit(0).alias("_"))
     measured = measure(docs.select("text", "lang", "source", row.alias("row")))
-    if "text" not in carry:
-        measured = _base.stored(measured.drop("text"), "quality-metrics")
+    measured = _base.stored(measured if "text" in carry else measured.drop("text"), "quality-metrics")
     limits = _base.stored(thresholds(sketch(measured)), "quality-limits")
     return judge(measured, limits)
 
@@ -184,8 +184,8 @@ def oracle() -> str:
     """The same rows in DuckDB SQL."""
     names = [m for m in RULES]
     pairs = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM m WHERE NOT base_failed" for m in names)
-    side = " ".join(f"WHEN '{m}' THEN " + (f"greatest(q3 + {k} * (q3 - q1), {g})" if s == "high" else
-                                            f"least(q1 - {k} * (q3 - q1), {g})") for m, (s, k, g) in RULES.items())
+    side = " ".join(f"WHEN '{m}' THEN " + ("q3 + " if s == "high" else "q1 - ") + f"{k} * greatest(q3 - q1, {least})"
+                    for m, (s, k, least) in RULES.items())
     inside = " AND ".join(f"coalesce(m.{m} {'<=' if s == 'high' else '>='} t.cut_{m}, true)" for m, (s, _, _) in RULES.items())
     cuts = ", ".join(f"max(cut) FILTER (WHERE metric = '{m}') AS cut_{m}" for m in names)
 
@@ -200,8 +200,10 @@ def oracle() -> str:
 
     return rf"""WITH w AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS t,
-    list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS ws,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM documents),
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM documents),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (
   SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (
     SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w))),
