@@ -2,7 +2,7 @@
 
 Texts are lower-cased and cut into words (runs of letters and digits). Texts of equal words are one node. Of each node's
 2-word k-mers, labelled by how often they occurred before, every sketch takes one with the smallest hash from each of
-``PARTS``, halves of the text that overlap, and keeps them in text order; equal sketches put nodes into one bucket.
+``PARTS``, halves of the text that overlap, and keeps them in the order of their places in the text; equal sketches put nodes into one bucket.
 Equality thus needs common k-mers in the same order all along the text, which follows edit similarity; sampling the whole
 text at once would also bring together all texts that share one long passage. Two words are short enough that texts with
 every fifth word changed still share a good part of their k-mers, and the overlap leaves texts with words added on one
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,12 +101,19 @@ def sketches(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     ends = np.cumsum(sizes)
     gram = np.append(gram, np.uint64(0))  # so that a part may end with the last text
     out = np.zeros((len(texts), SKETCHES), np.uint64)
-    for p, (lo, hi) in enumerate(PARTS):
+    # a k-mer's hash in the upper 44 bits, its place in the text, in 2^20ths, in the others
+    place = np.append(((np.arange(len(row)) - (ends - sizes)[row]) << 20) // sizes[row], 0).astype(np.uint64)
+    within, upper = np.uint64((1 << 20) - 1), ~np.uint64((1 << 20) - 1)
+    spans = []
+    for lo, hi in PARTS:
         first = ends - sizes + np.minimum(sizes * lo // 4, sizes - 1)
-        at = np.stack([first, np.maximum(ends - sizes + -(-sizes * hi // 4), first + 1)], 1).ravel()
-        for j, odd in enumerate(_odd(SKETCHES, 11 + p)):
-            if len(at):
-                out[:, j] = _base.mixed(out[:, j] + np.minimum.reduceat(gram * odd, at)[::2])
+        spans.append(np.stack([first, np.maximum(ends - sizes + -(-sizes * hi // 4), first + 1)], 1).ravel())
+    odds = [_odd(SKETCHES, 11 + p) for p in range(len(PARTS))]
+    for j in range(SKETCHES if len(texts) else 0):
+        picks = np.stack([np.minimum.reduceat((gram * odds[p][j]) & upper | place, at)[::2] for p, at in enumerate(spans)])
+        picks = np.take_along_axis(picks, np.argsort(picks & within, axis=0, kind="stable"), 0)  # in text order
+        for pick in picks:
+            out[:, j] = _base.mixed(out[:, j] + (pick >> np.uint64(20)))
     for j, odd in enumerate(_odd(SKETCHES, 11)):
         out[:, j] = _base.mixed(out[:, j] + odd)
     return out.view(np.int64), texts
@@ -298,6 +306,18 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _told(docs: DataFrame, keys: DataFrame, text_key: Column) -> Column:
+    """Whether a row's key may be among ``keys`` (text_key); false only if it is not."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(keys))
+
+    @F.pandas_udf("boolean")
+    def may_be(one: pd.Series, two: pd.Series) -> pd.Series:
+        at = [(shared.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 for p in (one.to_numpy(), two.to_numpy())]
+        return pd.Series((at[0] & at[1]).astype(bool))
+
+    return may_be(*_places(text_key))
+
+
 def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(fp, words) of the nodes named by wanted (text_key), and of a few others: a Bloom filter of fixed size lets texts
     through, so that no text is shuffled, and the joins on fp that follow are exact."""
@@ -437,7 +457,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = _base.stored(sketched(docs), "neardup-rows")
     nodes = _base.stored(rows.groupBy("fp").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("least"),
                                                 F.count("*").alias("n"), F.min("sig").alias("sig")), "neardup-nodes")
-    keys = nodes.select("fp", F.explode("sig").alias("key"))
+    keys = nodes.select("fp", F.explode("sig").alias("key")).repartition("key")  # dealt once, for the counts and the join
     shared = _alike(keys).select("key", "times")
     buckets = _base.stored(keys.join(shared, "key"), "neardup-buckets")
     wanted = nodes.join(buckets.select("fp").distinct(), "fp", "left_semi").select("text_key")
@@ -460,7 +480,8 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each class stays, the one with the smallest doc_id (of equal ids the smallest
-    text hash; of wholly repeated rows any one). Rows to drop are joined out, so that texts move only if these are many."""
+    text hash; of wholly repeated rows any one). Rows to drop are joined out exactly; texts that a Bloom filter of fixed
+    size tells apart from all of these pass straight through, so only about as many texts move as are dropped."""
     found = _base.stored(classes(docs), "neardup-verdicts")
     many = found.filter("copies > 1")
     heads = F.col("doc_id").eqNullSafe(F.col("class_id"))
@@ -469,7 +490,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = many.join(stays, "root").filter(~heads | (F.col("text_key") != F.col("stay"))) \
         .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     gone = _base.stored(gone, "neardup-gone")
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (text == gone["_key"]), "left_anti")
+    may_go = _told(docs, gone.select(F.col("_key").alias("text_key")), text)
+    doubtful = docs.filter(may_go)
+    left = docs.filter(~may_go).unionByName(doubtful.join(
+        gone, doubtful["doc_id"].eqNullSafe(gone["_id"]) & (text == gone["_key"]), "left_anti"))
     again = found.groupBy("doc_id", "text_key").count().filter("count > 1")
     if again.isEmpty():
         return left
