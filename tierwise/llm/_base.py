@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -37,6 +38,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def freed(batches: Iterator) -> Iterator:
+    """The same batches; when they end, the worker gives the memory it no longer uses back to the machine (glibc keeps it
+    otherwise, and workers live on idle beside the next stage's)."""
+    try:
+        yield from batches
+    finally:
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def crc_mod(col: str, m: int) -> Column:
     """crc32 of the id as text, modulo m. A null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % m

@@ -106,7 +106,7 @@ def counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(held[at])],
                                              names=["lang", "bucket", "n"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, bucket long, n long") \
+    return docs.select("lang", "text").mapInArrow(lambda batches: _base.freed(run(batches)), "lang string, bucket long, n long") \
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -206,7 +206,7 @@ def identify(docs: DataFrame, learn: Column) -> DataFrame:
                     names=["doc_id", "held_out", "lang_pred", "score", "spans"])
 
     return docs.select("doc_id", (~learn).alias("held_out"), "text").mapInArrow(
-        run, "doc_id long, held_out boolean, lang_pred string, score double, "
+        lambda batches: _base.freed(run(batches)), "doc_id long, held_out boolean, lang_pred string, score double, "
              "spans array<struct<lang: string, first_word: long, words: long>>")
 
 

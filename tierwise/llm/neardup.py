@@ -34,7 +34,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +49,7 @@ SMALL = 512
 COLUMNS = 4096
 ROUNDS = 4
 BITMAP_BITS = 25
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -230,7 +229,7 @@ def _compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
                                               pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32())],
                                              names=["a", "b", "d", "linked", "n"])
 
-    return both.select("a", "b", "a_words", "b_words").mapInArrow(run, "a binary, b binary, d int, linked boolean, n int")
+    return both.select("a", "b", "a_words", "b_words").mapInArrow(lambda batches: _base.freed(run(batches)), "a binary, b binary, d int, linked boolean, n int")
 
 
 def _among(members: DataFrame, words: DataFrame) -> DataFrame:
@@ -282,7 +281,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     return docs.select(F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"),
                        F.col("text").cast("string")) \
-        .mapInArrow(run, "doc_id long, text_key string, fp binary, sig array<long>")
+        .mapInArrow(lambda batches: _base.freed(run(batches)), "doc_id long, text_key string, fp binary, sig array<long>")
 
 
 def _places(key: Column) -> list[Column]:
@@ -310,10 +309,10 @@ def _told(docs: DataFrame, keys: DataFrame, text_key: Column) -> Column:
     """Whether a row's key may be among ``keys`` (text_key); false only if it is not."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(keys))
 
-    @F.pandas_udf("boolean")
-    def may_be(one: pd.Series, two: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def may_be(one: pa.Array, two: pa.Array) -> pa.Array:
         at = [(shared.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 for p in (one.to_numpy(), two.to_numpy())]
-        return pd.Series((at[0] & at[1]).astype(bool))
+        return pa.array((at[0] & at[1]).astype(bool))
 
     return may_be(*_places(text_key))
 
@@ -338,7 +337,7 @@ def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(text.alias("text"), *[p.alias(f"place{i}") for i, p in enumerate(_places(F.md5(text)))])
-    return texts.mapInArrow(run, "fp binary, words binary").dropDuplicates(["fp"])
+    return texts.mapInArrow(lambda batches: _base.freed(run(batches)), "fp binary, words binary").dropDuplicates(["fp"])
 
 
 def _alike(buckets: DataFrame) -> DataFrame:
