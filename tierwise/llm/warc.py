@@ -1,18 +1,29 @@
 """WARC archives as a Spark Python data source (format name ``warc``): a writer and a reader.
 
 Files are ``.warc.gz``: every record is a gzip member of its own, and the member's header carries the skip-length
-field ``sl`` (compressed and uncompressed size). A commit lists the finished files in ``_manifest.json``, so attempts
-that were lost or run twice leave no rows.
-
-Reader: the driver plans partitions of whole files from the manifest (small files together, up to ``split`` bytes).
-A task decompresses only the start of a record until its headers are complete, tests the pushed filters on them, and
-jumps over an unwanted record's remaining bytes without decoding them. Filters on ``record_type``, ``target_uri``,
-``record_id`` and ``payload_digest`` are pushed down (=, IN, starts with, not null). Option ``payload`` = ``false``
-leaves all payloads undecoded (column null).
-
-Defined results: a null payload is written as an empty one; null record types, URIs and digests are left out of the
-headers and read as null; an empty table gives no file and reads as no row; columns besides those of ``SCHEMA`` are
-refused by Spark's writer, so select first. Paths may be of any store that pyarrow's file systems open.
+field ``sl`` (compressed and uncompressed size). Records are valid WARC 1.1: dates, ids as URIs in angle brackets, URIs
+as they are. What a header can't state as the row has it (ids that are no URIs, null ids and types, line ends) is kept
+beside it in one header of our own, ``X-Row``, as JSON. Each commit lists its finished files in a manifest of its own,
+so attempts that were lost or run twice leave no rows, and appending keeps what was there.
+
+Reader: the driver plans partitions of whole files (small files together, up to ``split`` bytes), from the manifests or,
+where there are none, from a listing of ``.warc.gz`` and ``.warc`` files, so archives of other programs are read too. A
+task decompresses only the start of a record until its headers are complete, tests the pushed filters on them, and
+jumps over an unwanted record's remaining bytes without decoding them: by the skip length, by the content length in
+plain files, and in gzip members without a skip length by inflating and dropping 256 KB at a time. Filters on
+``record_type``, ``target_uri``, ``record_id``, ``refers_to``, ``record_date`` and ``payload_digest`` are pushed down
+(=, IN, starts with, not null). Option ``payload`` = ``false`` leaves all payloads undecoded (column null).
+
+Payloads: of ``application/http`` blocks what follows the HTTP headers, as stored (no transfer or content coding is
+undone; without a blank line in the first 1 MB the whole block), of others the block; of revisits null, and their
+``payload_bytes`` is the HTTP headers' content length, or null.
+
+Defined results: a null payload is written as an empty one; null URIs and digests are left out of the headers and read
+as null; a null type is written as ``resource`` and a null id as a fresh one, both read as null; a null date is the time
+of writing; an empty table gives no file and reads as no row; rows that repeat, or tie in all but the id, are records of
+their own; a very long payload is one record and one row of up to Spark's 2 GB; columns besides those of ``SCHEMA`` are
+refused by Spark's writer, so select first. A file that ends inside a record, or holds something else, raises. Paths may
+be of any store that pyarrow's file systems open.
 """
 
 from __future__ import annotations
@@ -21,10 +32,12 @@ import base64
 import hashlib
 import json
 import posixpath
+import re
 import struct
 import uuid
 import zlib
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -36,12 +49,18 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
 from . import _base
 
 SCHEMA = ("record_id string, record_type string, target_uri string, refers_to string, payload_digest string, "
-          "payload_bytes long, payload binary")
-_COLUMNS = ["record_id", "record_type", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload"]
+          "payload_bytes long, payload binary, record_date string")
+_COLUMNS = ["record_id", "record_type", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload",
+            "record_date"]
 _HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI",
-            "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
+            "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "record_date": "WARC-Date"}
 FILE_BYTES = 64 << 20
 _HEAD = 512
+_STEP = 1 << 18
+_MOST = 1 << 20
+BLANKS = " \t"
+_DATE = re.compile(r"\d{4}(-\d\d(-\d\d(T\d\d:\d\d(:\d\d(\.\d{1,9})?)?Z)?)?)?")
+_URI = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:[^\s<>]+")
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -61,77 +80,203 @@ def base32_sha1_column(payload: Column) -> Column:
                        "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _clean(value: str) -> str:
-    """A header value on one line, reversibly: percent signs, line ends and edge blanks are percent-encoded."""
-    out = value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
-    if out[:1] in (" ", "\t"):
-        out = f"%{ord(out[0]):02X}{out[1:]}"
-    if out[-1:] in (" ", "\t"):
-        out = f"{out[:-1]}%{ord(out[-1]):02X}"
-    return out
-
-
-def _unclean(value: str) -> str:
-    for code in ("%0D", "%0A", "%20", "%09", "%25"):
-        value = value.replace(code, chr(int(code[1:], 16)))
-    return value
+def _shown(column: str, value: str | None) -> str | None:
+    """The header value for a column's value; None leaves the header out."""
+    if column == "record_type":
+        return value if value and re.fullmatch(r"[A-Za-z-]+", value) else "resource"
+    if column == "record_date":
+        return value if value and _DATE.fullmatch(value) else f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}"
+    if column == "record_id" and value is None:
+        return f"<{uuid.uuid4().urn}>"
+    if value is None:
+        return None
+    if column in ("record_id", "refers_to"):
+        return f"<{value}>" if _URI.fullmatch(value) else f"<{uuid.uuid5(uuid.NAMESPACE_URL, value).urn}>"
+    if column == "payload_digest" and ":" not in value:
+        value = f"sha1:{value}"
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def _meant(column: str, shown: str | None) -> str | None:
+    """A column's value, of a header value."""
+    if shown is None:
+        return None
+    if column in ("record_id", "refers_to", "target_uri") and shown[:1] == "<" and shown[-1:] == ">":
+        return shown[1:-1]
+    return shown[5:] if column == "payload_digest" and shown[:5].lower() == "sha1:" else shown
 
 
 def member(row: dict) -> bytes:
     """One record as a gzip member with the skip-length field. A revisit keeps its HTTP headers, not its payload."""
-    payload = row["payload"] or b""
-    size = len(payload) if row["payload_bytes"] is None else row["payload_bytes"]
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
-    if row["record_type"] != "revisit":
-        block += payload
-    head = ["WARC/1.1"]
+    block = row["payload"] or b""
+    kind = "application/octet-stream"
+    if row["record_type"] in ("response", "revisit"):
+        revisit = row["record_type"] == "revisit"
+        size = row["payload_bytes"] if revisit and row["payload_bytes"] is not None else len(block)
+        block = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+                 + (b"" if revisit else block))
+        kind = "application/http; msgtype=response"
+    head, own = ["WARC/1.1"], {}
     for column, name in _HEADERS.items():
-        if (value := row[column]) is not None:
-            head.append(f"{name}: {'sha1:' if column == 'payload_digest' else ''}{_clean(value)}")
+        value = row.get(column)
+        if (shown := _shown(column, value)) is not None:
+            head.append(f"{name}: {shown}")
+        if _meant(column, shown) != value and not (column == "record_date" and value is None):
+            own[column] = value
+    if own:
+        head.append(f"X-Row: {json.dumps(own)}")
     if row["record_type"] == "revisit":
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-    head.append(f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}")
+    head.append(f"Content-Type: {kind}\r\nContent-Length: {len(block)}")
     record = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     deflate = zlib.compressobj(3, zlib.DEFLATED, -15)
     data = deflate.compress(record) + deflate.flush()
-    field = b"sl\x08\x00" + struct.pack("<II", (len(data) + 32) & 0xFFFFFFFF, len(record) & 0xFFFFFFFF)
+    field = b"sl\x08\x00" + struct.pack("<II", len(data) + 32, len(record))
     return (b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(field)) + field + data
-            + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF))
-
-
-def records(stream, wanted, with_payload: bool):
-    """Rows of one open file. wanted(headers) decides on the headers alone."""
-    while len(fixed := stream.read(24)) == 24:
-        if fixed[:4] != b"\x1f\x8b\x08\x04" or fixed[12:16] != b"sl\x08\x00":
-            raise ValueError("not a record with a skip-length field")
-        size, _ = struct.unpack("<II", fixed[16:24])
-        left = size - 24
-        inflate = zlib.decompressobj(-15)
-        text = b""
-        while b"\r\n\r\n" not in text and left > 8:
-            data = stream.read(min(_HEAD, left))
-            left -= len(data)
-            text += inflate.decompress(data)
-        head, _, rest = text.partition(b"\r\n\r\n")
-        named = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-        row = {c: _unclean(named[h]) if h in named else None for c, h in _HEADERS.items()}
-        if row["payload_digest"]:
-            row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
+            + struct.pack("<II", zlib.crc32(record), len(record)))
+
+
+def _headers(lines: list[bytes]) -> dict[str, str]:
+    """Headers by lower-case name, the first of a name; folded lines are joined."""
+    out, name = {}, None
+    for line in (x.decode("utf-8", "replace") for x in lines):
+        if line[:1] in (" ", "\t") and name is not None:
+            out[name] += f" {line.strip(BLANKS)}"
+            continue
+        key, colon, value = line.partition(":")
+        name = key.strip(BLANKS).lower() if colon else None
+        name = None if name in out else name
+        if name is not None:
+            out[name] = value.strip(BLANKS)
+    return out
+
+
+class Stream:
+    """The records' bytes of one open file, in steps: gzip members with a skip length one by one, else members as one
+    stream, else the file as it is."""
+
+    def __init__(self, raw):
+        self.raw, self.size, self.held = raw, raw.size(), b""
+        self.packed = b""            # read, not yet inflated
+        self.inflate = None
+        self.left = None             # compressed bytes of the current member with a skip length
+        self.gzip = raw.read(2) == b"\x1f\x8b"
+        raw.seek(0)
+
+    def more(self, step: int) -> bool:
+        """Hold more bytes; False at the end."""
+        if not self.gzip:
+            data = self.raw.read(step)
+        elif self.left is not None:
+            packed = self.raw.read(min(step, self.left))
+            self.left -= len(packed)
+            data = self.inflate.decompress(packed)
+            if not data and packed:
+                return self.more(step)
+        else:
+            data = b""
+            while not data:
+                if self.inflate is None:
+                    self.packed = self.packed.lstrip(b"\0") or self.raw.read(_STEP).lstrip(b"\0")
+                    if not self.packed:
+                        return False
+                    self.inflate = zlib.decompressobj(31)
+                data = self.inflate.decompress(self.packed, _STEP)
+                if self.inflate.eof:
+                    self.packed, self.inflate = self.inflate.unused_data, None
+                elif not (packed := self.inflate.unconsumed_tail) and not data:
+                    if not (packed := self.raw.read(_STEP)):
+                        raise ValueError("the file ends inside a gzip member")
+                    self.packed = packed
+                else:
+                    self.packed = packed
+        self.held += data
+        return bool(data)
+
+    def start(self) -> bool:
+        """Go to the next record; False at the end of the file."""
+        if self.left is not None:
+            self.raw.seek(self.left + 8, 1)
+            self.left, self.held, self.inflate = None, b"", None
+        if self.gzip and not self.held and not self.packed and self.inflate is None:
+            place = self.raw.tell()
+            fixed = self.raw.read(24)
+            if len(fixed) == 24 and fixed[:4] == b"\x1f\x8b\x08\x04" and fixed[12:16] == b"sl\x08\x00":
+                self.left = struct.unpack("<I", fixed[16:20])[0] - 32
+                self.inflate = zlib.decompressobj(-15)
+                if self.left < 0 or place + self.left + 32 > self.size:
+                    raise ValueError("the file ends inside a record")
+            else:
+                self.raw.seek(place)
+        self.held = self.held.lstrip(b"\r\n")
+        while not self.held and self.more(_HEAD):
+            self.held = self.held.lstrip(b"\r\n")
+        return bool(self.held)
+
+    def until_blank_line(self, most: int) -> bytes | None:
+        """The bytes up to a blank line, which is passed; None, and nothing passed, without one in so many bytes."""
+        seen = 0
+        while (at := self.held.find(b"\r\n\r\n", max(0, seen - 3), most)) < 0:
+            seen = len(self.held)
+            if seen >= most or not self.more(_HEAD):
+                return None
+        head, self.held = self.held[:at], self.held[at + 4:]
+        return head
+
+    def take(self, n: int, keep: bool = True) -> bytes:
+        """Pass n bytes; they are returned, or dropped step by step."""
+        parts = []
+        while n > 0:
+            if not self.held:
+                if not keep and not self.gzip:
+                    if self.raw.tell() + n > self.size:
+                        raise ValueError("the file ends inside a record")
+                    self.raw.seek(n, 1)
+                    break
+                if not self.more(_STEP):
+                    raise ValueError("the file ends inside a record")
+            part, self.held = self.held[:n], self.held[n:]
+            n -= len(part)
+            if keep:
+                parts.append(part)
+        return b"".join(parts)
+
+    def drop(self, n: int) -> None:
+        """Pass the n bytes that the record still has; start() jumps over a member with a skip length."""
+        if self.left is None:
+            self.take(n, keep=False)
+
+
+def records(raw, wanted, with_payload: bool):
+    """Rows of one open file. wanted(row) decides on the headers alone."""
+    stream = Stream(raw)
+    while stream.start():
+        head = stream.until_blank_line(_MOST)
+        if head is None or not head.startswith(b"WARC/"):
+            raise ValueError("not a WARC record")
+        named = _headers(head.split(b"\r\n")[1:])
+        row = {c: _meant(c, named.get(h.lower())) for c, h in _HEADERS.items()}
+        if "x-row" in named:
+            row |= json.loads(named["x-row"])
+        if "content-length" not in named:
+            raise ValueError("a record without content length")
+        size = int(named["content-length"])
         if not wanted(row):
-            stream.seek(left, 1)
+            stream.drop(size)
             continue
-        while b"\r\n\r\n" not in rest and left > 8:
-            data = stream.read(min(_HEAD, left))
-            left -= len(data)
-            rest += inflate.decompress(data)
-        http, _, body = rest.partition(b"\r\n\r\n")
-        row["payload_bytes"] = int(http.rpartition(b"Content-Length: ")[2].split(b"\r\n")[0])
+        revisit = row["record_type"] == "revisit"
+        told = None
+        if named.get("content-type", "").lower().startswith("application/http"):
+            http = stream.until_blank_line(min(size, _MOST))
+            if http is not None:
+                size -= len(http) + 4
+                told = _headers(http.split(b"\r\n")[1:]).get("content-length")
+        row["payload_bytes"] = size if not revisit else int(told) if told and told.isdecimal() else None
         row["payload"] = None
-        if with_payload and row["record_type"] != "revisit":
-            body += inflate.decompress(stream.read(left))
-            row["payload"] = body[:row["payload_bytes"]]
+        if with_payload and not revisit:
+            row["payload"] = stream.take(size)
         else:
-            stream.seek(left, 1)
+            stream.drop(size)
         yield row
 
 
@@ -170,7 +315,7 @@ class WarcWriter(DataSourceArrowWriter):
         fs, top = file_system(self.path)
         fs.create_dir(top, recursive=True)
         files = sorted(f for m in messages if m is not None for f in m.files)
-        with fs.open_output_stream(posixpath.join(top, "_manifest.json")) as out:
+        with fs.open_output_stream(posixpath.join(top, f"_manifest-{uuid.uuid4().hex}.json")) as out:
             out.write(json.dumps(files).encode())
 
     def abort(self, messages) -> None:
@@ -201,11 +346,25 @@ class WarcReader(DataSourceReader):
             else:
                 self.tests.append((column, "in", list(f.value) if isinstance(f, In) else [f.value]))
 
-    def partitions(self):
+    def _files(self) -> list:
+        """Names and sizes, sorted: of the manifests, or of the archives found at the path (a folder or one file)."""
         fs, top = file_system(self.path)
-        with fs.open_input_stream(posixpath.join(top, "_manifest.json")) as f:
-            files = json.loads(f.read())
+        if fs.get_file_info(top).type == pafs.FileType.File:
+            return [["", fs.get_file_info(top).size]]
+        found = [i for i in fs.get_file_info(pafs.FileSelector(top, recursive=True)) if i.type == pafs.FileType.File]
+        listed = [i for i in found if posixpath.dirname(i.path) == top.rstrip("/") and i.base_name.startswith("_manifest-")]
+        if not listed:
+            return sorted([posixpath.relpath(i.path, top), i.size] for i in found
+                          if i.base_name.lower().endswith((".warc.gz", ".warc")))
+        files = []
+        for manifest in listed:
+            with fs.open_input_stream(manifest.path) as f:
+                files += json.loads(f.read())
+        return sorted(files)
+
+    def partitions(self):
         parts, held = [], self.split
+        files = self._files()
         for name, size in files:
             if held + size > self.split:
                 parts.append(Files([]))
@@ -227,13 +386,16 @@ class WarcReader(DataSourceReader):
                             for c in _COLUMNS])
         for name in partition.names:
             rows, held = [], 0
-            with fs.open_input_file(posixpath.join(top, name)) as f:
-                for row in records(f, self._wanted, self.with_payload):
-                    rows.append(row)
-                    held += len(row["payload"] or b"") + 200
-                    if held > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, held = [], 0
+            with fs.open_input_file(posixpath.join(top, name) if name else top) as f:
+                try:
+                    for row in records(f, self._wanted, self.with_payload):
+                        rows.append(row)
+                        held += len(row["payload"] or b"") + 200
+                        if held > 8 << 20:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, held = [], 0
+                except (ValueError, zlib.error) as wrong:
+                    raise ValueError(f"{posixpath.join(self.path, name)}: {wrong}") from wrong
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -288,7 +450,8 @@ def page_records(pages: DataFrame, least: int = 0) -> DataFrame:
         F.col("page_id").cast("string").alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri",
         F.when(revisit, F.col("first").cast("string")).alias("refers_to"), "payload_digest",
-        size.alias("payload_bytes"), F.when(~revisit, F.col("payload")).alias("payload"))
+        size.alias("payload_bytes"), F.when(~revisit, F.col("payload")).alias("payload"),
+        F.lit(None).cast("string").alias("record_date"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
