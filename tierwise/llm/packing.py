@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ from . import _base
 LENGTH = 2048
 OPEN_BINS = 1024
 END_ID = 0
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 400_000
 SLICE_BYTES = 8 << 20
+TOKEN_BYTES = 2 << 20
+NEW_WORDS = 10_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 
@@ -59,7 +62,10 @@ class Vocabulary:
         at = pc.index_in(words, self.words)
         if at.null_count:
             new = words.filter(at.is_null())
-            codes = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
+            codes = []
+            for lo in range(0, len(new), NEW_WORDS):
+                some = self.tokenizer.encode_batch_fast(new.slice(lo, NEW_WORDS).to_pylist(), add_special_tokens=False)
+                codes += [e.ids for e in some]
             if len(self.words) + len(new) > KNOWN_WORDS:
                 keep = at.drop_null()
                 held = np.zeros(len(self.words), bool)
@@ -69,7 +75,7 @@ class Vocabulary:
                 self.words, self.sizes = self.words.filter(pa.array(held)), self.sizes[held]
             self.words = pa.concat_arrays([self.words, new])
             self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, codes), np.int64, len(codes))])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for c in codes for i in c), np.uint32)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(codes), np.uint32)])
             at = pc.index_in(words, self.words)
         at = at.to_numpy()
         return (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at], self.ids
@@ -85,7 +91,15 @@ def plain(texts: pa.Array) -> pa.Array:
 
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts in order, each text's followed by the end id; and how many each text has."""
+    """All ids of the texts in order, each text's followed by the end id; and how many each text has. Texts of about
+    ``TOKEN_BYTES`` are held as words at a time."""
+    parts = [_token_ids(texts.slice(lo, hi - lo), path) for lo, hi in _base.slices(texts, TOKEN_BYTES)]
+    if not parts:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     words, rows = _base.words_of(plain(texts), _base.SPACE)
     index, distinct = _base.encoded(words)
     starts, sizes, ids = Vocabulary.of(path).lookup(distinct)
@@ -136,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_bins: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit = BestFit(length, open_bins, TaskContext.get().partitionId() << 32)
-        for batch in batches:
+        for batch in _base.freed(batches):
             for lo, hi in _base.slices(batch.column(1), SLICE_BYTES):
                 ids, counts = token_ids(batch.column(1).slice(lo, hi - lo), tokenizer)
                 pieces = -(-counts // length)
