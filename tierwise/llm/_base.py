@@ -18,6 +18,13 @@ pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between tasks;
 
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python by ``BATCH_BYTES`` at most, for this session (by default 64 MB, held twice or more on each side
+    of the pipe, in every task at once: long texts fill that)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

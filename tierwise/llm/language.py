@@ -190,6 +190,7 @@ def labelled(model: Model, texts: pa.Array) -> tuple[list, list, list]:
 def identify(docs: DataFrame, learn: Column) -> DataFrame:
     """docs (doc_id, text, lang) with lang_pred, score and spans; learnt from the rows where ``learn`` holds. Labels,
     ids and sources are no inputs of a prediction. Rows keep doc_id and a hash key of (doc_id, text)."""
+    _base.bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     taught = docs.filter(learn & F.col("text").isNotNull() & F.col("lang").isNotNull())
     shared = spark.sparkContext.broadcast(Model(counts(taught).toArrow()))

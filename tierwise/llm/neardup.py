@@ -47,6 +47,7 @@ SHORT = 14
 SIMILARITY = 0.8
 SMALL = 512
 COLUMNS = 4096
+WORDS = 500_000
 ROUNDS = 4
 BITMAP_BITS = 25
 SLICE_BYTES = 2 << 20
@@ -178,7 +179,17 @@ def distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
 
 
 def common_words(texts: list[np.ndarray]) -> np.ndarray:
-    """For every two texts the size of their common bag of words, some columns (words numbered by occurrence) at a time."""
+    """For every two texts the size of their common bag of words. Words are dealt by their numbers into lots of about
+    ``WORDS`` places, so that long texts take no more memory than their words; a lot's counts add to the others'."""
+    out = np.zeros((len(texts), len(texts)), np.int64)
+    lots = 1 + sum(map(len, texts)) // WORDS
+    for lot in range(lots):
+        _add_common(out, texts if lots == 1 else [t[t % lots == lot] for t in texts])
+    return out
+
+
+def _add_common(out: np.ndarray, texts: list[np.ndarray]) -> None:
+    """Adds the sizes of common bags, some columns (words numbered by occurrence) at a time."""
     word, text = np.concatenate(texts).astype(np.int64), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     order = np.lexsort((word, text))
     word, text = word[order], text[order]
@@ -191,13 +202,11 @@ def common_words(texts: list[np.ndarray]) -> np.ndarray:
     text = text[keep]
     order = np.argsort(column, kind="stable")
     column, text = column[order], text[order]
-    out = np.zeros((len(texts), len(texts)), np.int64)
     for a in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
         lo, hi = np.searchsorted(column, [a, a + COLUMNS])
         dense = np.zeros((len(texts), COLUMNS), np.float32)
         dense[text[lo:hi], column[lo:hi] - a] = 1
         out += (dense @ dense.T).astype(np.int64)
-    return out
 
 
 def allowed(m: int, n: int) -> int:
@@ -453,6 +462,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, class_id, copies (rows of its class), root (the class's own key) and text_key."""
+    _base.bounded_batches(docs.sparkSession)
     rows = _base.stored(sketched(docs), "neardup-rows")
     nodes = _base.stored(rows.groupBy("fp").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("least"),
                                                 F.count("*").alias("n"), F.min("sig").alias("sig")), "neardup-nodes")

@@ -170,6 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_bins: int =
                     pa.array(placed[:, 0]), pa.array(placed[:, 1])],
                     names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
 
+    _base.bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
