@@ -33,7 +33,7 @@ OPEN_BINS = 1024
 END_ID = 0
 KNOWN_WORDS = 400_000
 SLICE_BYTES = 8 << 20
-TOKEN_BYTES = 2 << 20
+TOKEN_BYTES = 4 << 20
 NEW_WORDS = 10_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
@@ -59,25 +59,24 @@ class Vocabulary:
 
     def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For distinct words: start and size of each one's ids, and the id list that holds them."""
-        at = pc.index_in(words, self.words)
-        if at.null_count:
-            new = words.filter(at.is_null())
+        at = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy().astype(np.int64)
+        unknown = at < 0
+        if unknown.any():
+            new = words.filter(pa.array(unknown))
             codes = []
             for lo in range(0, len(new), NEW_WORDS):
                 some = self.tokenizer.encode_batch_fast(new.slice(lo, NEW_WORDS).to_pylist(), add_special_tokens=False)
                 codes += [e.ids for e in some]
             if len(self.words) + len(new) > KNOWN_WORDS:
-                keep = at.drop_null()
                 held = np.zeros(len(self.words), bool)
-                held[keep.to_numpy()] = True
-                ends = np.cumsum(self.sizes)
-                self.ids = self.ids[np.repeat(held, self.sizes)] if len(ends) else self.ids
+                held[at[~unknown]] = True
+                self.ids = self.ids[np.repeat(held, self.sizes)]
                 self.words, self.sizes = self.words.filter(pa.array(held)), self.sizes[held]
+                at[~unknown] = (np.cumsum(held) - 1)[at[~unknown]]
+            at[unknown] = len(self.words) + np.arange(len(new))
             self.words = pa.concat_arrays([self.words, new])
             self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, codes), np.int64, len(codes))])
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(codes), np.uint32)])
-            at = pc.index_in(words, self.words)
-        at = at.to_numpy()
         return (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at], self.ids
 
 
