@@ -6,10 +6,14 @@ Per-row explanations stay as arrays inside the row until a top-k is taken
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import TIER_CODES
+from ..sources.store import exists, names
 from .models import AdditiveModel, LinearModel, score
 from .quantiles import exact_quantiles
 
@@ -79,6 +83,45 @@ class PhiStore:
             phi_long(df, model, key).write.mode("overwrite").parquet(place)
         return self.spark.read.parquet(place)
 
+
+class RowPhiStore:
+    """I3 row by row: explanations kept by (model, row), a row being its key and the values of the model's
+    features.  Only rows that are not there are computed; a changed row is another row.  New explanations are one
+    folder a call and count once it has Spark's success mark.  Of a row given several times, one explanation is
+    kept and all are returned."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _place(self, model) -> str:
+        facts = model.to_table(self.spark, background=True) if isinstance(model, LinearModel) else model.to_table(self.spark)
+        rows = sorted(str(tuple(r)) for r in facts.collect())          # bounded: features x bins x classes
+        return f"{self.path}/model={hashlib.sha256(chr(10).join(rows).encode()).hexdigest()[:32]}"
+
+    def _stored(self, place: str, schema) -> DataFrame:
+        done = [f"{place}/{b}" for b in names(self.spark, place) if exists(self.spark, f"{place}/{b}/_SUCCESS")]
+        return self.spark.read.schema(schema).parquet(*done) if done else self.spark.createDataFrame([], schema)
+
+    def missing(self, df: DataFrame, model, key: str) -> DataFrame:
+        """One of each of the rows that have no explanation yet, with ``row_id``."""
+        place = self._place(model)
+        stored = self._stored(place, "row_id string").distinct()
+        return self._named(df, model, key).dropDuplicates(["row_id"]).join(stored, "row_id", "left_anti")
+
+    @staticmethod
+    def _named(df: DataFrame, model, key: str) -> DataFrame:
+        values = F.to_json(F.struct(F.col(key).alias("key"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(model.features)]))
+        return df.select(key, *[f for f in model.features if f != key], F.sha2(values, 256).alias("row_id"))
+
+    def of(self, df: DataFrame, model, key: str) -> DataFrame:
+        """The long explanations of the rows of ``df``."""
+        place = self._place(model)
+        new = self.missing(df, model, key)
+        long = phi_long(new, model, "row_id")
+        long.write.parquet(f"{place}/{uuid.uuid4().hex}")
+        now = self._named(df, model, key).select("row_id", key)
+        return now.join(self._stored(place, long.schema).dropDuplicates(["row_id", "feature", "class"]), "row_id").drop("row_id")
+
     def all(self) -> DataFrame:
         """All kept explanations with their model and dataset."""
         return self.spark.read.option("basePath", self.path).parquet(self.path)

@@ -16,6 +16,8 @@ from ..constants import (APPROVED_CLASSES, DPD_VERDICTS, NARRATIVE, NARRATIVE_AC
 from ..functions.numeric import round_half_up, traffic_light
 from ..functions.text import fill, fmt_fixed, fmt_pct
 from .merge import attach_attributes
+from .quantiles import exact_quantiles
+from .schema import NUMERIC_TYPES
 
 
 def binarize(pred: DataFrame) -> DataFrame:
@@ -61,6 +63,32 @@ def audit(pred: DataFrame, external: DataFrame, key_pred: str, key_ext: str, att
     return long_groups(attach_attributes(binarize(pred), external, key_pred, key_ext, present), present)
 
 
+def binned(external: DataFrame, attrs: list[str], bins: int = 10, above: int = 50) -> tuple[DataFrame, DataFrame]:
+    """J12 for continuous attributes: a numeric one with more than ``above`` different values (as
+    ``approx_count_distinct`` tells) is replaced by the number of its quantile bin, the others stay as they are.
+    Also gives the bins as rows (attr, grp, lo, hi): a bin holds lo <= value < hi, the last one hi too.  Equal
+    quantiles make fewer bins; null and NaN have no bin.  So an audit has a bounded number of groups."""
+    types = {f.name: f.dataType for f in external.schema.fields}
+    numeric = [a for a in attrs if a in types and isinstance(types[a], NUMERIC_TYPES)]
+    clean = {a: F.when(~F.isnan(F.col(a).cast("double")), F.col(a).cast("double")) for a in numeric}
+    seen = external.agg(*[F.approx_count_distinct(a).alias(a) for a in numeric]).collect()[0].asDict() if numeric else {}
+    wide = [a for a in numeric if seen[a] > above]
+    at = exact_quantiles(external.select(*[clean[a].alias(a) for a in wide]), wide, [i / bins for i in range(bins + 1)])
+    labels, rows = {}, []
+    for a in wide:
+        ends = sorted(set(at[a]))
+        ends = ends if len(ends) > 1 else ends * 2
+        width = len(str(len(ends) - 1))
+        names = [str(i + 1).zfill(width) for i in range(len(ends) - 1)]
+        rows += [(a, n, float(lo), float(hi)) for n, lo, hi in zip(names, ends, ends[1:])]
+        label = F.lit(names[0])
+        for n, lo in zip(names[1:], ends[1:-1]):
+            label = F.when(clean[a] >= F.lit(float(lo)), F.lit(n)).otherwise(label)
+        labels[a] = F.when(clean[a].isNotNull(), label)
+    table = external.sparkSession.createDataFrame(rows, "attr string, grp string, lo double, hi double")
+    return external.select(*[labels[c].alias(c) if c in labels else F.col(c) for c in external.columns]), table
+
+
 def overview(diff: DataFrame) -> DataFrame:
     """J9 + J10: DPD/EOD with statuses (on unrounded values), 4 dp, action flag."""
     return diff.select(

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..constants import KEY_COL, SENSITIVE_ATTRS, TARGET_COL, TIER_CODES, TIER_TEXT_ANALYST
 from ..functions.numeric import r6, round_half_up
 from ..functions.text import fmt_lakh
-from ..operators import ask, boosting, evaluate, explain, fairness, impact, merge, models, prepare, schema, split
+from ..operators import (ask, boosting, evaluate, explain, fairness, fitstate, impact, merge, models, prepare, quantiles, schema,
+                         sparse, split)
 from ..sources import fixtures
 from ..sources.tables import contract_diff, read_table
 from .workbench import BASELINE, CHALLENGER, RULE_BASELINE, RULE_CHALLENGER, Workbench, materialize
@@ -84,6 +85,28 @@ def q_model_save_load(spark, d):
     return _r6all(s.select(KEY_COL, "pred", *models.prob_cols()), models.prob_cols())
 
 
+@query("model_versions")
+def q_model_versions(spark, d):
+    """A7 + A8: two versions committed, a third written and never committed; the newest whole one scores."""
+    import uuid
+    from ..config import scratch_path
+    from ..sources.store import ModelStore
+    wb = Workbench(spark, d)
+    store = ModelStore(spark, scratch_path(spark, f"models-{uuid.uuid4().hex}"))
+
+    def tables(m):
+        return {"coefficients": m.to_table(spark, background=True), "preparation": wb.params.to_table(spark)}
+
+    store.save("scorecard", tables(wb.fixed_b))
+    store.save("scorecard", tables(wb.fixed_a))
+    store.write("scorecard", tables(wb.fixed_b))
+    got = store.load("scorecard")
+    m = models.linear_from_table(got["coefficients"], BASELINE)
+    p = prepare.PrepParams.from_table(got["preparation"])
+    rows = prepare.transform(wb.merged, p, KEY_COL, TARGET_COL).join(wb.test.select(KEY_COL), KEY_COL, "left_semi")
+    return _r6all(models.score(rows, m, [KEY_COL]).drop("confidence"), models.prob_cols())
+
+
 @query("additive_save_load")
 def q_additive_save_load(spark, d):
     """A7 + A8: the additive model saved, loaded and used to explain."""
@@ -264,6 +287,77 @@ def q_one_hot(spark, d):
     return _long_features(wb.prepared_all, oh)
 
 
+@query("sparse_one_hot")
+def q_sparse_one_hot(spark, d):
+    """E4 + E5: the features other than zero of every merged row as (pos, value), categories found in an index table."""
+    wb = Workbench(spark, d)
+    p = sparse.fit(wb.merged, KEY_COL, TARGET_COL)
+    rows = sparse.encode(wb.merged, p, [KEY_COL]).select(KEY_COL, F.inline("features"))
+    return rows.withColumn("value", r6("value")).filter(F.col("value") != 0)
+
+
+LINE_KEY = ["l_orderkey", "l_linenumber"]
+
+
+@query("sparse_wide")
+def q_sparse_wide(spark, d):
+    """E4 + E5 on wide columns: parts, suppliers and return flags of all order lines as positions; quantities scaled."""
+    lines = read_table(spark, d, "lineitem")
+    p = sparse.fit(lines, None, None, nums=["l_quantity"], cats=["l_partkey", "l_suppkey", "l_returnflag"])
+    rows = sparse.encode(lines, p, LINE_KEY).select(*LINE_KEY, F.inline("features"))
+    return rows.withColumn("value", r6("value")).filter(F.col("value") != 0)
+
+
+def _sparse_fixed(wb: Workbench) -> tuple[sparse.SparseParams, sparse.SparseModel]:
+    p = sparse.fit(wb.merged, KEY_COL, TARGET_COL)
+    train = wb.merged.join(wb.train.select(KEY_COL), KEY_COL, "left_semi")
+    means = sparse.background(sparse.encode(train, p, []))
+    return p, sparse.model_of(fixtures.fixed_coefficients(wb.spark), BASELINE, p, means)
+
+
+@query("sparse_score")
+def q_sparse_score(spark, d):
+    """G3-G5 on sparse features: the unseen rows scored from a table of weights."""
+    wb = Workbench(spark, d)
+    p, m = _sparse_fixed(wb)
+    s = sparse.score(wb.unseen_raw, p, m, [KEY_COL])
+    return _r6all(s.drop("confidence"), models.prob_cols())
+
+
+@query("sparse_phi")
+def q_sparse_phi(spark, d):
+    """I1 on sparse features: contributions of a row's own features and, per column, of all its other categories."""
+    wb = Workbench(spark, d)
+    p, m = _sparse_fixed(wb)
+    known = wb.merged.filter(F.col(TARGET_COL).isin(*TIER_CODES))
+    return _r6all(sparse.phi(known, p, m, KEY_COL), ["value", "phi"])
+
+
+@query("fit_state")
+def q_fit_state(spark, d):
+    """States of three batches of the merged rows, one of them added twice, merged: per numeric column its
+    values, gaps, mean, deviation and whether the exact median lies between the state's bounds, these being at
+    most 1/64 apart; per category and target value its rows."""
+    import uuid
+    from ..config import scratch_path
+    wb = Workbench(spark, d)
+    store = fitstate.FitStore(spark, scratch_path(spark, f"fit-{uuid.uuid4().hex}"))
+    for batch in (0, 1, 2, 1):
+        store.add(str(batch), wb.merged.filter(F.col(KEY_COL) % 3 == batch))
+    state = store.state()
+    nums = schema.column_kinds(wb.merged, KEY_COL, TARGET_COL)[0]
+    exact = spark.createDataFrame([(c, v[0]) for c, v in quantiles.exact_quantiles(wb.merged, nums, [0.5]).items()],
+                                  "column string, exact double")
+    low, high, med = F.col("median_low"), F.col("median_high"), F.col("exact")
+    ok = (med >= low) & (med <= high) & (high - low <= F.abs(med) / 64)
+    numeric = fitstate.moments(state).join(fitstate.medians(state).join(exact, "column"), "column").select(
+        F.lit("numeric").alias("kind"), F.col("column").alias("item"), "n", "missing", r6("mean").alias("mean"),
+        r6("std").alias("std"), ok.alias("median_ok"))
+    values = state.filter(F.col("kind").isin("category", "target")).select(
+        "kind", F.concat_ws("=", "column", "value").alias("item"), "n")
+    return numeric.unionByName(values, allowMissingColumns=True)
+
+
 @query("prepare_train")
 def q_prepare_train(spark, d):
     wb = Workbench(spark, d)
@@ -507,6 +601,17 @@ def q_phi_store(spark, d):
     return _r6all(store.all(), ["value", "phi"])
 
 
+@query("phi_rows_kept")
+def q_phi_rows_kept(spark, d):
+    """The training rows are explained first; asked for all labelled rows, only the others are computed."""
+    import uuid
+    from ..config import scratch_path
+    wb = Workbench(spark, d)
+    store = explain.RowPhiStore(spark, scratch_path(spark, f"phi-rows-{uuid.uuid4().hex}"))
+    store.of(wb.train, wb.fixed_a, KEY_COL)
+    return _r6all(store.of(_explain_rows(wb), wb.fixed_a, KEY_COL), ["value", "phi"])
+
+
 @query("global_importance")
 def q_global(spark, d):
     wb = Workbench(spark, d)
@@ -643,6 +748,18 @@ def q_fairness_adhoc(spark, d):
                   ["selection_rate", "tpr", "fpr"])
 
 
+@query("fairness_binned")
+def q_fairness_binned(spark, d):
+    """Income, score and age by quantile fifths, education as it is; the bins' bounds beside the rates."""
+    wb = Workbench(spark, d)
+    attrs = ["NETMONTHLYINCOME", "Credit_Score", "AGE", "EDUCATION"]
+    groups, bounds = fairness.binned(wb.external, attrs, bins=5, above=20)
+    r = fairness.group_rates(fairness.audit(wb.rule_preds, groups, KEY_COL, "prospectid", attrs))
+    r = r.join(bounds, ["attr", "grp"], "left")
+    return _r6all(r.select("model", "attr", "grp", "lo", "hi", "n", "selection_rate", "tpr", "fpr"),
+                  ["lo", "hi", "selection_rate", "tpr", "fpr"])
+
+
 # =========================================================== K business
 def _money(wb: Workbench) -> DataFrame:
     return impact.money(impact.decision_counts(wb.rule_preds))

@@ -1032,3 +1032,68 @@ for _name, _same in {"scored_sink": "score_fixed", "stream_score": "score_unseen
 ORACLES["phi_store"] = " UNION ALL ".join(
     f"SELECT '{m}' AS model, 'labelled' AS dataset, * FROM ({ORACLES[o]})"
     for m, o in (("fixed_a", "phi_linear"), ("fixed_shape", "phi_additive")))
+
+# =========================================================== sparse features, fit state, versions, bins
+cte("cat_pos", ["cats"], f"SELECT col, cat, {len(NUMS)} - 1 + row_number() OVER (ORDER BY CASE col "
+    + " ".join(f"WHEN {q(c)} THEN {i}" for i, c in enumerate(CATS)) + " END, cat) AS pos FROM cats")
+cte("feature_pos", ["cat_pos"], "SELECT col || '_' || cat AS feature, pos FROM cat_pos UNION ALL SELECT * FROM (VALUES "
+    + ", ".join(f"({q(c)}, {i})" for i, c in enumerate(NUMS)) + ") t(feature, pos)")
+oracle("sparse_one_hot", ["prep_long", "feature_pos"], f"""
+SELECT l.PROSPECTID, CAST(f.pos AS BIGINT) AS pos, {r6('l.value')} AS value
+FROM prep_long l JOIN feature_pos f ON f.feature = l.feature WHERE {r6('l.value')} <> 0""")
+_WIDE = ["l_partkey", "l_suppkey", "l_returnflag"]
+ORACLES["sparse_wide"] = f"""
+WITH v AS (""" + " UNION ALL ".join(
+    f"SELECT DISTINCT {i} AS c, CAST({c} AS VARCHAR) AS value FROM lineitem WHERE {c} IS NOT NULL" for i, c in enumerate(_WIDE)) + """),
+p AS (SELECT c, value, row_number() OVER (ORDER BY c, value) AS pos FROM v),
+m AS (""" + " UNION ALL ".join(
+    f"SELECT {i} AS c, (SELECT CAST({c} AS VARCHAR) FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c} "
+    f"ORDER BY count(*) DESC, CAST({c} AS VARCHAR) LIMIT 1) AS mode" for i, c in enumerate(_WIDE)) + f"""),
+x AS (SELECT l_orderkey, l_linenumber, coalesce(CAST(l_quantity AS DOUBLE),
+  {spark_pct('lineitem', 'l_quantity', _pos_median())}) AS x FROM lineitem),
+s AS (SELECT avg(x) AS mu, stddev_pop(x) AS sd FROM x),
+r AS (SELECT l_orderkey, l_linenumber, CAST(0 AS BIGINT) AS pos, {r6('(x - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END')} AS value FROM x, s
+""" + " ".join(f"""UNION ALL SELECT l.l_orderkey, l.l_linenumber, p.pos, CAST(1.0 AS DOUBLE) FROM lineitem l JOIN m ON m.c = {i}
+JOIN p ON p.c = {i} AND p.value = coalesce(CAST(l.{c} AS VARCHAR), m.mode)""" for i, c in enumerate(_WIDE)) + """)
+SELECT * FROM r WHERE value <> 0"""
+oracle("sparse_score", ["unseen_fixed_a"], "SELECT PROSPECTID, pred, " + ", ".join(
+    f"{r6(f'Prob_{t}')} AS Prob_{t}" for t in TIER_CODES) + " FROM unseen_fixed_a")
+_ONE_HOT = {f: c for f in model_feats("fixed_a") for c in CATS if f.startswith(c + "_")}
+oracle("sparse_phi", ["fa_phi", "fx_known"], f"""
+SELECT PROSPECTID, feature, class, {r6('value')} AS value, {r6('phi')} AS phi FROM fa_phi
+WHERE feature NOT IN ({", ".join(q(f) for f in _ONE_HOT)}) OR value = 1.0
+UNION ALL
+SELECT k.PROSPECTID, c.col || '_(others)', CAST(t.class AS INTEGER), 0.0, {r6('coalesce(p.phi, 0.0)')}
+FROM fx_known k, (VALUES {", ".join(f"({q(c)})" for c in CATS)}) c(col), range(4) t(class)
+LEFT JOIN (SELECT PROSPECTID, class, CASE feature {" ".join(f"WHEN {q(f)} THEN {q(c)}" for f, c in _ONE_HOT.items())} END AS col, phi
+  FROM fa_phi WHERE value = 0.0 AND feature IN ({", ".join(q(f) for f in _ONE_HOT)})) p
+  ON p.PROSPECTID = k.PROSPECTID AND p.class = t.class AND p.col = c.col""")
+oracle("fit_state", ["merged"], " UNION ALL ".join(
+    [f"SELECT 'numeric' AS kind, '{c}' AS item, count({c}) AS n, count(*) - count({c}) AS missing, {r6(f'avg(CAST({c} AS DOUBLE))')} AS mean, "
+     f"{r6(f'stddev_pop(CAST({c} AS DOUBLE))')} AS std, true AS median_ok FROM merged" for c in NUMS]
+    + [f"SELECT '{k}', '{c}=' || {c}, count(*), NULL, NULL, NULL, NULL FROM merged WHERE {c} IS NOT NULL GROUP BY {c}"
+       for k, c in [("category", c) for c in CATS] + [("target", "Approved_Flag")]]))
+ORACLES["model_versions"] = ORACLES["model_save_load"]
+ORACLES["phi_rows_kept"] = ORACLES["phi_linear"]
+
+
+def _binned_sql() -> None:
+    attrs = ["NETMONTHLYINCOME", "Credit_Score", "AGE"]
+    rows = []
+    for a in attrs:
+        ends = ", ".join(spark_pct("external", a, f"(n - 1) * {dbl(i / 5)}") for i in range(6))
+        cte(f"ends_{a}", ["external"], f"SELECT list_sort(list_distinct([{ends}])) AS e")
+        rows.append(f"""SELECT p.*, '{a}' AS attr, CAST(least(len(list_filter(b.e, lambda v: v <= CAST(x.{a} AS DOUBLE))), len(b.e) - 1) AS BIGINT) AS g, b.e
+FROM rule_preds p JOIN external x ON x.prospectid = p.PROSPECTID, ends_{a} b WHERE x.{a} IS NOT NULL""")
+    cte("bin_long", ["rule_preds", "external"] + [f"ends_{a}" for a in attrs],
+        "SELECT model, actual, pred, attr, CAST(g AS VARCHAR) AS grp, e[g] AS lo, e[g + 1] AS hi FROM (" + " UNION ALL ".join(rows)
+        + ") UNION ALL SELECT p.model, p.actual, p.pred, 'EDUCATION', x.EDUCATION, NULL, NULL FROM rule_preds p "
+          "JOIN external x ON x.prospectid = p.PROSPECTID WHERE x.EDUCATION IS NOT NULL")
+    yes = "CAST(pred IN (0, 1) AS INTEGER)"
+    oracle("fairness_binned", ["bin_long"], f"""
+SELECT model, attr, grp, {r6('lo')} AS lo, {r6('hi')} AS hi, count(*) AS n, {r6(f'avg({yes})')} AS selection_rate,
+  {r6(f'avg(CASE WHEN actual IN (0, 1) THEN {yes} END)')} AS tpr, {r6(f'avg(CASE WHEN actual NOT IN (0, 1) THEN {yes} END)')} AS fpr
+FROM bin_long GROUP BY model, attr, grp, lo, hi""")
+
+
+_binned_sql()
