@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,3 +110,39 @@ def unknown_labels(spark: SparkSession, df: DataFrame, target: str = TARGET_COL)
     counts = df.groupBy(F.col(target).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     dim = F.broadcast(tier_dim(spark).select(F.col("tier").alias("value")))
     return counts.join(dim, "value", "left_anti")
+
+
+def contract_differences(df: DataFrame, contract: list[tuple[str, str]]) -> DataFrame:
+    """A table against a typed contract of (column, kind), kinds being int, number and text.  One row per
+    column in question: ``problem`` is ``missing`` (no such column, letter case aside), ``type`` (another type),
+    ``values`` (text that is no number, or a fraction where an int is due), ``extra`` (not in the contract) or null
+    where all is well; ``n_null`` and ``n_bad`` count over all rows, in one aggregate.  Names of ``df`` that differ
+    in letter case only are taken by their first."""
+    fields = {}
+    for f in df.schema.fields:
+        fields.setdefault(f.name.lower(), f)
+    due = {c.lower(): kind for c, kind in contract}
+    rows = [(c, kind, fields.get(c.lower())) for c, kind in contract]
+    rows += [(f.name, None, f) for low, f in fields.items() if low not in due]
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, (_, kind, f) in enumerate(rows):
+        if f is None:
+            continue
+        x = F.col("`" + f.name.replace("`", "``") + "`")
+        number = x.cast("double") if isinstance(f.dataType, NUMERIC_TYPES) else x.cast("string").try_cast("double")
+        bad = number.isNull() | ((number != F.floor(number)) if kind == "int" else F.lit(False))
+        aggs += [F.count(x).alias(f"n{i}"),
+                 (F.count_if(x.isNotNull() & bad) if kind in ("int", "number") else F.lit(0).cast("long")).alias(f"b{i}")]
+
+    def item(i: int, c: str, kind: str | None, f) -> Column:
+        if f is None:
+            found, problem, nulls, bad = F.lit(None).cast("string"), F.lit("missing"), F.lit(None).cast("long"), F.lit(None).cast("long")
+        else:
+            numeric = isinstance(f.dataType, NUMERIC_TYPES)
+            fits = isinstance(f.dataType, T.StringType) if kind == "text" else numeric
+            found, nulls, bad = F.lit(f.dataType.simpleString()), F.col("rows") - F.col(f"n{i}"), F.col(f"b{i}")
+            problem = (F.lit("extra") if kind is None else F.when(bad > 0, "values").otherwise(F.lit(None if fits else "type")))
+        return F.struct(F.lit(c).alias("column_name"), F.lit(kind).cast("string").alias("expected"), found.alias("found"),
+                        problem.cast("string").alias("problem"), nulls.alias("n_null"), bad.alias("n_bad"))
+
+    return df.agg(*aggs).select(F.inline(F.array(*[item(i, *r) for i, r in enumerate(rows)])))

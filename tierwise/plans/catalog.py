@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import KEY_COL, SENSITIVE_ATTRS, TARGET_COL, TIER_CODES, TIER_TEXT_ANALYST
+from ..constants import EXTERNAL_CONTRACT, INTERNAL_CONTRACT, KEY_COL, SENSITIVE_ATTRS, TARGET_COL, TIER_CODES, TIER_TEXT_ANALYST
 from ..functions.numeric import r6, round_half_up
 from ..functions.text import fmt_lakh
 from ..operators import (ask, boosting, evaluate, explain, fairness, fitstate, impact, merge, models, prepare, quantiles, schema,
@@ -1010,6 +1010,19 @@ def q_contract(spark, d):
     return out
 
 
+@query("contract_types")
+def q_contract_types(spark, d):
+    """The inputs against the documented columns and kinds, differences as rows."""
+    wb = Workbench(spark, d)
+    parts = [("internal", wb.internal, INTERNAL_CONTRACT), ("external", wb.external, EXTERNAL_CONTRACT),
+             ("unseen", wb.unseen_raw, INTERNAL_CONTRACT + EXTERNAL_CONTRACT[1:-1])]
+    out = None
+    for name, table, contract in parts:
+        one = schema.contract_differences(table, contract).select(F.lit(name).alias("table_name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("load_csv")
 def q_load_csv(spark, d):
     """A1: the internal table written as CSV (header) and loaded back by file

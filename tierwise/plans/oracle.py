@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from ..constants import (ANSWER_COMPARE, ANSWER_EXPLAIN, ANSWER_FAIRNESS, ANSWER_GLOBAL, ANSWER_PERFORMANCE,
                          ATTR_NOT_FOUND, CATEGORICAL_COLS, COMPARE_LINE, COMPARE_OUT_OF_RANGE, COMPARISON_METRICS,
-                         DEFAULT_RECOMMENDATION, DPD_VERDICTS, EXPLAIN_OUT_OF_RANGE, FAIRNESS_LINE, GLOBAL_LINE,
+                         DEFAULT_RECOMMENDATION, DPD_VERDICTS, EXPLAIN_OUT_OF_RANGE, EXTERNAL_CONTRACT, FAIRNESS_LINE, GLOBAL_LINE,
                          HEADLINE_AVOIDED_MEANING, HEADLINE_RESIDUAL_MEANING, HEADLINE_ROWS, HELP_TEXT,
-                         INTENT_PATTERNS, NARRATIVE, NARRATIVE_ACTIONS, NARRATIVE_ACTIONS_HEAD, PERFORMANCE_ROW,
+                         INTENT_PATTERNS, INTERNAL_CONTRACT, NARRATIVE, NARRATIVE_ACTIONS, NARRATIVE_ACTIONS_HEAD, PERFORMANCE_ROW,
                          PROMPT_EXPLAIN, PROMPT_LINE, REASON_LINE, SENSITIVE_ATTRS, TIER_ACTION_BUSINESS,
                          TIER_CODES, TIER_TEXT_ANALYST, TIER_TEXT_BUSINESS, TIER_TEXT_SCORING, UNKNOWN_TEXT)
 from ..functions.text import template_parts
@@ -1097,3 +1097,27 @@ FROM bin_long GROUP BY model, attr, grp, lo, hi""")
 
 
 _binned_sql()
+
+
+def _contract_sql() -> str:
+    unseen = ("SELECT * EXCLUDE (" + ", ".join([*UNSEEN_ABSENT, "Approved_Flag", "GENDER"]) + "), "
+              "CASE WHEN PROSPECTID % 30 = 3 THEN 'X' ELSE GENDER END AS GENDER, 'x' AS note FROM merged")
+    parts = []
+    for name, query, need, contract in (("internal", "SELECT * FROM internal", "internal", INTERNAL_CONTRACT),
+                                        ("external", "SELECT * FROM external", "external", EXTERNAL_CONTRACT),
+                                        ("unseen", unseen, "merged", INTERNAL_CONTRACT + EXTERNAL_CONTRACT[1:-1])):
+        rows = with_ctes(query, [need])
+        due = ", ".join(f"({q(c)}, {q(k)})" for c, k in contract)
+        parts.append(f"""SELECT {q(name)} AS table_name, coalesce(d.c, t.c) AS column_name, d.k AS expected, t.found, CASE WHEN t.c IS NULL THEN 'missing'
+  WHEN d.c IS NULL THEN 'extra' WHEN d.k = 'int' AND s.bad > 0 OR d.k = 'number' AND s.text > 0 THEN 'values' WHEN (d.k = 'text') <> (t.found = 'string') THEN 'type' END AS problem,
+  CASE WHEN t.c IS NOT NULL THEN s.n - s.filled END AS n_null, CASE WHEN t.c IS NOT NULL AND d.k IN ('int', 'number') THEN
+  CASE WHEN d.k = 'int' THEN s.bad ELSE s.text END WHEN t.c IS NOT NULL THEN 0 END AS n_bad
+FROM (VALUES {due}) d(c, k) FULL JOIN (SELECT column_name AS c, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+  WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE column_type END AS found FROM (DESCRIBE {rows})) t ON lower(t.c) = lower(d.c)
+LEFT JOIN (SELECT c, count(*) AS n, count(v) AS filled, count(*) FILTER (WHERE v IS NOT NULL AND try_cast(v AS DOUBLE) IS NULL) AS text,
+  count(*) FILTER (WHERE v IS NOT NULL AND (try_cast(v AS DOUBLE) IS NULL OR try_cast(v AS DOUBLE) <> floor(try_cast(v AS DOUBLE)))) AS bad
+  FROM (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM ({rows})) UNPIVOT INCLUDE NULLS (v FOR c IN (*)) GROUP BY c) s ON s.c = t.c""")
+    return " UNION ALL ".join(parts)
+
+
+ORACLES["contract_types"] = _contract_sql()
