@@ -45,6 +45,19 @@ def test_no_task_holds_the_hot_key(spark, sides):
     assert max(rows) <= 4 * sum(rows) / 40 < worst / 4
 
 
+def test_hot_rows_are_repeated_by_the_rows_and_not_by_the_pairs(spark):
+    """A key with 4 million pairs: what meets in the join stays near the input."""
+    a = spark.range(4_000).select(F.lit(1).cast("long").alias("k"), F.col("id").alias("a"))
+    b = spark.range(1_000).select(F.lit(1).cast("long").alias("r"), F.col("id").alias("b"))
+    joined = merge.spread(a, b, "k", "r", False, 10)
+    assert joined.columns == ["k", "a", "r", "b"]
+    got = joined.agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("a").alias("x")).first()
+    assert tuple(got) == (4_000_000, 1_000 * sum(range(4_000)), 4_000 * sum(range(1_000)), 3_999)
+    for large, small, hot in ((20_000, 2_000, 10), (1_800_000, 22_500, 10_000), (10_000_000, 10_000_000, 1), (10_000_000, 3, 100)):
+        cuts_large, cuts_small = spark.range(1).select(*merge.grid(F.lit(large).cast("long"), F.lit(small).cast("long"), hot)).first()
+        assert large * cuts_small + small * cuts_large <= 2 * 64 * (large + small)
+
+
 def test_attributes_never_multiply_predictions(spark):
     pred = spark.createDataFrame([(1, 0, 1), (1, 1, 1), (None, 2, 0), (None, 3, 0), (9, 0, 0)], "id long, actual int, pred int").withColumn("model", F.lit("m"))
     ext = spark.createDataFrame([(1, "F", None), (1, "F", "X"), (None, "M", "Y"), (None, "F", "Z"), (None, "M", "Y"), (2, "M", "Y")], "key long, g string, e string")
