@@ -59,24 +59,31 @@ def quantile_edges(df: DataFrame, features: list[str], n_bins: int, accuracy: in
     if not 2 <= n_bins <= MOST_BINS:
         raise ValueError(f"n_bins must lie in 2..{MOST_BINS}")
     at = [i / n_bins for i in range(1, n_bins)]
-    r = df.agg(*[F.percentile_approx(F.col(f"`{f}`"), at, accuracy).alias(f"q{i}") for i, f in enumerate(features)]).first()
+    r = df.agg(*[F.percentile_approx(F.col(f"`{f}`"), at, accuracy).alias(f"q{i}") for i, f in enumerate(features)],
+               *[F.min(F.col(f"`{f}`").cast("double")).alias(f"m{i}") for i, f in enumerate(features)]).first()
     found = {f: sorted({float(v) for v in r[f"q{i}"] or []}) for i, f in enumerate(features)}
-    low = df.agg(*[F.min(F.col(f"`{f}`").cast("double")).alias(f"m{i}") for i, f in enumerate(features)]).first()
-    return {f: [v for v in found[f] if v > low[f"m{i}"]] for i, f in enumerate(features)}
+    return {f: [v for v in found[f] if v > r[f"m{i}"]] for i, f in enumerate(features)}
 
 
-def bin_of(x: Column, edges: list[float]) -> Column:
-    """Number of edges at or below the value; a null falls into the lowest bin."""
-    at = F.transform(F.array(*[F.lit(float(e)) for e in edges]), lambda e: F.when(x.cast("double") >= e, 1).otherwise(0))
-    return F.aggregate(at, F.lit(0), lambda a, b: a + b) if edges else F.lit(0)
+def bins_of(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """Per feature with edges a column ``__bin<i>``: the number of edges at or below the value, by binary search; a null
+    falls into the lowest bin, NaN into the highest."""
+    from pyspark.ml.feature import Bucketizer
+    cut = [(i, f, e) for i, (f, e) in enumerate(edges.items()) if e]
+    if not cut:
+        return df
+    x = {i: F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(float("-inf"))) for i, f, _ in cut}
+    known = df.withColumns({f"__x{i}": F.when(F.isnan(v), F.lit(float("inf"))).otherwise(v) for i, v in x.items()})
+    return Bucketizer(splitsArray=[[-float("inf"), *map(float, e), float("inf")] for _, _, e in cut], inputCols=[f"__x{i}" for i, _, _ in cut],
+                      outputCols=[f"__bin{i}" for i, _, _ in cut]).transform(known)
 
 
 def binned(df: DataFrame, edges: dict[str, list[float]], label: str, bags: int = 1, held_pct: int = 0) -> DataFrame:
     """Rows as (bins, label, held): one byte per feature, and for each bag whether the row is held back from it."""
-    bins = F.array(*[bin_of(F.col(f"`{f}`"), e).cast("tinyint") for f, e in edges.items()])
+    bins = F.array(*[(F.col(f"__bin{i}") if e else F.lit(0)).cast("tinyint") for i, e in enumerate(edges.values())])
     own = F.xxhash64(*[F.col(f"`{f}`") for f in edges], F.col(label))
     held = F.array(*[F.pmod(F.xxhash64(own, F.lit(b)), F.lit(100)) < held_pct for b in range(bags)])
-    return df.filter(F.col(label).isNotNull()).select(bins.alias("bins"), F.col(label).cast("int").alias("label"), held.alias("held"))
+    return bins_of(df.filter(F.col(label).isNotNull()), edges).select(bins.alias("bins"), F.col(label).cast("int").alias("label"), held.alias("held"))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
