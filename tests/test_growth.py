@@ -22,3 +22,13 @@ def test_bins_are_the_number_of_edges_at_or_below(spark):
         return 0 if v is None else len(at) if math.isnan(v) else sum(v >= e for e in at)
     want = [[number(v, edges["a.b"]), number(None if v is None or not math.isfinite(v) else int(v), edges["c"]), 0] for v in values]
     assert sorted(r.bins for r in rows.collect()) == sorted(want)
+
+
+def test_kept_explanations_are_one_entry_a_row(spark, tmp_path):
+    wb = Workbench(spark, SF)
+    store = explain.RowPhiStore(spark, str(tmp_path))
+    long = store.of(wb.train, wb.fixed_a, KEY_COL)
+    plain = explain.phi_long(wb.train, wb.fixed_a, KEY_COL)
+    assert long.columns == plain.columns and sorted(map(tuple, long.collect())) == sorted(map(tuple, plain.collect()))
+    kept = spark.read.parquet(*map(str, tmp_path.glob("*/*")))
+    assert kept.count() == kept.select("row_id").distinct().count() == wb.train.count()

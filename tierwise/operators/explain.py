@@ -118,13 +118,19 @@ class RowPhiStore:
         return df.select(key, *[f for f in model.features if f != key], F.sha2(values, 256).alias("row_id"))
 
     def of(self, df: DataFrame, model, key: str) -> DataFrame:
-        """The long explanations of the rows of ``df``."""
+        """The long explanations of the rows of ``df``.  A row's are kept as two arrays and made long only behind the
+        join, so what is written and shuffled is one entry a row."""
         place = self._place(model)
-        new = self.missing(df, model, key)
-        long = phi_long(new, model, "row_id")
-        long.write.parquet(f"{place}/{uuid.uuid4().hex}")
+        ph = phi_exprs(model)
+        new = with_bins(self.missing(df, model, key), model).select(
+            "row_id", F.array(*[F.col(f).cast("double") for f in model.features]).alias("values"), F.array(*ph.values()).alias("phis"))
+        new.write.parquet(f"{place}/{uuid.uuid4().hex}")
         now = self._named(df, model, key).select("row_id", key)
-        return now.join(self._stored(place, long.schema).dropDuplicates(["row_id", "feature", "class"]), "row_id").drop("row_id")
+        kept = now.join(self._stored(place, new.schema).dropDuplicates(["row_id"]), "row_id")
+        at = {f: i for i, f in enumerate(model.features)}
+        items = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(k).alias("class"), F.get("values", at[f]).alias("value"),
+                                   F.get("phis", i).alias("phi")) for i, (f, k) in enumerate(ph)])
+        return kept.select(key, F.inline(items))
 
 
 def feature_structs(model, by: str = "mean_abs") -> Column:
