@@ -32,3 +32,12 @@ def test_kept_explanations_are_one_entry_a_row(spark, tmp_path):
     assert long.columns == plain.columns and sorted(map(tuple, long.collect())) == sorted(map(tuple, plain.collect()))
     kept = spark.read.parquet(*map(str, tmp_path.glob("*/*")))
     assert kept.count() == kept.select("row_id").distinct().count() == wb.train.count()
+
+
+def test_questions_go_through_the_patterns_once(spark, monkeypatch):
+    calls, route = [], ask.route
+    monkeypatch.setattr(ask, "route", lambda q: calls.append(1) or route(q))
+    for name in ("answer_compare", "prompt_text"):
+        calls.clear()
+        plan = catalog.REGISTRY[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(calls) == 1 and "conversations.parquet" not in plan and "RLIKE" not in plan, name

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import written
 from ..constants import EXTERNAL_CONTRACT, INTERNAL_CONTRACT, KEY_COL, SENSITIVE_ATTRS, TARGET_COL, TIER_CODES, TIER_TEXT_ANALYST
 from ..functions.numeric import r6, round_half_up
 from ..functions.text import fmt_lakh
@@ -638,19 +639,21 @@ def q_local_topn(spark, d):
     return _r6all(t, ["value", "mean_abs", "mean_phi", "phi_pred"])
 
 
-def _compare_pairs(spark, d) -> DataFrame:
+def _routed(spark, d) -> DataFrame:
+    """The routed questions without their texts, written once: every question goes through the patterns once."""
+    return written(ask.route(fixtures.questions(spark, d)).select("qid", "intent", "idx", "idx_a", "idx_b", "attr"), "routed")
+
+
+def _compare_pairs(routed: DataFrame) -> DataFrame:
     """Applicant pairs named by compare questions (literal + conversations)."""
-    r = ask.route(fixtures.questions(spark, d))
-    return r.filter(F.col("intent") == "compare_applicants").select("idx_a", "idx_b").distinct()
+    return routed.filter(F.col("intent") == "compare_applicants").select("idx_a", "idx_b").distinct()
 
 
 @query("compare_rows")
 def q_compare_rows(spark, d):
     """I8: local top-10 for every applicant named in a compare question."""
     wb = Workbench(spark, d)
-    pairs = _compare_pairs(spark, d)
-    ids = pairs.select(F.col("idx_a").alias(KEY_COL)).union(pairs.select(F.col("idx_b").alias(KEY_COL))).distinct()
-    rows = _explain_rows(wb).join(ids, KEY_COL, "left_semi")
+    rows = _named(_explain_rows(wb), _pair_ids(_compare_pairs(_routed(spark, d))))
     t = explain.local_topn(rows, wb.fixed_a, KEY_COL, 10)
     return _r6all(t, ["value", "mean_abs", "mean_phi", "phi_pred"])
 
@@ -658,7 +661,7 @@ def q_compare_rows(spark, d):
 @query("phi_delta")
 def q_phi_delta(spark, d):
     wb = Workbench(spark, d)
-    pairs = _compare_pairs(spark, d)
+    pairs = _compare_pairs(_routed(spark, d))
     t = explain.pair_delta(_named(_explain_rows(wb), _pair_ids(pairs)), wb.fixed_a, KEY_COL, pairs, 5)
     return _r6all(t, ["va", "vb", "delta"])
 
@@ -839,8 +842,8 @@ def _applicant_info(wb: Workbench, rows: DataFrame | None = None) -> DataFrame:
 
 
 def _named(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Only the applicants some question names (semi-join before any per-row work)."""
-    return rows.join(ids, KEY_COL, "left_semi")
+    """Only the applicants some question names (semi-join before any per-row work), written once for all their readers."""
+    return written(rows.join(ids, KEY_COL, "left_semi"), "named")
 
 
 def _pair_ids(pairs: DataFrame) -> DataFrame:
@@ -851,21 +854,23 @@ def _pair_ids(pairs: DataFrame) -> DataFrame:
 def q_answer_explain(spark, d):
     wb = Workbench(spark, d)
     rows = _explain_rows(wb)
-    asked = _named(rows, _explain_question_ids(spark, d))
+    routed = _routed(spark, d)
+    asked = _named(rows, _explain_question_ids(routed))
     top = explain.local_topn(asked, wb.fixed_a, KEY_COL, 5, by="phi_pred").join(_applicant_info(wb, asked), KEY_COL)
     n_rows = rows.agg(F.count(F.lit(1))).scalar()
-    return ask.answer_explain(ask.route(fixtures.questions(spark, d)), top, n_rows, TIER_TEXT_ANALYST)
+    return ask.answer_explain(routed, top, n_rows, TIER_TEXT_ANALYST)
 
 
 @query("answer_compare")
 def q_answer_compare(spark, d):
     wb = Workbench(spark, d)
     rows = _explain_rows(wb)
-    pairs = _compare_pairs(spark, d)
+    routed = _routed(spark, d)
+    pairs = _compare_pairs(routed)
     asked = _named(rows, _pair_ids(pairs))
     delta = explain.pair_delta(asked, wb.fixed_a, KEY_COL, pairs, 5)
     n_rows = rows.agg(F.count(F.lit(1))).scalar()
-    return ask.answer_compare(ask.route(fixtures.questions(spark, d)), delta, _applicant_info(wb, asked), n_rows)
+    return ask.answer_compare(routed, delta, _applicant_info(wb, asked), n_rows)
 
 
 @query("answer_global")
@@ -891,7 +896,7 @@ def q_answer_fairness(spark, d):
     """Fairness answers for every attribute any question names that exists
     in the external table (bounded by its column count)."""
     wb = Workbench(spark, d)
-    routed = ask.route(fixtures.questions(spark, d))
+    routed = _routed(spark, d)
     return ask.answer_fairness(routed, ask.fairness_text(*_asked_rates(wb, routed)), wb.external.columns)
 
 
@@ -913,11 +918,11 @@ def q_prompt_text(spark, d):
     """The prompt of every explain, compare, global, fairness and
     performance question whose applicants or attribute are known."""
     wb = Workbench(spark, d)
-    routed = ask.route(fixtures.questions(spark, d))
+    routed = _routed(spark, d)
     rows = _explain_rows(wb)
-    asked = _named(rows, _explain_question_ids(spark, d))
+    asked = _named(rows, _explain_question_ids(routed))
     top = explain.local_topn(asked, wb.fixed_a, KEY_COL, 5, by="phi_pred").join(_applicant_info(wb, asked), KEY_COL)
-    pairs = _compare_pairs(spark, d)
+    pairs = _compare_pairs(routed)
     both = _named(rows, _pair_ids(pairs))
     delta = explain.pair_delta(both, wb.fixed_a, KEY_COL, pairs, 5)
     gtop = explain.global_importance(rows, wb.fixed_a, 10)
@@ -935,9 +940,8 @@ def q_applicant_report(spark, d):
     return report.applicant_report(wb.test, wb.fixed_a, KEY_COL)
 
 
-def _explain_question_ids(spark, d) -> DataFrame:
-    r = ask.route(fixtures.questions(spark, d))
-    return r.filter(F.col("intent") == "explain_applicant").select(F.col("idx").alias(KEY_COL)).distinct()
+def _explain_question_ids(routed: DataFrame) -> DataFrame:
+    return routed.filter(F.col("intent") == "explain_applicant").select(F.col("idx").alias(KEY_COL)).distinct()
 
 
 @query("lime_batch", rows_only=True)
@@ -945,7 +949,7 @@ def q_lime(spark, d):
     """Local surrogates for every applicant an 'explain' question names."""
     from ..operators import lime
     wb = Workbench(spark, d)
-    return lime.lime_batch(wb.train, _explain_rows(wb), _explain_question_ids(spark, d), wb.fixed_a, KEY_COL)
+    return lime.lime_batch(wb.train, _explain_rows(wb), _explain_question_ids(_routed(spark, d)), wb.fixed_a, KEY_COL)
 
 
 @query("stream_score")
