@@ -35,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _base
@@ -219,9 +219,11 @@ def _words(raw: pa.Buffer | bytes) -> np.ndarray:
 
 
 def _compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """pairs (a, b) with their edit distance, null if no text of b's class can be linked to a through b."""
+    """pairs (a, b) with their edit distance, null if no text of b's class can be linked to a through b. ``words`` are
+    bucketed by fp and stay where they are; only those of the hubs are dealt out, as a hub may have many pairs."""
+    hub_words = _base.stored(words.join(pairs.select(F.col("b").alias("fp")).distinct(), "fp", "left_semi"), "neardup-hubs")
     both = (pairs.join(words.withColumnsRenamed({"fp": "a", "words": "a_words"}), "a")
-            .join(words.withColumnsRenamed({"fp": "b", "words": "b_words"}), "b"))
+            .join(hub_words.withColumnsRenamed({"fp": "b", "words": "b_words"}), "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,6 +351,12 @@ def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(lambda batches: _base.freed(run(batches)), "fp binary, words binary").dropDuplicates(["fp"])
 
 
+def met(keys: DataFrame) -> DataFrame:
+    """The rows (key, fp) whose key another node has too. Keys are dealt once; those of one node alone end there."""
+    members = F.count("*").over(Window.partitionBy("key"))
+    return keys.select("key", "fp", members.alias("members")).filter("members > 1").select("key", "fp")
+
+
 def _alike(buckets: DataFrame) -> DataFrame:
     """One ``key`` of all buckets (key, fp) with the same two or more members, how many members, and for how many buckets
     it stands. Buckets are alike if counts, smallest nodes and 64-bit sums of the members agree."""
@@ -466,11 +474,10 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = _base.stored(sketched(docs), "neardup-rows")
     nodes = _base.stored(rows.groupBy("fp").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("least"),
                                                 F.count("*").alias("n"), F.min("sig").alias("sig")), "neardup-nodes")
-    keys = nodes.select("fp", F.explode("sig").alias("key")).repartition("key")  # dealt once, for the counts and the join
-    shared = _alike(keys).select("key", "times")
-    buckets = _base.stored(keys.join(shared, "key"), "neardup-buckets")
+    keys = _base.stored(met(nodes.select("fp", F.explode("sig").alias("key"))), "neardup-keys")
+    buckets = _base.stored(keys.join(_alike(keys).select("key", "times"), "key"), "neardup-buckets")
     wanted = nodes.join(buckets.select("fp").distinct(), "fp", "left_semi").select("text_key")
-    words = _base.stored(_words_of(docs, wanted), "neardup-words")
+    words = _base.bucketed(_words_of(docs, wanted), "neardup-words", "fp")
     found, tried = links(buckets, words)
     part = components(found)
     more = _base.stored(border_links(tried, part, words), "neardup-border")
