@@ -473,9 +473,12 @@ def classes(docs: DataFrame) -> DataFrame:
     _base.bounded_batches(docs.sparkSession)
     rows = _base.stored(sketched(docs), "neardup-rows")
     nodes = _base.stored(rows.groupBy("fp").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("least"),
-                                                F.count("*").alias("n"), F.min("sig").alias("sig")), "neardup-nodes")
-    keys = _base.stored(met(nodes.select("fp", F.explode("sig").alias("key"))), "neardup-keys")
-    buckets = _base.stored(keys.join(_alike(keys).select("key", "times"), "key"), "neardup-buckets")
+                                                F.count("*").alias("n"), F.min("sig").alias("sig"))
+                         .withColumn("number", F.monotonically_increasing_id()), "neardup-nodes")
+    # while keys are dealt, a node's stored number, which packs well, stands for its fingerprint
+    keys = _base.stored(met(nodes.select(F.col("number").alias("fp"), F.explode("sig").alias("key"))), "neardup-keys")
+    shared = keys.join(_alike(keys).select("key", "times"), "key").withColumnRenamed("fp", "number")
+    buckets = _base.stored(shared.join(nodes.select("number", "fp"), "number").select("key", "fp", "times"), "neardup-buckets")
     wanted = nodes.join(buckets.select("fp").distinct(), "fp", "left_semi").select("text_key")
     words = _base.bucketed(_words_of(docs, wanted), "neardup-words", "fp")
     found, tried = links(buckets, words)
