@@ -32,3 +32,32 @@ def test_words_stay(spark):
         assert plan.count("Exchange hashpartitioning") == 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _exchanged(node):
+    """Bytes that the exchanges of an executed plan moved."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return _exchanged(node.executedPlan())
+    if node.nodeName().endswith("QueryStage"):
+        return _exchanged(node.plan())
+    own = node.metrics().apply("dataSize").value() if node.nodeName() == "Exchange" else 0
+    return own + sum(_exchanged(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_dropped_texts_stay(spark):
+    """The stage finds out without their texts which documents to drop; also copies under one text, ids repeated or null."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = random.Random(6)
+        texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(3000)) for _ in range(3)]
+        rows = [(10 * i + j, f"{t} end{j % 2}") for i, t in enumerate(texts) for j in range(8)]
+        rows += [(None, "null id one"), (None, "null id one"), (7, "short text here"), (7, "quite another short text of one id"), (90, None)]
+        left = neardup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").select("doc_id", "text")
+        got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+        assert got == sorted([(10 * i, f"{t} end0") for i, t in enumerate(texts)] + [(7, "short text here"), (90, None),
+                             (7, "quite another short text of one id"), (None, "null id one")], key=str)
+        moved = _exchanged(left._jdf.queryExecution().executedPlan())
+        assert 0 < moved < sum(len(t) for t in texts)  # seven of eight copies are dropped
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

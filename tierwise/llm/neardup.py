@@ -30,7 +30,7 @@ other columns are not read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -316,7 +316,7 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _told(docs: DataFrame, keys: DataFrame, text_key: Column) -> Column:
+def _told(docs: DataFrame, keys: DataFrame) -> Callable[[Column], Column]:
     """Whether a row's key may be among ``keys`` (text_key); false only if it is not."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(keys))
 
@@ -325,7 +325,7 @@ def _told(docs: DataFrame, keys: DataFrame, text_key: Column) -> Column:
         at = [(shared.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 for p in (one.to_numpy(), two.to_numpy())]
         return pa.array((at[0] & at[1]).astype(bool))
 
-    return may_be(*_places(text_key))
+    return lambda key: may_be(*_places(key))
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -499,22 +499,26 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each class stays, the one with the smallest doc_id (of equal ids the smallest
-    text hash; of wholly repeated rows any one). Rows to drop are joined out exactly; texts that a Bloom filter of fixed
-    size tells apart from all of these pass straight through, so only about as many texts move as are dropped."""
+    text hash; of wholly repeated rows any one). Rows are told by id and text hash: those that a Bloom filter of fixed size
+    tells apart from all rows to drop pass straight through. Which others stay is found without their texts, and a second
+    filter lets hardly any but these through to an exact join; so the texts of rows to drop don't move."""
     found = _base.stored(classes(docs), "neardup-verdicts")
     many = found.filter("copies > 1")
     heads = F.col("doc_id").eqNullSafe(F.col("class_id"))
     stays = many.filter(heads).groupBy("root").agg(F.min("text_key").alias("stay"))
     text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    gone = many.join(stays, "root").filter(~heads | (F.col("text_key") != F.col("stay"))) \
-        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    name, own = (F.concat_ws(":", F.col("doc_id").cast("long").cast("string"), key) for key in (F.col("text_key"), text))
+    gone = many.join(stays, "root").filter(~heads | (F.col("text_key") != F.col("stay"))).select(name.alias("text_key")).distinct()
     gone = _base.stored(gone, "neardup-gone")
-    may_go = _told(docs, gone.select(F.col("_key").alias("text_key")), text)
-    doubtful = docs.filter(may_go)
-    left = docs.filter(~may_go).unionByName(doubtful.join(
-        gone, doubtful["doc_id"].eqNullSafe(gone["_id"]) & (text == gone["_key"]), "left_anti"))
-    again = found.groupBy("doc_id", "text_key").count().filter("count > 1")
+    may_go = _told(docs, gone)
+    spared = _base.stored(found.select(name.alias("text_key")).filter(may_go(F.col("text_key"))).join(gone, "text_key", "left_anti").distinct(),
+                          "neardup-spared")
+    may_stay = _told(docs, spared)
+    left = docs.filter(~may_go(own)).unionByName(
+        docs.filter(may_go(own)).filter(may_stay(own)).join(spared, own == spared["text_key"], "left_semi"))
+    again = _base.stored(found.groupBy(name.alias("text_key")).count().filter("count > 1").select("text_key"), "neardup-again")
     if again.isEmpty():
         return left
-    key = left.withColumn("_key", text)
-    return key.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    repeated = _told(docs, again)
+    return left.filter(~repeated(own)).unionByName(
+        left.filter(repeated(own)).withColumn("_key", own).dropDuplicates(["_key"]).select(*docs.columns))
