@@ -58,6 +58,16 @@ def test_hot_rows_are_repeated_by_the_rows_and_not_by_the_pairs(spark):
         assert large * cuts_small + small * cuts_large <= 2 * 64 * (large + small)
 
 
+def test_rows_of_a_hot_key_stand_so_that_they_are_written_small(spark, tmp_path):
+    """A key with 18 million pairs of rows that tell nothing of each other: a pair costs a fraction of a byte."""
+    a = spark.range(6_000).select(F.lit(1).cast("long").alias("k"), F.xxhash64("id").alias("a"))
+    b = spark.range(3_000).select(F.lit(1).cast("long").alias("r"), F.xxhash64(F.col("id") + 6_000).alias("b"))
+    merge.spread(a, b, "k", "r", False, 10_000_000).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert tuple(got.agg(F.count(F.lit(1)), F.countDistinct("b")).first()) == (18_000_000, 3_000)
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.2 * 18_000_000
+
+
 def test_attributes_never_multiply_predictions(spark):
     pred = spark.createDataFrame([(1, 0, 1), (1, 1, 1), (None, 2, 0), (None, 3, 0), (9, 0, 0)], "id long, actual int, pred int").withColumn("model", F.lit("m"))
     ext = spark.createDataFrame([(1, "F", None), (1, "F", "X"), (None, "M", "Y"), (None, "F", "Z"), (None, "M", "Y"), (2, "M", "Y")], "key long, g string, e string")
